@@ -38,9 +38,70 @@ from marked group by doc_id
 """
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_chats, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    read = read_back(format_chats(rows.unionByName(extra)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+# Lengths of the template's marks: begin 9, end 7, role 8, text 8, next 8; each backslash, < and [ gets a backslash.
+OP3_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked as (
+  select *, coalesce(lag(role) over (partition by conv_id order by turn, role, text) = role, false) as merged,
+    length(regexp_replace(text, '([\\<\[])', '_\1', 'g')) as escaped_chars,
+    length(regexp_replace(role, '([\\<\[])', '_\1', 'g')) as role_chars
+  from turns
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(9 + sum(escaped_chars + case when merged then 8 else 7 + 16 + role_chars end) as bigint) as formatted_chars
+from marked group by conv_id
+"""
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_groups(docs).select(
+        F.col("doc").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+OP4_SQL = r"""
+with texts as (
+  select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
+)
+select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size,
+  doc_id = min(doc_id) over g as kept, text_sha256
+from texts window g as (partition by text_sha256)
+"""
+
+
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op3_chat_format": op3_chat_format,
+        "op4_exact_dedup": op4_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL}
