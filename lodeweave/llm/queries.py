@@ -95,11 +95,28 @@ from texts window g as (partition by text_sha256)
 """
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return decode(coded, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_byte_bpe": op6_byte_bpe,
     }
 
 
