@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -244,7 +245,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about BLOCK_BYTES of text each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if held and held + size > BLOCK_BYTES:
