@@ -111,14 +111,63 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated, find_items
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_items(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
+_WORDS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP8_SQL = f"""
+with docs as (
+  select doc_id, {_WORDS_SQL} as words from documents
+), items as (
+  select cast(item_id as varchar) as item, {_WORDS_SQL} as words from benchmark
+), sized as (
+  select item, words, least(13, len(words)) as m from items where len(words) > 0
+), windows as (
+  select distinct item, m, array_to_string(words[s:s + m - 1], ' ') as gram
+  from (select item, words, m, unnest(range(1, len(words) - m + 2)) as s from sized)
+), places as (
+  select doc_id, m, s, array_to_string(words[s:s + m - 1], ' ') as gram
+  from (select doc_id, words, m, unnest(range(1, len(words) - m + 2)) as s
+        from docs, (select distinct m from sized) where len(words) >= m)
+), found as (
+  select doc_id, p.m, s, item from places p join windows w on p.m = w.m and p.gram = w.gram
+), hits as (
+  select doc_id, count(distinct w) as n_hit
+  from (select doc_id, unnest(range(s, s + m)) as w from found) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list
+  from (select distinct doc_id, item from found) group by doc_id
+)
+select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(list, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from docs d left join hits using (doc_id) left join named using (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_decontaminate": op8_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
