@@ -95,6 +95,16 @@ from texts window g as (partition by text_sha256)
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out())
+    return score(docs, fit(docs, labels)).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -164,6 +174,7 @@ def queries() -> dict:
         "op1_line_dedup": op1_line_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_toxicity": op5_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
         "op8_decontaminate": op8_decontaminate,
     }
