@@ -121,6 +121,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_groups
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_groups(docs, k=3, num=90, den=100).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated, find_items
 
@@ -176,6 +183,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_ngram_join": op7_ngram_join,
         "op8_decontaminate": op8_decontaminate,
     }
 
