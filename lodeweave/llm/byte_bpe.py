@@ -31,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 32 << 20
-CACHED_PIECES = 200_000
+BLOCK_BYTES = 6 << 20
+CACHED_PIECES = 250_000
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -189,7 +189,7 @@ class Encoder:
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Parts of text that no piece spans: the pattern takes a space only at the head of a piece or into white space."""
@@ -200,40 +200,20 @@ class Encoder:
 
     def block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        number: dict[str, int] = {}
-        rows = []
-        for text in texts:
-            row = np.fromiter([number.setdefault(x, len(number)) for x in self.chunks(text)], dtype=np.int32)
-            rows.append(row)
-        names = list(number)
-        table: list[np.ndarray] = [self.known.get(x) for x in names]
-        new = [i for i, ids in enumerate(table) if ids is None]
+        rows = [self.chunks(text) for text in texts]
+        new = list(set().union(*rows).difference(self.known))
+        if len(self.known) + len(new) > CACHED_PIECES:
+            self.known.clear()
+            new = list(set().union(*rows))
         pieces: dict[str, int] = {}
-        parts = [[pieces.setdefault(p, len(pieces)) for p in self.pattern.findall(names[i])] for i in new]
+        parts = [[pieces.setdefault(p, len(pieces)) for p in self.pattern.findall(chunk)] for chunk in new]
         if new:
-            out, starts = replay(self.ranks, [p.encode() for p in pieces])
-            starts = starts.tolist()
-            for i, got in zip(new, parts):
-                table[i] = (
-                    out[starts[got[0]] : starts[got[0] + 1]]
-                    if len(got) == 1
-                    else np.concatenate([out[starts[p] : starts[p + 1]] for p in got])
-                    if got
-                    else out[:0]
-                )
-            if len(self.known) + len(new) > CACHED_PIECES:
-                self.known.clear()
-            self.known.update((names[i], table[i].copy()) for i in new[: CACHED_PIECES - len(self.known)])
-        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-        flat = np.concatenate(table).astype("<u4") if table else np.zeros(0, "<u4")
-        begins = np.cumsum(sizes) - sizes
-        results = []
-        for row in rows:
-            lengths = sizes[row]
-            ends = np.cumsum(lengths)
-            at = np.repeat(begins[row] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-            results.append(flat[at].tobytes())
-        return results
+            ids, starts = replay(self.ranks, [p.encode() for p in pieces])
+            flat, cuts = ids.astype("<u4").tobytes(), (starts * 4).tolist()
+            for chunk, got in zip(new, parts):
+                self.known[chunk] = b"".join([flat[cuts[p] : cuts[p + 1]] for p in got])
+        known = self.known.__getitem__
+        return [b"".join(map(known, row)) for row in rows]
 
 
 # A cut goes before each space whose forerunner is no white space.
