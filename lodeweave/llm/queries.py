@@ -176,6 +176,13 @@ from docs d left join hits using (doc_id) left join named using (doc_id)
 """
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -185,6 +192,7 @@ def queries() -> dict:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ngram_join": op7_ngram_join,
         "op8_decontaminate": op8_decontaminate,
+        "op10_html_extract": op10_html_extract,
     }
 
 
