@@ -176,6 +176,16 @@ from docs d left join hits using (doc_id) left join named using (doc_id)
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import in_training, score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs).withColumnRenamed("doc", "doc_id")
+    return scored.select(
+        "doc_id", (~in_training()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -192,6 +202,7 @@ def queries() -> dict:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ngram_join": op7_ngram_join,
         "op8_decontaminate": op8_decontaminate,
+        "op9_lm_score": op9_lm_score,
         "op10_html_extract": op10_html_extract,
     }
 
