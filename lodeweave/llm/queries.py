@@ -38,6 +38,15 @@ from marked group by doc_id
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repeated paragraph: where it is, where the one that stays is, whether it goes."""
+    from .substring_dedup import repeated_paragraphs
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeated_paragraphs(docs).withColumnsRenamed({"doc": "doc_id", "keep_doc": "keep_doc_id"})
+    return found.select("doc_id", "place", "words", "keep_doc_id", "keep_place", "cluster_size", "removed")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_chats, read_back
 
@@ -196,6 +205,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_chat_format": op3_chat_format,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_toxicity": op5_toxicity,
