@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +92,16 @@ def batch_of(id_col: str, bounds: list[int]) -> Column:
     for cut in bounds:
         batch = batch + (F.col(id_col) > cut).cast("int")
     return batch
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array's byte planes, compressed; the length comes back from the size."""
+    width = values.dtype.itemsize
+    planes = values.view(np.uint8).reshape(-1, width).T.tobytes() if len(values) else b""
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel()

@@ -31,62 +31,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, row_id
+from .common import Workspace, pack, row_id, unpack
 from .components import components
 from .shingles import mix, set_key, shingle_set
 
-SKETCH_BITS = 20
-SKETCH_CHUNK = 14
+SKETCH_BITS = 24
+SKETCH_CHUNK = 16
 MOST_MATCHES = 4
 VERIFY_COST = 20.0
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of all documents' shingles in 2**SKETCH_BITS cells: a size that doesn't depend on the data."""
+def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
+    """Magnitudes (ceil of log2 of count + 1) of all documents' shingles in 2**SKETCH_BITS cells, and the mean count.
+
+    Its size doesn't depend on the data; where cells are crowded, the order only gets less sharp.
+    """
     size, chunk = 1 << SKETCH_BITS, 1 << SKETCH_CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(size, dtype=np.int64)
+        cells = np.zeros(size, dtype=np.int32)
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 np.add.at(cells, (mix(shingle_set(text, k)) & np.uint64(size - 1)).astype(np.int64), 1)
-        parts = [(i, cells[i * chunk : (i + 1) * chunk]) for i in range(size // chunk)]
-        parts = [(i, part.astype(np.int32)) for i, part in parts if part.any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["part", "cells"]
-        )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(cells, np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "cells"]
-        )
-
-    total = np.zeros(size, dtype=np.int64)
-    parts = docs.select("text").mapInArrow(run, "part int, cells binary").repartition("part").mapInArrow(add, "part int, cells binary")
-    for part, cells in parts.collect():
-        total[part * chunk : (part + 1) * chunk] = np.frombuffer(bytes(cells), np.int64)
-    return total
+        for i in range(size // chunk):
+            part = cells[i * chunk : (i + 1) * chunk]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(part)], pa.binary())], names=["part", "cells"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(chunk, dtype=np.int64)
+        for cells in group["cells"].to_pylist():
+            total += unpack(cells, np.int32)
+        magnitude = np.ceil(np.log2(total + 1)).astype(np.uint8)
+        return pa.table([group["part"][:1], pa.array([int(total.sum())], pa.int64()), pa.array([magnitude.tobytes()], pa.binary())], names=["part", "total", "cells"])
+
+    counted = docs.select("text").mapInArrow(run, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, total long, cells binary")
+    magnitudes, total = np.zeros(size, dtype=np.uint8), 0
+    for part, count, cells in counted.collect():
+        magnitudes[part * chunk : (part + 1) * chunk] = np.frombuffer(bytes(cells), np.uint8)
+        total += count
+    return magnitudes, total / size
 
 
 class Order:
-    """Tokens of a set from rare to common: the level of a cell's count over the usual load, then the hash."""
+    """Tokens of a set from rare to common: the magnitude of the cell's count, then the hash."""
 
-    def __init__(self, cells: np.ndarray):
-        load = max(1.0, cells.sum() / len(cells))
-        self.levels = np.maximum(0, np.ceil(np.log2(np.maximum(cells, 1) / (2 * load)))).astype(np.uint8)
-        self.load = load
+    def __init__(self, magnitudes: np.ndarray, load: float):
+        self.magnitudes, self.load = magnitudes, load
 
     def tokens(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted tokens (the level in the six leading bits) and the estimated length of their posting lists."""
+        """Sorted tokens (the magnitude in the leading bits) and the estimated length of their posting lists."""
         mixed = mix(values)
-        level = self.levels[(mixed & np.uint64(len(self.levels) - 1)).astype(np.int64)]
+        level = self.magnitudes[(mixed & np.uint64(len(self.magnitudes) - 1)).astype(np.int64)]
         tokens = np.sort(level.astype(np.uint64) << np.uint64(57) | mixed >> np.uint64(7))
         level = (tokens >> np.uint64(57)).astype(np.int64)
-        return tokens, np.where(level == 0, 1.0, self.load * 2.0**level)
+        return tokens, np.maximum(1.0, 2.0**level - 1 - self.load)
 
 
 def matches_asked(costs: np.ndarray, base: int, most: int = MOST_MATCHES) -> int:
@@ -146,7 +145,7 @@ class _Join:
 
     def run(self) -> DataFrame:
         space = self.space
-        order = self.docs.sparkSession.sparkContext.broadcast(Order(_sketch(self.docs, self.k)))
+        order = self.docs.sparkSession.sparkContext.broadcast(Order(*_sketch(self.docs, self.k)))
         self.sets = space.stage(_prefixes(self.docs, order, self.k, self.num, self.den), "sets")
         # Equal keys are equal sets with equal prefixes: any row of a key gives them, and partial sums keep hot groups small.
         reps = self.sets.filter("n > 0").groupBy("key1", "key2").agg(
