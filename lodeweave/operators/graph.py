@@ -48,7 +48,7 @@ def bind(rows: DataFrame, keys: DataFrame, row_id: str, name: str, signature=Non
     met = asked.join(keys, ["repository_id", "key"])
     met = met.filter((F.col("tier") == 0) | (F.col("tier") == F.col("_most")))
     tiers = met.groupBy(row_id).agg(
-        F.min("tier").alias("best"), F.collect_list(F.struct("tier", "symbol")).alias("found"), F.first("_signature").alias("_signature"),
+        F.min("tier").alias("best"), F.collect_set(F.struct("tier", "symbol")).alias("found"), F.first("_signature").alias("_signature"),
         F.first("_arity").alias("_arity"), F.first("path").alias("path"), F.first("line").alias("line"),
     )
     found = F.transform(F.filter("found", lambda x: x.tier == F.col("best")), lambda x: x.symbol)
@@ -116,15 +116,16 @@ def load_graph(found: Evidence) -> Graph:
 
     relations = resolve_relations(found.symbols, found.edges)
     contracts = located_contracts(found.symbols, found.contracts)
-    links = link_contracts(contracts)
+    links = link_contracts(contracts).persist()
     bound = rebind_calls(relations.filter("source_id is not null"), links, found.symbols)
     unbound = relations.filter("source_id is null").select(
         "repository", "file", "line", F.concat(F.lit("unresolved_or_ambiguous_source: "), "source").alias("reason"), F.lit("unresolved").alias("confidence")
     )
     told = found.diagnostics.select(F.col("repository_id").alias("repository"), F.col("path").alias("file"), "line", F.col("message").alias("reason"), "confidence")
+    # Walks read the relations level by level: they are made once. A lost part is made again from the tables.
     return Graph(
         symbols=found.symbols,
-        relations=bound.unionByName(contract_relations(links)),
+        relations=bound.unionByName(contract_relations(links)).persist(),
         diagnostics=unbound.unionByName(told),
         contracts=contracts,
         links=links,
