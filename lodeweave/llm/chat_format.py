@@ -6,7 +6,8 @@ one block, whose turns stay apart by a separator. The template is
     [BOS] then per block: [ROLE]role[TEXT]text([SEP]text)*[END]
 
 where the five marks are control strings; texts and roles are escaped so that no
-control string can occur in them, and unescaped when read back. The loss mask
+control string (nor one of other templates that begins with `<` or `[`) can
+occur in them, and unescaped when read back. The loss mask
 is a list of half-open code-point spans over the formatted text: the escaped
 text of each assistant turn, marks excluded.
 
@@ -26,19 +27,22 @@ TEXT_MARK = "<|text|>"
 SEP_MARK = "<|next|>"
 END_MARK = "<|end|>"
 BEGIN_MARK = "<|begin|>"
-# Control strings of other public templates; texts that say them are escaped too.
-FOREIGN = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
-ESCAPE = "\\"
+# What stands for the characters that control strings begin with, and for the mark itself (last to be undone).
+ESCAPES = [("<", "\\l"), ("[", "\\b"), ("\\", "\\s")]
 TRAINED_ROLE = "assistant"
 
 
 def escape(text: Column) -> Column:
-    """`\\` before each backslash, `<` and `[`: then no control string is left, in one regular pass."""
-    return F.regexp_replace(text, r"([\\<\[])", r"\\$1")
+    """Without `<` and `[`, so no control string is left; each backslash is followed by one of three letters."""
+    for char, code in reversed(ESCAPES):
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\<\[])", "$1")
+    for char, code in ESCAPES:
+        text = F.replace(text, F.lit(code), F.lit(char))
+    return text
 
 
 def format_chats(

@@ -84,9 +84,8 @@ class CuckooFilter:
             prints, bucket = self._settle(prints, bucket)
             if not len(prints):
                 return True
-            other = self._other(bucket, prints)
-            if turn % 2 == 0:
-                bucket = other
+            if turn == 0:
+                bucket = self._other(bucket, prints)
                 continue
             # One evicted print a bucket and turn; the evicted ones look for their other bucket.
             _, pick = np.unique(bucket, return_index=True)
