@@ -161,6 +161,8 @@ class _Join:
             "key1", "key2", F.coalesce("component", "doc").alias("component_id")
         )
         classes = space.stage(classes, "classes")
+        for name in ("reps", "lists", "shared", "weighed", "postings", "cross", "inside-all"):
+            space.drop(name)
         out = self.sets.select("doc", "n", "key1", "key2").join(classes, ["key1", "key2"], "left")
         return out.select(
             "doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")

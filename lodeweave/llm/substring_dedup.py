@@ -140,6 +140,8 @@ class _Repeats:
         placed = space.stage(found.select("doc", "place", "words", "key1", "key2").distinct().join(named, ["key1", "key2"]), "occurrences")
         clusters = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(F.struct("doc", "place")).alias("first"))
         clusters = space.stage(clusters.filter("cluster_size > 1"), "clusters")
+        for name in ("paragraphs", "reps", "leaders", "members", "placed", "inside-all", "named"):
+            space.drop(name)
         out = placed.select("doc", "place", "words", "cluster").join(clusters, "cluster")
         return out.select(
             "doc",
