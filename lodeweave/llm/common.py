@@ -94,6 +94,22 @@ def batch_of(id_col: str, bounds: list[int]) -> Column:
     return batch
 
 
+FILTER_BITS = 23
+
+
+def likely_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows that may have a key of wanted: all of these and few others, told by a bitmap of hashed keys.
+
+    The bitmap has 2**FILTER_BITS bits at every size, so it can be broadcast; with very many keys it only keeps more rows.
+    """
+    spot = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bucket, bit = F.shiftright(spot, 15), F.pmod(spot, F.lit(1 << 15))
+    bits = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array's byte planes, compressed; the length comes back from the size."""
     width = values.dtype.itemsize

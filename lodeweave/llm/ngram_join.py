@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pack, row_id, unpack
+from .common import Workspace, likely_in, pack, row_id, unpack
 from .components import components
 from .shingles import mix, set_key, shingle_set
 
@@ -227,7 +227,8 @@ class _Join:
         )
         pairs = space.stage(pairs.filter(shared >= asked).select("a", "b", "a_n", "b_n"), f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-        texts = self.docs.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+        wanted = space.stage(wanted, f"{name}-wanted")
+        texts = likely_in(self.docs, wanted, "doc").join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
         sets = space.stage(_full_sets(texts, self.k), f"{name}-sets")
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("doc").alias(side), F.col("shingles").alias(f"{side}_set")), side)

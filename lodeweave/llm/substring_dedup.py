@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, row_id
+from .common import Workspace, likely_in, row_id
 from .components import components
 from .shingles import mix, set_key, shingle_hashes, word_hashes
 
@@ -159,7 +159,8 @@ class _Repeats:
         pairs = space.stage(pairs, f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
         places = reps.select("name", "doc", "place").join(wanted, "name").groupBy("doc").agg(F.collect_list(F.struct("place", "name")).alias("wanted"))
-        texts = self.docs.groupBy("doc").agg(F.min("text").alias("text")).join(places, "doc").select("text", "wanted")
+        places = space.stage(places, f"{name}-places")
+        texts = likely_in(self.docs, places, "doc").groupBy("doc").agg(F.min("text").alias("text")).join(places, "doc").select("text", "wanted")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
