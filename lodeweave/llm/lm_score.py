@@ -1,11 +1,10 @@
 """Language-model scores from a hierarchical Pitman-Yor bigram model.
 
-Words whose share of the training tokens is HEAD_SHARE or more (and that occur
-twice) are symbols of their own, so there are at most 1 / HEAD_SHARE of them at
-any size; each other word is the symbol `rare` followed by its spelling, drawn
-from a restaurant of rare words. Each symbol (and the beginning) is a context
-with a restaurant; all share the unigram restaurant as parent, whose base is
-uniform over the symbols.
+Words that occur LEAST_COUNT times or more in the training tokens are symbols of
+their own, at every size; words that occur once are the symbol `rare` followed
+by their spelling, drawn from a restaurant of rare words. Each symbol (and the
+beginning) is a context with a restaurant; all share the unigram restaurant as
+parent, whose base is uniform over the symbols.
 
 A Gibbs sweep takes the customers of a dish in a restaurant out and seats them
 anew one after another, given everyone else: at a new table in proportion to
@@ -16,10 +15,11 @@ the totals of the sweep before. Predictive probabilities are averaged over the
 sweeps after BURN_IN. From RUN customers on, those of a dish are seated in runs
 of about 1/32 of its number so far, with one chance for the run.
 
-What is counted grows with the corpus, and nothing of it is collected: counts are
-kept in parts, by hash of the key, as sorted compressed arrays; a task sends one
-array per part, each key once. Only totals by symbol reach the driver. To score,
-a document's sum of backed-off log probabilities needs symbol totals alone; what
+What is counted grows with the corpus, and no bigram but hot ones is collected:
+counts are kept in parts, by hash of the key, as sorted compressed arrays; a task
+sends one array per part, each key once. Only totals by symbol reach the driver;
+they grow with the number of words that occur twice, as do the arrays of a task.
+To score, a document's sum of backed-off log probabilities needs symbol totals alone; what
 bigrams that were seen add is looked up in the parts: a block of documents sends
 its keys there and gets back one sum a document. Bigrams with HOT_SHARE of the
 tokens or more, at most 1 / HOT_SHARE, are broadcast, so no key makes a part large.
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, pack, unpack
 from .shingles import mix, word_hashes
 
-HEAD_SHARE = 1e-6
+LEAST_COUNT = 2
 HOT_SHARE = 1e-6
 STRENGTH = 1.0
 BURN_IN = 2
@@ -183,19 +183,18 @@ def _symbols(words: DataFrame) -> Symbols:
 
     distinct, total = words.mapInArrow(sums, "distinct long, total long").agg(F.sum("distinct"), F.sum("total")).first()
     distinct, total = distinct or 0, total or 0
-    least = max(2, math.ceil(HEAD_SHARE * total))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts = unpack(counts, np.uint64)
-                keep = counts >= least
+                keep = counts >= LEAST_COUNT
                 keys = unpack_sorted(keys)[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([keys.tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], names=["keys", "counts"]
                 )
 
-    # At most 1 / HEAD_SHARE of them, whatever the corpus.
+    # As many as the corpus has words that occur twice: a few numbers each, on the driver and broadcast.
     found = words.mapInArrow(heads, "keys binary, counts binary").collect()
     keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r[0]), np.uint64) for r in found]])
     counts = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r[1]), np.uint64) for r in found]])
@@ -437,7 +436,7 @@ _WIDTH = 4
 _DOCS, _RARE, _BIGRAM = 0, 1, 2
 
 
-def _tables(words: DataFrame, types: DataFrame, state: DataFrame, facts, least_word: int, hot: int) -> DataFrame:
+def _tables(words: DataFrame, types: DataFrame, state: DataFrame, facts, hot: int) -> DataFrame:
     """(part, kind, keys, values): counts of rare words, gains of bigrams that aren't broadcast."""
     schema = "part int, kind int, keys binary, values binary"
 
@@ -445,7 +444,7 @@ def _tables(words: DataFrame, types: DataFrame, state: DataFrame, facts, least_w
         for batch in batches:
             for part, keys, counts in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 counts = unpack(counts, np.uint64)
-                keep = counts < least_word
+                keep = counts < LEAST_COUNT
                 yield _row(schema, part, _RARE, pack_sorted(unpack_sorted(keys)[keep]), pack(counts[keep].astype(np.float64)))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -628,7 +627,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     facts = docs.sparkSession.sparkContext.broadcast(model.facts())
     hot = max(2, math.ceil(HOT_SHARE * symbols.total))
     hot_gains = docs.sparkSession.sparkContext.broadcast(_hot_gains(model.state, facts, hot))
-    least_word = max(2, math.ceil(HEAD_SHARE * symbols.total))
-    tables = _tables(words, types, model.state, facts, least_word, hot)
+    tables = _tables(words, types, model.state, facts, hot)
     sent = _send(texts.select("doc", "text"), facts, hot_gains, parts)
     return _gather(_lookup(sent, tables, facts), symbols.total)

@@ -228,6 +228,15 @@ def test_lm_is_a_distribution(spark):
         assert chance.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_symbols_at_any_size(spark):
+    """A word that occurs twice is a symbol of its own, however many tokens there are."""
+    keys, counts = np.array([3, 5, 9, 11], np.uint64), np.array([5_000_000, 2, 1, 4], np.uint64)
+    words = spark.createDataFrame([(0, lm_score.pack_sorted(keys), lm_score.pack(counts))], lm_score._COUNTS)
+    symbols = lm_score._symbols(words)
+    assert symbols.hashes.tolist() == [3, 5, 11] and symbols.counts.tolist() == [5_000_000, 2, 4]
+    assert (symbols.total, symbols.distinct) == (5_000_007, 4)
+
+
 PAGE = """<html><head><title>t</title><script>var x="</p>";</script></head><body><header class="site-header"><h1>Site</h1></header>
 <div class="cookie-notice">We use cookies</div><nav><a href=/a>Menu</a></nav><div class="story-%d"><article><h1>Head %d</h1><p>One &amp; two<br>three %d
 <p>Four</p><div class="ad-slot">Buy</div><form><p>Mail</p></form><section id="comments"><p>nice</p></section></article></div>
