@@ -13,7 +13,9 @@ when the tokens of each lie below one frame element, and are nested there (list
 items of a menu, paragraphs of a text). Frame elements that no frame element
 lies between are the slots; a slot has the text of the classes nested in it. The
 slots of the main text are those in or being an article or main element, else
-those with the most text that is not in links. In those, text that the frame itself
+the one with the most text that is not in links, with its siblings in the widest
+frame element around it that holds nothing that is never main text; of these,
+slots of links are left out. In those, text that the frame itself
 has (the same block in all of MANY pages or more) is template, not content.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
@@ -250,6 +252,22 @@ def _vectors(pages: DataFrame) -> DataFrame:
     )
 
 
+def _tag(path: str) -> str:
+    return re.split("[.#]", path.rpartition("/")[2], maxsplit=1)[0]
+
+
+def _never(path: str) -> bool:
+    """Whether an element's tag, class or id say that it is never main text; its other attributes are not in a path."""
+    words = _words(path.rpartition("/")[2].partition(_tag(path))[2])
+    return _tag(path) in NEVER | {"header"} or bool(words & (WORDS | HEADS))
+
+
+def _inside(path: str, slots: list[str]) -> bool:
+    """A slot that starts with ! is left out of the others."""
+    under = lambda s: path == s or path.startswith(s + "/")
+    return any(map(under, slots)) and not any(under(s[1:]) for s in slots if s[0] == "!")
+
+
 def deduce(tokens: list[tuple[str, int, int, int, int, int]]) -> tuple[list[str], list[str]]:
     """Slots of the main text and template texts of a host, from (token, vector, pages, number, chars, linked)."""
     whole = next((t for t in tokens if t[0] == ""), None)
@@ -285,6 +303,14 @@ def deduce(tokens: list[tuple[str, int, int, int, int, int]]) -> tuple[list[str]
         full = [(sums[0] - sums[1], path) for path, sums in text.items() if path and sums[1] <= LINK_SHARE * sums[0]]
         best = max(full, default=None)
         slots = [best[1]] if best and (nested.get(best[1]) or best[0]) else []
+        for home in slots[:]:
+            while (up := slot_of(home.rpartition("/")[0])) and _tag(up) not in ("html", "body"):
+                if any((p == up or p.startswith(up + "/")) and _never(p) for p in frame_paths):
+                    break
+                home = up
+            kept = {path for _, path in full}
+            links = [p for p in text if p.startswith(home + "/") and not any(q == p or q.startswith(p + "/") for q in kept)]
+            slots = [home, *(f"!{p}" for p in links)]
     template = sorted(t for t in frame if "=" in t) if pages >= MANY else []
     return sorted(slots), template
 
@@ -315,9 +341,10 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(source: str, slots: list[str], template: set[str]) -> str:
     page = Page(source)
     blocks = [b for b in page.blocks if not b.never]
-    found = [b for b in blocks if b.main and (not slots or any(b.path == s or b.path.startswith(s + "/") for s in slots))]
+    marked = [s for s in slots if _tag(s) in MAIN]
+    found = [b for b in blocks if b.main and (not marked or _inside(b.path, marked))]
     if not found:
-        found = [b for b in blocks if any(b.path == s or b.path.startswith(s + "/") for s in slots)]
+        found = [b for b in blocks if _inside(b.path, slots)]
     if not found:
         found = [b for b in blocks if b.main]
     if not found:

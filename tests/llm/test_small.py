@@ -260,6 +260,16 @@ def test_html_without_article(spark):
     assert {r["page_id"]: r["text"] for r in got.collect()} == {i: f"Long text {i} of this page, with more words.\n\nAgain {i}" for i in range(4)}
 
 
+@pytest.mark.parametrize("name", ["content", "wrap"])
+def test_html_keeps_title_and_lead_beside_the_text(spark, name):
+    page = '<body><div class="menu">m</div><div id="%s"><h1>Title %d</h1><div class="lead">Lead %d</div><div class="text"><p>The long text %d of this page.</p></div>%s<div class="more"><a href=/>links to all of the site</a></div></div></body>'
+    rows = [(i, f"http://a/{i}", page % (name, i, i, i, f"<p>Tail {i}</p>" * (i % 3))) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i].startswith("\n\n".join([f"Title {i}", f"Lead {i}", f"The long text {i} of this page.", *[f"Tail {i}"] * (i % 3)]))
+    assert name == "content" or "links" not in got[0]
+
+
 def test_template_text_of_slots():
     page = '<div class="text"><p>Same on all pages.</p><p>Own %d</p></div>'
     pages = [html_extract.Page(page % i) for i in range(9)]
