@@ -28,11 +28,19 @@ def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def merge_coverage(parts: DataFrame, order: str) -> DataFrame:
     """One record of many: complete only if all are, truncated if one is, sums, and reasons in first order once."""
-    return parts.groupBy().agg(
-        F.bool_and("complete").alias("complete"),
-        F.bool_or("truncated").alias("truncated"),
-        *[F.sum(c).cast("long").alias(c) for c in ("unresolved", "diagnostics", "returned", "matched")],
-        F.array_distinct(
-            F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order, "reasons"))), lambda r: r.reasons))
-        ).alias("reasons"),
+    sums = ("unresolved", "diagnostics", "returned", "matched")
+    each = parts.select(F.col(order).alias("_order"), F.col("reasons").alias("_reasons"), "complete", "truncated", *sums, F.posexplode_outer("reasons").alias("_at", "reason"))
+    flags = [F.bool_and("complete").alias("complete"), F.bool_or("truncated").alias("truncated")]
+    # One row a reason, from partial aggregates: the list is as long as the reasons are many, not as the parts are.
+    # A part's numbers count with its first row.
+    by_reason = each.groupBy("reason").agg(
+        *flags,
+        *[F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, F.col(c))).alias(c) for c in sums],
+        F.min(F.when(F.col("_at").isNotNull(), F.struct("_order", "_reasons", "_at"))).alias("first"),
+    )
+    listed = F.sort_array(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "reason"))))
+    return by_reason.groupBy().agg(
+        *flags,
+        *[F.sum(c).cast("long").alias(c) for c in sums],
+        F.transform(listed, lambda r: r.reason).alias("reasons"),
     )

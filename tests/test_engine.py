@@ -8,6 +8,7 @@ import pytest
 from lodeweave.api import EvidenceSession
 from lodeweave.functions import identifiers as fn
 from lodeweave.operators import graph as G
+from lodeweave.operators import ranking
 from lodeweave.operators import search as S
 from lodeweave.operators.extract import extract_text
 from lodeweave.plans import analysis as A
@@ -293,3 +294,12 @@ def test_feedback_stream(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
     keep_rules(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert [r["note"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["n2"]
+
+
+def test_merged_coverage_has_all_reasons(spark):
+    """A part without reasons loses none of the others; the first part that has a reason places it."""
+    rows = [(3, True, False, 1, 0, 1, 2, ["c", "a"]), (1, True, True, 0, 1, 1, 2, ["b", "a", "b"]), (2, True, False, 0, 0, 1, 2, None), (4, True, False, 0, 0, 1, 2, [])]
+    parts = spark.createDataFrame(rows, "at long, complete boolean, truncated boolean, unresolved long, diagnostics long, returned long, matched long, reasons array<string>")
+    got = ranking.merge_coverage(parts, "at").collect()
+    assert [tuple(r) for r in got] == [(True, True, 1, 1, 4, 8, ["b", "a", "c"])]
+    assert ranking.merge_coverage(parts.limit(0), "at").first()["reasons"] == []
