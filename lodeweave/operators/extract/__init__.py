@@ -36,8 +36,12 @@ def extract_text(path: str, text: str) -> Found:
     return config.extract(path, text)
 
 
-def extract_files(files: DataFrame) -> dict[str, DataFrame]:
-    """symbols, edges, contracts and diagnostics of files (repository_id, path, content)."""
+def extract_files(files: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
+    """symbols, edges, contracts and diagnostics of files (repository_id, path, content).
+
+    folder: where to keep what is found, so that each file is read once for all four; without it each is read for the
+    tables that are used.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,6 +52,9 @@ def extract_files(files: DataFrame) -> dict[str, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _COLUMNS], names=[n for n, _ in _COLUMNS])
 
     found = files.select("repository_id", "path", "content").mapInArrow(run, ROW)
+    if folder:
+        found.write.partitionBy("table").parquet(folder)
+        found = files.sparkSession.read.schema(ROW).parquet(folder)
     return {
         "symbols": found.filter("table = 'symbol'").select("repository_id", "path", "name", "kind", "line", "signature", "end_line"),
         "edges": found.filter("table = 'edge'").select("repository_id", "path", "source", "target", "kind", "line", "confidence", "source_signature", "target_arity"),

@@ -5,65 +5,70 @@ from __future__ import annotations
 import os
 import re
 
+from .lines import RULES
 from .rows import Found, line_of
 
-_KEY = re.compile(r"^[ \t]*([A-Za-z][\w.-]+)[ \t]*[=:]", re.M)
-_SQL = re.compile(r"\b(?:create|alter|drop|insert\s+into|update)\s+(?:table\s+)?(?:if\s+(?:not\s+)?exists\s+)?[`\"]?([A-Za-z0-9_]+)", re.I)
-_PATH_KEY = re.compile(r"^[ \t]*['\"]?(/[^'\"\s:]+)['\"]?[ \t]*:", re.M)
-_CALL = re.compile(r"\b(get|post|put|delete|patch)\s*\(\s*['\"](/[^'\"]+)", re.I)
-_ENTRY = re.compile(r"^([ \t]*)([A-Za-z][\w.-]*)[ \t]*(:|=)[ \t]*(.*?)[ \t]*$")
-# Configuration keys that name a service or a broker.
+# Configuration keys, in lower case, that name a service or a broker.
 SERVICE_KEY = "spring.application.name"
-BROKER_KEYS = {"spring.kafka.bootstrap-servers": "kafka", "spring.rabbitmq.host": "rabbit", "spring.rabbitmq.addresses": "rabbit", "rocketmq.name-server": "rocketmq"}
+BROKER_KEYS = {
+    "spring.kafka.bootstrap-servers": "kafka",
+    "spring.kafka.bootstrapservers": "kafka",
+    "spring.rabbitmq.host": "rabbit",
+    "spring.rabbitmq.addresses": "rabbit",
+    "rocketmq.name-server": "rocketmq",
+    "rocketmq.nameserver": "rocketmq",
+}
+_NESTED = re.compile(r"([ \t]*)([^:\n]+?)[ \t]*:(.*)")
+
+
+def _value(raw: str) -> str:
+    return raw.split(" #", 1)[0].strip().strip("\"'")
 
 
 def settings(text: str) -> list[tuple[str, str, int]]:
-    """(dotted key, value, line) of nested YAML or of k=v lines."""
-    found, stack = [], []
-    for number, line in enumerate(text.split("\n"), 1):
-        if line.lstrip().startswith(("#", "-")):
-            if line.strip().startswith("---"):
-                stack = []
+    """(dotted key, value, line): a line with `=` is a pair of its own, others nest by their indentation."""
+    found: list[tuple[str, str, int]] = []
+    above: dict[int, str] = {}
+    for number, line in enumerate(text.splitlines(), 1):
+        plain = line.strip()
+        if plain[:1] in ("", "#"):
             continue
-        m = _ENTRY.match(line)
-        if not m:
-            continue
-        depth = len(m[1].expandtabs(2))
-        stack = [s for s in stack if s[0] < depth]
-        key = ".".join([*[s[1] for s in stack], m[2]])
-        value = re.sub(r"\s+#.*$", "", m[4]).strip("'\"")
-        if m[3] == ":" and not value:
-            stack.append((depth, m[2]))
-        elif value:
-            found.append((key, value, number))
+        if "=" in plain[1:]:
+            key, _, value = plain.partition("=")
+            found.append((key.strip(), _value(value), number))
+        elif m := _NESTED.match(line):
+            depth = len(m[1])
+            above = {d: k for d, k in above.items() if d < depth}
+            key = m[2].strip().strip("\"'")
+            if m[3].strip():
+                found.append((".".join([*above.values(), key]), _value(m[3]), number))
+            else:
+                above[depth] = key
     return found
 
 
+def _contracts(path: str, text: str, found: Found) -> None:
+    """Services and brokers that literal settings name; any other dynamic setting is a gap."""
+    symbol = f"config:{path}"
+    for key, value, line in settings(text):
+        broker = BROKER_KEYS.get(key.lower())
+        if "${" in value or "#{" in value:
+            found.diagnostic("dynamic_config", line)
+        elif broker:
+            found.contract("broker", "provider", broker, symbol, line, broker=f"{broker}:{''.join(value.split())}", reason="message broker configuration")
+        elif key.lower() == SERVICE_KEY:
+            found.contract("service", "provider", value, symbol, line, service=value, reason=SERVICE_KEY)
+
+
 def extract(path: str, text: str) -> Found:
     found = Found()
-    kind, source = os.path.splitext(path)[1].lower(), os.path.basename(path)
-    if kind in (".yml", ".yaml", ".properties"):
-        for m in _KEY.finditer(text):
-            found.edge(source, f"config:{m[1]}", "defines_config", line_of(text, m.start(1)))
-        for key, value, line in settings(text):
-            broker = BROKER_KEYS.get(key)
-            if key != SERVICE_KEY and not broker:
-                continue
-            if "${" in value or "#{" in value:
-                found.diagnostic("dynamic_config", line)
-            elif broker:
-                found.contract("broker", "config", broker, "", line, broker=f"{broker}:{value}")
-            else:
-                found.contract("service", "config", key, "", line, service=value)
-    if kind == ".sql":
-        for m in _SQL.finditer(text):
-            found.edge(source, f"table:{m[1]}", "migration_table", line_of(text, m.start()))
-    if kind in (".ts", ".tsx", ".js", ".vue", ".html"):
-        for m in _CALL.finditer(text):
-            found.edge(source, f"http:{m[1].upper()}:{m[2]}", "calls_http", line_of(text, m.start()))
-    if kind in (".json", ".yml", ".yaml"):
-        for m in _PATH_KEY.finditer(text):
-            found.edge(source, f"http:ANY:{m[1]}", "api_contract", line_of(text, m.start(1)))
+    suffix, source = os.path.splitext(path)[1].lower(), os.path.basename(path)
+    for rule in RULES.values():
+        if suffix in rule.suffixes:
+            for target, at in rule.found(text):
+                found.edge(source, target, rule.kind, line_of(text, at))
+    if suffix in RULES["defines_config"].suffixes:
+        _contracts(path, text, found)
     if "${" in text:
         found.diagnostic("dynamic_marker", 1)
     return found

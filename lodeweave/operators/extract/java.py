@@ -20,16 +20,23 @@ JAVA_LANG = set(
     "RuntimeException Short String StringBuilder System Thread Throwable Void".split()
 )
 MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH", "RequestMapping": ""}
+# What listens, what publishes, and the names that calls may have as receivers without being a gap.
 LISTENERS = {"KafkaListener": ("topics", "kafka"), "RabbitListener": ("queues", "rabbit"), "RocketMQMessageListener": ("topic", "rocketmq")}
 TEMPLATES = {"KafkaTemplate": "kafka", "RabbitTemplate": "rabbit", "RocketMQTemplate": "rocketmq"}
 SENDS = {"send", "convertAndSend", "syncSend", "asyncSend"}
-IGNORED_RECEIVERS = {"this", "super", "log", "logger", "System", "Math", "Objects", "Collections", "Optional"}
+LISTENED = re.compile(r"@(?:Kafka|RocketMQ|Rabbit|RocketMQMessage)Listener$")
+TOPIC_KEYS = ("topics", "topic", "value")
+PUBLISHES = re.compile(r"\b(?:send|convertAndSend|syncSend)\s*\(")
+IGNORED_RECEIVERS = {"this", "super", "log", "logger", "System", "Objects", "String", "Collections", "Optional", "Math", "Arrays"}
 _MASK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'", re.S)
 _TYPE = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\s*\(")
 _LOCAL = re.compile(r"\b(?:final\s+)?(?:[A-Z]\w*(?:\s*<[^;=(){}]*>)?(?:\[\])*|int|long|boolean|double|float|char|byte|short|var)\s+(\w+)\s*(?=[=;:,)])")
-_DYNAMIC = re.compile(r"Class\.forName|Proxy\.newProxyInstance|\.getMethod\s*\(|\.invoke\s*\(")
+_IMPORT = re.compile(r"^[ \t]*import\s+([\w.]+)\s*;", re.M)
+_DYNAMIC = ("Class.forName(", "Proxy.", "${")
+_BLANK = re.compile(r"\s*")
+_STRING = re.compile(r"\s*\"([^\"]+)\"")
 _VALUE = re.compile(r"^\s*\"\$\{([^}:]+)")
 
 
@@ -137,6 +144,7 @@ class JavaType:
     imports: dict[str, str] = field(default_factory=dict)
     marks: list[Annotation] = field(default_factory=list)
     parents: list[str] = field(default_factory=list)
+    interfaces: list[str] = field(default_factory=list)
     fields: dict[str, tuple[str, list[Annotation], int]] = field(default_factory=dict)
     methods: list[Method] = field(default_factory=list)
 
@@ -192,6 +200,8 @@ def parse(text: str, found: Found) -> JavaType | None:
     parents = re.search(r"\b(?:extends|implements)\b(.*)", masked[head.end() : opened], re.S)
     if parents:
         java.parents = [p for p in split_top(re.sub(r"\b(?:extends|implements)\b", ",", parents[1])) if p]
+        given = parents[0].partition("implements")[2]
+        java.interfaces = [p for p in split_top(given) if p]
     close = closing(masked, opened)
     _members(text, masked, opened + 1, close if close >= 0 else len(masked), java, found)
     return java
@@ -309,28 +319,32 @@ def extract(text: str) -> Found:
     line = lambda at: line_of(text, at)
     top = line(_TYPE.search(masked).start())
     found.symbol(full, kind, top, end_line=line(len(text)))
-    for name in java.imports.values():
-        found.edge(full, name, "imports", line(masked.find(name)))
+    for m in _IMPORT.finditer(masked):
+        found.edge(full, m[1], "imports", line(m.start(1)))
     for parent in java.parents:
-        found.edge(full, java.qualify(parent), "implements", top, "probable")
-    if _DYNAMIC.search(masked):
-        found.diagnostic("dynamic_behaviour", line(_DYNAMIC.search(masked).start()))
+        found.edge(full, parent.partition("<")[0].strip(), "implements", top, "probable")
+    if any(sign in text for sign in _DYNAMIC):
+        found.diagnostic("dynamic_behaviour", 1)
+    for m in PUBLISHES.finditer(masked):
+        topic = _STRING.match(text, m.end())
+        if topic:
+            found.edge(full, f"mq:{topic[1]}", "publishes_topic", line(m.start()))
     for mark in java.marks:
         if mark.name == "ConfigurationProperties":
             for prefix in mark.literals("value", "prefix") or []:
                 found.edge(full, f"config:{prefix}", "uses_config", line(mark.at))
     for name, (type_name, marks, at) in java.fields.items():
         short = re.sub(r"<.*>|\[\]", "", type_name)
-        place = line(at + len(text[at:]) - len(text[at:].lstrip()))
+        place = line(_BLANK.match(masked, at).end())
         if short[:1].isupper():
             found.edge(full, short, "uses", place, "probable")
         for mark in marks:
             if mark.name == "DubboReference":
-                found.edge(full, java.qualify(short), "dubbo_reference", line(mark.at))
+                found.edge(full, f"dubbo:{short.rpartition('.')[2]}", "dubbo_reference", line(mark.at))
                 if any(mark.literals(k) not in ([], [""]) for k in ("group", "version")):
                     found.diagnostic("dubbo_qualifier", line(mark.at))
                 else:
-                    found.contract("dubbo", "consumer", java.qualify(short), full, line(mark.at))
+                    found.contract("dubbo", "consumer", java.qualify(short), full, line(mark.at), reason="@DubboReference")
             if mark.name == "Value":
                 key = _VALUE.match(mark.raw)
                 if key:
@@ -338,8 +352,8 @@ def extract(text: str) -> Found:
     _type_contracts(java, found, text)
     feign = next((m for m in java.marks if m.name == "FeignClient"), None)
     service = _feign(feign, found, text) if feign else None
-    if feign and service is not None:
-        found.edge(full, service[0], "feign_client", line(feign.at))
+    if feign and len(named := feign.literals("name", "value") or []) == 1:
+        found.edge(full, f"feign:{named[0]}", "feign_client", line(feign.at))
     prefixes = [p for _, p in _routes(java.marks, java, found, text, "dynamic_http_path_of_class")] or [""]
     for method in java.methods:
         _method(method, java, kind, prefixes, service if feign else None, bool(feign), found, text, masked)
@@ -347,16 +361,16 @@ def extract(text: str) -> Found:
 
 
 def _type_contracts(java: JavaType, found: Found, text: str) -> None:
-    mark = next((m for m in java.marks if m.name == "DubboService"), None)
-    if mark is None:
+    service = next((m for m in java.marks if m.name == "DubboService"), None)
+    if service is None:
         return
-    at = line_of(text, mark.at)
-    found.edge(java.full, java.full, "dubbo_service", at)
-    if any(mark.literals(k) not in ([], [""]) for k in ("group", "version")):
-        found.diagnostic("dubbo_qualifier", at)
+    top = line_of(text, _TYPE.search(mask(text)).start())
+    found.edge(java.full, f"dubbo:{java.name}", "dubbo_service", top)
+    if any(service.literals(k) not in ([], [""]) for k in ("group", "version")):
+        found.diagnostic("dubbo_qualifier", top)
         return
-    for parent in java.parents:
-        found.contract("dubbo", "provider", java.qualify(parent), java.full, at)
+    for parent in java.interfaces:
+        found.contract("dubbo", "provider", java.qualify(parent), java.full, top, reason="@DubboService implements interface")
 
 
 def _feign(mark: Annotation, found: Found, text: str) -> tuple[str, str] | None:
@@ -383,12 +397,16 @@ def _method(method: Method, java: JavaType, kind: str, prefixes, service, is_fei
                 found.contract("http", "consumer", f"{verb}:{_join(service[1], whole)}", method.symbol, at, service=service[0], signature=method.signature)
     for mark in method.marks:
         if mark.name == "Scheduled":
-            found.edge(java.full, method.symbol, "scheduled_job", at)
+            found.edge(java.full, f"schedule:{java.name}#{method.name}", "scheduled_job", line_of(text, mark.at))
+        if LISTENED.match(f"@{mark.name}"):
+            # Only a named, single literal topic is a relation; the contracts below have the lists, too.
+            for key in TOPIC_KEYS:
+                if re.search(rf"\b{key}\s*=", mark.raw) and len(topics := mark.literals(key) or []) == 1:
+                    found.edge(java.full, f"mq:{topics[0]}", "consumes_topic", line_of(text, mark.at))
         if mark.name in LISTENERS:
             key, broker = LISTENERS[mark.name]
-            for topic in mark.literals(key, "topics", "topic", "value") or []:
-                found.edge(method.symbol, f"topic:{topic}", "consumes_topic", at)
-                found.contract("mq", "consumer", topic, method.symbol, at, broker=broker, signature=method.signature)
+            for topic in mark.literals(key, *TOPIC_KEYS) or []:
+                found.contract("mq", "consumer", topic, method.symbol, at, broker=broker, signature=method.signature, reason="message listener literal topic")
     if method.body:
         _calls(method, java, found, text, masked)
 
@@ -415,15 +433,13 @@ def _calls(method: Method, java: JavaType, found: Found, text: str, masked: str)
             literal = _literals(arguments[0]) if arguments else None
             if literal:
                 _publish(method, stem, literal[0], at, found)
-            continue
         found.edge(method.symbol, f"{java.qualify(stem)}.{name}", "calls", at, signature=method.signature, arity=len(arguments))
 
 
 def _publish(method: Method, template: str, topic: str, at: int, found: Found) -> None:
-    found.edge(method.symbol, f"topic:{topic}", "publishes_topic", at)
     if template == "RabbitTemplate":
         found.diagnostic("rabbit_publish_ambiguous", at)
     elif template == "RocketMQTemplate" and ":" in topic:
         found.diagnostic("rocketmq_tag", at)
     else:
-        found.contract("mq", "provider", topic, method.symbol, at, broker=TEMPLATES[template], signature=method.signature)
+        found.contract("mq", "provider", topic, method.symbol, at, broker=TEMPLATES[template], signature=method.signature, reason="message publish literal topic")

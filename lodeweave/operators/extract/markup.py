@@ -8,7 +8,7 @@ from .rows import Found, line_of
 
 _ARTIFACT = re.compile(r"<artifactId>\s*([^<\s]+)\s*</artifactId>", re.I)
 _MAPPER = re.compile(r"<mapper\s[^>]*?namespace\s*=\s*\"([^\"]+)\"", re.I)
-_STATEMENT = re.compile(r"<(select|insert|update|delete)\s[^>]*?id\s*=\s*\"([^\"]+)\"", re.I)
+_STATEMENT = re.compile(r"<(select|insert|update|delete)\s(?:[^>]*?\s)?id\s*=\s*\"([^\"]+)\"", re.I)
 _TABLE = re.compile(r"\b(?:from|join|update|into)\s+[`\"]?([A-Za-z0-9_]+)", re.I)
 
 
@@ -32,14 +32,15 @@ def mapper(text: str) -> Found:
         found.diagnostic("mapper_without_namespace", 1)
         return found
     if "${" in text or "<if" in text.lower():
-        found.diagnostic("dynamic_sql", line_of(text, max(0, text.find("${"))))
+        found.diagnostic("dynamic_sql", 1)
     found.symbol(space[1], "mapper", 1)
     for m in _STATEMENT.finditer(text):
         name, line = f"{space[1]}.{m[2]}", line_of(text, m.start())
-        close = re.compile(f"</{m[1]}\\s*>", re.I).search(text, m.end())
-        end = close.end() if close else len(text)
-        found.symbol(name, "mapper_statement", line, end_line=line_of(text, end))
+        found.symbol(name, "mapper_statement", line)
         found.edge(space[1], name, "maps_statement", line)
-        for table in dict.fromkeys(_TABLE.findall(text[m.end() : end])):
-            found.edge(name, f"table:{table}", "queries_table", line)
+        # A statement that nothing closes has no body to read tables from.
+        close = re.compile(f"</{m[1]}\\s*>", re.I).search(text, m.end())
+        if close:
+            for table in _TABLE.finditer(text, m.end(), close.start()):
+                found.edge(name, table[1], "queries_table", line_of(text, table.start()))
     return found

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.identifiers import match_line
-
-
-def _matches(files: DataFrame, pattern: str, group: int) -> DataFrame:
-    found = F.regexp_extract_all("content", F.lit(pattern), group)
-    return files.select("repository_id", "path", "content", F.posexplode(found).alias("no", "value"))
+from .lines import RULES, Rule
 
 
 def maven_modules(files: DataFrame) -> DataFrame:
@@ -25,31 +22,18 @@ def maven_modules(files: DataFrame) -> DataFrame:
     )
 
 
-def _edges(files: DataFrame, names: str, pattern: str, group: int, target: Column, kind: str) -> DataFrame:
-    rows = _matches(files.filter(F.lower("path").rlike(names)), pattern, group)
-    source = F.substring_index("path", "/", -1)
-    return rows.select("repository_id", "path", source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"))
-
-
-def config_keys(files: DataFrame) -> DataFrame:
-    return _edges(files, r"\.(yml|yaml|properties)$", r"(?m)^[ \t]*([A-Za-z][\w.-]+)[ \t]*[=:]", 1, F.concat(F.lit("config:"), "value"), "defines_config")
-
-
-def migration_tables(files: DataFrame) -> DataFrame:
-    pattern = r"(?i)(?<![A-Za-z0-9_])(?:create|alter|drop|insert\s+into|update)\s+(?:table\s+)?(?:if\s+(?:not\s+)?exists\s+)?[`\"]?([A-Za-z0-9_]+)"
-    return _edges(files, r"\.sql$", pattern, 1, F.concat(F.lit("table:"), "value"), "migration_table")
-
-
-def http_calls(files: DataFrame) -> DataFrame:
-    pattern = r"(?i)(?<![A-Za-z0-9_])((?:get|post|put|delete|patch)\s*\(\s*['\"]/[^'\"]+)"
-    verb = F.upper(F.regexp_extract("value", r"^([A-Za-z]+)", 1))
-    path = F.regexp_extract("value", r"['\"](/[^'\"]+)$", 1)
-    return _edges(files, r"\.(ts|tsx|js|vue|html)$", pattern, 1, F.concat(F.lit("http:"), verb, F.lit(":"), path), "calls_http")
-
-
-def api_paths(files: DataFrame) -> DataFrame:
-    return _edges(files, r"\.(json|yml|yaml)$", r"(?m)^[ \t]*['\"]?(/[^'\"\s:]+)['\"]?[ \t]*:", 1, F.concat(F.lit("http:ANY:"), "value"), "api_contract")
+def _target(rule: Rule) -> Column:
+    """The rule's target of a whole match, group by group."""
+    parts = []
+    for text, name in re.findall(r"([^{]*)\{(\w+)\}", rule.target):
+        group = F.regexp_extract("match", rule.pattern, 1 if name == "verb" else int(name) + 1)
+        parts += [F.lit(text), F.upper(group) if name == "verb" else group]
+    return F.concat(*parts)
 
 
-def dynamic_files(files: DataFrame) -> DataFrame:
-    return files.filter(F.contains("content", F.lit("${"))).select("repository_id", "path", match_line(F.col("content"), F.lit("${")).alias("line"))
+def line_relations(files: DataFrame, kind: str) -> DataFrame:
+    """(repository_id, path, source, target, kind) of the rule of that kind."""
+    rule = RULES[kind]
+    found = F.regexp_extract_all("content", F.lit(rule.pattern), 0)
+    rows = files.filter(F.lower("path").rlike(rule.files)).select("repository_id", "path", F.explode(found).alias("match"))
+    return rows.select("repository_id", "path", F.substring_index("path", "/", -1).alias("source"), _target(rule).alias("target"), F.lit(kind).alias("kind"))

@@ -138,14 +138,14 @@ def evidence_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "with repos as (select distinct source from documents) select source as repository_id, count(d.doc_id) filter (where d.doc_id % 3 <> 0) as file_count, "
-    "count(d.doc_id) filter (where contains(d.text, 'License')) as diagnostic_count from repos join documents d using (source) group by source"
+    "with repos as (select distinct source from documents union all select r_name from region) select source as repository_id, count(d.doc_id) as file_count, "
+    "count(d.doc_id) filter (where contains(d.text, 'License')) as diagnostic_count from repos left join documents d using (source) group by source"
 )
 def workspace_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions are repositories without any file."""
     files = B.files(spark, sf_dir)
-    repositories = files.select("repository_id").distinct()
-    kept = files.filter(F.split_part("path", F.lit("/"), F.lit(2)).cast("long") % 3 != 0)
-    return I.workspace_status(repositories, kept, files.filter(F.contains("content", F.lit("License"))))
+    repositories = files.select("repository_id").distinct().unionByName(B.table(spark, sf_dir, "region").select(F.col("r_name").alias("repository_id")))
+    return I.workspace_status(repositories, files, files.filter(F.contains("content", F.lit("License"))))
 
 
 @_query(
@@ -188,10 +188,10 @@ def rule_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """select bool_and(value > 0.05) as complete, bool_or(value > 30) as truncated, cast(sum(event_id % 3) as bigint) as unresolved, cast(sum(event_id % 2) as bigint) as diagnostics,
-  count(*) as returned, count(*) as matched, (select string_agg(event_type, ',' order by first_id) from (select event_type, min(event_id) as first_id from events where event_id < 1000 group by 1)) as reasons from events where event_id < 1000"""
+  count(*) as returned, count(*) as matched, (select string_agg(event_type, ',' order by first_id) from (select event_type, min(event_id) as first_id from events group by 1)) as reasons from events"""
 )
 def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = B.table(spark, sf_dir, "events").filter("event_id < 1000").selectExpr(
+    parts = B.table(spark, sf_dir, "events").selectExpr(
         "event_id", "value > 0.05 as complete", "value > 30 as truncated", "event_id % 3 as unresolved", "event_id % 2 as diagnostics", "1 as returned", "1 as matched", "array(event_type) as reasons"
     )
     return R.merge_coverage(parts, "event_id").withColumn("reasons", F.array_join("reasons", ","))
@@ -274,47 +274,78 @@ def extract_maven(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "select 'm' || p_partkey || '.xml' as path, 'db.M' || p_partkey || '.find' as source, 'table:t' || (p_size % 10) as target, 'queries_table' as kind, 4 as line from part "
-    "union all select 'm' || p_partkey || '.xml', 'db.M' || p_partkey || '.find', 'table:joined', 'queries_table', 4 from part "
-    "union all select 'm' || p_partkey || '.xml', 'db.M' || p_partkey, 'db.M' || p_partkey || '.find', 'maps_statement', 4 from part"
+    "select 'm' || p_partkey || '.xml' as path, 'db.M' || p_partkey || '.find' as source, 't' || (p_size % 10) as target, 'queries_table' as kind, 4 as line from part "
+    "union all select 'm' || p_partkey || '.xml', 'db.M' || p_partkey || '.find', 'joined', 'queries_table', 5 from part "
+    "union all select 'm' || p_partkey || '.xml', 'db.M' || p_partkey, 'db.M' || p_partkey || '.find', 'maps_statement', 4 from part "
+    "union all select 'm' || p_partkey || '.xml', 'db.M' || p_partkey, 'db.M' || p_partkey || '.open', 'maps_statement', 6 from part"
 )
 def extract_mapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = "'<?xml version=\"1.0\"?>\\n<mapper namespace=\"db.M' || p_partkey || '\">\\n\\n<select id=\"find\">select a from t' || (p_size % 10) || ' join joined</select></mapper>'"
+    """A statement that nothing closes has no tables."""
+    xml = (
+        "'<?xml version=\"1.0\"?>\\n<mapper namespace=\"db.M' || p_partkey || '\">\\n\\n<select id=\"find\">select a from t' || (p_size % 10) || '\\n join joined</select>\\n"
+        "<update id=\"open\">update lost set a = 1'"
+    )
     edges = extract_files(_sources(spark, sf_dir, "'m' || p_partkey || '.xml'", xml))["edges"]
     return edges.select("path", "source", "target", "kind", "line")
 
 
-@_query(
-    "select 'C' || p_partkey || '.java' as path, 'app.C' || p_partkey || '.get' as source, '/seg' || p_size || '/item' as target, 'route' as kind, cast(null as int) as target_arity from part "
-    "union all select 'C' || p_partkey || '.java', 'app.C' || p_partkey || '.get', 'app.OrderService.load' || (p_size % 5), 'calls', 2 from part "
-    "union all select 'C' || p_partkey || '.java', 'app.C' || p_partkey, 'OrderService', 'uses', null from part"
-)
+# Relations of the Java source below: source ($T the type, $M its method), target, kind, line, arity.
+_JAVA_EDGES = [
+    ("$M", "/seg' || p_size || '/item", "route", 17, None), ("$M", "app.OrderService.load' || (p_size % 5) || '", "calls", 19, 2), ("$M", "app.KafkaTemplate.send", "calls", 18, 2),
+    ("$T", "OrderService", "uses", 12, None), ("$T", "KafkaTemplate", "uses", 13, None), ("$T", "StockApi", "uses", 14, None), ("$T", "lib.Base", "imports", 2, None),
+    ("$T", "Base", "implements", 8, "-"), ("$T", "Api", "implements", 8, "-"), ("$T", "dubbo:StockApi", "dubbo_reference", 14, None), ("$T", "dubbo:C' || p_partkey || '", "dubbo_service", 8, None),
+    ("$T", "feign:stock' || (p_size % 3) || '", "feign_client", 6, None), ("$T", "config:shop.limit", "uses_config", 15, None), ("$T", "config:app.c' || p_size || '", "uses_config", 7, None),
+    ("$T", "mq:out' || p_size || '", "publishes_topic", 18, None), ("$T", "mq:in", "consumes_topic", 21, None), ("$T", "schedule:C' || p_partkey || '#tick", "scheduled_job", 23, None),
+]
+
+
+def _java_sql() -> str:
+    place = {"$T": "'app.C' || p_partkey", "$M": "'app.C' || p_partkey || '.get'"}
+    rows = [
+        f"select 'C' || p_partkey || '.java' as path, {place[source]} as source, '{target}' as target, '{kind}' as kind, {line} as line, cast({arity if isinstance(arity, int) else 'null'} as int) as target_arity from part"
+        for source, target, kind, line, arity in _JAVA_EDGES
+    ]
+    return " union all ".join(rows)
+
+
+@_query(_java_sql())
 def extract_java(spark: SparkSession, sf_dir: str) -> DataFrame:
-    java = (
-        "'package app;\\n@RestController\\n@RequestMapping(\"/seg' || p_size || '\")\\npublic class C' || p_partkey || ' {\\n  private OrderService orders; // not a \"route\"\\n"
-        "  @GetMapping(\"/item\")\\n  public String get(String id, int n) {\\n    return orders.load' || (p_size % 5) || '(id, f(n, 1));\\n  }\\n}\\n'"
-    )
+    lines = [
+        "package app;", "import lib.Base;", "/* class Fake {} */", "@RestController", '@RequestMapping("/seg\' || p_size || \'")', '@FeignClient(name = "stock\' || (p_size % 3) || \'")',
+        '@ConfigurationProperties(prefix = "app.c\' || p_size || \'")', "public class C' || p_partkey || ' extends Base implements Api {", "  // a comment", "  @DubboService", "  static class Inner { }",
+        '  private OrderService orders; // not a "route"', "  private KafkaTemplate bus;", "  @DubboReference private StockApi stock;", '  @Value("\' || char(36) || \'{shop.limit:5}") int limit;',
+        '  @GetMapping("/item")', "  public String get(String id, int n) {", '    bus.send("out\' || p_size || \'", id);', "    return orders.load' || (p_size % 5) || '(id, f(n, 1));", "  }",
+        '  @KafkaListener(topics = "in")', "  public void on(String m) { }", '  @Scheduled(cron = "0 0 * * * *")', "  public void tick() { }", "}",
+    ]
+    lines[3] = "@RestController @DubboService"
+    lines[9] = "  // another"
+    java = "'" + "\\n".join(lines) + "'"
     edges = extract_files(_sources(spark, sf_dir, "'C' || p_partkey || '.java'", java))["edges"]
-    return edges.select("path", "source", "target", "kind", "target_arity")
+    return edges.select("path", "source", "target", "kind", "line", "target_arity")
 
 
 @_query(
-    "select 'c' || p_partkey || '.yml' as path, 'service' as kind, 'svc' || p_size as service, '' as broker from part union all "
-    "select 'c' || p_partkey || '.yml', 'broker', '', 'kafka:k' || (p_size % 7) || ':9092' from part"
+    "select 'c' || p_partkey || '.yml' as path, 'service' as kind, 'provider' as role, 'svc' || p_size as contract_key, 'svc' || p_size as service, '' as broker, 'config:c' || p_partkey || '.yml' as symbol, 3 as line from part union all "
+    "select 'c' || p_partkey || '.yml', 'broker', 'provider', 'kafka', '', 'kafka:k' || (p_size % 7) || ':9092,k:1', 'config:c' || p_partkey || '.yml', 5 from part union all "
+    "select 'c' || p_partkey || '.yml', 'broker', 'provider', 'rocketmq', '', 'rocketmq:n:' || p_size, 'config:c' || p_partkey || '.yml', 6 from part"
 )
 def extract_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yml = "'spring:\\n  application:\\n    name: svc' || p_size || '\\n  kafka:\\n    bootstrap-servers: k' || (p_size % 7) || ':9092\\n'"
+    """Keys in any case and spelling; blanks inside addresses go; a dynamic value names nothing."""
+    yml = (
+        "'spring:\\n  Application:\\n    name: svc' || p_size || '\\n  kafka:\\n    bootstrapServers: k' || (p_size % 7) || ':9092, k:1\\nrocketmq.nameServer=n:' || p_size || '\\n"
+        "spring.rabbitmq.host: ' || char(36) || '{HOST}\\n'"
+    )
     found = extract_files(_sources(spark, sf_dir, "'c' || p_partkey || '.yml'", yml))["contracts"]
-    return found.select("path", "kind", "service", "broker")
+    return found.select("path", "kind", "role", "contract_key", "service", "broker", "symbol", "line")
 
 
 @_query("select 'v' || p_partkey || '.sql' as path, 'table:t' || p_size as target, 'migration_table' as kind from part union all select 'v' || p_partkey || '.sql', 'table:log', 'migration_table' from part")
 def extract_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = "'CREATE TABLE t' || p_size || ' (a int);\\ninsert into log values (1);'"
-    return native.migration_tables(_sources(spark, sf_dir, "'v' || p_partkey || '.sql'", sql)).select("path", "target", "kind")
+    return native.line_relations(_sources(spark, sf_dir, "'v' || p_partkey || '.sql'", sql), "migration_table").select("path", "target", "kind")
 
 
 @_query("select 'f' || p_partkey || '.ts' as path, 'http:POST:/api/' || p_size as target, 'calls_http' as kind from part")
 def extract_http(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = "'axios.post(\"/api/' || p_size || '\", x);'"
-    return native.http_calls(_sources(spark, sf_dir, "'f' || p_partkey || '.ts'", code)).select("path", "target", "kind")
+    return native.line_relations(_sources(spark, sf_dir, "'f' || p_partkey || '.ts'", code), "calls_http").select("path", "target", "kind")

@@ -188,8 +188,8 @@ def test_java():
     signatures = {s["signature"] for s in found.symbols if s["kind"] == "controller_method"}
     assert "OrderController.list(java.lang.String,int[])" in signatures
     kinds = {(e["kind"], e["target"]) for e in found.edges}
-    assert {("route", "/orders/list"), ("route", "/orders/all"), ("calls", "shop.core.OrderService.find"), ("publishes_topic", "topic:orders"), ("uses_config", "config:shop.limit")} <= kinds
-    assert [e["target_arity"] for e in found.edges if e["kind"] == "calls"] == [2]
+    assert {("route", "/orders/list"), ("route", "/orders/all"), ("calls", "shop.core.OrderService.find"), ("publishes_topic", "mq:orders"), ("uses_config", "config:shop.limit"), ("implements", "Api"), ("dubbo_reference", "dubbo:StockService"), ("imports", "shop.core.OrderService")} <= kinds
+    assert [e["target_arity"] for e in found.edges if e["kind"] == "calls"] == [2, 2]
     assert {(c["kind"], c["role"], c["target"]) for c in found.contracts} == {
         ("http", "provider", "GET:/orders/list"), ("http", "provider", "GET:/orders/all"), ("dubbo", "consumer", "shop.api.StockService"), ("mq", "provider", "orders"),
     }
@@ -273,7 +273,7 @@ def test_workspace_to_report(spark, tmp_path):
     traced = session.call("trace_code_path", {"target": "/orders/list"})
     assert [e["target"] for e in traced["paths"][-1]][-1] in ("shop.core.OrderService.find", "/orders/list")
     assert session.call("analyze_change_impact", {"target": "OrderService.find"})["relations"][0]["source"] == "shop.web.OrderController.list"
-    assert session.call("get_symbol_context", {"target": "OrderController.list"})["counts"]["callees"] == 1
+    assert session.call("get_symbol_context", {"target": "OrderController.list"})["counts"]["callees"] == 2
     assert session.call("list_contracts")["coverage"]["matched"] == 4
     assert session.call("analyze_change", {"range": "HEAD"})["evidence"]
     told = session.call("analyze_inputs", {"text": "change OrderController list"})
