@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _marked_letters() -> dict[str, str]:
+    """Letters that are one base character and marks, with that character: Latin, Greek, Cyrillic and their extensions."""
+    found = {}
+    for code in (*range(0xC0, 0x590), *range(0x1E00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.category(m) == "Mn" for m in marks):
+            found[chr(code)] = base
+    return found
+
+
+_MARKED = _marked_letters()
+
+
+def without_marks(text: Column) -> Column:
+    """Letters without accents and other marks, as full-text search compares them; quick where every code point is one byte."""
+    plain = F.translate(text, "".join(_MARKED), "".join(_MARKED.values()))
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.regexp_replace(plain, r"\p{Mn}+", ""))
+
+
 def normalize_identifier(text: Column) -> Column:
     """Letters and digits only, in lower case."""
     return F.lower(F.regexp_replace(text, r"[^\p{L}\p{Nd}]", ""))

@@ -6,6 +6,8 @@ a requirement are one job. The table is small by contract (MOST_QUERIES).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,67 +74,80 @@ def edge_candidates(edges: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """(repository_id, path, token) of repository, path and content, as the full-text index has them."""
-    text = F.lower(F.concat_ws(" ", "repository_id", "path", "content"))
-    return files.select("repository_id", "path", F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("token"))
+@dataclass(frozen=True)
+class FileScan:
+    """What one reading of the files says about all queries: rows without any text.
+
+    rows: (repository_id, path, length, hits array of the queries' terms, literal array<struct<query_no, line>>).
+    """
 
+    rows: DataFrame
+    queries: DataFrame
 
-def full_text_ranks(files: DataFrame, queries: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """(query_no, repository_id, path, rank) of files that have every term; rank is minus BM25, lower is better.
+    def within(self, repository: str | None) -> DataFrame:
+        return self.rows.filter(F.col("repository_id") == repository) if repository else self.rows
 
-    Only the queries' terms are counted file by file, from the text; no token of the rest is shuffled.
-    """
-    corpus = files if corpus is None else corpus
+
+def scan_files(files: DataFrame, queries: DataFrame) -> FileScan:
+    """Reads each file once: its number of tokens, its tokens that are terms of a query, the queries it has word for word."""
     prepared = _prepared(queries)
-    wanted = prepared.select("query_no", F.explode(F.array_distinct("terms")).alias("term"))
-    # The terms of at most MOST_QUERIES short texts; they go to the executors with the plan.
-    vocabulary = [r[0] for r in wanted.select("term").distinct().collect()]
-
-    def counted(df: DataFrame) -> DataFrame:
-        text = F.lower(F.concat_ws(" ", "repository_id", "path", "content"))
-        words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
-        rows = df.select("repository_id", "path", words.alias("words"))
-        hits = F.filter("words", lambda w: w.isin(*vocabulary)) if vocabulary else F.array().cast("array<string>")
-        return rows.select("repository_id", "path", F.size("words").alias("length"), hits.alias("hits"))
-
-    all_files = counted(corpus)
-    totals = F.broadcast(all_files.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")))
-    seen = all_files.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    postings = counted(files).filter(F.size("hits") > 0)
-    postings = postings.select("repository_id", "path", "length", "hits", F.explode(F.array_distinct("hits")).alias("term"))
+    asked = queries.sparkSession.createDataFrame(
+        # At most MOST_QUERIES short texts; they go to the executors with the plan.
+        [(r[0], r[1], r[2]) for r in prepared.select("query_no", "text", F.transform("terms", fn.without_marks)).collect()],
+        "query_no int, text string, terms array<string>",
+    )
+    rows = asked.collect()
+    vocabulary = sorted({t for r in rows for t in r["terms"]})
+    text = fn.without_marks(F.lower(F.concat_ws(" ", "repository_id", "path", "content")))
+    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    hits = F.filter("words", lambda w: w.isin(*vocabulary)) if vocabulary else F.array().cast("array<string>")
+    lowered = F.lower("content")
+    place = [F.when(F.contains(lowered, F.lower(F.lit(r["text"]))), F.struct(F.lit(r["query_no"]).alias("query_no"), fn.match_line(F.col("content"), F.lit(r["text"])).alias("line"))) for r in rows]
+    literal = F.array_compact(F.array(*place)) if place else F.array().cast("array<struct<query_no:int,line:int>>")
+    scanned = files.select("repository_id", "path", words.alias("words"), literal.alias("literal"))
+    return FileScan(scanned.select("repository_id", "path", F.size("words").alias("length"), hits.alias("hits"), "literal"), asked)
+
+
+def full_text_ranks(scan: FileScan, repository: str | None = None) -> DataFrame:
+    """(query_no, repository_id, path, rank, literal) of files that have every term; rank is minus BM25, lower is better.
+
+    Numbers of files and of tokens are those of all files scanned, also for a search in one repository.
+    """
+    wanted = scan.queries.select("query_no", F.explode(F.array_distinct("terms")).alias("term"))
+    totals = F.broadcast(scan.rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")))  # one row
+    seen = scan.rows.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = scan.within(repository).filter(F.size("hits") > 0)
+    postings = postings.select("repository_id", "path", "length", "literal", "hits", F.explode(F.array_distinct("hits")).alias("term"))
     postings = postings.withColumn("tf", F.size(F.filter("hits", lambda h: h == F.col("term")))).drop("hits")
-    weighed = postings.join(F.broadcast(seen), "term").crossJoin(totals)
+    weighed = postings.join(F.broadcast(seen), "term").crossJoin(totals)  # as many rows as the queries have terms
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    scored = weighed.select("term", "repository_id", "path", part.alias("part"))
+    scored = weighed.select("term", "repository_id", "path", "literal", part.alias("part"))
     asked = wanted.join(wanted.groupBy("query_no").agg(F.count(F.lit(1)).alias("asked")), "query_no")
     return (
         scored.join(F.broadcast(asked), "term")
         .groupBy("query_no", "repository_id", "path", "asked")
-        .agg(F.count(F.lit(1)).alias("had"), (-F.sum("part")).alias("rank"))
+        .agg(F.count(F.lit(1)).alias("had"), (-F.sum("part")).alias("rank"), F.any_value("literal").alias("literal"))
         .filter("had = asked")
-        .select("query_no", "repository_id", "path", "rank")
+        .select("query_no", "repository_id", "path", "rank", "literal")
     )
 
 
 def _file_evidence(df: DataFrame) -> DataFrame:
-    return _evidence(
-        df.withColumn("line", fn.match_line(F.col("content"), F.col("text"))),
-        repository=F.col("repository_id"), file=F.col("path"), name=F.col("text"), kind=F.lit("text"), confidence=F.lit("certain"),
-    )
+    return _evidence(df, repository=F.col("repository_id"), file=F.col("path"), name=F.col("text"), kind=F.lit("text"), confidence=F.lit("certain"))
 
 
-def full_text_candidates(files: DataFrame, queries: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    ranked = full_text_ranks(files, queries, corpus)
-    met = ranked.join(files, ["repository_id", "path"]).join(_prepared(queries).select("query_no", "text"), "query_no")
-    made = {"score": fn.full_text_score(F.col("rank")), "reason": F.lit("full-text file match"), "tier": F.col("rank"), "match": F.lit("file_fts")}
+def full_text_candidates(scan: FileScan, repository: str | None = None) -> DataFrame:
+    met = full_text_ranks(scan, repository).join(F.broadcast(scan.queries.select("query_no", "text")), "query_no")
+    mine = F.filter("literal", lambda x: x.query_no == F.col("query_no"))
+    line = F.coalesce(F.get(mine, F.lit(0)).line, F.lit(1))
+    made = {"line": line, "score": fn.full_text_score(F.col("rank")), "reason": F.lit("full-text file match"), "tier": F.col("rank"), "match": F.lit("file_fts")}
     return _file_evidence(met.withColumns(made))
 
 
-def substring_candidates(files: DataFrame, queries: DataFrame) -> DataFrame:
-    met = files.join(_prepared(queries), F.contains(F.lower("content"), F.lower("text")))
+def substring_candidates(scan: FileScan, repository: str | None = None) -> DataFrame:
+    met = scan.within(repository).select("repository_id", "path", F.inline("literal")).join(F.broadcast(scan.queries.select("query_no", "text")), "query_no")
     made = {"score": F.lit(fn.SUBSTRING_SCORE), "reason": F.lit("literal file-content match"), "tier": F.lit(0), "match": F.lit("file_substring")}
     return _file_evidence(met.withColumns(made))
 
@@ -145,13 +160,20 @@ _GAPS = {
 }
 
 
-def candidates(found: Evidence, queries: DataFrame, candidate_limit: int = CANDIDATE_LIMIT, corpus: DataFrame | None = None) -> DataFrame:
-    """Candidates of the four sources, each cut to candidate_limit + 1, exact ones first; `place` is the rank there."""
+def candidates(found: Evidence, queries: DataFrame, candidate_limit: int = CANDIDATE_LIMIT, repository: str | None = None) -> DataFrame:
+    """Candidates of the four sources, each cut to candidate_limit + 1, exact ones first; `place` is the rank there.
+
+    The scan of the files is read for totals, document frequencies and hits: its rows, which have no text, are kept.
+    """
+    scan = scan_files(found.files, queries)
+    scan.rows.persist()
+    if repository:
+        found = found.within(repository)
     parts = [
         symbol_candidates(found.symbols, queries),
         edge_candidates(found.edges, queries),
-        full_text_candidates(found.files, queries, corpus),
-        substring_candidates(found.files, queries),
+        full_text_candidates(scan, repository),
+        substring_candidates(scan, repository),
     ]
     order = [F.col("tier"), F.col("repository"), F.col("file"), F.col("line"), F.col("name"), F.col("source")]
     union = None
@@ -182,11 +204,9 @@ def ranked_search(
     """(evidence with rank_no, coverage), both by query_no."""
     if not 1 <= limit <= DEFAULT_LIMIT:
         raise ValueError(f"search limit must be between 1 and {DEFAULT_LIMIT}")
-    corpus = found.files
     if repository:
         check_scope(found, repository)
-        found = found.within(repository)
-    all_candidates = candidates(found, queries, candidate_limit, corpus)
+    all_candidates = candidates(found, queries, candidate_limit, repository)
     fused = fuse(all_candidates, candidate_limit)
     order = [F.col("score").desc(), *[F.col(c) for c in RANK_ORDER]]
     top = top_per_key(fused, ["query_no"], order, limit)

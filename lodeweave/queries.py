@@ -54,13 +54,13 @@ _LINE_SQL = (
 )
 
 _FTS_SQL = r"""tokens as (
-  select repository_id, path, unnest(regexp_extract_all(lower(repository_id || ' ' || path || ' ' || content), '[\p{L}\p{N}]+')) as token from files
+  select repository_id, path, unnest(regexp_extract_all(strip_accents(lower(repository_id || ' ' || path || ' ' || content)), '[\p{L}\p{N}]+')) as token from files
 ), lengths as (
   select repository_id, path, count(*) as length from tokens group by all
 ), corpus as (
   select (select count(*) from files) as n, (select sum(length) from lengths) / (select count(*) from files) as average
 ), postings as (
-  select repository_id, path, token, count(*) as tf from tokens where token in (select unnest(terms) from asked) group by all
+  select repository_id, path, token, count(*) as tf from tokens where token in (select strip_accents(unnest(terms)) from asked) group by all
 ), seen as (
   select token, count(*) as df from postings group by token
 ), scored as (
@@ -68,7 +68,7 @@ _FTS_SQL = r"""tokens as (
     * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)) as part
   from postings p join seen using (token) join lengths using (repository_id, path) cross join corpus
 ), wanted as (
-  select distinct query_no, unnest(terms) as token from asked
+  select distinct query_no, strip_accents(unnest(terms)) as token from asked
 ), sizes as (
   select query_no, count(*) as size from wanted group by query_no
 ), ranks as (
@@ -166,13 +166,15 @@ def search_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`%` and `_` are text like any other."""
-    found = S.substring_candidates(B.files(spark, sf_dir), S.queries_frame(spark, [FILE_TEXT, "%", "Licensed under"]))
+    found = S.substring_candidates(S.scan_files(B.files(spark, sf_dir), S.queries_frame(spark, [FILE_TEXT, "%", "Licensed under"])))
     return found.select("query_no", "repository", "file", "line")
 
 
-@_query(f"with {B.FILES_SQL}, {_asked_sql([FILE_TEXT, 'license', 'doc 7'])}, {_FTS_SQL} select query_no, repository_id as repository, path as file, round(rank, 6) as rank from ranks")
+@_query(f"with {B.FILES_SQL}, {_asked_sql([FILE_TEXT, 'license', 'doc 7', 'también für'])}, {_FTS_SQL} select query_no, repository_id as repository, path as file, round(rank, 6) as rank from ranks")
 def search_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = S.full_text_ranks(B.files(spark, sf_dir), S.queries_frame(spark, [FILE_TEXT, "license", "doc 7"]))
+    scan = S.scan_files(B.files(spark, sf_dir), S.queries_frame(spark, [FILE_TEXT, "license", "doc 7", "también für"]))
+    scan.rows.persist()
+    ranks = S.full_text_ranks(scan)
     return ranks.select("query_no", F.col("repository_id").alias("repository"), F.col("path").alias("file"), F.round("rank", 6).alias("rank"))
 
 
