@@ -36,8 +36,9 @@ def located_contracts(symbols: DataFrame, contracts: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumn("contract_no", F.xxhash64(*[F.col(c) for c in rows.columns]))
-    own = bind(rows, lookup_keys(symbols), "contract_no", "symbol", signature=F.col("signature"))
-    own = own.select("contract_no", F.col("symbol.uid").alias("symbol_id"))
+    named = rows.withColumnRenamed("symbol", "owner")
+    bound = bind(named, lookup_keys(symbols), F.col("owner"), signature=F.col("signature")).withColumn("symbol_id", F.col("symbol.uid"))
+    bound = bound.drop("n", "symbol").withColumnRenamed("owner", "symbol")
     service = rows.filter("kind = 'service'").select("repository_id", "path", F.lit("").alias("protocol"), F.col("service").alias("value"))
     broker = rows.filter("kind = 'broker'").select(
         "repository_id", "path", F.when(F.contains("broker", F.lit(":")), F.substring_index("broker", ":", 1)).otherwise(F.col("contract_key")).alias("protocol"), F.col("broker").alias("value")
@@ -45,7 +46,7 @@ def located_contracts(symbols: DataFrame, contracts: DataFrame) -> DataFrame:
     no_service = rows.filter("kind = 'http' and role = 'provider' and service = ''").withColumn("protocol", F.lit(""))
     no_broker = rows.filter("kind = 'mq' and broker <> '' and not contains(broker, ':')").withColumn("protocol", F.col("broker"))
     configured = config_values(no_service, service).unionByName(config_values(no_broker, broker))
-    joined = rows.join(own, "contract_no", "left").join(configured, "contract_no", "left")
+    joined = bound.join(configured, "contract_no", "left")
     http = (F.col("kind") == "http") & (F.col("role") == "provider") & (F.col("service") == "")
     mq = F.col("kind") == "mq"
     made = F.when(F.contains("broker", F.lit(":")), F.col("broker")).otherwise(F.coalesce("value", F.lit("")))
@@ -126,9 +127,7 @@ def rebind_calls(relations: DataFrame, links: DataFrame, symbols: DataFrame) ->
         "repository", "consumer", "contract_key", F.col("provider.repository_id").alias("repository_id"), F.col("provider.symbol").alias("owner")
     ).distinct()
     met = calls.join(remote, ["repository", "consumer", "contract_key"])
-    met = met.withColumns({"wanted": F.concat_ws(".", "owner", "method"), "path": F.lit(""), "line": F.lit(0), "call_no": F.xxhash64("edge_no", "repository_id", "owner")})
-    found = bind(met, lookup_keys(symbols), "call_no", "wanted", arity=F.col("target_arity"))
-    found = met.select("call_no", "edge_no").join(found.filter("n > 0"), "call_no")
+    found = bind(met, lookup_keys(symbols), F.concat_ws(".", "owner", "method"), arity=F.col("target_arity")).filter("n > 0")
     once = found.groupBy("edge_no").agg(F.sum("n").alias("n"), F.first("symbol", ignorenulls=True).alias("bound")).filter("n = 1").select("edge_no", "bound")
     joined = relations.join(once, "edge_no", "left")
     pick = lambda new, old: F.when(F.col("bound").isNotNull(), new).otherwise(F.col(old)).alias(old)

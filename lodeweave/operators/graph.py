@@ -8,7 +8,7 @@ a match counts. Nothing is ever bound to more than one target.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,39 +30,66 @@ def lookup_keys(symbols: DataFrame) -> DataFrame:
         F.struct(fn.short_name(F.col("name")).alias("key"), F.lit(1).alias("tier")),
         F.struct(fn.last_two(F.col("name")).alias("key"), F.lit(2).alias("tier")),
     )
-    rows = symbols.select("repository_id", symbol.alias("symbol"), F.explode(keys).alias("k"))
+    rows = symbols.select("repository_id", symbol.alias("symbol")).distinct()
+    rows = rows.withColumn("name", F.col("symbol.name")).select("repository_id", "symbol", F.explode(keys).alias("k"))
     return rows.select("repository_id", F.col("k.key").alias("key"), F.col("k.tier").alias("tier"), "symbol").filter("key is not null")
 
 
-def bind(rows: DataFrame, keys: DataFrame, row_id: str, name: str, signature=None, arity=None, owned: bool = False) -> DataFrame:
-    """rows of `row_id` with the symbols their `name` may mean in their repository: (row_id, n, symbol of the only one).
+_ANY_ARITY = -9
+_REQUEST = ["repository_id", "_key", "_signature", "_arity", "_most"]
+
+
+def _fits(symbol) -> object:
+    signature = symbol["signature"]
+    same = (F.col("_signature") == "") | (signature == F.col("_signature"))
+    return same & ((F.col("_arity") == _ANY_ARITY) | (signature == "") | (fn.signature_arity(signature) == F.col("_arity")))
+
+
+def bind(rows: DataFrame, keys: DataFrame, name, signature=None, arity=None, owned: bool = False) -> DataFrame:
+    """rows with n, the number of symbols that `name` may mean in their repository (null: none), and symbol, the only one.
 
     signature, arity: columns that narrow the choice where they are set. owned: several are told apart by whose lines
     the row's file and line lie in. A lone mapper statement stands for declarations of its name.
+
+    Equal requests are one row, and their symbols are counted, not gathered: a name that very many rows ask for, or
+    very many symbols have, makes no large group.
     """
-    asked = rows.select(row_id, "repository_id", F.col(name).alias("key"), "path", "line", (signature if signature is not None else F.lit("")).alias("_signature"), (arity if arity is not None else F.lit(None).cast("int")).alias("_arity"))
-    dots = F.char_length("key") - F.char_length(F.replace(F.col("key"), F.lit("."), F.lit("")))
-    suffix = (dots == 1) & ~F.contains(F.substring_index("key", ".", 1), F.lit("/"))
+    asked = rows.withColumns(
+        {
+            "_key": name,
+            "_signature": signature if signature is not None else F.lit(""),
+            "_arity": F.coalesce(arity, F.lit(_ANY_ARITY)) if arity is not None else F.lit(_ANY_ARITY),
+        }
+    )
+    dots = F.char_length("_key") - F.char_length(F.replace(F.col("_key"), F.lit("."), F.lit("")))
+    suffix = (dots == 1) & ~F.contains(F.substring_index("_key", ".", 1), F.lit("/"))
     # The widest tier a name may fall back to: its last part if it has no dot, a suffix if it has one.
     asked = asked.withColumn("_most", F.when(dots == 0, 1).when(suffix, 2).otherwise(0))
-    met = asked.join(keys, ["repository_id", "key"])
-    met = met.filter((F.col("tier") == 0) | (F.col("tier") == F.col("_most")))
-    tiers = met.groupBy(row_id).agg(
-        F.min("tier").alias("best"), F.collect_set(F.struct("tier", "symbol")).alias("found"), F.first("_signature").alias("_signature"),
-        F.first("_arity").alias("_arity"), F.first("path").alias("path"), F.first("line").alias("line"),
+    keys = keys.withColumnRenamed("key", "_key")
+    met = asked.select(*_REQUEST).distinct().join(keys, ["repository_id", "_key"]).filter((F.col("tier") == 0) | (F.col("tier") == F.col("_most")))
+    fits = _fits(F.col("symbol"))
+    statement = fits & (F.col("symbol.kind") == "mapper_statement")
+    tiers = met.groupBy(*_REQUEST, "tier").agg(
+        F.count_if(fits).alias("fitting"), F.max(F.when(fits, F.col("symbol"))).alias("one"),
+        F.count_if(statement).alias("statements"), F.max(F.when(statement, F.col("symbol"))).alias("statement"),
     )
-    found = F.transform(F.filter("found", lambda x: x.tier == F.col("best")), lambda x: x.symbol)
-    fits = lambda s: (
-        ((F.col("_signature") == "") | (s.signature == F.col("_signature")))
-        & (F.col("_arity").isNull() | (s.signature == "") | (fn.signature_arity(s.signature) == F.col("_arity")))
+    lone = (F.col("fitting") > 1) & (F.col("statements") == 1)
+    tiers = tiers.select(
+        *_REQUEST, F.struct("tier", F.when(lone, 1).otherwise(F.col("fitting")).alias("n"), F.when(lone, F.col("statement")).when(F.col("fitting") == 1, F.col("one")).alias("symbol")).alias("best")
     )
-    tiers = tiers.withColumn("found", F.filter(found, fits))
-    statements = F.filter("found", lambda s: s.kind == "mapper_statement")
-    tiers = tiers.withColumn("found", F.when((F.size("found") > 1) & (F.size(statements) == 1), statements).otherwise(F.col("found")))
+    found = tiers.groupBy(*_REQUEST).agg(F.min("best").alias("best")).select(*_REQUEST, "best.*")
+    out = asked.join(found, _REQUEST, "left")
     if owned:
-        mine = F.filter("found", lambda s: (s.path == F.col("path")) & (s.line <= F.col("line")) & (s.end_line >= F.col("line")))
-        tiers = tiers.withColumn("found", F.when(F.size("found") > 1, mine).otherwise(F.col("found")))
-    return tiers.select(row_id, F.size("found").alias("n"), F.when(F.size("found") == 1, F.get("found", F.lit(0))).alias("symbol"))
+        place = [*_REQUEST, "path", "line"]
+        several = out.filter("n > 1").select(*place, "tier").distinct()
+        inside = several.join(keys.withColumn("path", F.col("symbol.path")), ["repository_id", "_key", "tier", "path"])
+        inside = inside.filter(fits & (F.col("symbol.line") <= F.col("line")) & (F.col("symbol.end_line") >= F.col("line")))
+        mine = inside.groupBy(*place).agg(F.count(F.lit(1)).alias("_own"), F.max("symbol").alias("_owner"))
+        out = out.join(mine, place, "left")
+        open_ = F.col("n") > 1
+        symbol = F.when(open_, F.when(F.col("_own") == 1, F.col("_owner"))).otherwise(F.col("symbol"))
+        out = out.withColumns({"n": F.when(open_, F.coalesce("_own", F.lit(0))).otherwise(F.col("n")), "symbol": symbol})
+    return out.select(*[c for c in rows.columns if c not in ("n", "symbol")], "n", "symbol")
 
 
 @dataclass(frozen=True)
@@ -72,7 +99,8 @@ class Graph:
     diagnostics: DataFrame
     contracts: DataFrame
     links: DataFrame
-    cache: dict = field(default_factory=dict, compare=False)
+    #: The relations once more, sorted by their targets, where they are stored.
+    incoming: DataFrame | None = None
 
 
 _RELATION = [
@@ -90,14 +118,12 @@ def resolve_relations(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     walkable = edges.filter(F.col("kind").isin(*TRAVERSABLE)).withColumn(
         "edge_no", F.xxhash64("repository_id", "path", "line", "kind", "source", "target", "source_signature", "target_arity")
     )
-    signature = F.coalesce("source_signature", F.lit(""))
-    sources = bind(walkable, keys, "edge_no", "source", signature=signature, owned=True).select(
-        "edge_no", F.col("symbol.uid").alias("source_id")
+    sources = bind(walkable, keys, F.col("source"), signature=F.coalesce("source_signature", F.lit("")), owned=True)
+    sources = sources.withColumn("source_id", F.col("symbol.uid")).drop("n", "symbol")
+    target = F.when(~F.col("kind").isin(*TERMINAL), F.col("target"))
+    joined = bind(sources, keys, target, arity=F.col("target_arity")).withColumns(
+        {"n_targets": F.col("n"), "target_id": F.col("symbol.uid"), "target_repository": F.col("symbol.repository_id")}
     )
-    targets = bind(walkable.filter(~F.col("kind").isin(*TERMINAL)), keys, "edge_no", "target", arity=F.col("target_arity")).select(
-        "edge_no", F.col("n").alias("n_targets"), F.col("symbol.uid").alias("target_id"), F.col("symbol.repository_id").alias("target_repository")
-    )
-    joined = walkable.join(sources, "edge_no", "left").join(targets, "edge_no", "left")
     reason = (
         F.when(F.col("kind").isin(*TERMINAL), "terminal_evidence")
         .when(F.col("target_id").isNotNull(), "")
@@ -114,7 +140,8 @@ def load_graph(found: Evidence) -> Graph:
     """All of it: relations, contract links and the relations they add, diagnostics of sources that stay unbound."""
     from .contracts import contract_relations, link_contracts, located_contracts, rebind_calls
 
-    relations = resolve_relations(found.symbols, found.edges)
+    # Read for the walkable relations and for the gaps.
+    relations = resolve_relations(found.symbols, found.edges).persist()
     contracts = located_contracts(found.symbols, found.contracts)
     links = link_contracts(contracts).persist()
     bound = rebind_calls(relations.filter("source_id is not null"), links, found.symbols)
@@ -132,6 +159,23 @@ def load_graph(found: Evidence) -> Graph:
     )
 
 
+def graph_tables(graph: Graph) -> dict[str, DataFrame]:
+    """A graph as it is stored: relations sorted by either end, so that a walk's filter reads only the row groups it needs."""
+    by = lambda end: graph.relations.filter(F.col(end).isNotNull()).repartitionByRange(end).sortWithinPartitions(end)
+    unended = graph.relations.filter("target_id is null")
+    return {
+        "relations": graph.relations.repartitionByRange("source_id").sortWithinPartitions("source_id"),
+        "incoming": by("target_id").unionByName(unended),
+        "graph_diagnostics": graph.diagnostics,
+        "located_contracts": graph.contracts,
+        "contract_links": graph.links,
+    }
+
+
+def stored_graph(symbols: DataFrame, tables: dict[str, DataFrame]) -> Graph:
+    return Graph(symbols, tables["relations"], tables["graph_diagnostics"], tables["located_contracts"], tables["contract_links"], tables["incoming"])
+
+
 def resolve_symbol(symbols: DataFrame, target: str, repository: str | None = None) -> DataFrame:
     """The symbols a target means: by id, else by name (with its signature, if it has one), else by the end of the name."""
     scope = symbols.filter(F.col("repository_id") == repository) if repository else symbols
@@ -202,7 +246,7 @@ def walk(graph: Graph, start: dict, max_depth: int = 6, limit: int = 20, reverse
     limit + 1 nodes with the relations; prefixes are ordered by the places their relations have at their nodes.
     """
     check_walk(max_depth, limit)
-    spark = graph.relations.sparkSession
+    relations = graph.incoming if reverse and graph.incoming is not None else graph.relations
     here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
     most = limit + 1
     rows: list[tuple[tuple[int, ...], list[dict], str | None, str]] = [((), [], start["uid"], "open")]
@@ -210,8 +254,8 @@ def walk(graph: Graph, start: dict, max_depth: int = 6, limit: int = 20, reverse
         nodes = sorted({node for _, _, node, state in rows if state == "open"})
         if not nodes:
             break
-        frontier = F.broadcast(spark.createDataFrame([(n,) for n in nodes], "node string"))  # limit + 1 rows at most
-        met = graph.relations.join(frontier, F.col(here) == F.col("node"))
+        # limit + 1 nodes at most: as values of a filter they reach the scan.
+        met = relations.filter(F.col(here).isin(*nodes)).withColumn("node", F.col(here))
         place = F.row_number().over(Window.partitionBy("node").orderBy(*edge_order(reverse)))
         first = met.withColumn("place", place).filter(F.col("place") <= most)
         outgoing: dict[str, list[dict]] = {}

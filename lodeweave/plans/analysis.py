@@ -136,12 +136,6 @@ def rules_at(feedback: DataFrame, revision: int | None = None, kind: str | None
     return rules.select("kind", "pattern", "target", F.col("last.note").alias("note"), F.col("last.revision").alias("revision"))
 
 
-def numbered(feedback: DataFrame, order: str) -> DataFrame:
-    """A log with its revisions: as many as rows, in order. For imports; appended feedback gets the next number."""
-    parts = feedback.withColumn("_part", F.spark_partition_id())
-    return parts.withColumn("revision", F.row_number().over(Window.orderBy(order)).cast("long")).drop("_part")
-
-
 def echo_rules(rules: DataFrame, modules: DataFrame) -> DataFrame:
     """The repository rules of the modules found; they are shown, not applied."""
     wanted = modules.select(F.col("repository").alias("pattern")).distinct()
