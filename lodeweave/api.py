@@ -1,12 +1,15 @@
 """The operations of the engine over a snapshot store, and a command line.
 
-    python -m lodeweave.api STORE OPERATION [key=value ...]
+    python -m lodeweave.api STORE OPERATION [key=value ...] [workspace=FOLDER]
+    python -m lodeweave.api STORE serve [workspace=FOLDER]       JSON-RPC, one message a line
 """
 
 from __future__ import annotations
 
 import json
+import shutil
 import sys
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -20,9 +23,15 @@ from .operators import search as S
 from .operators.extract import extract_files
 from .plans import analysis as A
 from .plans.snapshots import SnapshotStore
+from .rpc import serve
+from .schemas import evidence
 from .sources import inputs, workspace
 
 VIEWS, FRESHNESS = ("summary", "detail"), ("stable", "latest")
+#: Seconds that a request for the latest state waits for a refresh.
+WAIT = 30.0
+#: Operations that do not read a snapshot.
+UNPINNED = ("discover", "refresh", "get_analysis_report", "record_analysis_feedback")
 
 
 def _text(given: dict, key: str, needed: bool = True) -> str:
@@ -49,10 +58,10 @@ def _choice(given: dict, key: str, choices: tuple[str, ...]) -> str:
 
 
 class EvidenceSession:
-    """One request reads one snapshot; its graph is made once and kept until another snapshot is read."""
+    """One request reads one snapshot, chosen once; its graph is kept until another snapshot is read."""
 
-    def __init__(self, spark: SparkSession, store: str, workspace_root: str | None = None):
-        self.spark, self.store, self.root = spark, SnapshotStore(spark, store), workspace_root
+    def __init__(self, spark: SparkSession, store: str, workspace_root: str | None = None, wait: float = WAIT):
+        self.spark, self.store, self.root, self.wait = spark, SnapshotStore(spark, store), workspace_root, wait
         self._graphs: dict[str, G.Graph] = {}
         self.operations: dict[str, Callable[[dict], dict]] = {
             "discover": self.discover, "refresh": self.refresh, "workspace_status": self.status, "find_business_context": self.search, "get_evidence": self.search,
@@ -65,17 +74,44 @@ class EvidenceSession:
         if operation not in self.operations:
             raise ValueError(f"unknown operation: {operation}")
         given = dict(arguments or {})
-        if _choice(given, "freshness", FRESHNESS) == "latest" and self.root and operation not in ("discover", "refresh"):
-            self.refresh({})
-        return {"snapshot_id": self.store.active, "rule_revision": self.store.revision} | self.operations[operation](given)
+        freshness = _choice(given, "freshness", FRESHNESS)
+        if operation in UNPINNED:
+            result = self.operations[operation](given)
+            return {"snapshot_id": self.store.active, "rule_revision": self.store.revision} | result
+        chosen, told = self._choose(_text(given, "snapshot_id", False), freshness)
+        return told | self.operations[operation](given | {"snapshot_id": chosen})
+
+    def _choose(self, pinned: str, freshness: str) -> tuple[str, dict]:
+        """The snapshot a request reads, and what to say of it.
+
+        A pinned one is read as it is. If the workspace's baselines moved, a refresh starts: a stable request reads the
+        active snapshot meanwhile, a latest one waits up to `wait` seconds and then reads what there is.
+        """
+        told = lambda entry, state, **more: (entry["id"], {"snapshot_id": entry["id"], "rule_revision": self.store.revision, "freshness": state, "active_baseline": entry["baseline"]} | more)
+        if pinned or not self.root:
+            return told(self.store.entry(pinned or None), "up_to_date")
+        target = I.baseline_text(self._repositories()).first()[0]
+        active = self.store.entry() if self.store.active else None
+        if active and active["baseline"] == target:
+            return told(active, "up_to_date")
+        running = self.store.start(self._refresh)
+        if active and freshness != "latest":
+            return told(active, "refreshing", refresh_target=target)
+        try:
+            return told(self.store.entry(running.result(timeout=self.wait)), "up_to_date")
+        except Exception:
+            if active is None:
+                raise
+            return told(active, "stale", refresh_target=target)
 
     def _found(self, given: dict):
-        return self.store.read(given.get("snapshot_id"))
+        return self.store.read(given["snapshot_id"])
 
     def _graph(self, given: dict) -> G.Graph:
-        name = given.get("snapshot_id") or self.store.active
+        name = given["snapshot_id"]
         if name not in self._graphs:
-            self._graphs = {name: G.load_graph(self._found(given))}
+            found, stored = self._found(given), self.store.derived(name)
+            self._graphs = {name: G.stored_graph(found.symbols, stored) if stored else G.load_graph(found)}
         graph = self._graphs[name]
         repository = _text(given, "repository", False)
         if repository:
@@ -133,31 +169,39 @@ class EvidenceSession:
         return {"snapshot_id": self.store.refresh(self._refresh)}
 
     def _refresh(self) -> str:
-        """A snapshot of all baselines; if no repository's commit is another than in the active one, that one stays."""
-        import shutil
-        import tempfile
+        """A snapshot of all baselines; if no repository's commit is another than in the active one, that one stays.
 
+        Only repositories with another commit are read, and only files of theirs with another hash are extracted again;
+        evidence of all other files is taken over, that of files a baseline has no more goes.
+        """
         repositories = self._repositories()
-        if self.store.active:
-            states = I.repository_states(repositories, self.store.read().repositories)
-            if states.filter("state = 'stale'").isEmpty():
-                return self.store.active
+        if repositories.filter("baseline_commit <> ''").isEmpty():
+            raise ValueError("no repository has a baseline")
+        old = self.store.read() if self.store.active else evidence(self.spark)
+        states = I.repository_states(repositories, old.repositories)
+        stale = repositories.join(states.filter("state = 'stale'"), "repository_id", "left_semi")
+        if self.store.active and stale.isEmpty():
+            return self.store.active
         staging = tempfile.mkdtemp(dir=self.store.root, prefix=".staging-")
+
+        def kept(df, name: str):
+            df.write.parquet(f"{staging}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{staging}/{name}")
+
         try:
-            files = None
-            for i, r in enumerate(repositories.filter("baseline_commit <> ''").collect()):
-                one = workspace.stage_baseline(self.spark, r["repository_id"], r["path"], r["baseline_commit"], f"{staging}/{i}")
-                files = one if files is None else files.unionByName(one)
-            if files is None:
-                raise ValueError("no repository has a baseline")
-            tables = extract_files(files) | {"files": files.select("repository_id", "path", "content_hash", "content")}
+            files = kept(workspace.archived_files(stale), "files")
+            before = old.files.join(stale.select("repository_id"), "repository_id", "left_semi")
+            compared = kept(I.compare_files(before, files), "compared")
+            fresh = files.join(compared.filter("state in ('added', 'changed')"), ["repository_id", "path"], "left_semi")
+            found = evidence(self.spark, files=fresh, **extract_files(fresh, f"{staging}/rows"))
+            tables = {t: I.replace_evidence(getattr(old, t), getattr(found, t), compared) for t in ("files", "symbols", "edges", "contracts", "diagnostics")}
             now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-            tables["repositories"] = repositories.select("repository_id", "baseline_branch", "baseline_commit", "baseline_state", now.alias("indexed_at"))
-            from .schemas import evidence
-
-            whole = evidence(self.spark, **tables)
+            again = stale.select("repository_id", now.alias("indexed_at"))
+            held = old.repositories.select("repository_id", F.col("indexed_at").alias("held_at"))
+            named = repositories.join(again, "repository_id", "left").join(held, "repository_id", "left").withColumn("indexed_at", F.coalesce("indexed_at", "held_at"))
+            tables["repositories"] = named.select("repository_id", "baseline_branch", "baseline_commit", "baseline_state", "indexed_at")
             baseline = I.baseline_text(repositories).first()[0]
-            return self.store.write({t: getattr(whole, t) for t in ("files", "symbols", "edges", "contracts", "diagnostics", "repositories")}, baseline)
+            return self.store.write(tables, baseline, derive=lambda whole: G.graph_tables(G.load_graph(whole)))
         finally:
             shutil.rmtree(staging, ignore_errors=True)
 
@@ -180,7 +224,7 @@ class EvidenceSession:
         record = A.report_record(
             report | {"facts": rows, "diagnostics": told, "rule_revision": revision, "feedback": [r.asDict() for r in rules.collect()],
                       "test_points": [f"verify_main_and_error_flows:{m}" for m in modules] or ["confirm_input_locates_code"]},
-            self.store.active or "", inputs.input_digest(values),
+            given["snapshot_id"], inputs.input_digest(values),
         )
         self.store.save_report(record)
         return {"report_id": record["id"], "recommended_branches": [f"feature/{record['id'][:8]}"] if modules else []} | json.loads(record["report_json"])
@@ -206,6 +250,9 @@ def main(args: list[str]) -> int:
         given[key] = int(value) if value.isdigit() else value
     spark = SparkSession.builder.appName("lodeweave").getOrCreate()
     session = EvidenceSession(spark, args[0], given.pop("workspace", None))
+    if args[1] == "serve":
+        serve(session, sys.stdin, sys.stdout)
+        return 0
     print(json.dumps(session.call(args[1], given), default=str))
     return 0
 

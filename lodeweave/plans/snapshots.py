@@ -8,6 +8,7 @@ import re
 import shutil
 import threading
 import uuid
+from collections.abc import Callable
 from concurrent.futures import Future
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,15 @@ class SnapshotStore:
             manifest = json.load(opened)
         if manifest["schema"] > SCHEMA_VERSION:
             raise ValueError(f"schema {manifest['schema']} is newer than {SCHEMA_VERSION}")
+        if manifest["schema"] < SCHEMA_VERSION:
+            # Older snapshots are not read; the next refresh makes one anew. Reports and feedback stay as they are.
+            manifest |= {"schema": SCHEMA_VERSION, "snapshots": [], "active": None, "last": self._last(manifest)}
         return manifest
 
+    @staticmethod
+    def _last(manifest: dict) -> int:
+        return max([manifest.get("last", 0), *[int(s["id"].rpartition("-")[2]) for s in manifest["snapshots"]]])
+
     def _replace(self, manifest: dict) -> None:
         path = os.path.join(self.root, f".manifest-{uuid.uuid4().hex}")
         with open(path, "w") as opened:
@@ -58,14 +66,13 @@ class SnapshotStore:
         return self._manifest()["active"]
 
     def next_id(self) -> str:
-        used = [int(s["id"].rpartition("-")[2]) for s in self._manifest()["snapshots"]]
-        return f"snapshot-{max(used, default=0) + 1:03d}"
+        return f"snapshot-{self._last(self._manifest()) + 1:03d}"
 
     def _size(self, folder: str) -> int:
         return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
 
-    def write(self, tables: dict[str, DataFrame], baseline: str = "") -> str:
-        """A new snapshot from all its tables; readers see the one before until it is whole."""
+    def write(self, tables: dict[str, DataFrame], baseline: str = "", derive: Callable[[Evidence], dict[str, DataFrame]] | None = None) -> str:
+        """A new snapshot from all its tables, and those derived from them; readers see the one before until it is whole."""
         manifest = self._manifest()
         size = self._size(os.path.join(self.root, manifest["active"])) if manifest["active"] else 0
         if shutil.disk_usage(self.root).free < 2 * size + HEADROOM:
@@ -75,10 +82,13 @@ class SnapshotStore:
             df = tables.get(table)
             df = self.spark.createDataFrame([], schema) if df is None else df
             df.write.mode("overwrite").parquet(os.path.join(self.root, name, table))
-        for table in TABLES:
+        derived = derive(self._evidence(name)) if derive else {}
+        for table, df in derived.items():
+            df.write.mode("overwrite").parquet(os.path.join(self.root, name, table))
+        for table in (*TABLES, *derived):
             if not os.path.exists(os.path.join(self.root, name, table, "_SUCCESS")):
                 raise OSError(f"snapshot is not whole: {table}")
-        manifest["snapshots"].append({"id": name, "baseline": baseline})
+        manifest["snapshots"].append({"id": name, "baseline": baseline, "derived": sorted(derived)})
         manifest["active"] = name
         gone = manifest["snapshots"][:-KEPT] if len(manifest["snapshots"]) > KEPT else []
         manifest["snapshots"] = manifest["snapshots"][-KEPT:]
@@ -87,32 +97,49 @@ class SnapshotStore:
             shutil.rmtree(os.path.join(self.root, old["id"]), ignore_errors=True)
         return name
 
-    def read(self, snapshot_id: str | None = None) -> Evidence:
-        """A snapshot by id, or the active one; one that is gone is an error, never a newer one."""
+    def _evidence(self, name: str) -> Evidence:
+        return Evidence(**{t: self.spark.read.parquet(os.path.join(self.root, name, t)) for t in TABLES})
+
+    def entry(self, snapshot_id: str | None = None) -> dict:
+        """What the manifest says of a snapshot, or of the active one; one that is gone is an error, never a newer one."""
         manifest = self._manifest()
         name = snapshot_id or manifest["active"]
         if name is None:
             raise ValueError("there is no snapshot yet")
-        if name not in {s["id"] for s in manifest["snapshots"]}:
+        found = next((s for s in manifest["snapshots"] if s["id"] == name), None)
+        if found is None:
             raise ValueError(f"snapshot is not kept any more: {name}")
-        return Evidence(**{t: self.spark.read.parquet(os.path.join(self.root, name, t)) for t in TABLES})
+        return found
+
+    def read(self, snapshot_id: str | None = None) -> Evidence:
+        return self._evidence(self.entry(snapshot_id)["id"])
 
-    def refresh(self, job) -> str:
-        """Runs job() once for all that ask while it runs."""
+    def derived(self, snapshot_id: str | None = None) -> dict[str, DataFrame]:
+        found = self.entry(snapshot_id)
+        return {t: self.spark.read.parquet(os.path.join(self.root, found["id"], t)) for t in found.get("derived", [])}
+
+    def start(self, job: Callable[[], str]) -> Future:
+        """Runs job() in a thread, once for all that ask while it runs."""
+        with self._lock:
+            if self._refreshing is None:
+                self._refreshing = running = Future()
+                threading.Thread(target=self._run, args=(job, running), daemon=True).start()
+            return self._refreshing
+
+    def _run(self, job: Callable[[], str], running: Future) -> None:
+        try:
+            found, problem = job(), None
+        except BaseException as raised:
+            found, problem = None, raised
         with self._lock:
-            mine = self._refreshing is None
-            if mine:
-                self._refreshing = Future()
-            running = self._refreshing
-        if mine:
-            try:
-                running.set_result(job())
-            except BaseException as problem:
-                running.set_exception(problem)
-            finally:
-                with self._lock:
-                    self._refreshing = None
-        return running.result()
+            self._refreshing = None
+        if problem is None:
+            running.set_result(found)
+        else:
+            running.set_exception(problem)
+
+    def refresh(self, job: Callable[[], str]) -> str:
+        return self.start(job).result()
 
     # reports and feedback are logs that only grow
 

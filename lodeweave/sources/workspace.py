@@ -1,11 +1,13 @@
-"""Repositories of a workspace, their baselines and files, read on the driver from local Git data."""
+"""Repositories of a workspace, their baselines and files, from local Git data."""
 
 from __future__ import annotations
 
 import os
 import subprocess
+import tarfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,32 +44,50 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, REPOSITORY).withColumn("remote_url", fn.without_user_info(F.col("remote_url")))
 
 
-def baseline_paths(folder: str, commit: str) -> list[str]:
-    """Regular files of a commit that are indexed; never the working tree."""
-    listed = _git(folder, "ls-tree", "-r", "-z", commit)
-    if listed is None:
+_ARCHIVED = "repository_id string, path string, content string"
+
+
+def archived_files(repositories: DataFrame) -> DataFrame:
+    """(repository_id, path, content_hash, content) of the indexed files at the repositories' commits.
+
+    One archive stream a repository, read where the task runs, so the workspace has to be mounted there; a task never
+    holds more than FILE_BATCH files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for repository, folder, commit in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                held: list[tuple[str, str, str]] = []
+                for path, content in _archive(folder, commit):
+                    held.append((repository, path, content.decode("utf-8", "replace")))
+                    if len(held) == FILE_BATCH:
+                        yield _batch(held)
+                        held = []
+                yield _batch(held)
+
+    named = repositories.filter("baseline_commit <> ''").select("repository_id", "path", "baseline_commit")
+    spread = named.repartition(max(1, min(named.count(), named.sparkSession.sparkContext.defaultParallelism)), "repository_id")
+    return spread.mapInArrow(run, _ARCHIVED).select("repository_id", "path", F.sha2("content", 256).alias("content_hash"), "content")
+
+
+def _batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["repository_id", "path", "content"])
+
+
+def _indexed(path: str) -> bool:
+    return path.lower().endswith((*("." + s for s in fn.SUPPORTED), "pom.xml"))
+
+
+def _archive(folder: str, commit: str) -> Iterator[tuple[str, bytes]]:
+    """Path and bytes of each indexed regular file of a commit, from one archive stream; never the working tree."""
+    with subprocess.Popen(["git", "-C", folder, "archive", "--format=tar", commit], stdout=subprocess.PIPE) as git:
+        with tarfile.open(fileobj=git.stdout, mode="r|") as archive:
+            for member in archive:
+                if member.isfile() and _indexed(member.name):
+                    yield member.name, archive.extractfile(member).read()
+    if git.returncode:
         raise ValueError(f"no such commit in {folder}: {commit}")
-    rows = [line.split("\t", 1) for line in listed.split("\0") if line]
-    names = tuple("." + s for s in fn.SUPPORTED)
-    return [path for mode, path in rows if mode.startswith("100") and (path.lower().endswith(names) or path.lower().endswith("pom.xml"))]
-
-
-def baseline_file(folder: str, commit: str, path: str) -> bytes:
-    done = subprocess.run(["git", "-C", folder, "show", f"{commit}:{path}"], capture_output=True)
-    if done.returncode:
-        raise ValueError(f"no such file at {commit}: {path}")
-    return done.stdout
-
-
-def stage_baseline(spark: SparkSession, repository_id: str, folder: str, commit: str, target: str) -> DataFrame:
-    """The commit's files as Parquet under target, FILE_BATCH at a time, so the driver never holds a whole repository."""
-    paths = baseline_paths(folder, commit)
-    for start in range(0, len(paths), FILE_BATCH):
-        rows = [(repository_id, p, baseline_file(folder, commit, p).decode("utf-8", "replace")) for p in paths[start : start + FILE_BATCH]]
-        spark.createDataFrame(rows, "repository_id string, path string, content string").write.mode("append").parquet(target)
-    if not paths:
-        spark.createDataFrame([], "repository_id string, path string, content string").write.mode("append").parquet(target)
-    return spark.read.parquet(target).withColumn("content_hash", F.sha2("content", 256))
 
 
 def exported_files(spark: SparkSession, root: str, repository_id: str) -> DataFrame:
