@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 BLOCK_BYTES = 6 << 20
 CACHED_PIECES = 250_000
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -69,16 +71,35 @@ class Ranks:
         return np.where(self.keys[at] == wanted, self.made[at], NONE)
 
     def one_piece(self, piece: bytes) -> list[int]:
-        """Merge by merge: the lowest rank, the leftmost of it."""
+        """Merge by merge: the lowest rank, the leftmost of it, from a heap of the pairs there are."""
         if self.made_of is None:
             self.made_of = dict(zip(self.keys.tolist(), self.made.tolist()))
+        made_of = self.made_of
         ids = [int(self.of_byte[b]) for b in piece]
-        while len(ids) > 1:
-            rank, at = min((self.made_of.get(a << 20 | b, int(NONE)), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
-            if rank == NONE:
-                break
-            ids[at : at + 2] = [rank]
-        return ids
+        n = len(ids)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = []
+
+        def enter(at: int) -> None:
+            if at >= 0 and after[at] >= 0:
+                rank = made_of.get(ids[at] << 20 | ids[after[at]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, at, ids[at], ids[after[at]]))
+
+        for at in range(n):
+            enter(at)
+        while heap:
+            rank, at, left, right = heapq.heappop(heap)
+            then = after[at]
+            if ids[at] != left or then < 0 or ids[then] != right:
+                continue  # one of the two has been merged since
+            ids[at], ids[then] = rank, -1
+            after[at] = after[then]
+            if after[at] >= 0:
+                before[after[at]] = at
+            enter(at)
+            enter(before[at])
+        return [i for i in ids if i >= 0]
 
 
 def read_ranks(path: str) -> Ranks:
@@ -220,7 +241,6 @@ class Encoder:
 _WHITE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUTS = re.compile(f"(?<=[^{_WHITE}])(?=\\x20)")
 _SPACE_BEFORE_SPACE = re.compile(f"[{_WHITE}]\\x20")
-_encoders: dict[str, Encoder] = {}
 
 
 def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -236,23 +256,33 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with `ids_col`: the ids as packed little-endian unsigned 32-bit integers (binary)."""
+def _bytes_of(tokens: list[bytes], ids: bytes | None) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None
+) -> DataFrame:
+    """docs with `ids_col`: the ids as packed little-endian unsigned 32-bit integers (binary).
+
+    decoded_col: also the bytes that these ids decode to, in the same pass (one Python worker a task).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kept = [c for c in docs.columns if c != ids_col]
+    made = [c for c in (ids_col, decoded_col) if c]
+    kept = [c for c in docs.columns if c not in made]
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = f"{ranks_path}\n{pattern}"
-        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(shared.value, pattern))
+        encoder = Encoder(shared.value, pattern)
+        tokens = shared.value.tokens
         for whole in batches:
             for batch in _blocks(whole, at):
-                texts = [x or "" for x in batch.column(at).to_pylist()]
-                ids = pa.array(encoder.block(texts), type=pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept, ids_col])
+                ids = encoder.block([x or "" for x in batch.column(at).to_pylist()])
+                columns = [ids, [_bytes_of(tokens, x) for x in ids]][: len(made)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, type=pa.binary()) for c in columns]], names=[*kept, *made])
 
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(ids_col, T.BinaryType())])
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(c, T.BinaryType()) for c in made]])
+    return map_arrow(docs.select(*[f"`{c}`" for c in kept]), run, schema)
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -262,11 +292,10 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: st
     at = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for whole in batches:
             for batch in _blocks(whole, at):
-                texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(at).to_pylist()]
+                texts = [_bytes_of(shared.value, x) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.binary())], names=[*kept, bytes_col])
 
     schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(bytes_col, T.BinaryType())])
-    return rows.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return map_arrow(rows.select(*[f"`{c}`" for c in kept]), run, schema)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +36,58 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are what later steps read, so the shuffles that made them go from the executors' disks at once."""
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
+def write_bucketed(rows: DataFrame, name: str, buckets: int, keys: list[str]) -> None:
+    """A table dealt into buckets by the keys and sorted in each, so that joins on them merge without a shuffle."""
+    writer = rows.repartition(buckets, *keys).sortWithinPartitions(*keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    with freed_shuffles(rows.sparkSession):
+        writer.format("parquet").saveAsTable(name)
+
+
+_scopes: ContextVar[tuple[list[Workspace], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the working tables of all operators called inside, once the caller has written what it wants of them."""
+    opened: list[Workspace] = []
+    token = _scopes.set((*_scopes.get(), opened))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for space in opened:
+            space.close()
+
+
 class Workspace:
-    """Tables of one run in the shared folder. Each stage() cuts the lineage and survives lost executors."""
+    """Tables of one run in the shared folder. Each stage() cuts the lineage and survives lost executors.
+
+    They go with drop(), close() or the scratch() around; what is left goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._files = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._path)
+        self._files.deleteOnExit(self._path)
+        for opened in _scopes.get()[-1:]:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,12 +96,26 @@ class Workspace:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+        with freed_shuffles(self.spark):
+            writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name)), True)
+
+    def close(self) -> None:
+        self._files.delete(self._path, True)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow that returns what memory Arrow holds at the end: Python workers live on between tasks of different operators."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(freed, schema)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -78,6 +142,24 @@ def row_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def given_id(name: str) -> Column:
+    """The id as it came: null again where there was none."""
+    return F.when(F.col(name) != NO_ID, F.col(name))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores behind it as tell it from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row; numbers are kept by writing them, so stage() the result before it is used twice."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def id_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
     """Ids that cut the rows into about equal ranges; reads the id column only."""
     if parts < 2:
@@ -97,12 +179,12 @@ def batch_of(id_col: str, bounds: list[int]) -> Column:
 FILTER_BITS = 23
 
 
-def likely_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def likely_in(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     """rows that may have a key of wanted: all of these and few others, told by a bitmap of hashed keys.
 
     The bitmap has 2**FILTER_BITS bits at every size, so it can be broadcast; with very many keys it only keeps more rows.
     """
-    spot = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    spot = F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
     bucket, bit = F.shiftright(spot, 15), F.pmod(spot, F.lit(1 << 15))
     bits = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     met = rows.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bits), "_bucket")

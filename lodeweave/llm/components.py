@@ -32,20 +32,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, space: Workspace, name: str = "components") -> DataFrame:
-    """(node, component) of every node that has an edge; the component is its smallest node.
+    """(node, component) of every node that has an edge, as the table `name`; the component is its smallest node.
 
     edges (a, b): longs in any order; loops and repeats don't matter.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = space.stage(edges, f"{name}-0")
+    held = f"{name}-0"
+    edges = space.stage(edges, held)
     before = _hash_sum(edges)
     for turn in range(1, MOST_TURNS + 1):
         if not before[0]:
             break
         half = space.stage(_star(edges, large=True), f"{name}-{turn}-large")
         edges = space.stage(_star(half, large=False), f"{name}-{turn}")
-        space.drop(f"{name}-{turn}-large")
-        space.drop(f"{name}-{turn - 1}")
+        space.drop(f"{name}-{turn}-large", held)
+        held = f"{name}-{turn}"
         now = _hash_sum(edges)
         if now == before:
             break
@@ -53,4 +54,6 @@ def components(edges: DataFrame, space: Workspace, name: str = "components") ->
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = space.stage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), name)
+    space.drop(held)
+    return found

@@ -17,7 +17,9 @@ length. No document is ever shuffled.
 
 Defined results: null and empty texts have no words and no hits; items without
 words have no windows; repeated items count once by id; a null item id is never
-reported, and its windows do not count; other columns pass through.
+reported, and its windows do not count; repeated rows of a document get the same
+result each; empty tables give empty ones, or no hits; other columns pass
+through, but those this makes (MADE) are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 WINDOW = 13
 SHINGLE = 3
 BLOCK_BYTES = 8 << 20
@@ -158,7 +162,7 @@ def _rarity(docs: DataFrame, text_col: str, block: ItemBlock, shared) -> dict[in
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(c[at])], names=["k", "at", "n"])
 
     counts = {k: np.zeros(len(c), dtype=np.int64) for k, c in block.codes.items()}
-    rows = docs.select(text_col).mapInArrow(run, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    rows = map_arrow(docs.select(text_col), run, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
     for k, at, n in rows.collect():
         counts[k][at] = n
     return counts
@@ -181,6 +185,8 @@ _FOUND = [
     T.StructField("hit_items", T.ArrayType(T.StringType())),
 ]
 
+MADE = [f.name for f in _FOUND]
+
 
 def _spans(mask: np.ndarray) -> list[list[int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
@@ -198,7 +204,7 @@ def find_items(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (half-open, in words) and hit_items (ids as sorted strings)."""
-    kept = [c for c in docs.columns if c not in {f.name for f in _FOUND}]
+    kept = [c for c in docs.columns if c not in MADE]
     found = docs.select(*[f"`{c}`" for c in kept])
     schema = T.StructType([*[docs.schema[c] for c in kept], *_FOUND])
     at = kept.index(text_col)
@@ -234,7 +240,7 @@ def _step(found: DataFrame, schema: T.StructType, width: int, at: int, shared, a
             arrays = [pa.array(column, type=t) for column, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=names)
 
-    return found.mapInArrow(run, schema)
+    return map_arrow(found, run, schema)
 
 
 def contaminated():

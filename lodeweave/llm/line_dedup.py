@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, batch_of, hash_pair, id_bounds, row_id, strip_spaces
+from .common import Workspace, ascii_lower, batch_of, hash_pair, id_bounds, row_id, strip_spaces, write_bucketed
 
 MIN_KEY_CHARS = 10
 BATCHES = 4
@@ -41,14 +41,7 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         self.made += 1
         name = f"{self.prefix}_{self.made}"
-        (
-            rows.repartition(self.buckets, "h1", "h2")
-            .sortWithinPartitions("h1", "h2")
-            .write.bucketBy(self.buckets, "h1", "h2")
-            .sortBy("h1", "h2")
-            .format("parquet")
-            .saveAsTable(name)
-        )
+        write_bucketed(rows, name, self.buckets, ["h1", "h2"])
         return name
 
     def runs(self) -> list[str]:

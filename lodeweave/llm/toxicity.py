@@ -13,9 +13,10 @@ row a posterior label; a linear classifier (logistic regression over the votes)
 is trained on the posteriors and scores all documents.
 
 Only the fit uses a sample: SAMPLE_ROWS labelled rows at most, by a hash of the
-id. Scores read the whole text and nothing else.
+id, and MOST_VOTERS voters. Scores read the whole text and nothing else.
 
-Defined results: null and empty texts have no votes and the classifier's bias as
+Defined results: an empty table gives an empty table; repeated rows score alike;
+other columns pass through whatever their names, but score_col is replaced; null and empty texts have no votes and the classifier's bias as
 score; labels that are null don't count; of several labels of an id the highest
 counts; without any usable label the fixed lexicon alone decides.
 """
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace
+from .common import Workspace, map_arrow
 
 #: The bound of the labelled sample.
 SAMPLE_ROWS = 40_000
+#: The bound of mined voters, the most telling first; it bounds the fit on the driver and what is broadcast.
 MOST_VOTERS = 512
 HEADS = (4, 5, 6)
 #: Of the mined voters, so many may be there by accident (false discovery rate over all candidates tested).
@@ -159,7 +161,7 @@ def linear_fit(votes: np.ndarray, target: np.ndarray, counts: np.ndarray, penalt
     return w[:k], float(w[k])
 
 
-def _mine(sample: DataFrame) -> list[bytes]:
+def _mine(sample: DataFrame, most: int) -> list[bytes]:
     """Candidates that toxic rows have more often than chance allows, the most telling ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +177,7 @@ def _mine(sample: DataFrame) -> list[bytes]:
             names=["name", "toxic", "other"],
         )
 
-    counted = sample.select("text", "toxic").mapInArrow(run, "name binary, toxic long, other long")
+    counted = map_arrow(sample.select("text", "toxic"), run, "name binary, toxic long, other long")
     counted = counted.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     rows = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     n, positive = rows[0], rows[1] or 0
@@ -194,7 +196,7 @@ def _mine(sample: DataFrame) -> list[bytes]:
         counted.filter((F.col("toxic") > 1) & (rate > max(0.5, 2 * share if share < 0.25 else 0.5)))
         .withColumn("chance", log_chance)
         .orderBy("chance", "name")
-        .limit(MOST_VOTERS)
+        .limit(most)
         .collect()
     )
     passed = [i for i, row in enumerate(best, 1) if row["chance"] <= math.log(FALSE_SHARE * i / tested)]
@@ -209,7 +211,7 @@ def _votes(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray, n
             votes = [voters.votes(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), batch.column(1)], names=["votes", "toxic"])
 
-    found = sample.select("text", "toxic").mapInArrow(run, "votes array<int>, toxic int")
+    found = map_arrow(sample.select("text", "toxic"), run, "votes array<int>, toxic int")
     rows = found.groupBy("votes", "toxic").count().orderBy("votes", "toxic").collect()
     matrix = np.zeros((len(rows), len(voters.names)))
     for i, row in enumerate(rows):
@@ -217,8 +219,13 @@ def _votes(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, np.ndarray, n
     return matrix, np.array([r[1] for r in rows]), np.array([float(r[2]) for r in rows])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """labels: (id_col, toxic); only these rows' labels are learnt from, so leave held-out ones out."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, most_voters: int = MOST_VOTERS
+) -> Model:
+    """labels: (id_col, toxic); only these rows' labels are learnt from, so leave held-out ones out.
+
+    sample_rows, most_voters: bounds of the fit; scores cover all rows whatever these are.
+    """
     space = Workspace(docs.sparkSession, "toxicity")
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -229,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = space.stage(texts.join(F.broadcast(known), "doc").select("text", "toxic"), "sample")
     fixed = [word.encode() for word in LEXICON]
-    voters = Voters(list(dict.fromkeys([*_mine(sample), *fixed])))
+    voters = Voters(list(dict.fromkeys([*_mine(sample, most_voters), *fixed])))
     votes, gold, counts = _votes(sample, voters)
     space.drop("sample")
     if not len(counts) or not gold.any():
@@ -253,7 +260,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*kept, score_col])
 
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(score_col, T.DoubleType())])
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[f"`{c}`" for c in kept]), run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
