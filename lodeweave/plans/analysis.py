@@ -93,11 +93,14 @@ def analyze_requirement(found: Evidence, text: str, graph: G.Graph | None = None
     if len(targets) > MOST_TRACES:
         reasons.append("flow_entry_limit")
     for entry in targets[:MOST_TRACES]:
-        traced = G.trace(graph, entry["name"], entry["repository"], 6, 20)
-        reasons += [r for r in traced["coverage"]["reasons"] if r not in reasons]
-        if traced["paths"]:
-            impacts.append(traced)
-            flows.append(X.flow(graph, entry["name"], entry["repository"], 6, 20))
+        start, _, why = G.one_start(graph, entry["name"], entry["repository"])
+        walked = G.walk(graph, start, 6, 20) if start else None
+        coverage = walked.coverage() if walked else G.empty_coverage(20, why)
+        reasons += [r for r in coverage["reasons"] if r not in reasons]
+        if walked and walked.paths:  # one walk gives the paths and their stages
+            told = {"target": entry["name"], "candidates": [], "gaps": walked.gaps, "coverage": coverage}
+            impacts.append(told | {"start": start, "paths": walked.paths})
+            flows.append(told | {"flows": X.flows(graph, walked, start)})
     risks = [RISK_TABLE] if any(r["kind"] == "queries_table" for r in rows) else []
     risks += [RISK_REPOSITORIES] if len(repositories) > 1 else []
     evidence.unpersist()
