@@ -1,29 +1,37 @@
 """HTML extraction by equivalence classes of template tokens.
 
-A page is read into tokens: the path of each element it opens (tag, class and
-id, from the root) and each block of text with its path. For the pages of a host
-the occurrence vector of a token is its number in each page. Tokens are never
-brought together page by page: a vector is kept as the exclusive or of a hash of
-(page, number), with the number of pages and of occurrences, which is summed up
-on the map side, so a host of any size is cheap.
+A page is read into tokens: the path of each element it opens (tag, class, id
+and role, from the root) and each block of text with its path. For the pages of
+a host the occurrence vector of a token is its number in each page. Tokens are
+never brought together page by page: a vector is kept as the exclusive or of a
+hash of (page, number), with the number of pages and of occurrences, which is
+summed up on the map side, so a host of any size is cheap.
 
 Tokens of equal vectors are an equivalence class. The class that is once in every
-page is the template's frame; other classes that are frequent enough are valid
-when the tokens of each lie below one frame element, and are nested there (list
-items of a menu, paragraphs of a text). Frame elements that no frame element
-lies between are the slots; a slot has the text of the classes nested in it. The
-slots of the main text are those in or being an article or main element, else
-the one with the most text that is not in links, with its siblings in the widest
-frame element around it that holds nothing that is never main text; of these,
-slots of links are left out. In those, text that the frame itself
-has (the same block in all of MANY pages or more) is template, not content.
-
-Menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-are also known by their elements and by the words of class, id and role.
+page is the template's frame. Another class that is frequent enough is valid when
+its elements all lie below one frame element, and is nested there. Frame and
+nested elements are the template's elements; what they leave open are its slots.
+
+A slot's text is what varies: the text below its element without that of other
+frame elements in it and without text that the frame itself has. Tag, class, id
+and role of template elements only label slots: menus, adverts, comments and the
+like are no main text, an article or main element is. Where no element of the
+template is labelled as main, the slot with the most text outside links is, with
+its siblings in the widest frame element around it that holds no slot of the
+other kind; lists of links in there are left out. So words as `social` or
+`related` say nothing about an element of one page, only about one that the
+pages of a host repeat.
+
+From the main slots come all blocks that are not template text (the same block
+in all of MANY pages or more). Elements that can only be boilerplate (scripts,
+forms, adverts by name, reader comments) are left out on every page. Pages of
+hosts with fewer than SUPPORT pages, and pages without any slot of their host's
+template, are read by their own elements alone.
 
 Defined results: null and empty html give empty text; a page without a host
-shares a template with the others without one; pages that do not fit their
-template are read by their own elements; repeated rows get the same text.
+shares a template with the others without one; unclosed and nested tags are
+closed as browsers do, roughly; repeated rows get the same text; other columns
+pass through whatever their names, but text_col is replaced.
 """
 
 from __future__ import annotations
@@ -40,12 +48,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A token is frequent if this share of the host's pages has it.
+from .common import Workspace, map_arrow
+
+#: A token is frequent if this share of the host's pages has it; so a page of n tokens brings n / FREQUENT at most.
 FREQUENT = 0.3
-#: From so many pages on, a block of text that all of them have is template.
-MANY = 8
+#: From so many pages on a host has a template, and text that all of them have is part of it.
+SUPPORT, MANY = 3, 8
 SALTS = 64
 LINK_SHARE = 0.5
+#: Templates of all hosts are broadcast up to this size; beyond it only those of hosts with over 1/1000 of the pages.
+BROADCAST_BYTES = 32 << 20
 
 # How elements behave.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,18 +69,22 @@ BLOCK = set(
 )
 SCOPE = set("article aside blockquote body dd div dt fieldset figure footer form header html li main nav section table td th ul ol dl".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Elements, roles and words that are never main text.
+# Elements, roles and words that are never main text, wherever they are.
 NEVER = set("nav footer aside form button select option menu dialog svg template object canvas head noscript textarea label".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-WORDS = set(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu
-    breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices comment comments commentlist disqus reply
-    replies respond share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay
-    widget toolbar pagination pager masthead skip""".split()
+NEVER_WORDS = set(
+    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb
+    breadcrumbs sidebar footer cookie cookies consent gdpr notice notices comments commentlist disqus newsletter pagination pager""".split()
+)
+# Words that say so only of elements that a host's pages repeat, and of heads outside the main text.
+LABEL_WORDS = set(
+    """promotion banner comment reply replies respond share sharing social related recommended subscribe subscription signup
+    login popup modal overlay widget toolbar masthead skip""".split()
 )
 HEADS = {"header", "heading", "topbar", "top"}
 MAIN = {"article", "main"}
 MAIN_WORDS = set("article content post entry story maincontent articlebody postcontent entrycontent".split())
+CONTAINERS = set("div section ul ol dl span table td".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -78,6 +94,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _DIGITS = re.compile(r"\d+")
+_MARKS = str.maketrans("/=", "__")
 
 
 @dataclass(slots=True)
@@ -150,9 +167,9 @@ class Page:
         top = stack[-1]
         named = _attributes(raw) if raw and not raw.isspace() else {}
         mark = tag
-        for key, sign in (("class", "."), ("id", "#")):
+        for key, sign in (("class", "."), ("id", "#"), ("role", "@")):
             if named.get(key):
-                mark += sign + _DIGITS.sub("0", ".".join(sorted(named[key].split()))).replace("/", "_")
+                mark += sign + _DIGITS.sub("0", ".".join(sorted(named[key].split()))).translate(_MARKS)
         path = f"{top.path}/{mark}"
         self.elements[path] += 1
         if tag in VOID:
@@ -161,7 +178,7 @@ class Page:
         frame = tag in ("html", "body", "main")
         is_main = not top.never and (tag in MAIN or named.get("role") == "main" or bool(words & MAIN_WORDS and tag in SCOPE))
         never = tag in NEVER or named.get("role", "").lower() in ROLES or "hidden" in named
-        never = never or not frame and bool(words & WORDS)
+        never = never or not frame and bool(words & NEVER_WORDS)
         never = never or not top.main and not frame and not is_main and (tag == "header" or bool(words & HEADS))
         block = path if tag in BLOCK else top.block
         stack.append(_Element(tag, path, top.never or never, (top.main or is_main) and not never, top.link or tag == "a", block))
@@ -215,6 +232,23 @@ def _text_token(path: str, text: str) -> str:
     return f"{path}={xxhash.xxh3_64_hexdigest(text)}"
 
 
+def page_tokens(page: Page) -> dict[str, list[int]]:
+    """Of each token its number in the page, its characters and those in links; of an element with all below it."""
+    found = {"": [1, 0, 0]} | {path: [number, 0, 0] for path, number in page.elements.items()}
+    for block in page.blocks:
+        size, path = len(block.text), block.path
+        of_text = found.setdefault(_text_token(path, block.text), [0, 0, 0])
+        of_text[0] += 1
+        of_text[1] += size
+        of_text[2] += block.linked
+        while path:
+            sums = found[path]
+            sums[1] += size
+            sums[2] += block.linked
+            path = path.rpartition("/")[0]
+    return found
+
+
 _TOKENS = "host string, token string, vector long, pages long, number long, chars long, linked long"
 
 
@@ -225,159 +259,188 @@ def _vectors(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[tuple[str, str], list[int]] = {}
             for host, key, source in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                page = Page(source or "")
-                counts = Counter(page.elements)
-                counts[""] = 1
-                chars: dict[str, list[int]] = {}
-                for block in page.blocks:
-                    counts[_text_token(block.path, block.text)] += 1
-                    sums = chars.setdefault(block.path, [0, 0])
-                    sums[0] += len(block.text)
-                    sums[1] += block.linked
-                for token, number in counts.items():
+                for token, (number, chars, linked) in page_tokens(Page(source or "")).items():
                     row = found.setdefault((host, token), [0, 0, 0, 0, 0])
                     row[0] ^= xxhash.xxh3_64_intdigest(f"{key}:{number}")
-                    row[1] += 1
-                    row[2] += number
-                    row[3] += chars.get(token, (0, 0))[0]
-                    row[4] += chars.get(token, (0, 0))[1]
+                    for i, value in enumerate((1, number, chars, linked), 1):
+                        row[i] += value
             rows = [(h, t, _signed(v[0]), *v[1:]) for (h, t), v in found.items()]
             columns = list(zip(*rows)) or [[]] * 7
             types = [pa.string(), pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "token", "vector", "pages", "number", "chars", "linked"])
 
-    partial = pages.mapInArrow(run, _TOKENS)
+    partial = map_arrow(pages, run, _TOKENS)
     return partial.groupBy("host", "token").agg(
         F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("pages", "number", "chars", "linked")]
     )
 
 
-def _tag(path: str) -> str:
-    return re.split("[.#]", path.rpartition("/")[2], maxsplit=1)[0]
+def _mark(path: str) -> tuple[str, set[str], str]:
+    """Tag, words of class and id, and role of an element."""
+    mark, _, role = path.rpartition("/")[2].partition("@")
+    tag = re.split("[.#]", mark, maxsplit=1)[0]
+    return tag, _words(mark[len(tag) :]), role.lower()
+
+
+def _under(path: str, roots) -> bool:
+    """Whether the path is one of the roots or below one."""
+    while path:
+        if path in roots:
+            return True
+        path = path.rpartition("/")[0]
+    return False
 
 
-def _never(path: str) -> bool:
-    """Whether an element's tag, class or id say that it is never main text; its other attributes are not in a path."""
-    words = _words(path.rpartition("/")[2].partition(_tag(path))[2])
-    return _tag(path) in NEVER | {"header"} or bool(words & (WORDS | HEADS))
+def is_boilerplate(path: str, in_main: bool) -> bool:
+    """What the label of a template element says; heads belong to the text inside an article."""
+    tag, words, role = _mark(path)
+    if tag in ("html", "body", "main"):
+        return False
+    if tag in NEVER or role in ROLES or words & NEVER_WORDS or tag in CONTAINERS and words & LABEL_WORDS:
+        return True
+    return not in_main and (tag == "header" or bool(words & HEADS))
 
 
-def _inside(path: str, slots: list[str]) -> bool:
-    """A slot that starts with ! is left out of the others."""
-    under = lambda s: path == s or path.startswith(s + "/")
-    return any(map(under, slots)) and not any(under(s[1:]) for s in slots if s[0] == "!")
+@dataclass
+class Template:
+    """slots: elements of the main text; drops: elements inside them that are none; texts: text tokens of the frame."""
 
+    slots: list[str]
+    drops: list[str]
+    texts: list[str]
 
-def deduce(tokens: list[tuple[str, int, int, int, int, int]]) -> tuple[list[str], list[str]]:
-    """Slots of the main text and template texts of a host, from (token, vector, pages, number, chars, linked)."""
+
+def deduce(tokens: list[tuple[str, int, int, int, int, int]]) -> Template:
+    """The template of a host from its frequent tokens: (token, vector, pages, number, chars, linked)."""
     whole = next((t for t in tokens if t[0] == ""), None)
-    if whole is None:
-        return [], []
+    if whole is None or whole[2] < SUPPORT:
+        return Template([], [], [])
     pages = whole[2]
     classes: dict[tuple[int, int, int], list[str]] = {}
-    for token, vector, seen, number, _, _ in tokens:
+    sums: dict[str, tuple[int, int]] = {}
+    for token, vector, seen, number, chars, linked in tokens:
         if token:
             classes.setdefault((vector, seen, number), []).append(token)
-    frame = set(classes.pop((whole[1], pages, pages), []))
-    frame_paths = {t for t in frame if "=" not in t}
+            sums[token] = (chars, linked)
+    frame = classes.pop((whole[1], pages, pages), [])
+    frame_elements = {t for t in frame if "=" not in t}
 
-    def slot_of(path: str) -> str:
-        while path and path not in frame_paths:
+    def home(path: str) -> str:
+        while path and path not in frame_elements:
             path = path.rpartition("/")[0]
         return path
 
-    nested: dict[str, list[str]] = {}
+    elements = set(frame_elements)
     for members in classes.values():
-        homes = {slot_of(t.partition("=")[0]) for t in members}
-        if len(homes) == 1:
-            nested.setdefault(homes.pop(), []).extend(members)
-    text: dict[str, list[int]] = {}
-    for token, _, _, _, chars, linked in tokens:
-        if token and "=" not in token and chars:
-            sums = text.setdefault(slot_of(token), [0, 0])
-            sums[0] += chars
-            sums[1] += linked
-    marked = [p for p in frame_paths if p.rpartition("/")[2].split(".")[0].split("#")[0] in MAIN]
-    slots = [p for p in marked if not any(p.startswith(q + "/") for q in marked)]
-    if not slots:
-        full = [(sums[0] - sums[1], path) for path, sums in text.items() if path and sums[1] <= LINK_SHARE * sums[0]]
-        best = max(full, default=None)
-        slots = [best[1]] if best and (nested.get(best[1]) or best[0]) else []
-        for home in slots[:]:
-            while (up := slot_of(home.rpartition("/")[0])) and _tag(up) not in ("html", "body"):
-                if any((p == up or p.startswith(up + "/")) and _never(p) for p in frame_paths):
-                    break
-                home = up
-            kept = {path for _, path in full}
-            links = [p for p in text if p.startswith(home + "/") and not any(q == p or q.startswith(p + "/") for q in kept)]
-            slots = [home, *(f"!{p}" for p in links)]
-    template = sorted(t for t in frame if "=" in t) if pages >= MANY else []
-    return sorted(slots), template
-
-
-_TEMPLATE = "host string, slots array<string>, template array<string>"
+        below = [t for t in members if "=" not in t]
+        if len({home(t) for t in below}) == 1:
+            elements.update(below)
+    # What varies in each slot: the text below its element, less other frame elements there and the frame's own text.
+    varies = {e: list(sums[e]) for e in frame_elements}
+    for token in frame:
+        path, is_text, _ = token.partition("=")
+        up = home(path if is_text else path.rpartition("/")[0])
+        if up:
+            for i in (0, 1):
+                varies[up][i] -= sums[token][i]
+    main = {e for e in elements if _mark(e)[0] in MAIN or _mark(e)[2] == "main"}
+    labelled = {e for e in elements if is_boilerplate(e, _under(e.rpartition("/")[0], main))}
+    main = {e for e in main if not _under(e, labelled)}
+    if not main:
+        named = [e for e in elements if _mark(e)[1] & MAIN_WORDS and _mark(e)[0] in SCOPE and not _under(e, labelled)]
+        best = max(named, key=lambda e: (sums[e][0] - sums[e][1], -len(e), e), default=None)
+        main = {best} if best and sums[best][0] > sums[best][1] else set()
+    if main:
+        slots = sorted(e for e in main if not _under(e.rpartition("/")[0], main))
+        links = set()
+    else:
+        full = [(v[0] - v[1], e) for e, v in varies.items() if v[0] > v[1] and v[1] <= LINK_SHARE * v[0] and not _under(e, labelled)]
+        if not full:
+            return Template([], [], [])
+        slot = max(full)[1]
+        while (up := home(slot.rpartition("/")[0])) and _mark(up)[0] not in ("html", "body"):
+            if any(_under(e, {up}) for e in labelled):
+                break
+            slot = up
+        slots = [slot]
+        links = {e for e in elements if e != slot and _under(e, {slot}) and sums[e][0] and sums[e][1] > LINK_SHARE * sums[e][0] and _mark(e)[0] in BLOCK}
+    drops = sorted(e for e in labelled | links if _under(e, set(slots)))
+    return Template(slots, drops, sorted(t for t in frame if "=" in t) if pages >= MANY else [])
+
+
+_TEMPLATE = "host string, all_pages long, bytes long, slots array<string>, drops array<string>, texts array<string>"
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slots, template): one row a host, as large as the frequent tokens of its pages."""
+    """(host, all_pages, bytes, slots, drops, texts): one row a host, as large as the frequent tokens of its pages."""
     vectors = _vectors(pages)
     # Most tokens of a large host are texts of one page: they meet the host's size in SALTS parts, not in one task.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     sizes = vectors.filter("token = ''").select("host", F.col("pages").alias("all_pages"), salts)
     vectors = vectors.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int"))
     frequent = vectors.join(sizes, ["host", "salt"]).filter(F.col("pages") >= FREQUENT * F.col("all_pages"))
-    # Each page has few tokens, so at most that number / FREQUENT are frequent on a host, whatever its pages.
-    grouped = frequent.groupBy("host").agg(F.collect_list(F.struct("token", "vector", "pages", "number", "chars", "linked")).alias("tokens"))
+    token = F.struct("token", "vector", "pages", "number", "chars", "linked")
+    grouped = frequent.groupBy("host").agg(F.collect_list(token).alias("tokens"), F.max("all_pages").alias("all_pages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [deduce(sorted(tuple(t.values()) for t in tokens)) for tokens in batch.column(1).to_pylist()]
-            columns = [pa.array([f[i] for f in found], pa.list_(pa.string())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", "slots", "template"])
+            parts = [[f.slots for f in found], [f.drops for f in found], [f.texts for f in found]]
+            sizes = [sum(map(len, f.slots + f.drops + f.texts)) for f in found]
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), *[pa.array(p, pa.list_(pa.string())) for p in parts]]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _TEMPLATE.split(", ")])
 
-    return grouped.mapInArrow(run, _TEMPLATE)
+    return map_arrow(grouped, run, _TEMPLATE)
 
 
-def main_text(source: str, slots: list[str], template: set[str]) -> str:
+def main_text(source: str, template: Template) -> str:
     page = Page(source)
     blocks = [b for b in page.blocks if not b.never]
-    marked = [s for s in slots if _tag(s) in MAIN]
-    found = [b for b in blocks if b.main and (not marked or _inside(b.path, marked))]
-    if not found:
-        found = [b for b in blocks if _inside(b.path, slots)]
-    if not found:
-        found = [b for b in blocks if b.main]
-    if not found:
-        sums: Counter[str] = Counter()
-        for b in blocks:
-            sums[b.path.rpartition("/")[0]] += len(b.text) - 2 * b.linked
-        best = max(sums, key=lambda p: (sums[p], p), default="")
-        found = [b for b in blocks if b.path.startswith(best + "/")]
-    # What an article or main element holds is the author's, even where all pages have it; a slot found by its mass is not so certain.
-    own = [b for b in found if b.main or _text_token(b.path, b.text) not in template]
-    return "\n\n".join(b.text for b in own or found)
+    slots, drops, texts = set(template.slots), set(template.drops), set(template.texts)
+    found = [b for b in blocks if _under(b.path, slots) and not _under(b.path, drops)] if slots else []
+    # A page that has nothing but the template's text keeps it.
+    found = [b for b in found if _text_token(b.path, b.text) not in texts] or found
+    return "\n\n".join(b.text for b in found or _by_own_elements(blocks))
+
+
+def _by_own_elements(blocks: list[Block]) -> list[Block]:
+    """Of a page without a template: its article or main elements, else the element with the most text outside links."""
+    if any(b.main for b in blocks):
+        return [b for b in blocks if b.main]
+    sums: Counter[str] = Counter()
+    for b in blocks:
+        sums[b.path.rpartition("/")[0]] += len(b.text) - 2 * b.linked
+    best = max(sums, key=lambda p: (sums[p], p), default="")
+    return [b for b in blocks if not best or b.path.startswith(best + "/")]
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with text_col, the main text of each."""
     kept = [c for c in pages.columns if c != text_col]
     plain = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).select(_host().alias("host"), key_of().alias("key"), "html")
-    found = templates(plain)
+    found = Workspace(pages.sparkSession, "html").stage(templates(plain), "templates")
+    total, size = found.agg(F.coalesce(F.sum("all_pages"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     row = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(url_col).alias("url")).select("row", _host().alias("host"))
-    joined = row.join(found, "host", "left").select("row", "slots", "template")
-    joined = joined.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("slots").alias("_slots"), F.col("template").alias("_template"))
-    at, width = kept.index(html_col), len(kept)
+    parts = ["slots", "drops", "texts"]
+    if size <= BROADCAST_BYTES:
+        joined = row.join(F.broadcast(found), "host", "left").select("row", *parts)
+    else:
+        # A host with over 1/1000 of the pages would be a large group; there are fewer than 1000 of them.
+        hot = F.col("all_pages") * 1000 > total
+        met = row.join(F.broadcast(found.filter(hot)), "host", "left")
+        rest = met.filter("all_pages is null").select("row", "host").join(found.filter(~hot), "host", "left")
+        joined = met.filter("all_pages is not null").select("row", *parts).unionByName(rest.select("row", *parts))
+    at = kept.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(source or "", slots or [], set(template or []))
-                for source, slots, template in zip(*[batch.column(i).to_pylist() for i in (at, width, width + 1)])
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string())], names=[*kept, text_col])
+            rows = batch.column(0).flatten()
+            told = [[x or [] for x in batch.column(i).to_pylist()] for i in (1, 2, 3)]
+            texts = [main_text(source or "", Template(*parts)) for source, *parts in zip(rows[at].to_pylist(), *told)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(texts, pa.string())], names=[*kept, text_col])
 
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(text_col, T.StringType())])
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
 
 
 def key_of():
