@@ -78,17 +78,18 @@ def input_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    "select distinct 'field' as kind, unnest(json_keys(props)) as value, event_type as source_path, 0 as line, 'certain' as confidence from events"
+    "select distinct 'field' as kind, unnest(json_keys(props)) as value, event_type || '.json' as source_path, 0 as line, 'certain' as confidence from events"
 )
 def json_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.json_key_facts(B.table(spark, sf_dir, "events"), "props", "event_type").distinct()
+    events = B.table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(".json")).alias("name"), "props").distinct()
+    return inputs.documents_facts(events, "name", "props").filter("kind = 'field'")
 
 
 @_query(
     """select path, count(*) as n, count(distinct page_id) as pages from (select page_id, unnest(regexp_extract_all(html, 'href="(/[^"?#]*)', 1)) as path from pages) group by path"""
 )
 def html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="(/[^"?#]*)'), 1)).alias("path"))
+    found = inputs.link_paths(B.table(spark, sf_dir, "pages"), "html", "page_id")
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
 
 

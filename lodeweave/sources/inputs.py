@@ -10,8 +10,10 @@ import re
 import shutil
 import subprocess
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +39,26 @@ def text_facts(rows: DataFrame, text_col: str, source_col: str) -> DataFrame:
     return both.groupBy("kind", "value", "source_path").agg(F.min("line").alias("line"), F.first("confidence").alias("confidence"))
 
 
-def json_key_facts(rows: DataFrame, json_col: str, source_col: str) -> DataFrame:
-    """Top-level keys of JSON objects as field facts, natively; nested documents go through document_facts()."""
-    keys = rows.select(F.col(source_col).alias("source_path"), F.explode(F.json_object_keys(json_col)).alias("value"))
-    keys = keys.filter(~F.col("value").isin(*PATH_KEYS)).distinct()
-    return keys.select(F.lit("field").alias("kind"), "value", "source_path", F.lit(0).alias("line"), F.lit("certain").alias("confidence"))
+def documents_facts(rows: DataFrame, name_col: str, data_col: str) -> DataFrame:
+    """Facts of many documents (a name whose ending tells the kind, and its text or bytes): the reading that parse_inputs()
+    does of one, in partitions; each fact once a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, None] = {}
+            for name, data in zip(*[batch.column(i).to_pylist() for i in (0, 1)]):
+                found |= dict.fromkeys(document_facts(name or "", data or b"")[0])
+            columns = list(zip(*found)) or [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["kind", "value", "source_path", "line", "confidence"])
+
+    named = rows.select(F.col(name_col).alias("name"), F.col(data_col).cast("binary").alias("data"))
+    return named.mapInArrow(run, FACTS).dropDuplicates(["kind", "value", "source_path"])
+
+
+def link_paths(rows: DataFrame, html_col: str, id_col: str) -> DataFrame:
+    """(id, path): the local paths that a page's links lead to, as often as they are there."""
+    return rows.select(F.col(id_col), F.explode(F.regexp_extract_all(html_col, F.lit(r'href="(/[^"?#]*)'), 1)).alias("path"))
 
 
 def _plain(text: str, source: str) -> list[tuple]:
