@@ -9,6 +9,7 @@ import pytest
 from lodeweave import api, rpc
 from lodeweave.api import EvidenceSession
 from lodeweave.operators import extract
+from lodeweave.operators.context import budgeted, flow_steps
 from lodeweave.operators.extract import extract_text
 from lodeweave.plans.snapshots import SnapshotStore
 from tests.test_engine import git
@@ -108,6 +109,67 @@ def test_json_rpc(shop):
     assert all(told[i]["error"]["code"] == -32602 for i in (4, 5, 6))
 
 
+def test_change_by_path_commit_and_range(shop):
+    root, session = shop
+    session.call("refresh")
+    folder = root / "w" / "b"
+    (folder / "src" / "Four.java").write_text(SERVICE % "Fourth")
+    (folder / "docs").mkdir(exist_ok=True)
+    (folder / "docs" / "read me.md").write_text("x")
+    commit(folder)
+    session.call("refresh")
+    paths = lambda revision: {f["path"] for f in session.call("analyze_change", {"range": revision})["files"]}
+    assert paths("src/Three.java") == {"src/Three.java"}
+    assert "docs/read me.md" in paths("HEAD~1..HEAD") and paths("HEAD~1..HEAD") >= {"src/Four.java"}
+    with pytest.raises(ValueError):
+        paths("no-such-revision")
+    with pytest.raises(ValueError):
+        session.call("find_business_context", {"text": "x", "repository": "nowhere"})
+
+
+def test_refreshes_are_one(spark, tmp_path):
+    """All that ask while a refresh runs get that one; folders that no manifest names go when a store opens."""
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    began, go, ran = threading.Event(), threading.Event(), []
+
+    def job():
+        ran.append(1)
+        began.set()
+        go.wait(60)
+        return "done"
+
+    first = store.start(job)
+    began.wait(60)
+    second = store.start(job)
+    go.set()
+    assert first is second and first.result(60) == "done" and ran == [1]
+    with pytest.raises(RuntimeError):
+        store.refresh(lambda: (_ for _ in ()).throw(RuntimeError("no")))
+    assert store.refresh(lambda: "again") == "again"
+    store.write({})
+    (tmp_path / "s" / "snapshot-099" / "files").mkdir(parents=True)
+    SnapshotStore(spark, str(tmp_path / "s"))
+    assert not (tmp_path / "s" / "snapshot-099").exists() and (tmp_path / "s" / "snapshot-001").exists()
+
+
+def test_flows_across_repositories(spark):
+    """A hop into another repository is a crossing; steps have the stage of what they lead to."""
+    symbols = spark.createDataFrame([("u1", "controller_method"), ("u2", "service_method")], "uid string, kind string")
+    hops = [(1, 1, "b.find", "contract_http", "a", "b", "u2"), (1, 2, "t_orders", "queries_table", "b", None, None)]
+    paths = spark.createDataFrame(hops, "path_no int, hop_no int, target string, kind string, repository string, target_repository string, target_id string")
+    got = flow_steps(paths, symbols, {"name": "a.list", "kind": "controller_method"}).orderBy("step_no").collect()
+    assert [(r["step_no"], r["name"], r["stage"], r["crosses"]) for r in got] == [
+        (0, "a.list", "entry", False), (1, "b.find", "cross_service", True), (2, "t_orders", "table", False),
+    ]
+
+
+def test_budget_order(spark):
+    """Callers, then callees, then related ones; in each by place."""
+    rows = [(c, "r", f, 1, "calls", "t", "s", i) for i, (c, f) in enumerate([("related", "a"), ("callees", "b"), ("callers", "z"), ("callees", "a")])]
+    near = spark.createDataFrame(rows, "category string, repository string, file string, line int, kind string, target string, source string, edge_no long")
+    assert [(r["category"], r["file"]) for r in budgeted(near, 3).collect()] == [("callers", "z"), ("callees", "a"), ("callees", "b")]
+
+
 def test_older_schema_is_made_anew(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "s"))
     store.write({})
