@@ -10,10 +10,12 @@ from .common import Workspace
 MOST_TURNS = 60
 
 
-def _hash_sum(edges: DataFrame) -> tuple:
-    """Number of edges and a sum of hashes that doesn't depend on their order."""
-    digest = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), digest).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars whose middles are their smallest nodes: no node has two parents, or a parent and children."""
+    up, down = F.lit(1).alias("up"), F.lit(0).alias("down")
+    ends = edges.select(F.col("a").alias("node"), up, down).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up + down > 1").isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,21 +41,21 @@ def components(edges: DataFrame, space: Workspace, name: str = "components") ->
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     held = f"{name}-0"
     edges = space.stage(edges, held)
-    before = _hash_sum(edges)
-    for turn in range(1, MOST_TURNS + 1):
-        if not before[0]:
-            break
+    turn = 0
+    while not _settled(edges):
+        turn += 1
+        if turn > MOST_TURNS:
+            raise RuntimeError("components did not settle")
         half = space.stage(_star(edges, large=True), f"{name}-{turn}-large")
         edges = space.stage(_star(half, large=False), f"{name}-{turn}")
         space.drop(f"{name}-{turn}-large", held)
         held = f"{name}-{turn}"
-        now = _hash_sum(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     found = space.stage(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), name)
     space.drop(held)
     return found
+
+
+def edges_of(found: DataFrame) -> DataFrame:
+    """Components as edges, to be joined with further ones."""
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))

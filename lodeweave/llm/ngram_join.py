@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, given_id, likely_in, map_arrow, numbered, pack, row_id, unpack
-from .components import components
+from .components import components, edges_of
 from .shingles import mix, set_key, shingle_set
 
 SKETCH_BITS = 24
@@ -169,12 +169,12 @@ class _Join:
         stars = self._links(self._star_pairs(), "stars")
         inside = components(stars, space, "inside")
         rest = self._links(self._cross_pairs(inside), "rest")
-        space.drop("postings", "cross", "inside")
-        linked = components(stars.unionByName(rest), space, "linked")
+        space.drop("postings", "cross")
+        linked = components(edges_of(inside).unionByName(rest), space, "linked")
         placed = self.reps.select("key1", "key2", "rep", "doc").join(linked, F.col("rep") == F.col("node"), "left")
         placed = placed.select("key1", "key2", "doc", F.coalesce("component", "rep").alias("component"))
         placed = space.stage(placed, "placed")
-        space.drop("reps", "stars-links", "rest-links", "linked")
+        space.drop("reps", "stars-links", "rest-links", "inside", "linked")
         first = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
         classes = space.stage(placed.join(first, "component").select("key1", "key2", "component_id"), "classes")
         space.drop("placed")

@@ -39,12 +39,19 @@ from marked group by doc_id
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per repeated paragraph: where it is, where the one that stays is, whether it goes."""
-    from .substring_dedup import repeated_paragraphs
+    """Repeated paragraphs (place: the line) and passages that an earlier document has (place: the first word).
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = repeated_paragraphs(docs).withColumnsRenamed({"doc": "doc_id", "keep_doc": "keep_doc_id"})
-    return found.select("doc_id", "place", "words", "keep_doc_id", "keep_place", "cluster_size", "removed")
+    Per row: where it is, where the one that stays is, whether it goes; of a passage keep_place and cluster_size are null.
+    """
+    from .substring_dedup import repeated_texts
+
+    lines, spans = repeated_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = lines.select(F.lit("paragraph").alias("kind"), "*")
+    spans = spans.select(
+        F.lit("passage").alias("kind"), "doc", F.col("start").alias("place"), (F.col("stop") - F.col("start")).cast("long").alias("words"),
+        "keep_doc", F.lit(None).cast("int").alias("keep_place"), F.lit(None).cast("long").alias("cluster_size"), F.lit(True).alias("removed"),
+    )
+    return lines.unionByName(spans).withColumnsRenamed({"doc": "doc_id", "keep_doc": "keep_doc_id"})
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,12 +124,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .byte_bpe import decode, encode
+    from .byte_bpe import encode
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return decode(coded, path).select(
+    coded = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded_col="decoded")
+    return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -137,6 +143,29 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(docs, k=3, num=90, den=100).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
 
 
+OP7_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), grams as (
+  select distinct doc_id, array_to_string(w[s:s + 2], ' ') as gram
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as s from words where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from grams group by doc_id
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 90 * (x.n + y.n - common)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reached as (
+  select doc_id as a, doc_id as b from words union select r.a, l.b from reached r join both_ways l on r.b = l.a
+)
+select doc_id, coalesce(n, 0) as n_shingles, component_id
+from (select a as doc_id, min(b) as component_id from reached group by a) left join sizes using (doc_id)
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated, find_items
 
@@ -218,4 +247,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_ngram_join": OP7_SQL, "op8_decontaminate": OP8_SQL}

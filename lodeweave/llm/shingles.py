@@ -33,11 +33,14 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    words = words_of(text)
+def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hash.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def word_hashes(text: bytes | None) -> np.ndarray:
+    return hashes_of(words_of(text))
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k words in a row; of all the words where they are fewer; none without words."""
     n = len(words)
