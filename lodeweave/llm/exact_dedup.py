@@ -1,13 +1,15 @@
 """Exact dedup with a sharded cuckoo-filter index of live digests.
 
 The digest of a text is SHA-256 over the text with every run of white space
-made one space. Digests are dealt to shards by their leading bits; a shard has
-a cuckoo filter (16-bit fingerprints, four to a bucket) and a bucketed table of
-its stored keys (digest, doc). A batch is first reduced to one row a digest, so
-a group of copies of any size costs one key. Filter misses are new for certain;
-hits are verified by joining the stored keys on the whole digest. New digests
-are inserted; a shard whose filter overflows is rebuilt at twice the size from
-its stored keys. delete() takes digests out of the filter and the key table.
+made one space. Digests are dealt to shards by their leading bits, and each
+shard has a cuckoo filter (16-bit fingerprints, four to a bucket). What is stored
+(digest, document, content) lies in tables bucketed by digest. A batch is first
+reduced to one row a digest, so a group of copies of any size costs one key.
+Filter misses are new for certain; hits are verified by merging with the stored
+buckets and comparing the content itself. Batches come in any order: where one
+brings a smaller document for a live digest, the old entry is deleted from the
+index and the new one inserted. New digests are inserted; a shard whose filter
+overflows is rebuilt at twice the size from its stored keys.
 
 Shards are the unit of memory: their number follows the expected number of
 keys, so that a task never holds more than about SHARD_KEYS of them.
@@ -15,14 +17,14 @@ keys, so that a task never holds more than about SHARD_KEYS of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, batch_of, id_bounds, one_space, row_id
+from .common import Workspace, given_id, one_space, row_id, write_bucketed
 
 SHARD_KEYS = 1 << 17
 LEAST_SHARDS = 64
@@ -127,31 +129,52 @@ def _keys(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(d[8:16] for d in digests), dtype=np.uint64).copy()
 
 
+def digest_of(text_col: str):
+    return F.unhex(F.sha2(one_space(F.coalesce(F.col(text_col), F.lit(""))), 256))
+
+
 _FILTERS = "shard int, n_keys long, data binary"
 _STORED = "shard int, digest binary, doc long"
 
 
 class CuckooIndex:
-    """Live digests with the document that first brought each."""
+    """Live digests with the document that stands for each, and its content."""
 
     def __init__(self, spark: SparkSession, space: Workspace, expected_keys: int, first_sizing: int = 256):
         self.spark, self.space = spark, space
         self.shards = max(LEAST_SHARDS, -(-expected_keys // SHARD_KEYS))
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.first_sizing = first_sizing
         self.version = 0
         self.filters = spark.createDataFrame([], _FILTERS)
-        self.stored = spark.createDataFrame([], _STORED)
-        self.resized = 0
+        self.prefix = f"exact_index_{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []
+        self.dead = spark.createDataFrame([], "digest binary, doc long, run int")
 
     def with_shard(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("shard", F.pmod(F.xxhash64(F.substring("digest", 1, 8)), F.lit(self.shards)).cast("int"))
 
-    def _save(self, filters: DataFrame, stored: DataFrame) -> None:
+    def _save_filters(self, filters: DataFrame) -> None:
         self.version += 1
         self.filters = self.space.stage(filters, f"filters-{self.version}")
-        self.stored = self.space.stage(stored, f"stored-{self.version}")
         self.space.drop(f"filters-{self.version - 1}")
-        self.space.drop(f"stored-{self.version - 1}")
+
+    def _entries(self) -> DataFrame:
+        """(digest, doc, run) of the live digests; run is the table that an entry came with."""
+        rows = self.spark.createDataFrame([], "digest binary, doc long, run int")
+        for run, name in enumerate(self.tables):
+            rows = rows.unionByName(self.spark.table(name).select("digest", "doc", F.lit(run).alias("run")))
+        return rows.join(self.dead, ["digest", "doc", "run"], "left_anti")
+
+    def stored(self) -> DataFrame:
+        """(digest, doc) of the live digests."""
+        return self._entries().drop("run")
+
+    def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
+        self.space.drop(f"filters-{self.version}")
 
     def probe(self, rows: DataFrame) -> DataFrame:
         """rows (shard, digest, doc) with `maybe`: whether the filter of the shard holds the digest."""
@@ -166,13 +189,29 @@ class CuckooIndex:
 
         return rows.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(look, _STORED + ", maybe boolean")
 
-    def insert(self, rows: DataFrame) -> None:
-        """rows (digest, doc): the digests that are not live yet are added with their smallest doc."""
-        rows = self.with_shard(rows.groupBy("digest").agg(F.min("doc").alias("doc"))).select("shard", "digest", "doc")
+    def _verified(self, hits: DataFrame, contents: DataFrame) -> DataFrame:
+        """(digest, doc, old_doc) of the hits whose content is that of the live entry."""
+        with_content = contents.join(hits.select("digest", "doc"), ["digest", "doc"], "left_semi").groupBy("digest", "doc").agg(F.any_value("content").alias("content"))
+        out = self.spark.createDataFrame([], "digest binary, doc long, old_doc long, run int")
+        for run, name in enumerate(self.tables):
+            bucket = self.spark.table(name).select("digest", F.col("doc").alias("old_doc"), F.col("content").alias("old_content"))
+            met = with_content.join(bucket.hint("merge"), "digest").filter("content = old_content")
+            out = out.unionByName(met.select("digest", "doc", "old_doc", F.lit(run).alias("run")))
+        dead = self.dead.withColumnRenamed("doc", "old_doc")
+        return out.join(dead, ["digest", "old_doc", "run"], "left_anti").select("digest", "doc", "old_doc")
+
+    def insert(self, contents: DataFrame) -> None:
+        """contents (digest, doc, content): texts that are not live yet are added; of equal ones the smallest doc stands for all."""
+        rows = self.with_shard(contents.groupBy("digest").agg(F.min("doc").alias("doc"))).select("shard", "digest", "doc")
         probed = self.space.stage(self.probe(rows), "probed")
         hits = probed.filter("maybe").drop("maybe")
-        false_hits = hits.join(self.stored.select("shard", "digest"), ["shard", "digest"], "left_anti")
+        verified = self.space.stage(self._verified(hits, contents), "verified")
+        false_hits = hits.join(verified, "digest", "left_anti")
+        smaller = verified.filter("doc < old_doc")
+        if not smaller.isEmpty():
+            self.delete(smaller.select("digest", F.col("old_doc").alias("doc")))
         fresh = probed.filter("not maybe").drop("maybe").unionByName(false_hits)
+        fresh = fresh.unionByName(self.with_shard(smaller.select("digest", "doc")).select("shard", "digest", "doc"))
         fresh = self.space.stage(fresh, "fresh")
         sizing = self.first_sizing
 
@@ -186,14 +225,16 @@ class CuckooIndex:
 
         filled = fresh.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(fill, _FILTERS)
         filled = self.space.stage(filled, "filled")
-        stored = self.stored.unionByName(fresh)
-        overflowed = filled.filter("data is null").select("shard", "n_keys")
-        rebuilt = self._rebuild(stored, overflowed)
-        self._save(filled.filter("data is not null").unionByName(rebuilt), stored)
-        for name in ("probed", "fresh", "filled"):
-            self.space.drop(name)
-
-    def _rebuild(self, stored: DataFrame, overflowed: DataFrame) -> DataFrame:
+        name = f"{self.prefix}_{len(self.tables)}"
+        kept = contents.join(fresh.select("digest", "doc"), ["digest", "doc"], "left_semi")
+        kept = kept.groupBy("digest").agg(F.any_value("doc").alias("doc"), F.any_value("content").alias("content"))
+        write_bucketed(kept, name, self.buckets, ["digest"])
+        self.tables.append(name)
+        overflowed = filled.filter("data is null").select("shard")
+        self._save_filters(filled.filter("data is not null").unionByName(self._rebuild(overflowed)))
+        self.space.drop("probed", "verified", "fresh", "filled")
+
+    def _rebuild(self, overflowed: DataFrame) -> DataFrame:
         """Filters of twice the keys' number for the shards named, from their stored keys."""
 
         def build(keys: pd.DataFrame) -> pd.DataFrame:
@@ -205,13 +246,13 @@ class CuckooIndex:
             return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "n_keys": [len(keys)], "data": [table.to_bytes()]})
 
         # At most one row a shard: as many as there are filters, whose number is fixed by the index.
-        kept = stored.join(F.broadcast(overflowed.select("shard")), "shard", "left_semi")
+        kept = self.with_shard(self.stored()).select("shard", "digest").join(F.broadcast(overflowed), "shard", "left_semi")
         return kept.groupBy("shard").applyInPandas(build, _FILTERS)
 
     def delete(self, rows: DataFrame) -> None:
-        """rows (digest): takes live digests out; others are left alone."""
-        gone = self.with_shard(rows.select("digest").distinct())
-        gone = self.space.stage(gone.join(self.stored, ["shard", "digest"], "left_semi").select("shard", "digest"), "gone")
+        """rows (digest, doc): takes live entries out of the filters; their stored rows are dead. Others are left alone."""
+        gone = self._entries().join(rows.select("digest", "doc").distinct(), ["digest", "doc"], "left_semi")
+        gone = self.space.stage(self.with_shard(gone), f"gone-{self.version}")
 
         def clear(digests: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
             if filters.empty:
@@ -223,30 +264,28 @@ class CuckooIndex:
                 {"shard": filters["shard"], "n_keys": filters["n_keys"] - len(digests), "data": [table.to_bytes()]}
             )
 
-        filters = gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(clear, _FILTERS)
-        self._save(filters, self.stored.join(gone, ["shard", "digest"], "left_anti"))
-        self.space.drop("gone")
-
+        self._save_filters(gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(clear, _FILTERS))
+        self.dead = self.dead.unionByName(gone.select("digest", "doc", "run"))
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """One row per row of docs: doc, keep_id, group_size, kept, digest.
 
-    Null text counts as empty. A null id counts as the last one and comes back
-    as null. Rows with one id and one text are copies like any others; `kept` is
-    true for all rows of the id that stays, so repeated rows are told by group_size.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str, batches: int) -> DataFrame:
+    """(doc, digest, group_size, keep_id) per row; doc and keep_id are NO_ID where there is none."""
     spark = docs.sparkSession
     space = Workspace(spark, "exact-dedup")
-    text = one_space(F.coalesce(F.col(text_col), F.lit("")))
-    digests = space.stage(docs.select(row_id(id_col).alias("doc"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-    bounds = id_bounds(digests, "doc", batches)
-    total = digests.count()
+    content = one_space(F.coalesce(F.col(text_col), F.lit("")))
+    contents = docs.select(row_id(id_col).alias("doc"), F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
+    # Batches by a hash of the id: of equal size, and in no order of the ids.
+    contents = contents.withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+    contents = space.stage(contents, "contents", ["batch"])
+    total = contents.count()
     index = CuckooIndex(spark, space, total)
-    for batch in range(len(bounds) + 1):
-        index.insert(digests.filter(batch_of("doc", bounds) == batch))
-    sizes = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = sizes.join(index.stored.select("digest", F.col("doc").alias("keep_id")), "digest")
-    groups = space.stage(groups, "groups")
+    for batch in range(batches):
+        index.insert(contents.filter(F.col("batch") == batch).drop("batch"))
+    sizes = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    groups = space.stage(sizes.join(index.stored().withColumnRenamed("doc", "keep_id"), "digest"), "groups")
+    index.drop()
+    digests = space.stage(contents.select("doc", "digest"), "digests")
+    space.drop("contents", *[f"gone-{version}" for version in range(index.version)])
     # Groups of over 1/1000 of the rows are fewer than 1000: these few are broadcast and no task gets a hot group.
     hot = groups.filter(F.col("group_size") * 1000 > total)
     rest = groups.filter(F.col("group_size") * 1000 <= total)
@@ -254,10 +293,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns = ["doc", "digest", "group_size", "keep_id"]
     large = marked.filter("keep_id is not null").select(*columns)
     small = marked.filter("keep_id is null").select("doc", "digest").join(rest, "digest").select(*columns)
-    return large.unionByName(small).withColumn("kept", F.col("doc") == F.col("keep_id"))
+    return large.unionByName(small)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """One row per row of docs: doc, keep_id, group_size, kept, digest.
+
+    Null text counts as empty. A null id counts as the last one and comes back
+    as null. Rows with one id and one text are copies like any others; `kept` is
+    true for all rows of the id that stays, so repeated rows are told by group_size.
+    Columns of other names are not looked at.
+    """
+    found = _groups(docs, id_col, text_col, batches).withColumn("kept", F.col("doc") == F.col("keep_id"))
+    return found.select(given_id("doc").alias("doc"), "digest", "group_size", given_id("keep_id").alias("keep_id"), "kept")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies: of equal texts the row of the smallest id stays."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select("doc").distinct()
-    return docs.join(kept, row_id(id_col) == kept["doc"], "left_semi")
+    """docs without the copies: of equal texts one row stays, of the smallest id; of repeated rows of that id any one.
+
+    A null id counts as the last one, so of texts without any id one row stays too. All columns, whatever their names, pass through.
+    """
+    kept = _groups(docs, id_col, text_col, BATCHES).filter("doc = keep_id")
+    kept = kept.groupBy("doc", "digest").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, row_id(id_col).alias("doc"), digest_of(text_col).alias("digest")).join(kept, ["doc", "digest"])
+    once = rows.filter("not repeated").select("row")
+    # Partial aggregates leave one row a text in each task, so a text that very many rows repeat is no large group.
+    one = rows.filter("repeated").groupBy("digest").agg(F.any_value("row").alias("row")).select("row")
+    return once.unionByName(one).select("row.*")
