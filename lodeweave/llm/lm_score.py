@@ -1,32 +1,35 @@
 """Language-model scores from a hierarchical Pitman-Yor bigram model.
 
-Words that occur LEAST_COUNT times or more in the training tokens are symbols of
-their own, at every size; words that occur once are the symbol `rare` followed
-by their spelling, drawn from a restaurant of rare words. Each symbol (and the
-beginning) is a context with a restaurant; all share the unigram restaurant as
-parent, whose base is uniform over the symbols.
+Every word of the training tokens is a symbol of its own, at every size. Each
+word (and the beginning of a document) is a context with a restaurant; all share
+the unigram restaurant as parent, whose base is uniform over the known words and
+one unknown.
 
 A Gibbs sweep takes the customers of a dish in a restaurant out and seats them
 anew one after another, given everyone else: at a new table in proportion to
 (strength + discount * tables) * parent's probability, else at an old one. Dishes
 of one customer have one table. New tables are the parent's customers; its own
 seating is sampled after each sweep. Sweeps run over all restaurants at once on
-the totals of the sweep before. Predictive probabilities are averaged over the
-sweeps after BURN_IN. From RUN customers on, those of a dish are seated in runs
-of about 1/32 of its number so far, with one chance for the run.
-
-What is counted grows with the corpus, and no bigram but hot ones is collected:
-counts are kept in parts, by hash of the key, as sorted compressed arrays; a task
-sends one array per part, each key once. Only totals by symbol reach the driver;
-they grow with the number of words that occur twice, as do the arrays of a task.
-To score, a document's sum of backed-off log probabilities needs symbol totals alone; what
-bigrams that were seen add is looked up in the parts: a block of documents sends
-its keys there and gets back one sum a document. Bigrams with HOT_SHARE of the
-tokens or more, at most 1 / HOT_SHARE, are broadcast, so no key makes a part large.
+the totals of the sweep before. After BURN_IN sweeps, SAMPLES of them are
+averaged. From RUN customers on, those of a dish are seated in runs of about
+1/32 of its number so far, with one chance for the run.
+
+No table of words is ever on the driver or in every task. Bigrams lie in pair
+parts by a hash of the pair, words in word parts by a hash of the word, as sorted
+compressed arrays; parts grow in number with the corpus, not in size. In a sweep
+each pair part sends the word parts its sums by word (customers for the parent,
+tables of the context) and gets back the totals and probabilities of its own
+words. The driver has a few sums, and the hot words and bigrams, at most
+1 / HOT_WORD and 1 / HOT_PAIR, which are broadcast so that no key makes a part large.
+
+To score, a token's backed-off log probability is one term of the word and one of
+the word before: word parts give a block of documents one sum a document, and
+what bigrams that were seen add is looked up in the pair parts in the same way.
 
 Defined results: null and empty texts are one end token; a null id is a held-in
-row; repeated rows are trained on as often; without training tokens all tokens
-are unknown and each symbol is equally likely.
+row and comes back as null; repeated rows are learnt from and scored like any
+others; without training rows every token has probability one; columns of other
+names are not looked at. Of very long texts a task holds the tokens once.
 """
 
 from __future__ import annotations
@@ -41,18 +44,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pack, unpack
+from .common import Workspace, map_arrow, pack, unpack
 from .shingles import mix, word_hashes
 
-LEAST_COUNT = 2
-HOT_SHARE = 1e-6
+HOT_WORD, HOT_PAIR = 1e-6, 1e-6
 STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 2
 RUN = 64
 BLOCK_TOKENS = 1 << 21
 LEAST_PARTS, MOST_PARTS = 64, 1 << 15
+#: Pair parts to a word part: there are far fewer words than bigrams.
+PAIRS_TO_WORDS = 4
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
+BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b" begin"))
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 # --- arrays as bytes ---------------------------------------------------------
@@ -66,9 +72,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * _FIRST + mix(words * _SECOND + np.uint64(1)))
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(parts)).astype(np.int64)
+
+
 def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of the keys of each part, in the order of the keys."""
-    part = (mix(keys) % np.uint64(parts)).astype(np.int64)
+    part = part_of(keys, parts)
     order = np.argsort(part, kind="stable")
     ends = np.cumsum(np.bincount(part, minlength=parts))
     start = 0
@@ -78,51 +92,48 @@ def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         start = end
 
 
-def _sum_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
+def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Positions at which a new key begins."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
-# --- counting ----------------------------------------------------------------
-
+def sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _firsts(keys)
+    return keys[first], *[np.add.reduceat(v[order], first) if len(first) else v for v in values]
 
-def _tokens(text: bytes | None) -> np.ndarray:
-    return np.append(word_hashes(text), END)
 
+def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the sorted ones, and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
-@dataclass
-class Symbols:
-    """Words of their own, by hash; the two symbols behind them are `rare` and the beginning."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    total: int
-    distinct: int
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*[part.split() for part in schema.split(", ")])
+    arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, kinds)], names=list(names))
 
-    @property
-    def rare(self) -> int:
-        return len(self.hashes)
 
-    @property
-    def base(self) -> int:
-        return len(self.hashes) + 2
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_rows(schema, rows)])
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, self.rare)
 
-    def bigrams(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys of (symbol before, symbol); a document starts after the beginning."""
-        before = np.concatenate([[0], symbols[:-1]])
-        before[starts] = self.rare + 1
-        return before.astype(np.uint64) * np.uint64(self.base) + symbols.astype(np.uint64)
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows of batches, one after another."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [column[i].as_py() for column in batch.columns]
 
 
-_COUNTS = "part int, keys binary, counts binary"
+# --- counting ----------------------------------------------------------------
 
 
 def _batches_of_tokens(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, int, pa.RecordBatch, list[np.ndarray]]]:
@@ -132,7 +143,7 @@ def _batches_of_tokens(batches: Iterator[pa.RecordBatch], column: int) -> Iterat
         texts = batch.column(column)
         for i in range(batch.num_rows):
             text = texts[i].as_buffer()
-            tokens = _tokens(text.to_pybytes() if text is not None else b"")
+            tokens = np.append(word_hashes(text.to_pybytes() if text is not None else b""), END)
             held.append(tokens)
             size += len(tokens)
             if size >= BLOCK_TOKENS:
@@ -142,64 +153,82 @@ def _batches_of_tokens(batches: Iterator[pa.RecordBatch], column: int) -> Iterat
             yield begin, batch.num_rows, batch, held
 
 
-def _count(texts: DataFrame, parts: int, symbols=None) -> DataFrame:
-    """(part, keys, counts) of all training tokens: word hashes, or bigram keys where symbols are given."""
+def _before(flat: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """The word before each token; a document starts after the beginning."""
+    before = np.concatenate([[BEGIN], flat[:-1]])
+    before[np.cumsum([0, *map(len, rows[:-1])])] = BEGIN
+    return before
+
+
+@dataclass
+class Pairs:
+    """Distinct bigrams with their counts; both words as places in `words`, by which they are sorted."""
+
+    words: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Pairs:
+        """The bigrams of documents."""
+        flat = np.concatenate([*rows, [BEGIN]])
+        words, place = np.unique(flat, return_inverse=True)
+        second = place[:-1]
+        first = np.concatenate([place[-1:], second[:-1]])
+        first[np.cumsum([0, *map(len, rows[:-1])])] = place[-1]
+        codes, counts = np.unique(first * len(words) + second, return_counts=True)
+        return cls(words, codes // len(words), codes % len(words), counts)
+
+    @classmethod
+    def sum(cls, parts: list[Pairs]) -> Pairs:
+        words = np.unique(np.concatenate([p.words for p in parts]))
+        places = [np.searchsorted(words, p.words) for p in parts]
+        codes = np.concatenate([at[p.first] * len(words) + at[p.second] for at, p in zip(places, parts)])
+        codes, counts = sum_by(codes, np.concatenate([p.counts for p in parts]))
+        return cls(words, codes // len(words), codes % len(words), counts)
+
+    @property
+    def keys(self) -> np.ndarray:
+        return pair_keys(self.words[self.first], self.words[self.second])
+
+    def only(self, at: np.ndarray) -> Pairs:
+        """Those at some places, which come in order."""
+        used = np.zeros(len(self.words), dtype=bool)
+        used[self.first[at]] = used[self.second[at]] = True
+        place = np.cumsum(used) - 1
+        return Pairs(self.words[used], place[self.first[at]], place[self.second[at]], self.counts[at])
+
+    def blobs(self) -> tuple[bytes, ...]:
+        return (
+            pack_sorted(self.words), pack(np.diff(self.first, prepend=0).astype(np.uint32)), pack(self.second.astype(np.uint32)), pack(self.counts.astype(np.uint64))
+        )
+
+    @classmethod
+    def read(cls, words: bytes, first: bytes, second: bytes, counts: bytes) -> Pairs:
+        return cls(unpack_sorted(words), np.cumsum(unpack(first, np.uint32), dtype=np.int64), unpack(second, np.uint32).astype(np.int64), unpack(counts, np.uint64).astype(np.int64))
+
+
+_PAIRS = "part int, words binary, first binary, second binary, counts binary"
+
+
+def count_pairs(texts: DataFrame, parts: int) -> DataFrame:
+    """The distinct bigrams of all texts with their counts, one row a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = symbols.value if symbols is not None else None
-        all_keys, all_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held = None
         for _, _, _, rows in _batches_of_tokens(batches, 0):
-            flat = np.concatenate(rows)
-            if known is not None:
-                starts = np.cumsum([0, *map(len, rows[:-1])])
-                flat = known.bigrams(known.number(flat), starts)
-            keys, counts = np.unique(flat, return_counts=True)
-            all_keys, all_counts = _sum_keys(np.concatenate([all_keys, keys]), np.concatenate([all_counts, counts]))
-        for p, at in by_part(all_keys, parts):
-            arrays = [[p], [pack_sorted(all_keys[at])], [pack(all_counts[at].astype(np.uint32))]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(arrays[0], pa.int32()), *[pa.array(a, pa.binary()) for a in arrays[1:]]], names=["part", "keys", "counts"]
-            )
+            new = Pairs.of(rows)
+            held = Pairs.sum([held, new]) if held else new
+        if held:
+            for p, at in by_part(held.keys, parts):
+                yield _rows(_PAIRS, [(p, *held.only(at).blobs())])
 
     def add(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([unpack_sorted(x) for x in group["keys"].to_pylist()])
-        counts = np.concatenate([unpack(x, np.uint32).astype(np.int64) for x in group["counts"].to_pylist()])
-        keys, counts = _sum_keys(keys, counts)
-        return pa.table(
-            [group["part"][:1], pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(counts.astype(np.uint64))], pa.binary())],
-            names=["part", "keys", "counts"],
-        )
+        found = Pairs.sum([Pairs.read(*row[1:]) for row in _each(group.to_batches())])
+        return _table(_PAIRS, [(group["part"][0].as_py(), *found.blobs())])
 
-    return texts.mapInArrow(run, _COUNTS).groupBy("part").applyInArrow(add, _COUNTS)
-
-
-def _symbols(words: DataFrame) -> Symbols:
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [unpack(x, np.uint64) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(c) for c in counts], pa.int64()), pa.array([int(c.sum()) for c in counts], pa.int64())], names=["distinct", "total"]
-            )
-
-    distinct, total = words.mapInArrow(sums, "distinct long, total long").agg(F.sum("distinct"), F.sum("total")).first()
-    distinct, total = distinct or 0, total or 0
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                counts = unpack(counts, np.uint64)
-                keep = counts >= LEAST_COUNT
-                keys = unpack_sorted(keys)[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys.tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], names=["keys", "counts"]
-                )
-
-    # As many as the corpus has words that occur twice: a few numbers each, on the driver and broadcast.
-    found = words.mapInArrow(heads, "keys binary, counts binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r[0]), np.uint64) for r in found]])
-    counts = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r[1]), np.uint64) for r in found]])
-    order = np.argsort(keys)
-    return Symbols(keys[order], counts[order].astype(np.int64), total, distinct)
+    return map_arrow(texts, run, _PAIRS).groupBy("part").applyInArrow(add, _PAIRS)
 
 
 # --- seating -----------------------------------------------------------------
@@ -235,366 +264,376 @@ def seat(counts: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: f
 
 @dataclass
 class Totals:
-    """By symbol: a restaurant's customers and tables, and the customers its dish brings to the parent."""
+    """Sums over all words: tokens, distinct words, bigram tables (the unigram restaurant's customers) and its tables."""
 
-    customers: np.ndarray
-    tables: np.ndarray
-    parent: np.ndarray
+    tokens: int
+    distinct: int
+    customers: float
+    tables: float
+    discount: float
 
+    @property
+    def uniform(self) -> float:
+        return 1 / (self.distinct + 1)
 
-@dataclass
-class Sweep:
-    tables: np.ndarray
-    unigram: np.ndarray
+    def unigram(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        own = np.maximum(customers - self.discount * tables, 0)
+        return (own + (STRENGTH + self.discount * self.tables) * self.uniform) / (self.customers + STRENGTH)
 
+    @property
+    def unknown(self) -> float:
+        return float(self.unigram(np.zeros(1), np.zeros(1))[0])
 
-def _unigram(customers: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Predictive probabilities of the parent restaurant after its own seating; the base is uniform."""
-    n = len(customers)
-    uniform = np.full(n, 1 / n)
-    seen = customers > 0
-    tables = np.zeros(n)
-    if seen.any():
-        each = seat(customers[seen].astype(np.int64), np.full(int(seen.sum()), float(seen.sum())), uniform[seen], discount, STRENGTH, rng)
-        tables[seen] = each
-    held = np.where(seen, customers - discount * tables, 0.0)
-    return (held + (STRENGTH + discount * tables.sum()) * uniform) / (customers.sum() + STRENGTH)
 
+# A pair part's sums by word, to a word part: customers of the word's restaurant, its tokens, its tables, new tables for it.
+_SUMS = "part int, sender int, words binary, customers binary, tokens binary, tables binary, brought binary"
+# A word part's words with their sums; `seated` are the tables of the unigram restaurant.
+_WORDS = "part int, words binary, customers binary, tokens binary, tables binary, brought binary, seated binary"
+_ANSWERS = "part int, sender int, rooms binary, chances binary, customers binary"
+_ROUND = "kind int, part int, sender int, words binary, customers binary, tokens binary, tables binary, brought binary, seated binary, chances binary"
+_STATE = f"{_PAIRS}, seated binary, total binary"
+_WORD, _ANSWER = 0, 1
 
-_TYPES = "part int, keys binary, counts binary, tables binary, total binary"
-_SUMS = "what int, chunk int, sums binary"
-CHUNK = 1 << 15
 
+def _send_sums(state: DataFrame, word_parts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            pairs, tables = Pairs.read(*row[1:5]), unpack(row[5], np.uint32)
+            size = len(pairs.words)
+            sums = [
+                np.bincount(pairs.first, pairs.counts, size), np.bincount(pairs.second, pairs.counts, size),
+                np.bincount(pairs.first, tables, size), np.bincount(pairs.second, tables, size),
+            ]
+            rows = [(r, row[0], pack_sorted(pairs.words[at]), *[pack(s[at].astype(np.uint64)) for s in sums]) for r, at in by_part(pairs.words, word_parts)]
+            yield _rows(_SUMS, rows)
 
-def _chunks(arrays: list[np.ndarray]) -> pa.RecordBatch:
-    rows = []
-    for what, values in enumerate(arrays):
-        for i in range(0, len(values), CHUNK):
-            part = values[i : i + CHUNK]
-            if part.any():
-                rows.append((what, i // CHUNK, pack(part)))
-    columns = list(zip(*rows)) or [[]] * 3
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["what", "chunk", "sums"]
-    )
+    return map_arrow(state, run, _SUMS)
 
 
-def _add_up(rows: DataFrame, size: int, kinds: int) -> list[np.ndarray]:
-    """Totals by symbol: summed in chunks on the executors, as many as symbols on the driver."""
+def _round(sums: DataFrame, before: Totals, sweep: int) -> DataFrame:
+    """Adds the sums up by word, seats the unigram restaurant, and answers each sender for its own words."""
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(unpack(x, np.float64) for x in group["sums"].to_pylist())
-        return pa.table([group["what"][:1], group["chunk"][:1], pa.array([pack(total)], pa.binary())], names=["what", "chunk", "sums"])
-
-    out = [np.zeros(size) for _ in range(kinds)]
-    for what, chunk, sums in rows.groupBy("what", "chunk").applyInArrow(add, _SUMS).collect():
-        values = unpack(bytes(sums), np.float64)
-        out[what][chunk * CHUNK : chunk * CHUNK + len(values)] = values
+        rows = list(_each(group.to_batches()))
+        lists = [unpack_sorted(r[2]) for r in rows]
+        values = [np.concatenate([unpack(r[i], np.uint64) for r in rows]).astype(np.float64) for i in range(3, 7)]
+        words, customers, tokens, tables, brought = sum_by(np.concatenate(lists), *values)
+        seated = np.zeros(len(words))
+        served = brought > 0
+        rng = np.random.default_rng([17, sweep, rows[0][0]])
+        seated[served] = seat(brought[served].astype(np.int64), np.full(int(served.sum()), before.tables), np.full(int(served.sum()), before.uniform), before.discount, STRENGTH, rng)
+        chances = before.unigram(brought, seated)
+        none = b""
+        out = [(_WORD, rows[0][0], -1, pack_sorted(words), *[pack(x.astype(np.float64)) for x in (customers, tokens, tables, brought, seated)], none)]
+        for r, asked in zip(rows, lists):
+            at = np.searchsorted(words, asked)
+            out.append((_ANSWER, r[0], r[1], none, none, none, pack(tables[at].astype(np.uint32)), none, none, pack(chances[at].astype(np.float32))))
+        return _table(_ROUND, out)
+
+    return sums.groupBy("part").applyInArrow(add, _ROUND)
+
+
+def _spread(words: np.ndarray, word_parts: int, answers: list[list], column: int, dtype) -> np.ndarray:
+    """Answers of the word parts, put back in the order of a pair part's words."""
+    out = np.zeros(len(words))
+    told = {row[0]: row[column] for row in answers}
+    for r, at in by_part(words, word_parts):
+        out[at] = unpack(told[r], dtype)
     return out
 
 
 class _Model:
-    def __init__(self, space: Workspace, types: DataFrame, symbols: Symbols):
-        self.space, self.symbols = space, symbols
-        self.spark = types.sparkSession
-        base, size = symbols.base, symbols.base
-        self.types = types
-
-        def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Customers of each restaurant, and what dishes of one customer bring: their one table stays."""
-            customers, tables, parent, seen = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(4)
-            for batch in batches:
-                for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    keys, counts = unpack_sorted(keys), unpack(counts, np.uint64).astype(np.float64)
-                    context, dish = (keys // np.uint64(base)).astype(np.int64), (keys % np.uint64(base)).astype(np.int64)
-                    customers += np.bincount(context, counts, size)
-                    single = counts == 1
-                    tables += np.bincount(context[single], minlength=size)
-                    parent += np.bincount(dish[single], minlength=size)
-                    seen[:2] += [single.sum(), (counts == 2).sum()]
-            yield _chunks([customers, tables, parent, seen])
-
-        sums = _add_up(types.mapInArrow(firsts, _SUMS), size + 4, 4)
-        self.customers, self.single_tables, self.single_parent = [s[:size] for s in sums[:3]]
-        ones, twos = sums[3][:2]
-        self.discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-        self.samples: list[Sweep] = []
-
-        def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, keys, counts in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                    keys, counts = unpack_sorted(keys), unpack(counts, np.uint64)
-                    more = counts > 1
-                    one = np.ones(int(more.sum()), np.uint32)
-                    blobs = [pack_sorted(keys[more]), pack(counts[more]), pack(one), pack(np.zeros(len(one)))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], names=["part", "keys", "counts", "tables", "total"]
-                    )
-
-        self.state = space.stage(types.mapInArrow(several, _TYPES), "state-0")
+    """The restaurants, in parts: state (pair parts) and one round of word parts a sweep."""
 
-    def sample(self) -> None:
-        symbols, size = self.symbols, self.symbols.base
-        rng = np.random.default_rng(17)
-        several = self._sums(self.state)
-        tables, parent = self.single_tables + several[0], self.single_parent + several[1]
-        for sweep in range(1, BURN_IN + SAMPLES + 1):
-            unigram = np.zeros(size)
-            # The beginning is a context only: no one orders it.
-            unigram[: size - 1] = _unigram(parent[: size - 1], self.discount, rng)
-            if sweep > BURN_IN + 1:
-                self.samples.append(Sweep(tables, unigram))
-            self.state = self._sweep(sweep, tables, unigram)
-            several = self._sums(self.state)
-            tables, parent = self.single_tables + several[0], self.single_parent + several[1]
-        unigram = np.zeros(size)
-        unigram[: size - 1] = _unigram(parent[: size - 1], self.discount, rng)
-        self.samples.append(Sweep(tables, unigram))
-
-    def _sums(self, state: DataFrame) -> list[np.ndarray]:
-        base = size = self.symbols.base
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables, parent = np.zeros(size), np.zeros(size)
-            for batch in batches:
-                for keys, each in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                    keys, each = unpack_sorted(keys), unpack(each, np.uint32)
-                    tables += np.bincount((keys // np.uint64(base)).astype(np.int64), each, size)
-                    parent += np.bincount((keys % np.uint64(base)).astype(np.int64), each, size)
-            yield _chunks([tables, parent])
-
-        return _add_up(state.mapInArrow(run, _SUMS), size, 2)
-
-    def _sweep(self, sweep: int, tables: np.ndarray, unigram: np.ndarray) -> DataFrame:
-        base, discount = self.symbols.base, self.discount
-        shared = self.spark.sparkContext.broadcast((tables, unigram))
-        keep = sweep > BURN_IN
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables, unigram = shared.value
-            for batch in batches:
-                for part, *blobs in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                    keys, counts = unpack_sorted(blobs[0]), unpack(blobs[1], np.uint64).astype(np.int64)
-                    each, total = unpack(blobs[2], np.uint32), unpack(blobs[3], np.float64)
-                    context, dish = (keys // np.uint64(base)).astype(np.int64), (keys % np.uint64(base)).astype(np.int64)
-                    rng = np.random.default_rng([sweep, part])
-                    each = seat(counts, np.maximum(tables[context] - each, 0), unigram[dish], discount, STRENGTH, rng)
-                    if keep:
-                        total = total + each
-                    blobs = [*blobs[:2], pack(each.astype(np.uint32)), pack(total)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], names=["part", "keys", "counts", "tables", "total"]
-                    )
-
-        out = self.space.stage(self.state.mapInArrow(run, _TYPES), f"state-{sweep}")
-        self.space.drop(f"state-{sweep - 1}")
-        return out
+    def __init__(self, space: Workspace, pairs: DataFrame, word_parts: int):
+        self.space, self.word_parts = space, word_parts
 
-    def facts(self) -> Facts:
-        room = np.stack([STRENGTH + self.discount * s.tables for s in self.samples])
-        return Facts(self.symbols, self.customers, room, np.stack([s.unigram for s in self.samples]), self.discount)
+        def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _each(batches):
+                counts = unpack(row[4], np.uint64)
+                yield _rows(_STATE, [(*row, pack(np.ones(len(counts), np.uint32)), pack(np.zeros(len(counts))))])
 
+        def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _each(batches):
+                counts = unpack(row[4], np.uint64)
+                yield _rows("pairs long, tokens long, ones long, twos long", [(len(counts), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum()))])
 
-@dataclass
-class Facts:
-    """What the driver knows: numbers by symbol."""
+        self.state = space.stage(map_arrow(pairs, start, _STATE), "state-0")
+        found = map_arrow(pairs, facts, "pairs long, tokens long, ones long, twos long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("pairs", "tokens", "ones", "twos")]).first()
+        n_pairs, tokens, ones, twos = found
+        discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        # Until the words have been counted, the number of bigrams stands for theirs: no restaurant has more tables.
+        self.totals = Totals(tokens, n_pairs, float(n_pairs), float(n_pairs), discount)
+        self.sampled: list[tuple[str, Totals]] = []
 
-    symbols: Symbols
-    customers: np.ndarray
-    room: np.ndarray
-    unigram: np.ndarray
-    discount: float
+    def sample(self) -> None:
+        self._words(0)
+        for sweep in range(1, BURN_IN + SAMPLES + 1):
+            self._sweep(sweep)
+            self._words(sweep)
+
+    def _words(self, sweep: int) -> None:
+        """Word totals of a sweep; those of a sampled one are kept."""
+        name = f"words-{sweep}"
+        self.round = self.space.stage(_round(_send_sums(self.state, self.word_parts), self.totals, sweep), name)
+        schema = "distinct long, customers double, tables double"
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _each(batches):
+                yield _rows(schema, [(int((unpack(row[5], np.float64) > 0).sum()), float(unpack(row[7], np.float64).sum()), float(unpack(row[8], np.float64).sum()))])
+
+        sums = map_arrow(self.round.filter(F.col("kind") == _WORD), add, schema).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "customers", "tables")]).first()
+        self.totals = Totals(self.totals.tokens, int(sums[0]), float(sums[1]), float(sums[2]), self.totals.discount)
+        if sweep > BURN_IN:
+            self.sampled.append((name, self.totals))
+        if sweep and sweep - 1 <= BURN_IN:
+            self.space.drop(f"words-{sweep - 1}")
+
+    def _sweep(self, sweep: int) -> None:
+        discount, word_parts = self.totals.discount, self.word_parts
+        keep = sweep > BURN_IN
 
-    def backed_off(self, context: np.ndarray, dish: np.ndarray) -> np.ndarray:
-        """Averaged probability of a dish that the restaurant has not served."""
-        mean = sum(r[context] * u[dish] for r, u in zip(self.room, self.unigram)) / len(self.room)
-        return mean / (STRENGTH + self.customers[context])
+        def run(state: pa.Table, told: pa.Table) -> pa.Table:
+            answers = list(_each(told.to_batches()))
+            out = []
+            for row in _each(state.to_batches()):
+                pairs, seated, total = Pairs.read(*row[1:5]), unpack(row[5], np.uint32).astype(np.float64), unpack(row[6], np.float64)
+                tables = _spread(pairs.words, word_parts, answers, 1, np.uint32)
+                chances = _spread(pairs.words, word_parts, answers, 2, np.float32)
+                more = pairs.counts > 1
+                first, second = pairs.first[more], pairs.second[more]
+                rng = np.random.default_rng([sweep, row[0]])
+                seated[more] = seat(pairs.counts[more], np.maximum(tables[first] - seated[more], 0), chances[second], discount, STRENGTH, rng)
+                out.append((*row[:5], pack(seated.astype(np.uint32)), pack(total + seated if keep else total)))
+            return _table(_STATE, out)
+
+        answers = self.round.filter(F.col("kind") == _ANSWER).select("part", "tables", "chances", "sender")
+        joined = self.state.groupBy("part").cogroup(answers.groupBy("sender")).applyInArrow(run, _STATE)
+        self.state = self.space.stage(joined, f"state-{sweep}")
+        self.space.drop(f"state-{sweep - 1}")
 
-    def gain(self, keys: np.ndarray, counts: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """log10 of what bigrams that were seen are likelier than backed off."""
-        base = np.uint64(self.symbols.base)
-        context, dish = (keys // base).astype(np.int64), (keys % base).astype(np.int64)
-        own = np.maximum(counts - self.discount * tables, 0) / (STRENGTH + self.customers[context])
-        return np.log10(1 + own / self.backed_off(context, dish))
+    def words(self) -> DataFrame:
+        """(part, words, tokens, chances, rooms): of each word its tokens, its averaged unigram probability, and the log10
+        of what its restaurant leaves to the parent."""
+        sampled = self.sampled
+        rounds = None
+        for i, (name, _) in enumerate(sampled):
+            rows = self.space.spark.read.schema(_ROUND).parquet(self.space.path(name)).filter(F.col("kind") == _WORD)
+            rows = rows.select(F.lit(i).alias("sample"), "part", "words", "customers", "tokens", "tables", "brought", "seated")
+            rounds = rows if rounds is None else rounds.unionByName(rows)
+
+        def mean(group: pa.Table) -> pa.Table:
+            # The words of a part are the same in every round.
+            rows = list(_each(group.to_batches()))
+            arrays = [[unpack(x, np.float64) for x in r[3:8]] for r in rows]
+            chances = sum(sampled[r[0]][1].unigram(a[3], a[4]) for r, a in zip(rows, arrays)) / len(rows)
+            tables = sum(a[2] for a in arrays) / len(rows)
+            customers, tokens = arrays[0][:2]
+            rooms = np.log10((STRENGTH + sampled[0][1].discount * tables) / (STRENGTH + customers))
+            return _table(_FACTS, [(rows[0][1], rows[0][2], pack(tokens), pack(chances), pack(rooms), pack(customers))])
+
+        return self.space.stage(rounds.groupBy("part").applyInArrow(mean, _FACTS), "facts")
 
-    def rare_logs(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the base score of rare words, and of their spelling given that a rare word comes."""
-        s = self.symbols
-        kinds = s.distinct - len(s.hashes)
-        tokens = s.total - s.counts.sum()
-        base = np.log10((counts + 1) / (s.total + s.distinct + 1))
-        own = np.maximum(counts - self.discount, 0) + (STRENGTH + self.discount * kinds) / (s.distinct + 1)
-        return base, np.log10(own / (tokens + STRENGTH))
+    @property
+    def unknown(self) -> float:
+        """The averaged unigram probability of a word that was not learnt from."""
+        return sum(t.unknown for _, t in self.sampled) / len(self.sampled)
+
+    def gains(self, words: DataFrame) -> DataFrame:
+        """(part, keys, gains, counts): log10 of what bigrams that were seen are likelier than backed off."""
+        word_parts, discount = self.word_parts, self.totals.discount
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _each(batches):
+                held = unpack_sorted(row[1])
+                yield _rows("part int, sender int, words binary", [(r, row[0], pack_sorted(held[at])) for r, at in by_part(held, word_parts)])
+
+        def answer(asked: pa.Table, facts: pa.Table) -> pa.Table:
+            known = list(_each(facts.to_batches()))[0]
+            held = unpack_sorted(known[1])
+            chances, rooms, customers = (unpack(x, np.float64) for x in known[3:6])
+            out = []
+            for r, sender, wanted in _each(asked.to_batches()):
+                at = np.searchsorted(held, unpack_sorted(wanted))
+                out.append((r, sender, pack(rooms[at]), pack(chances[at]), pack(customers[at])))
+            return _table(_ANSWERS, out)
+
+        def gain(state: pa.Table, told: pa.Table) -> pa.Table:
+            answers = [[r[0], *r[2:]] for r in _each(told.to_batches())]
+            out = []
+            for row in _each(state.to_batches()):
+                pairs, tables = Pairs.read(*row[1:5]), unpack(row[6], np.float64) / SAMPLES
+                rooms, chances, customers = (_spread(pairs.words, word_parts, answers, i, np.float64) for i in (1, 2, 3))
+                own = np.maximum(pairs.counts - discount * tables, 0) / (STRENGTH + customers[pairs.first])
+                gains = np.log10(1 + own / (10 ** rooms[pairs.first] * chances[pairs.second]))
+                keys = pairs.keys
+                order = np.argsort(keys)
+                out.append((row[0], pack_sorted(keys[order]), pack(gains[order].astype(np.float32)), pack(pairs.counts[order].astype(np.uint64))))
+            return _table(_GAINS, out)
+
+        asked = map_arrow(self.state.select("part", "words"), ask, "part int, sender int, words binary")
+        answers = asked.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(answer, _ANSWERS)
+        joined = self.state.groupBy("part").cogroup(answers.groupBy("sender")).applyInArrow(gain, _GAINS)
+        return self.space.stage(joined, "gains")
+
+
+_FACTS = "part int, words binary, tokens binary, chances binary, rooms binary, customers binary"
+_GAINS = "part int, keys binary, gains binary, counts binary"
 
 
 # --- scoring -----------------------------------------------------------------
 
 _SENT = "part int, block long, kind int, keys binary, rows binary"
+_STORED = "part int, kind int, keys binary, values binary, tokens binary"
 _SUMMED = "block long, kind int, ids binary, sums binary"
 #: Per document: tokens, known tokens, base score, score.
 _WIDTH = 4
-_DOCS, _RARE, _BIGRAM = 0, 1, 2
+_DOCS, _OF_WORD, _OF_PAIR = 0, 1, 2
 
 
-def _tables(words: DataFrame, types: DataFrame, state: DataFrame, facts, hot: int) -> DataFrame:
-    """(part, kind, keys, values): counts of rare words, gains of bigrams that aren't broadcast."""
-    schema = "part int, kind int, keys binary, values binary"
+@dataclass
+class Hot:
+    """Words and bigrams that a large share of all tokens are, with what they add to a score."""
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, keys, counts in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                counts = unpack(counts, np.uint64)
-                keep = counts < LEAST_COUNT
-                yield _row(schema, part, _RARE, pack_sorted(unpack_sorted(keys)[keep]), pack(counts[keep].astype(np.float64)))
+    words: np.ndarray
+    tokens: np.ndarray
+    logs: np.ndarray
+    pairs: np.ndarray
+    gains: np.ndarray
+    begin: float
+    unknown: float
+    totals: Totals
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, keys, counts in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                keys = unpack_sorted(keys)[unpack(counts, np.uint64) == 1]
-                yield _row(schema, part, _BIGRAM, pack_sorted(keys), pack(np.zeros(0)))
+    def base(self, tokens: np.ndarray) -> np.ndarray:
+        return np.log10((tokens + 1) / (self.totals.tokens + self.totals.distinct + 1))
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = facts.value
-        for batch in batches:
-            for part, keys, counts, _, total in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                keys, counts = unpack_sorted(keys), unpack(counts, np.uint64).astype(np.float64)
-                gains = known.gain(keys, counts, unpack(total, np.float64) / SAMPLES)
-                cool = counts < hot
-                yield _row(schema, part, _BIGRAM, pack_sorted(keys[cool]), pack(gains[cool]))
 
-    return words.mapInArrow(rare, schema).unionByName(types.mapInArrow(single, schema)).unionByName(state.mapInArrow(several, schema))
+def _hot(words: DataFrame, gains: DataFrame, unknown: float, totals: Totals) -> Hot:
+    """At most 1 / HOT_WORD words and 1 / HOT_PAIR bigrams, whatever the corpus."""
+    word_floor, pair_floor = max(2, math.ceil(HOT_WORD * totals.tokens)), max(2, math.ceil(HOT_PAIR * totals.tokens))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            held, tokens, chances, rooms = unpack_sorted(row[1]), *(unpack(x, np.float64) for x in row[2:5])
+            keep = (tokens >= word_floor) | (held == BEGIN)
+            logs = np.where(held[keep] == BEGIN, rooms[keep], np.log10(chances[keep]) + rooms[keep])
+            yield _rows("keys binary, tokens binary, logs binary", [(held[keep].tobytes(), tokens[keep].tobytes(), logs.tobytes())])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            keep = unpack(row[3], np.uint64) >= pair_floor
+            yield _rows("keys binary, gains binary", [(unpack_sorted(row[1])[keep].tobytes(), unpack(row[2], np.float32).astype(np.float64)[keep].tobytes())])
+
+    found = map_arrow(words, run, "keys binary, tokens binary, logs binary").collect()
+    keys, tokens, logs = (np.concatenate([np.zeros(0, t), *[np.frombuffer(bytes(r[i]), t) for r in found]]) for i, t in enumerate((np.uint64, np.float64, np.float64)))
+    order = np.argsort(keys)
+    keys, tokens, logs = keys[order], tokens[order], logs[order]
+    begin = float(logs[keys == BEGIN].sum())
+    plain = keys != BEGIN
+    rows = map_arrow(gains, pairs, "keys binary, gains binary").collect()
+    pair, gain = (np.concatenate([np.zeros(0, t), *[np.frombuffer(bytes(r[i]), t) for r in rows]]) for i, t in enumerate((np.uint64, np.float64)))
+    order = np.argsort(pair)
+    return Hot(keys[plain], tokens[plain], logs[plain], pair[order], gain[order], begin, unknown, totals)
 
-def _row(schema: str, *values) -> pa.RecordBatch:
-    names, kinds = zip(*[part.split() for part in schema.split(", ")])
-    arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([v], arrow[k]) for v, k in zip(values, kinds)], names=list(names))
 
+def _stored(words: DataFrame, gains: DataFrame, word_parts: int) -> DataFrame:
+    """What is looked up, by part: words first, bigrams behind them."""
 
-def _hot_gains(state: DataFrame, facts, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and gains of the hot bigrams: at most 1 / HOT_SHARE."""
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            tokens, chances, rooms = (unpack(x, np.float64) for x in row[2:5])
+            yield _rows(_STORED, [(row[0], _OF_WORD, row[1], pack((np.log10(chances) + rooms).astype(np.float32)), pack(tokens.astype(np.uint64)))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = facts.value
-        for batch in batches:
-            for keys, counts, total in zip(*[batch.column(i).to_pylist() for i in (1, 2, 4)]):
-                counts = unpack(counts, np.uint64).astype(np.float64)
-                warm = counts >= hot
-                keys = unpack_sorted(keys)[warm]
-                gains = known.gain(keys, counts[warm], unpack(total, np.float64)[warm] / SAMPLES)
-                yield _row("keys binary, gains binary", keys.tobytes(), gains.tobytes())
-
-    rows = state.mapInArrow(run, "keys binary, gains binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r[0]), np.uint64) for r in rows]])
-    gains = np.concatenate([np.zeros(0), *[np.frombuffer(bytes(r[1]), np.float64) for r in rows]])
-    order = np.argsort(keys)
-    return keys[order], gains[order]
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            yield _rows(_STORED, [(word_parts + row[0], _OF_PAIR, row[1], row[2], b"")])
 
+    return map_arrow(words, of_words, _STORED).unionByName(map_arrow(gains, of_pairs, _STORED))
 
-def _send(docs: DataFrame, facts, hot, parts: int) -> DataFrame:
+
+def _send(docs: DataFrame, hot, word_parts: int, parts: int) -> DataFrame:
     """Of each block of documents: its own sums, and for each part the keys whose values it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (hot_keys, hot_gains) = facts.value, hot.value
-        symbols = known.symbols
-        head_base = np.log10((symbols.counts + 1) / (symbols.total + symbols.distinct + 1))
+        known: Hot = hot.value
         for begin, end, batch, rows in _batches_of_tokens(batches, 1):
             ids = batch.column(0).slice(begin, end - begin)
             sizes = np.array([len(r) for r in rows])
             flat = np.concatenate(rows)
             owner = np.repeat(np.arange(len(rows), dtype=np.uint32), sizes)
-            number = symbols.number(flat)
-            keys = symbols.bigrams(number, np.cumsum(sizes) - sizes)
-            base = np.uint64(symbols.base)
-            logs = np.log10(known.backed_off((keys // base).astype(np.int64), number))
-            if len(hot_keys):
-                at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
-                warm = hot_keys[at] == keys
-                logs[warm] += hot_gains[at[warm]]
-            else:
-                warm = np.zeros(len(keys), dtype=bool)
-            rare = number == symbols.rare
+            pairs = pair_keys(_before(flat, rows), flat)
+            at, common = find(known.words, flat)
+            place, seen = find(known.pairs, pairs)
             sums = np.zeros((len(rows), _WIDTH))
             sums[:, 0] = sizes
-            sums[:, 1] = np.bincount(owner[~rare], minlength=len(rows))
-            sums[:, 2] = np.bincount(owner[~rare], head_base[number[~rare]], len(rows))
-            sums[:, 3] = np.bincount(owner, logs, len(rows))
+            sums[:, 1] = np.bincount(owner[common], minlength=len(rows))
+            sums[:, 2] = np.bincount(owner[common], known.base(known.tokens[at[common]]), len(rows))
+            sums[:, 3] = known.begin + np.bincount(owner[common], known.logs[at[common]], len(rows)) + np.bincount(owner[seen], known.gains[place[seen]], len(rows))
             id_bytes = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
             nulls = np.array(ids.is_null().to_pylist(), dtype=np.uint8).tobytes()
             block = _signed(xxhash.xxh3_64_intdigest(id_bytes + flat.tobytes()))
-            yield _row(_SENT, block % parts, block, _DOCS, id_bytes + nulls, pack(sums.ravel()))
-            for kind, wanted, sought in ((_RARE, rare, flat), (_BIGRAM, ~warm, keys)):
+            yield _rows(_SENT, [(block % (word_parts + parts), block, _DOCS, id_bytes + nulls, pack(sums.ravel()))])
+            for kind, wanted, sought, shift, number in ((_OF_WORD, ~common, flat, 0, word_parts), (_OF_PAIR, ~seen, pairs, word_parts, parts)):
                 sought, who = sought[wanted], owner[wanted]
                 order = np.argsort(sought, kind="stable")
                 sought, who = sought[order], who[order]
-                for p, at in by_part(sought, parts):
-                    yield _row(_SENT, p, block, kind, pack_sorted(sought[at]), pack(who[at]))
+                for p, at in by_part(sought, number):
+                    yield _rows(_SENT, [(shift + p, block, kind, pack_sorted(sought[at]), pack(who[at]))])
 
-    return docs.mapInArrow(run, _SENT)
+    return map_arrow(docs, run, _SENT)
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _lookup(sent: DataFrame, tables: DataFrame, facts) -> DataFrame:
+def _lookup(sent: DataFrame, stored: DataFrame, hot) -> DataFrame:
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = facts.value
-        stored: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for kind in (_RARE, _BIGRAM):
-            rows = [r for r in right.select(["kind", "keys", "values"]).to_pylist() if r["kind"] == kind]
-            keys = [unpack_sorted(r["keys"]) for r in rows]
-            values = [unpack(r["values"], np.float64) for r in rows]
-            if kind == _BIGRAM:  # bigrams of one customer come without values: one table, one gain each
-                values = [known.gain(k, np.ones(len(k)), np.ones(len(k))) if len(v) < len(k) else v for k, v in zip(keys, values)]
-            keys = np.concatenate([np.zeros(0, np.uint64), *keys])
-            values = np.concatenate([np.zeros(0), *values])
-            order = np.argsort(keys, kind="stable")
-            stored[kind] = keys[order], values[order]
+        known: Hot = hot.value
+        held = list(_each(right.to_batches()))
+        keys = unpack_sorted(held[0][2]) if held else np.zeros(0, np.uint64)
+        values = unpack(held[0][3], np.float32).astype(np.float64) if held else np.zeros(0)
+        tokens = unpack(held[0][4], np.uint64).astype(np.float64) if held and held[0][4] else None
         out = []
-        for row in left.to_pylist():
-            if row["kind"] == _DOCS:
-                out.append((row["block"], _DOCS, row["keys"], row["rows"]))
+        for _, block, kind, sent_keys, rows in _each(left.to_batches()):
+            if kind == _DOCS:
+                out.append((block, _DOCS, sent_keys, rows))
                 continue
-            sought, who = unpack_sorted(row["keys"]), unpack(row["rows"], np.uint32).astype(np.int64)
-            keys, values = stored[row["kind"]]
-            found = np.zeros(len(sought))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-                hit = keys[at] == sought
-                found[hit] = values[at[hit]]
+            sought, who = unpack_sorted(sent_keys), unpack(rows, np.uint32).astype(np.int64)
+            at, hit = find(keys, sought)
             docs, place = np.unique(who, return_inverse=True)
             sums = np.zeros((len(docs), _WIDTH))
-            if row["kind"] == _RARE:
-                base, spelling = known.rare_logs(found)
+            if kind == _OF_WORD:
+                found = np.zeros(len(sought))
+                logs = np.full(len(sought), math.log10(known.unknown))
+                if hit.any():
+                    found[hit], logs[hit] = tokens[at[hit]], values[at[hit]]
                 sums[:, 1] = np.bincount(place, found > 0, len(docs))
-                sums[:, 2] = np.bincount(place, base, len(docs))
-                sums[:, 3] = np.bincount(place, spelling, len(docs))
+                sums[:, 2] = np.bincount(place, known.base(found), len(docs))
+                sums[:, 3] = np.bincount(place, logs, len(docs))
             else:
-                sums[:, 3] = np.bincount(place, found, len(docs))
-            out.append((row["block"], row["kind"], pack(docs.astype(np.uint32)), pack(sums.ravel())))
-        columns = list(zip(*out)) or [[]] * 4
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["block", "kind", "ids", "sums"])
+                sums[:, 3] = np.bincount(place[hit], values[at[hit]], len(docs))
+            out.append((block, kind, pack(docs.astype(np.uint32)), pack(sums.ravel())))
+        return _table(_SUMMED, out)
 
-    return sent.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(join, _SUMMED)
+    return sent.groupBy("part").cogroup(stored.groupBy("part")).applyInArrow(join, _SUMMED)
 
 
 def _gather(summed: DataFrame, total: int) -> DataFrame:
     schema = "doc long, n_tokens long, n_known long, base_score double, score double"
 
     def add(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        own = [r for r in rows if r["kind"] == _DOCS]
-        n = len(own[0]["ids"]) // 9
-        ids = np.frombuffer(own[0]["ids"][: 8 * n], np.int64)
-        nulls = np.frombuffer(own[0]["ids"][8 * n :], np.uint8).astype(bool)
-        sums = unpack(own[0]["sums"], np.float64).reshape(-1, _WIDTH).copy()
+        rows = list(_each(group.to_batches()))
+        own = [r for r in rows if r[1] == _DOCS]
+        n = len(own[0][2]) // 9
+        ids = np.frombuffer(own[0][2][: 8 * n], np.int64)
+        nulls = np.frombuffer(own[0][2][8 * n :], np.uint8).astype(bool)
+        sums = unpack(own[0][3], np.float64).reshape(-1, _WIDTH).copy()
         # Equal blocks (repeated rows) send the same sums, each of them as often as there are blocks.
         extra = np.zeros_like(sums)
-        for r in rows:
-            if r["kind"] != _DOCS:
-                np.add.at(extra, unpack(r["ids"], np.uint32).astype(np.int64), unpack(r["sums"], np.float64).reshape(-1, _WIDTH))
+        for _, kind, docs, more in rows:
+            if kind != _DOCS:
+                np.add.at(extra, unpack(docs, np.uint32).astype(np.int64), unpack(more, np.float64).reshape(-1, _WIDTH))
         sums += extra / len(own)
         out = [pa.array(ids, mask=nulls), *[pa.array(np.rint(sums[:, i]).astype(np.int64)) for i in (0, 1)], pa.array(sums[:, 2]), pa.array(sums[:, 3])]
         table = pa.table(out, names=["doc", "n_tokens", "n_known", "base_score", "score"])
@@ -607,6 +646,14 @@ def in_training(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 != 2, F.lit(True))
 
 
+def learn(space: Workspace, texts: DataFrame, parts: int, word_parts: int) -> _Model:
+    """A sampled model of the column text."""
+    model = _Model(space, space.stage(count_pairs(texts, parts), "pairs"), word_parts)
+    space.drop("pairs")
+    model.sample()
+    return model
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training=None) -> DataFrame:
     """(doc, n_tokens, n_known, base_score, score, train_tokens), one row per row of docs.
 
@@ -617,16 +664,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     training = in_training(id_col) if training is None else training
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), training.alias("training"))
     parts = min(MOST_PARTS, max(LEAST_PARTS, 2 * texts.rdd.getNumPartitions()))
-    learnt = texts.filter("training").select("text")
-    words = space.stage(_count(learnt, parts), "words")
-    symbols = _symbols(words)
-    shared = docs.sparkSession.sparkContext.broadcast(symbols)
-    types = space.stage(_count(learnt, parts, shared), "types")
-    model = _Model(space, types, symbols)
-    model.sample()
-    facts = docs.sparkSession.sparkContext.broadcast(model.facts())
-    hot = max(2, math.ceil(HOT_SHARE * symbols.total))
-    hot_gains = docs.sparkSession.sparkContext.broadcast(_hot_gains(model.state, facts, hot))
-    tables = _tables(words, types, model.state, facts, hot)
-    sent = _send(texts.select("doc", "text"), facts, hot_gains, parts)
-    return _gather(_lookup(sent, tables, facts), symbols.total)
+    word_parts = max(LEAST_PARTS // 2, parts // PAIRS_TO_WORDS)
+    model = learn(space, texts.filter("training").select("text"), parts, word_parts)
+    words = model.words()
+    gains = model.gains(words)
+    space.drop(*[name for name, _ in model.sampled], f"state-{BURN_IN + SAMPLES}")
+    hot = docs.sparkSession.sparkContext.broadcast(_hot(words, gains, model.unknown, model.totals))
+    sent = _send(texts.select("doc", "text"), hot, word_parts, parts)
+    return _gather(_lookup(sent, _stored(words, gains, word_parts), hot), model.totals.tokens)
