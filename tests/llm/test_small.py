@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodeweave.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, line_dedup, lm_score, ngram_join, substring_dedup, toxicity
 from lodeweave.llm.common import Workspace
 from lodeweave.llm.components import components
+from tests.conftest import SF
 
 DOCS = "doc_id long, text string, row string, doc long, version long, n int, bands string, score string"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,10 +56,13 @@ def test_line_dedup(spark):
 def test_exact_dedup(spark):
     rows = [(3, "a  b"), (1, "a\tb"), (2, None), (5, ""), (4, "c"), (4, "c"), (None, "a b")]
     found = {(r["doc"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs(spark, rows)).collect()}
-    last = (1 << 63) - 1
-    assert found == {(3, 1, 3, False), (1, 1, 3, True), (2, 2, 2, True), (5, 2, 2, False), (4, 4, 2, True), (last, 1, 3, False)}
+    assert found == {(3, 1, 3, False), (1, 1, 3, True), (2, 2, 2, True), (5, 2, 2, False), (4, 4, 2, True), (None, 1, 3, False)}
     assert exact_dedup.exact_groups(docs(spark, []).limit(0)).count() == 0
-    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs(spark, rows)).collect()) == [1, 2, 4, 4]
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(docs(spark, rows)).collect()) == [1, 2, 4]
+    odd = [(None, "x"), (None, "x"), (None, "y"), (1, "a"), (1, "b"), (2, "b"), (0, "a")]
+    kept = exact_dedup.exact_dedup(docs(spark, odd))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == [(0, "a"), (1, "b"), (None, "x"), (None, "y")]
+    assert kept.columns == docs(spark, odd).columns and kept.first()["row"] == "row"
 
 
 def test_cuckoo_index(spark):
@@ -68,14 +72,24 @@ def test_cuckoo_index(spark):
     assert table.contains(keys + np.uint64(1)).mean() < 0.01
     assert not exact_dedup.CuckooFilter(2).insert(keys)
     index = exact_dedup.CuckooIndex(spark, Workspace(spark, "test"), 2000, first_sizing=2)
-    rows = spark.range(600).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("doc"))
-    index.insert(rows)
-    index.insert(rows.withColumn("doc", F.col("doc") + 1000))
-    assert index.stored.count() == 600 and index.filters.agg(F.sum("n_keys")).first()[0] == 600
-    index.delete(rows.filter("doc < 100").select("digest"))
-    assert index.stored.count() == 500
+    rows = spark.range(600).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("doc"), F.col("id").cast("string").alias("content"))
+    later = rows.withColumn("doc", F.col("doc") + 1000)
+    live = lambda: {(bytes(r["digest"]), r["doc"]) for r in index.stored().collect()}
+    want = {(bytes(r["digest"]), r["doc"]) for r in rows.collect()}
+    index.insert(later.filter("doc < 1300"))
+    index.insert(rows)  # smaller documents take the place of the live ones
+    index.insert(later)
+    assert live() == want and index.filters.agg(F.sum("n_keys")).first()[0] == 600
+    index.delete(rows.filter("doc < 100"))
+    assert live() == {(d, n) for d, n in want if n >= 100}
     probed = index.probe(index.with_shard(rows).select("shard", "digest", "doc"))
     assert probed.filter("doc >= 100 and not maybe").count() == 0 and probed.filter("doc < 100 and maybe").count() < 10
+    index.insert(rows.filter("doc < 50"))
+    assert live() == {(d, n) for d, n in want if n >= 100 or n < 50}
+    # A hit of another content is no copy: its digest would be that of two texts.
+    index.insert(rows.filter("doc = 200").select("digest", F.lit(7).cast("long").alias("doc"), F.lit("other").alias("content")))
+    assert {n for d, n in live() if d in {x for x, m in want if m == 200}} == {7, 200}
+    index.drop()
 
 
 def test_chat_format(spark):
@@ -121,7 +135,8 @@ def similar(rows, k, share):
 def test_ngram_join(spark, k, num):
     rows = odd_texts()
     got = ngram_join.similar_groups(docs(spark, rows), k=k, num=num)
-    assert {r["doc"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == similar(rows, k, num / 100)
+    last = (1 << 63) - 1
+    assert {last if r["doc"] is None else r["doc"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == similar(rows, k, num / 100)
     assert got.count() == len(rows)
 
 
@@ -201,53 +216,117 @@ def test_lm_score(spark):
     assert lm_score.score_texts(docs(spark, []).limit(0)).count() == 0
 
 
+def lm(spark, texts):
+    """A learnt model: log10 of the probability of each word after each context, from the tables of the parts."""
+    learn = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = lm_score.learn(Workspace(spark, "lm-test"), learn, 4, 2)
+    facts = model.words()
+    words, chances, rooms = {}, {}, {}
+    for r in facts.collect():
+        for h, n, p, room in zip(lm_score.unpack_sorted(bytes(r["words"])).tolist(), *(lm_score.unpack(bytes(r[c]), np.float64).tolist() for c in ("tokens", "chances", "rooms"))):
+            words[h], chances[h], rooms[h] = n, p, room
+    gains = {}
+    for r in model.gains(facts).collect():
+        gains |= dict(zip(lm_score.unpack_sorted(bytes(r["keys"])).tolist(), lm_score.unpack(bytes(r["gains"]), np.float32).tolist()))
+
+    def log(before, word):
+        pair = int(lm_score.pair_keys(np.array([before], np.uint64), np.array([word], np.uint64))[0])
+        return rooms.get(before, 0.0) + math.log10(chances.get(word, model.unknown)) + gains.get(pair, 0.0)
+
+    return words, log
+
+
 def test_lm_is_a_distribution(spark):
-    """The next symbol's probabilities after a context add up to one."""
-    learn = spark.createDataFrame([("a b a c",), ("a b b",), ("c a b d",)], "text string")
-    words = lm_score._count(learn, 4)
-    symbols = lm_score._symbols(words)
-    shared = spark.sparkContext.broadcast(symbols)
-    types = lm_score._count(learn, 4, shared)
-    model = lm_score._Model(Workspace(spark, "lm-test"), types, symbols)
-    model.sample()
-    facts = model.facts()
-    n = symbols.base - 1
-    seen = {}
-    for row in types.collect():
-        for k, c in zip(lm_score.unpack_sorted(bytes(row["keys"])).tolist(), lm_score.unpack(bytes(row["counts"]), np.uint64).tolist()):
-            seen[k] = [c, 1.0]
-    for row in model.state.collect():
-        for k, t in zip(lm_score.unpack_sorted(bytes(row["keys"])).tolist(), lm_score.unpack(bytes(row["total"]), np.float64).tolist()):
-            seen[k][1] = t / lm_score.SAMPLES
-    for context in range(symbols.base):
-        chance = facts.backed_off(np.full(n, context), np.arange(n))
-        for dish in range(n):
-            if context * symbols.base + dish in seen:
-                c, t = seen[context * symbols.base + dish]
-                chance[dish] *= 10 ** float(facts.gain(np.array([context * symbols.base + dish], np.uint64), np.array([c]), np.array([t]))[0])
-        assert chance.sum() == pytest.approx(1, abs=1e-6)
-
-
-def test_lm_symbols_at_any_size(spark):
-    """A word that occurs twice is a symbol of its own, however many tokens there are."""
-    keys, counts = np.array([3, 5, 9, 11], np.uint64), np.array([5_000_000, 2, 1, 4], np.uint64)
-    words = spark.createDataFrame([(0, lm_score.pack_sorted(keys), lm_score.pack(counts))], lm_score._COUNTS)
-    symbols = lm_score._symbols(words)
-    assert symbols.hashes.tolist() == [3, 5, 11] and symbols.counts.tolist() == [5_000_000, 2, 4]
-    assert (symbols.total, symbols.distinct) == (5_000_007, 4)
+    """The next word's probabilities after any context, known or not, add up to one with that of an unknown word."""
+    words, log = lm(spark, ["a b a c", "a b b", "c a b d", ""])
+    assert sum(words.values()) == 15 and sum(n > 0 for n in words.values()) == 5  # the beginning is no token
+    for before in [*words, 12345]:
+        total = sum(10 ** log(before, w) for w, n in words.items() if n) + 10 ** log(before, 999)
+        assert total == pytest.approx(1, abs=1e-6)
+
+
+def plain_sampler(texts, held_out, strength, discount, sweeps=60, burn_in=20):
+    """Mean log10 scores of held-out texts from seating one customer at a time, by the book."""
+    rng = random.Random(5)
+    tokens = [[*t.split(), "</s>"] for t in texts]
+    base = 1 / (len({w for t in tokens for w in t}) + 1)
+    seats = collections.defaultdict(lambda: collections.defaultdict(list))  # context -> dish -> sizes of its tables
+    top: dict = {}
+
+    def chance(context, word):
+        def level(dishes, parent):
+            own, n, t = dishes.get(word, []), sum(map(sum, dishes.values())), sum(map(len, dishes.values()))
+            return (max(sum(own) - discount * len(own), 0) + (strength + discount * t) * parent) / (n + strength)
+
+        uni = level(top, base)
+        return level(seats[context], uni) if context in seats else uni
+
+    def sit(dishes, word, parent):
+        tables = dishes.setdefault(word, [])
+        new = (strength + discount * sum(map(len, dishes.values()))) * parent
+        pick = rng.random() * (new + sum(n - discount for n in tables))
+        for i, n in enumerate(tables):
+            pick -= n - discount
+            if pick < 0:
+                tables[i] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(dishes, word):
+        tables = dishes[word]
+        i = rng.choices(range(len(tables)), tables)[0]
+        tables[i] -= 1
+        if not tables[i]:
+            del tables[i]
+            if not tables:
+                del dishes[word]
+            return True
+        return False
+
+    moves = [(a, b) for t in tokens for a, b in zip(["<s>", *t], t)]
+    uni = lambda w: chance(("none",), w)
+    sums = [0.0] * len(held_out)
+    for sweep in range(sweeps):
+        for context, word in moves:
+            if sweep and leave(seats[context], word):
+                leave(top, word)
+            if sit(seats[context], word, uni(word)):
+                sit(top, word, base)
+        if sweep >= burn_in:
+            for i, t in enumerate(held_out):
+                words = [*t.split(), "</s>"]
+                sums[i] += sum(math.log10(chance(a, b)) for a, b in zip(["<s>", *words], words))
+    return [s / (sweeps - burn_in) for s in sums]
+
+
+def test_lm_against_a_plain_sampler(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(f"t{(a := (a * 3 + rng.randrange(3)) % 30 if j else rng.randrange(30))}" for j in range(20)) if (a := 0) is not None else ""
+    learnt, held = [text() for _ in range(60)], [text() for _ in range(12)] + ["t1 new t2", ""]
+    _, log = lm(spark, learnt)
+    got = []
+    for t in held:
+        hashes = [int(h) for h in np.append(lm_score.word_hashes(t.encode()), lm_score.END)]
+        got.append(sum(log(a, b) for a, b in zip([int(lm_score.BEGIN), *hashes], hashes)))
+    ones = collections.Counter(p for t in learnt for p in zip(["<s>", *t.split()], [*t.split(), "</s>"]))
+    n1, n2 = (sum(c == n for c in ones.values()) for n in (1, 2))
+    want = plain_sampler(learnt, held, lm_score.STRENGTH, min(0.95, max(0.1, n1 / (n1 + 2 * n2))))
+    assert sum(got) == pytest.approx(sum(want), rel=0.01)
+    assert got == pytest.approx(want, rel=0.04)
 
 
 PAGE = """<html><head><title>t</title><script>var x="</p>";</script></head><body><header class="site-header"><h1>Site</h1></header>
 <div class="cookie-notice">We use cookies</div><nav><a href=/a>Menu</a></nav><div class="story-%d"><article><h1>Head %d</h1><p>One &amp; two<br>three %d
-<p>Four</p><div class="ad-slot">Buy</div><form><p>Mail</p></form><section id="comments"><p>nice</p></section></article></div>
+<p>Four %d</p><div class="ad-slot">Buy</div><form><p>Mail</p></form><section id="comments"><p>nice</p></section></article></div>
 <aside>side</aside><footer>&copy; x</footer></body>"""
 
 
 def test_html(spark):
-    rows = [(i, f"https://h.example/{i}", PAGE % (i, i, i)) for i in range(12)] + [(50, None, None), (51, "x", ""), (52, "https://h.example/2", PAGE % (2, 2, 2)), (2, "https://h.example/2", PAGE % (2, 2, 2))]
+    rows = [(i, f"https://h.example/{i}", PAGE % (i, i, i, i)) for i in range(12)] + [(50, None, None), (51, "x", ""), (52, "https://h.example/2", PAGE % (2, 2, 2, 2)), (2, "https://h.example/2", PAGE % (2, 2, 2, 2))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "row": F.lit(2), "slots": F.lit(3)})
     got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
-    assert all(got[i] == f"Head {i}\n\nOne & two three {i}\n\nFour" for i in (0, 5, 11))
+    assert all(got[i] == f"Head {i}\n\nOne & two three {i}\n\nFour {i}" for i in (0, 5, 11))
     assert got[3].startswith("Head 3\n\nOne & two three 3") and "Buy" not in got[3] and "nice" not in got[3] and "cookies" not in got[3]
     assert got[50] == "" and got[51] == "" and got[52] == got[2]
     assert html_extract.extract(df.limit(0)).count() == 0
@@ -270,21 +349,72 @@ def test_html_keeps_title_and_lead_beside_the_text(spark, name):
     assert name == "content" or "links" not in got[0]
 
 
-def test_template_text_of_slots():
-    page = '<div class="text"><p>Same on all pages.</p><p>Own %d</p></div>'
-    pages = [html_extract.Page(page % i) for i in range(9)]
-    rows = {}
-    for i, p in enumerate(pages):
-        counts = collections.Counter(p.elements) + collections.Counter({"": 1}) + collections.Counter(html_extract._text_token(b.path, b.text) for b in p.blocks)
-        for token, n in counts.items():
-            row = rows.setdefault(token, [0, 0, 0, 0, 0])
-            row[0] ^= hash((i, n))
-            row[1:3] = [row[1] + 1, row[2] + n]
-            row[3] += sum(len(b.text) for b in p.blocks if b.path == token)
-    slots, template = html_extract.deduce([(t, *v) for t, v in rows.items()])
-    assert slots and len(template) == 1
-    assert html_extract.main_text(page % 3, slots, set(template)) == "Own 3"
-    assert html_extract.main_text('<div class="text"><p>Same on all pages.</p></div>', slots, set(template)) == "Same on all pages."
+def by_host(sources):
+    """The template of pages of one host, from occurrence vectors written out page by page."""
+    pages = [html_extract.page_tokens(html_extract.Page(x)) for x in sources]
+    tokens = {t for p in pages for t in p}
+    vectors = {t: tuple(p.get(t, [0])[0] for p in pages) for t in tokens}
+    number = {v: i for i, v in enumerate(sorted(set(vectors.values())))}
+    rows = []
+    for t in sorted(tokens):
+        seen = [p[t] for p in pages if t in p]
+        if len(seen) >= html_extract.FREQUENT * len(pages):
+            rows.append((t, number[vectors[t]], len(seen), *[sum(x[i] for x in seen) for i in range(3)]))
+    return html_extract.deduce(rows)
+
+
+def test_template_decides():
+    page = '<body><div class="a1"><div>Offer %d of the day, see <a href=/x>all our offers of the day and more</a></div></div><div class="b2"><p>Same on all pages.</p><p>Own text %d of the page, quite long.</p></div></body>'
+    sources = [page % (i, i) for i in range(9)]
+    template = by_host(sources)
+    assert template.slots == ["/body/div.b0"] and len(template.texts) == 1
+    assert html_extract.main_text(sources[3], template) == "Own text 3 of the page, quite long."
+    none = html_extract.Template([], [], [])
+    assert html_extract.main_text(sources[3], none) != html_extract.main_text(sources[3], template)
+    assert html_extract.main_text('<body><div class="b2"><p>Same on all pages.</p></div></body>', template) == "Same on all pages."
+
+
+def test_labels_are_of_repeated_elements():
+    """A word in a class says nothing about an element of one page, but about one that the host's pages repeat."""
+    page = '<body><nav>n</nav><article><h1>T %d</h1><p>Text %d</p>%s<div class="share-box">Share %d</div></article></body>'
+    own = ['<div class="social"><p>Social history</p></div>', '<div class="related-work">Related work</div>', '<blockquote class="reply">A reply</blockquote>']
+    sources = [page % (i, i, own[i] if i < 3 else "", i) for i in range(12)]
+    template = by_host(sources)
+    assert template.drops == ["/body/article/div.share-box"]
+    assert [html_extract.main_text(s, template) for s in sources[:4]] == [
+        f"T {i}\n\nText {i}" + x for i, x in enumerate(["\n\nSocial history", "\n\nRelated work", "\n\nA reply", ""])
+    ]
+    alone = html_extract.main_text(f"<article><p>a</p>{''.join(own)}</article>", html_extract.Template([], [], []))
+    assert alone == "a\n\nSocial history\n\nRelated work\n\nA reply"
+
+
+def test_html_equals_written_out_vectors(spark):
+    """Hashed, summed vectors and the joins of the operator give what vectors written out page by page give."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    hosts = {}
+    for r in rows.collect():
+        hosts.setdefault((r["url"] or "").lower().split("/")[2], []).append(r)
+    want = {}
+    for pages in hosts.values():
+        template = by_host([r["html"] for r in pages])
+        want |= {r["page_id"]: html_extract.main_text(r["html"], template) for r in pages}
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()} == want
+    html_extract.BROADCAST_BYTES, before = -1, html_extract.BROADCAST_BYTES
+    try:
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(rows).collect()} == want
+    finally:
+        html_extract.BROADCAST_BYTES = before
+
+
+def test_html_odd_pages(spark):
+    long = "<p>" + "word " * 200_000
+    rows = [(1, "http://a/1", f"<article>{long}"), (2, "http://b/2", "<b>x<i>y</b>z"), (3, None, "<p>a<p>b"), (3, None, "<p>a<p>b"), (4, "http://c/4", "<")]
+    names = "page_id long, url string, html string, slots string, drops string, texts string, template string, row string, host string"
+    df = spark.createDataFrame([(*r, *"abcdef") for r in rows], names)
+    got = html_extract.extract(df).collect()
+    assert len(got) == 5 and all([*r][3:9] == [*"abcdef"] for r in got)
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert texts == {1: ("word " * 200_000).strip(), 2: "xyz", 3: "a\n\nb", 4: "<"}
 
 
 def test_components(spark):
