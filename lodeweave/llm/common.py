@@ -11,7 +11,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The white space of every contract, [\x20\x09-\x0D].
@@ -169,6 +169,49 @@ def id_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
+def _part(at: Column) -> Column:
+    return F.shiftright(at, 33)
+
+
+def _within(at: Column) -> Column:
+    return at.bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def ordered(space: Workspace, rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """rows sorted over all their parts, with `_at`: the part (its upper bits) and the place there from 0.
+
+    The order is made by ranges, from a sample of rows: stage() what is dear to compute before.
+    """
+    in_parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return space.stage(in_parts.withColumn("_at", F.monotonically_increasing_id()), label)
+
+
+def totals_before(rows: DataFrame, amount: Column) -> DataFrame:
+    """(_part, _before, _own) of ordered() rows: what all parts before have of the amount, and what the part has. One row a part."""
+    own = rows.groupBy(_part(F.col("_at")).alias("_part")).agg(F.sum(amount).alias("_own"))
+    before = F.sum("_own").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return own.withColumn("_before", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+def placed(space: Workspace, rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their places 1, 2, ... in the order over all of them; equal rows in any order, no two with one place."""
+    sorted_rows = ordered(space, rows, order, f"by_{name}")
+    parts = totals_before(sorted_rows, F.lit(1)).select("_part", "_before")
+    met = sorted_rows.withColumn("_part", _part(F.col("_at"))).join(F.broadcast(parts), "_part")
+    return met.withColumn(name, F.col("_before") + _within(F.col("_at")) + 1).drop("_part", "_before", "_at")
+
+
+def running(rows: DataFrame, amounts: dict[str, Column]) -> DataFrame:
+    """ordered() rows with sums of the amounts, by name, from the first row of all to each of them; a part's rows are summed by one task."""
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("_part", _part(F.col("_at")))
+    for name, amount in amounts.items():
+        before = totals_before(rows, amount).select("_part", "_before")
+        out = out.withColumn(name, F.sum(amount).over(inside)).join(F.broadcast(before), "_part")
+        out = out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+    return out.drop("_part", "_at")
+
+
 def batch_of(id_col: str, bounds: list[int]) -> Column:
     batch = F.lit(0)
     for cut in bounds:

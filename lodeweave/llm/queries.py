@@ -231,6 +231,131 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 of the distinct words only, byte by byte from their hex digits.
+OP11_SQL = f"""
+with crc_table as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, s:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as step
+), words as (
+  select 'd' as side, doc_id, {_WORDS_SQL} as words from documents
+  union all select 't', null, {_WORDS_SQL} from benchmark
+), flat as (
+  select side, doc_id, rid, unnest(words) as word from (select *, row_number() over () as rid from words)
+), bytes as (
+  select word, list_transform(range(1, length(code), 2), lambda i: cast(
+    16 * (instr('0123456789ABCDEF', code[i]) - 1) + instr('0123456789ABCDEF', code[i + 1]) - 1 as bigint)) as b
+  from (select word, hex(encode(word)) as code from (select distinct word from flat))
+), hashed as (
+  select word, xor(list_reduce(b, lambda c, x: xor(c >> 8, step[xor(c, x) % 256 + 1]), cast(4294967295 as bigint)), 4294967295) % 10000 as bucket
+  from bytes, crc_table
+), counts as (
+  select bucket, count(*) filter (where side = 'd') as s, count(*) filter (where side = 't') as t from flat join hashed using (word) group by bucket
+), totals as (
+  select sum(s) as s_all, sum(t) as t_all from counts
+), gains as (
+  select bucket, floor(1000 * ln(cast(t + 1 as double) * (s_all + 10000) / (cast(s + 1 as double) * (t_all + 10000)))) as gain from counts, totals
+), weighed as (
+  select rid, doc_id, count(*) as n, cast(floor(sum(gain) / count(*)) as bigint) as weight
+  from flat join hashed using (word) join gains using (bucket) where side = 'd' group by all
+), docs as (
+  select w.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+    cast('0x' || substr(sha256('2024:' || cast(w.doc_id as varchar)), 1, 8) as bigint) as h
+  from (select *, row_number() over () as rid from words) w left join weighed using (rid) where side = 'd'
+), scored as (
+  select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from docs
+), placed as (
+  select *, n_features >= 20 and score is not null as able,
+    row_number() over (partition by n_features >= 20 and score is not null order by score desc, doc_id) as place
+  from scored
+)
+select doc_id, n_features, weight, score,
+  case when able and place <= 10 * (select count(*) from placed where able) // 100 then place end as rank
+from placed
+"""
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP12_SQL = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    case when doc_id is null then 9223372036854775807 else cast('0x' || substr(md5('mix:' || cast(doc_id as varchar)), 1, 15) as bigint) end as shuffle,
+    row_number() over () as rid
+  from documents
+), sources as (
+  select source, sum(size) as source_size, row_number() over (order by source nulls last) as place from sized group by source
+), weighed as (
+  select *, [5, 2, 1][(place - 1) % 3 + 1] as weight from sources
+), filled as (
+  select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as rate,
+    row_number() over (order by source_size / weight, place) as turn
+  from weighed window before as (order by source_size / weight, place rows between unbounded preceding and 1 preceding)
+), rates as (
+  select coalesce(min_by(rate, turn) filter (where weight * rate < 3 * source_size), 0) as rate from filled
+), targets as (
+  select source, place, source_size, least(weight * cast(r.rate as double), cast(3 * source_size as double)) as target from weighed, rates r
+), queue as (
+  select rid, doc_id, size, place, source_size, target,
+    sum(size) over (partition by place order by shuffle, doc_id nulls last, size rows unbounded preceding) as upto
+  from sized join targets on sized.source is not distinct from targets.source
+), turns as (
+  select rid, size, place, epoch * source_size + upto as reached, (epoch * source_size + upto) / target as finish
+  from queue, range(3) e(epoch) where size > 0
+), line as (
+  select rid, size, sum(size) over (order by finish, place, reached rows unbounded preceding) as used from turns
+), taken as (
+  select rid, sum(size) as taken from line where used <= (select sum(size) from sized) group by rid
+)
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken
+from queue left join taken using (rid)
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = search_documents(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
+
+
+OP13_SQL = f"""
+with docs as (
+  select doc_id, row_number() over () as rid, {_WORDS_SQL} as words from documents
+), totals as (
+  select count(*) as n_docs, sum(len(words)) as n_terms from docs where len(words) > 0
+), asked as (
+  select distinct item, item_id, term
+  from (select row_number() over () as item, item_id, unnest({_WORDS_SQL}) as term from benchmark)
+), postings as (
+  select rid, doc_id, n, term, count(*) as tf
+  from (select rid, doc_id, len(words) as n, unnest(words) as term from docs) semi join asked using (term) group by all
+), weights as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / cast(2 * count(*) + 1 as double))) as bigint) as w from postings, totals group by term, n_docs
+), scores as (
+  select item, item_id, rid, doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) as bigint) as score
+  from asked join postings using (term) join weights using (term), totals group by item, item_id, rid, doc_id
+)
+select item_id, cast(row_number() over best as int) as rank, doc_id, score
+from scores where score > 0
+window best as (partition by item order by score desc, doc_id nulls last)
+qualify row_number() over best <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -243,8 +368,20 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_lm_score": op9_lm_score,
         "op10_html_extract": op10_html_extract,
+        "op11_importance": op11_importance,
+        "op12_mixing": op12_mixing,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_ngram_join": OP7_SQL, "op8_decontaminate": OP8_SQL}
+    return {
+        "op1_line_dedup": OP1_SQL,
+        "op3_chat_format": OP3_SQL,
+        "op4_exact_dedup": OP4_SQL,
+        "op7_ngram_join": OP7_SQL,
+        "op8_decontaminate": OP8_SQL,
+        "op11_importance": OP11_SQL,
+        "op12_mixing": OP12_SQL,
+        "op13_ranked_search": OP13_SQL,
+    }
