@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as fn
-from ..schemas import Evidence, symbol_id
+from ..schemas import Evidence
+from ..staging import stage
 
 # Relations that are walked, and those of them that end a path.
 TRAVERSABLE = ["calls", "uses", "implements", "maps_statement", "queries_table", "route", "uses_config", "depends_on_module"]
@@ -36,7 +37,31 @@ def lookup_keys(symbols: DataFrame) -> DataFrame:
 
 
 _ANY_ARITY = -9
-_REQUEST = ["repository_id", "_key", "_signature", "_arity", "_most"]
+_ASK = ["_key", "_signature", "_arity", "_most"]
+
+
+@dataclass(frozen=True)
+class Names:
+    """keys: every symbol by each of its keys. index: one row a key, with what each tier has: n, one, statements, statement."""
+
+    keys: DataFrame
+    index: DataFrame
+
+
+def names_of(symbols: DataFrame) -> Names:
+    """Symbols are counted by key, not gathered: a name that very many symbols have makes no large group."""
+    keys = lookup_keys(symbols)
+    tiers = []
+    for tier in range(3):
+        mine = F.col("tier") == tier
+        statement = mine & (F.col("symbol.kind") == "mapper_statement")
+        tiers.append(
+            F.struct(
+                F.count_if(mine).alias("n"), F.max(F.when(mine, F.col("symbol"))).alias("one"),
+                F.count_if(statement).alias("statements"), F.max(F.when(statement, F.col("symbol"))).alias("statement"),
+            ).alias(f"_t{tier}")
+        )
+    return Names(keys, keys.groupBy("repository_id", F.col("key").alias("_key")).agg(*tiers))
 
 
 def _fits(symbol) -> object:
@@ -45,18 +70,13 @@ def _fits(symbol) -> object:
     return same & ((F.col("_arity") == _ANY_ARITY) | (signature == "") | (fn.signature_arity(signature) == F.col("_arity")))
 
 
-def bind(rows: DataFrame, keys: DataFrame, name, signature=None, arity=None, owned: bool = False) -> DataFrame:
-    """rows with n, the number of symbols that `name` may mean in their repository (null: none), and symbol, the only one.
-
-    signature, arity: columns that narrow the choice where they are set. owned: several are told apart by whose lines
-    the row's file and line lie in. A lone mapper statement stands for declarations of its name.
-
-    Equal requests are one row, and their symbols are counted, not gathered: a name that very many rows ask for, or
-    very many symbols have, makes no large group.
-    """
+def _ask(rows: DataFrame, names: Names, name, signature, arity) -> DataFrame:
+    """rows with n, symbol and tier as the index tells them; `open` where several symbols have to be looked at one by one."""
+    nothing = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in rows.columns if c != "symbol"]).cast("string"))
     asked = rows.withColumns(
         {
-            "_key": name,
+            # Rows that ask for nothing are spread over all tasks by a key that no symbol has.
+            "_key": F.coalesce(name, nothing),
             "_signature": signature if signature is not None else F.lit(""),
             "_arity": F.coalesce(arity, F.lit(_ANY_ARITY)) if arity is not None else F.lit(_ANY_ARITY),
         }
@@ -65,31 +85,72 @@ def bind(rows: DataFrame, keys: DataFrame, name, signature=None, arity=None, own
     suffix = (dots == 1) & ~F.contains(F.substring_index("_key", ".", 1), F.lit("/"))
     # The widest tier a name may fall back to: its last part if it has no dot, a suffix if it has one.
     asked = asked.withColumn("_most", F.when(dots == 0, 1).when(suffix, 2).otherwise(0))
-    keys = keys.withColumnRenamed("key", "_key")
-    met = asked.select(*_REQUEST).distinct().join(keys, ["repository_id", "_key"]).filter((F.col("tier") == 0) | (F.col("tier") == F.col("_most")))
+    met = asked.join(names.index, ["repository_id", "_key"], "left")
+    exact = F.col("_t0.n") > 0
+    best = F.when(exact, F.col("_t0")).when(F.col("_most") == 1, F.col("_t1")).when(F.col("_most") == 2, F.col("_t2"))
+    met = met.withColumns({"tier": F.when(exact, 0).otherwise(F.col("_most")), "_best": best}).drop("_t0", "_t1", "_t2")
+    n, one = F.col("_best.n"), F.col("_best.one")
+    narrow = (F.col("_signature") != "") | (F.col("_arity") != _ANY_ARITY)
+    lone = (n > 1) & (F.col("_best.statements") == 1)
+    only = F.when(lone, F.col("_best.statement")).when((n == 1) & _fits(one), one)
+    made = {
+        "n": F.when(n > 0, F.when(lone, 1).when((n == 1) & ~_fits(one), 0).otherwise(n)),
+        "symbol": only, "open": F.coalesce(narrow & (n > 1), F.lit(False)),
+    }
+    return met.withColumns(made).drop("_best")
+
+
+def _settle(first: DataFrame, names: Names, owned: bool) -> DataFrame:
+    """What _ask() has left open, told by signatures, numbers of arguments and, if owned, by whose lines a row lies in.
+
+    first: a stored table. Equal requests are one row, and only the symbols of their keys are read.
+    """
+    unsure = F.col("open") | ((F.col("n") > 1) if owned else F.lit(False))
+    unsure = F.coalesce(unsure, F.lit(False))
+    done, rest = first.filter(~unsure), first.filter(unsure)
+    shown = [c for c in first.columns if c not in (*_ASK, "tier", "open")]
+    if rest.isEmpty():
+        return done.select(*shown)
+    keys = names.keys.withColumnRenamed("key", "_key")
+    request = ["repository_id", "_key", "_signature", "_arity", "tier"]
+    met = rest.filter("open").select(*request).distinct().join(keys, ["repository_id", "_key", "tier"])
     fits = _fits(F.col("symbol"))
     statement = fits & (F.col("symbol.kind") == "mapper_statement")
-    tiers = met.groupBy(*_REQUEST, "tier").agg(
+    found = met.groupBy(*request).agg(
         F.count_if(fits).alias("fitting"), F.max(F.when(fits, F.col("symbol"))).alias("one"),
         F.count_if(statement).alias("statements"), F.max(F.when(statement, F.col("symbol"))).alias("statement"),
     )
     lone = (F.col("fitting") > 1) & (F.col("statements") == 1)
-    tiers = tiers.select(
-        *_REQUEST, F.struct("tier", F.when(lone, 1).otherwise(F.col("fitting")).alias("n"), F.when(lone, F.col("statement")).when(F.col("fitting") == 1, F.col("one")).alias("symbol")).alias("best")
+    found = found.select(
+        *request, F.when(lone, 1).otherwise(F.col("fitting")).alias("_n"),
+        F.when(lone, F.col("statement")).when(F.col("fitting") == 1, F.col("one")).alias("_symbol"),
     )
-    found = tiers.groupBy(*_REQUEST).agg(F.min("best").alias("best")).select(*_REQUEST, "best.*")
-    out = asked.join(found, _REQUEST, "left")
+    out = rest.join(found, request, "left")
+    out = out.withColumns({"n": F.when(F.col("open"), F.col("_n")).otherwise(F.col("n")), "symbol": F.when(F.col("open"), F.col("_symbol")).otherwise(F.col("symbol"))})
     if owned:
-        place = [*_REQUEST, "path", "line"]
-        several = out.filter("n > 1").select(*place, "tier").distinct()
+        place = [*request, "path", "line"]
+        several = out.filter("n > 1").select(*place).distinct()
         inside = several.join(keys.withColumn("path", F.col("symbol.path")), ["repository_id", "_key", "tier", "path"])
         inside = inside.filter(fits & (F.col("symbol.line") <= F.col("line")) & (F.col("symbol.end_line") >= F.col("line")))
         mine = inside.groupBy(*place).agg(F.count(F.lit(1)).alias("_own"), F.max("symbol").alias("_owner"))
         out = out.join(mine, place, "left")
-        open_ = F.col("n") > 1
-        symbol = F.when(open_, F.when(F.col("_own") == 1, F.col("_owner"))).otherwise(F.col("symbol"))
-        out = out.withColumns({"n": F.when(open_, F.coalesce("_own", F.lit(0))).otherwise(F.col("n")), "symbol": symbol})
-    return out.select(*[c for c in rows.columns if c not in ("n", "symbol")], "n", "symbol")
+        many = F.col("n") > 1
+        symbol = F.when(many, F.when(F.col("_own") == 1, F.col("_owner"))).otherwise(F.col("symbol"))
+        out = out.withColumns({"symbol": symbol, "n": F.when(many, F.coalesce("_own", F.lit(0))).otherwise(F.col("n"))})
+    return done.select(*shown).unionByName(out.select(*shown))
+
+
+def bind(rows: DataFrame, names: Names, name, signature=None, arity=None) -> DataFrame:
+    """rows with n, the number of symbols that `name` may mean in their repository (null: none), and symbol, the only one.
+
+    signature, arity: columns that narrow the choice where they are set. A lone mapper statement stands for
+    declarations of its name.
+    """
+    kept = [c for c in rows.columns if c not in ("n", "symbol")]
+    first = _ask(rows.select(*kept), names, name, signature, arity)
+    if signature is None and arity is None:
+        return first.select(*kept, "n", "symbol")
+    return _settle(stage(first, "bind"), names, False).select(*kept, "n", "symbol")
 
 
 @dataclass(frozen=True)
@@ -101,6 +162,8 @@ class Graph:
     links: DataFrame
     #: The relations once more, sorted by their targets, where they are stored.
     incoming: DataFrame | None = None
+    #: The walkable relations before contracts were added, also those without a source.
+    bound: DataFrame | None = None
 
 
 _RELATION = [
@@ -109,23 +172,32 @@ _RELATION = [
 ]
 
 
-def resolve_relations(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Walkable relations with their ends; source_id is null where the source isn't one symbol for certain.
+def walkable(edges: DataFrame) -> DataFrame:
+    """Relations that are walked, with edge_no: a hash of the whole row, so it is the same in every run."""
+    told = F.xxhash64("repository_id", "path", "line", "kind", "source", "target", "source_signature", "target_arity")
+    return edges.filter(F.col("kind").isin(*TRAVERSABLE)).withColumn("edge_no", told)
 
-    edge_no tells relations apart: a hash of the whole row, so it is the same in every run.
-    """
-    keys = lookup_keys(symbols)
-    walkable = edges.filter(F.col("kind").isin(*TRAVERSABLE)).withColumn(
-        "edge_no", F.xxhash64("repository_id", "path", "line", "kind", "source", "target", "source_signature", "target_arity")
-    )
-    sources = bind(walkable, keys, F.col("source"), signature=F.coalesce("source_signature", F.lit("")), owned=True)
-    sources = sources.withColumn("source_id", F.col("symbol.uid")).drop("n", "symbol")
-    target = F.when(~F.col("kind").isin(*TERMINAL), F.col("target"))
-    joined = bind(sources, keys, target, arity=F.col("target_arity")).withColumns(
+
+def resolve_relations(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """Walkable relations with their ends; source_id is null where the source isn't one symbol for certain."""
+    return _resolved(walkable(edges), names_of(symbols))
+
+
+def _resolved(rows: DataFrame, names: Names) -> DataFrame:
+    """Both ends of a relation are looked up before the result is stored once; what is open after that is few."""
+    terminal = F.col("kind").isin(*TERMINAL)
+    first = _ask(rows, names, F.col("source"), F.coalesce("source_signature", F.lit("")), None)
+    first = first.withColumnsRenamed({c: f"s{c}" for c in (*_ASK, "n", "symbol", "tier", "open")})
+    first = stage(_ask(first, names, F.when(~terminal, F.col("target")), None, F.col("target_arity")), "bind")
+    sources = first.withColumnsRenamed({c: f"t{c}" for c in (*_ASK, "n", "symbol", "tier", "open")})
+    sources = sources.withColumnsRenamed({f"s{c}": c for c in (*_ASK, "n", "symbol", "tier", "open")})
+    sources = _settle(sources, names, True).withColumn("source_id", F.col("symbol.uid")).drop("n", "symbol")
+    sources = sources.withColumnsRenamed({f"t{c}": c for c in (*_ASK, "n", "symbol", "tier", "open")})
+    joined = _settle(sources, names, False).withColumns(
         {"n_targets": F.col("n"), "target_id": F.col("symbol.uid"), "target_repository": F.col("symbol.repository_id")}
     )
     reason = (
-        F.when(F.col("kind").isin(*TERMINAL), "terminal_evidence")
+        F.when(terminal, "terminal_evidence")
         .when(F.col("target_id").isNotNull(), "")
         .when(F.coalesce("n_targets", F.lit(0)) > 1, "ambiguous_target")
         .otherwise("unresolved_target")
@@ -136,27 +208,51 @@ def resolve_relations(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def load_graph(found: Evidence) -> Graph:
-    """All of it: relations, contract links and the relations they add, diagnostics of sources that stay unbound."""
+def rebind_relations(bound: DataFrame, states: DataFrame, old_symbols: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """resolve_relations() of a changed snapshot from that before: only what a change can reach is bound again.
+
+    bound: the relations as they were. states: (repository_id, path, state) of files that may be other than unchanged.
+    A name counts as touched if a symbol that it can mean came, went or moved; relations of changed files, and
+    relations of other files with a touched name at either end, are bound, all others are taken over.
+    """
+    touched = stage(states.filter("state <> 'unchanged'").select("repository_id", "path"), "touched")
+    columns = ["repository_id", "path", "name", "kind", "line", "uid", "signature", "end_line"]
+    before, after = (x.join(touched, ["repository_id", "path"], "left_semi").select(*columns) for x in (old_symbols, symbols))
+    other = before.exceptAll(after).unionByName(after.exceptAll(before))
+    names = stage(lookup_keys(other).select("repository_id", "key").distinct(), "names")
+    rows = walkable(edges)
+    changed = rows.join(touched, ["repository_id", "path"], "left_semi")
+    rest = rows.join(touched, ["repository_id", "path"], "left_anti")
+    reached = [rest.join(names.withColumnRenamed("key", end), ["repository_id", end], "left_semi") for end in ("source", "target")]
+    # A relation with both names touched comes by its source only; repeated rows stay repeated.
+    by_target = reached[1].join(names.withColumnRenamed("key", "source"), ["repository_id", "source"], "left_anti")
+    again = stage(changed.unionByName(reached[0]).unionByName(by_target), "again")
+    asked = again.select("repository_id", F.explode(F.array("source", "target")).alias("key")).distinct()
+    known = names_of(symbols)
+    asked_for = Names(known.keys.join(asked, ["repository_id", "key"], "left_semi"), known.index.join(asked.withColumnRenamed("key", "_key"), ["repository_id", "_key"], "left_semi"))
+    gone = touched.withColumnsRenamed({"repository_id": "repository", "path": "file"})
+    kept = bound.join(gone, ["repository", "file"], "left_anti").join(again.select("edge_no"), "edge_no", "left_anti")
+    return kept.select(*_RELATION).unionByName(_resolved(again, asked_for).select(*_RELATION))
+
+
+def load_graph(found: Evidence, bound: DataFrame | None = None) -> Graph:
+    """All of it: relations, contract links and the relations they add, diagnostics of sources that stay unbound.
+
+    bound: the walkable relations, if they are known already. What walks read level by level is stored in the shared folder.
+    """
     from .contracts import contract_relations, link_contracts, located_contracts, rebind_calls
 
-    # Read for the walkable relations and for the gaps.
-    relations = resolve_relations(found.symbols, found.edges).persist()
+    relations = stage(resolve_relations(found.symbols, found.edges) if bound is None else bound, "bound")
     contracts = located_contracts(found.symbols, found.contracts)
-    links = link_contracts(contracts).persist()
-    bound = rebind_calls(relations.filter("source_id is not null"), links, found.symbols)
+    links = stage(link_contracts(contracts), "links")
+    walked = relations.filter("source_id is not null")
+    if not links.filter("status = 'matched'").isEmpty():
+        walked = stage(rebind_calls(walked, links, found.symbols).unionByName(contract_relations(links)), "relations")
     unbound = relations.filter("source_id is null").select(
         "repository", "file", "line", F.concat(F.lit("unresolved_or_ambiguous_source: "), "source").alias("reason"), F.lit("unresolved").alias("confidence")
     )
     told = found.diagnostics.select(F.col("repository_id").alias("repository"), F.col("path").alias("file"), "line", F.col("message").alias("reason"), "confidence")
-    # Walks read the relations level by level: they are made once. A lost part is made again from the tables.
-    return Graph(
-        symbols=found.symbols,
-        relations=bound.unionByName(contract_relations(links)).persist(),
-        diagnostics=unbound.unionByName(told),
-        contracts=contracts,
-        links=links,
-    )
+    return Graph(symbols=found.symbols, relations=walked, diagnostics=unbound.unionByName(told), contracts=contracts, links=links, bound=relations)
 
 
 def graph_tables(graph: Graph) -> dict[str, DataFrame]:
@@ -166,6 +262,7 @@ def graph_tables(graph: Graph) -> dict[str, DataFrame]:
     return {
         "relations": graph.relations.repartitionByRange("source_id").sortWithinPartitions("source_id"),
         "incoming": by("target_id").unionByName(unended),
+        "bound_relations": graph.bound,
         "graph_diagnostics": graph.diagnostics,
         "located_contracts": graph.contracts,
         "contract_links": graph.links,
@@ -173,7 +270,7 @@ def graph_tables(graph: Graph) -> dict[str, DataFrame]:
 
 
 def stored_graph(symbols: DataFrame, tables: dict[str, DataFrame]) -> Graph:
-    return Graph(symbols, tables["relations"], tables["graph_diagnostics"], tables["located_contracts"], tables["contract_links"], tables["incoming"])
+    return Graph(symbols, tables["relations"], tables["graph_diagnostics"], tables["located_contracts"], tables["contract_links"], tables["incoming"], tables["bound_relations"])
 
 
 def resolve_symbol(symbols: DataFrame, target: str, repository: str | None = None) -> DataFrame:

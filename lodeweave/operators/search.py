@@ -6,13 +6,14 @@ a requirement are one job. The table is small by contract (MOST_QUERIES).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as fn
 from ..schemas import Evidence
+from ..staging import stage
 from .ranking import top_per_key
 
 DEFAULT_LIMIT = 1000
@@ -163,10 +164,10 @@ _GAPS = {
 def candidates(found: Evidence, queries: DataFrame, candidate_limit: int = CANDIDATE_LIMIT, repository: str | None = None) -> DataFrame:
     """Candidates of the four sources, each cut to candidate_limit + 1, exact ones first; `place` is the rank there.
 
-    The scan of the files is read for totals, document frequencies and hits: its rows, which have no text, are kept.
+    The scan of the files is read for totals, document frequencies and hits: its rows, which have no text, are stored.
     """
     scan = scan_files(found.files, queries)
-    scan.rows.persist()
+    scan = replace(scan, rows=stage(scan.rows, "scan"))
     if repository:
         found = found.within(repository)
     parts = [

@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import search as S
 from ..operators.ranking import first_of_key, merge_coverage, top_per_key
 from ..schemas import Evidence
+from ..staging import stage
 
 # Limits and kinds.
 MOST_KEYWORDS, MOST_EVIDENCE, MOST_TRACES = 64, 200, 8
@@ -74,7 +75,7 @@ def analyze_requirement(found: Evidence, text: str, graph: G.Graph | None = None
     if not words:
         return {"keywords": [], "evidence": [], "repositories": [], "entry_points": [], "change_points": [], "impacts": [], "flows": [], "risks": [], "questions": [ASK_EVIDENCE], "coverage": {"complete": True, "reasons": []}}
     evidence, searched = requirement_evidence(found, words, MOST_EVIDENCE + 1)
-    evidence = evidence.persist()
+    evidence = stage(evidence, "evidence")
     rows = [r.asDict() for r in evidence.orderBy("rank_no").collect()]
     if len(rows) > MOST_EVIDENCE:
         reasons.append("evidence_limit")
@@ -103,7 +104,6 @@ def analyze_requirement(found: Evidence, text: str, graph: G.Graph | None = None
             flows.append(told | {"flows": X.flows(graph, walked, start)})
     risks = [RISK_TABLE] if any(r["kind"] == "queries_table" for r in rows) else []
     risks += [RISK_REPOSITORIES] if len(repositories) > 1 else []
-    evidence.unpersist()
     return {
         "keywords": words, "evidence": rows, "repositories": repositories, "entry_points": entries, "change_points": changes, "impacts": impacts, "flows": flows,
         "risks": [*risks, *reasons], "questions": [] if rows else [ASK_EVIDENCE],

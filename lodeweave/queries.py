@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bindings as B
 from .functions import identifiers as fn
 from .operators import search as S
+from .staging import stage
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -173,7 +176,7 @@ def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with {B.FILES_SQL}, {_asked_sql([FILE_TEXT, 'license', 'doc 7', 'también für'])}, {_FTS_SQL} select query_no, repository_id as repository, path as file, round(rank, 6) as rank from ranks")
 def search_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = S.scan_files(B.files(spark, sf_dir), S.queries_frame(spark, [FILE_TEXT, "license", "doc 7", "también für"]))
-    scan.rows.persist()
+    scan = replace(scan, rows=stage(scan.rows, "scan"))
     ranks = S.full_text_ranks(scan)
     return ranks.select("query_no", F.col("repository_id").alias("repository"), F.col("path").alias("file"), F.round("rank", 6).alias("rank"))
 
