@@ -23,9 +23,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     # The hub of a star has many rows here: a plain inner sort-merge join, which Spark splits where it is skewed.
-    joined = seen.hint("merge").join(least.hint("merge"), "a")
+    # A large star moves only the larger neighbours, so only these are joined.
+    moved = seen.filter("b > a") if large else seen
+    joined = moved.hint("merge").join(least.hint("merge"), "a")
     if large:
-        linked = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
