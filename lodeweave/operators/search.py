@@ -15,6 +15,7 @@ from ..functions import identifiers as fn
 from ..schemas import Evidence
 from ..staging import stage
 from .ranking import top_per_key
+from .text_index import TextIndex, file_words, triples
 
 DEFAULT_LIMIT = 1000
 CANDIDATE_LIMIT = 1000
@@ -49,8 +50,10 @@ def _reason(name, exact: str, normal: str, other: str, scores):
     return F.when(F.col("score") == scores[0], exact).when(F.col("score") == scores[1], normal).otherwise(other)
 
 
-def symbol_candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    met = symbols.join(_prepared(queries), fn.all_terms_in(F.col("name"), F.col("terms")))
+def symbol_candidates(symbols: DataFrame, queries: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Symbols whose names have every term of a query. pairs: (query_no, uid) that can; only these are looked at."""
+    prepared, named = _prepared(queries), fn.all_terms_in(F.col("name"), F.col("terms"))
+    met = symbols.join(prepared, named) if pairs is None else symbols.join(pairs, "uid").join(prepared, "query_no").filter(named)
     met = met.withColumn("score", fn.name_score(F.col("name"), F.col("text"), F.col("query"), fn.SYMBOL_SCORES))
     plain = F.translate(F.lower("name"), "_-.", "")
     tier = F.when(fn.same_text(F.col("name"), F.col("text")), 0).when(F.endswith(plain, F.col("query")), 1).otherwise(2)
@@ -89,18 +92,19 @@ class FileScan:
         return self.rows.filter(F.col("repository_id") == repository) if repository else self.rows
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_no, text, lowered, terms): the queries with their terms as full-text search has them."""
+    prepared = _prepared(queries).select("query_no", "text", F.lower("text"), F.transform("terms", fn.without_marks))
+    # At most MOST_QUERIES short texts; they go to the executors with the plan.
+    return queries.sparkSession.createDataFrame([tuple(r) for r in prepared.collect()], "query_no int, text string, lowered string, terms array<string>")
+
+
 def scan_files(files: DataFrame, queries: DataFrame) -> FileScan:
     """Reads each file once: its number of tokens, its tokens that are terms of a query, the queries it has word for word."""
-    prepared = _prepared(queries)
-    asked = queries.sparkSession.createDataFrame(
-        # At most MOST_QUERIES short texts; they go to the executors with the plan.
-        [(r[0], r[1], r[2]) for r in prepared.select("query_no", "text", F.transform("terms", fn.without_marks)).collect()],
-        "query_no int, text string, terms array<string>",
-    )
+    asked = asked_terms(queries)
     rows = asked.collect()
     vocabulary = sorted({t for r in rows for t in r["terms"]})
-    text = fn.without_marks(F.lower(F.concat_ws(" ", "repository_id", "path", "content")))
-    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    words = file_words()
     hits = F.filter("words", lambda w: w.isin(*vocabulary)) if vocabulary else F.array().cast("array<string>")
     lowered = F.lower("content")
     place = [F.when(F.contains(lowered, F.lower(F.lit(r["text"]))), F.struct(F.lit(r["query_no"]).alias("query_no"), fn.match_line(F.col("content"), F.lit(r["text"])).alias("line"))) for r in rows]
@@ -109,30 +113,89 @@ def scan_files(files: DataFrame, queries: DataFrame) -> FileScan:
     return FileScan(scanned.select("repository_id", "path", F.size("words").alias("length"), hits.alias("hits"), "literal"), asked)
 
 
+@dataclass(frozen=True)
+class Indexed:
+    """A stored index, one of its states, and the files and symbols it is of."""
+
+    index: TextIndex
+    state: list[dict]
+    files: DataFrame
+
+
+def _ranks(asked: DataFrame, postings: DataFrame, seen: DataFrame, totals: DataFrame, more: list[str]) -> DataFrame:
+    """BM25 of files that have every term of a query; seen: (term, df), totals: one row (n, average)."""
+    wanted = asked.select("query_no", F.explode(F.array_distinct("terms")).alias("term"))
+    weighed = postings.join(F.broadcast(seen), "term").crossJoin(F.broadcast(totals))  # as many rows as the queries have terms
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    scored = weighed.select("term", "repository_id", "path", *more, part.alias("part"))
+    sized = wanted.join(wanted.groupBy("query_no").agg(F.count(F.lit(1)).alias("asked")), "query_no")
+    return (
+        scored.join(F.broadcast(sized), "term")
+        .groupBy("query_no", "repository_id", "path", "asked")
+        .agg(F.count(F.lit(1)).alias("had"), (-F.sum("part")).alias("rank"), *[F.any_value(c).alias(c) for c in more])
+        .filter("had = asked")
+        .select("query_no", "repository_id", "path", "rank", *more)
+    )
+
+
 def full_text_ranks(scan: FileScan, repository: str | None = None) -> DataFrame:
     """(query_no, repository_id, path, rank, literal) of files that have every term; rank is minus BM25, lower is better.
 
     Numbers of files and of tokens are those of all files scanned, also for a search in one repository.
     """
-    wanted = scan.queries.select("query_no", F.explode(F.array_distinct("terms")).alias("term"))
-    totals = F.broadcast(scan.rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")))  # one row
+    totals = scan.rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
     seen = scan.rows.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     postings = scan.within(repository).filter(F.size("hits") > 0)
     postings = postings.select("repository_id", "path", "length", "literal", "hits", F.explode(F.array_distinct("hits")).alias("term"))
     postings = postings.withColumn("tf", F.size(F.filter("hits", lambda h: h == F.col("term")))).drop("hits")
-    weighed = postings.join(F.broadcast(seen), "term").crossJoin(totals)  # as many rows as the queries have terms
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    scored = weighed.select("term", "repository_id", "path", "literal", part.alias("part"))
-    asked = wanted.join(wanted.groupBy("query_no").agg(F.count(F.lit(1)).alias("asked")), "query_no")
-    return (
-        scored.join(F.broadcast(asked), "term")
-        .groupBy("query_no", "repository_id", "path", "asked")
-        .agg(F.count(F.lit(1)).alias("had"), (-F.sum("part")).alias("rank"), F.any_value("literal").alias("literal"))
-        .filter("had = asked")
-        .select("query_no", "repository_id", "path", "rank", "literal")
-    )
+    return _ranks(scan.queries, postings, seen, totals, ["literal"])
+
+
+def indexed_ranks(stored: Indexed, asked: DataFrame, repository: str | None = None) -> DataFrame:
+    """full_text_ranks() from the stored postings of the queries' terms; no text is read."""
+    n, tokens = stored.index.totals(stored.state)
+    totals = asked.sparkSession.createDataFrame([(n, tokens / n if n else 0.0)], "n long, average double")
+    postings = stored.index.postings(stored.state, sorted({t for r in asked.select("terms").collect() for t in r["terms"]}))
+    seen = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _ranks(asked, postings.filter(F.col("repository_id") == repository) if repository else postings, seen, totals, [])
+
+
+def indexed_texts(stored: Indexed, asked: DataFrame, repository: str | None = None) -> DataFrame:
+    """(query_no, repository_id, path, line) of files with a query's text word for word, whatever its case.
+
+    Texts are read of those files only that have all byte triples of the text; of all files for a text without any.
+    """
+    files = stored.files.filter(F.col("repository_id") == repository) if repository else stored.files
+    rows = asked.collect()
+    grams = {r["query_no"]: triples(r["lowered"].encode()) for r in rows}
+    short = [q for q, g in grams.items() if not g]
+    texts = asked.select("query_no", "text", "lowered")
+    found = None
+    if len(short) < len(grams):
+        able = stored.index.having(stored.state, {q: g for q, g in grams.items() if g})
+        found = files.join(able, ["repository_id", "path"]).join(F.broadcast(texts), "query_no").filter(F.contains(F.lower("content"), F.col("lowered")))
+    if short:
+        every = files.join(F.broadcast(texts.filter(F.col("query_no").isin(*short))), F.contains(F.lower("content"), F.col("lowered"))).select(*(found.columns if found else "*"))
+        found = every if found is None else found.unionByName(every)
+    if found is None:
+        found = files.join(F.broadcast(texts), F.lit(False))
+    return found.select("query_no", "repository_id", "path", fn.match_line(F.col("content"), F.col("text")).alias("line"), "text")
+
+
+def indexed_symbols(stored: Indexed, symbols: DataFrame, queries: DataFrame) -> DataFrame:
+    """symbol_candidates() of the symbols whose names have all byte triples of a query's terms."""
+    terms = {r["query_no"]: r["terms"] for r in _prepared(queries).select("query_no", "terms").collect()}
+    grams = {q: set().union(*(triples(t.encode()) for t in ts)) for q, ts in terms.items() if ts}
+    short = [q for q, g in grams.items() if not g]
+    long = {q: g for q, g in grams.items() if g}
+    able = stored.index.having(stored.state, long, "symbol_grams").select("query_no", "uid") if long else None
+    found = symbol_candidates(symbols, queries, able) if long else None
+    if short or not long:
+        every = symbol_candidates(symbols, queries.filter(F.col("query_no").isin(*short)))
+        found = every if found is None else found.unionByName(every)
+    return found
 
 
 def _file_evidence(df: DataFrame) -> DataFrame:
@@ -153,6 +216,17 @@ def substring_candidates(scan: FileScan, repository: str | None = None) -> DataF
     return _file_evidence(met.withColumns(made))
 
 
+def indexed_file_candidates(stored: Indexed, queries: DataFrame, most: int, repository: str | None = None) -> list[DataFrame]:
+    """Full-text and literal candidates of files; of the full-text ones the first `most`, whose texts alone are read."""
+    asked = asked_terms(queries)
+    texts = F.broadcast(asked.select("query_no", "text"))
+    ranks = top_per_key(indexed_ranks(stored, asked, repository), ["query_no"], [F.col("rank"), F.col("repository_id"), F.col("path")], most).drop("rank_no")
+    met = stored.files.select("repository_id", "path", "content").join(ranks, ["repository_id", "path"]).join(texts, "query_no")
+    ranked = {"line": fn.match_line(F.col("content"), F.col("text")), "score": fn.full_text_score(F.col("rank")), "reason": F.lit("full-text file match"), "tier": F.col("rank"), "match": F.lit("file_fts")}
+    literal = {"score": F.lit(fn.SUBSTRING_SCORE), "reason": F.lit("literal file-content match"), "tier": F.lit(0), "match": F.lit("file_substring")}
+    return [_file_evidence(met.withColumns(ranked)), _file_evidence(indexed_texts(stored, asked, repository).withColumns(literal))]
+
+
 _GAPS = {
     "symbol": "symbol candidates truncated",
     "edge": "edge candidates truncated",
@@ -161,21 +235,24 @@ _GAPS = {
 }
 
 
-def candidates(found: Evidence, queries: DataFrame, candidate_limit: int = CANDIDATE_LIMIT, repository: str | None = None) -> DataFrame:
+def candidates(
+    found: Evidence, queries: DataFrame, candidate_limit: int = CANDIDATE_LIMIT, repository: str | None = None, stored: Indexed | None = None
+) -> DataFrame:
     """Candidates of the four sources, each cut to candidate_limit + 1, exact ones first; `place` is the rank there.
 
-    The scan of the files is read for totals, document frequencies and hits: its rows, which have no text, are stored.
+    With a stored index only postings and the texts of candidates are read. Without, the files are scanned once; the
+    scan is read for totals, document frequencies and hits: its rows, which have no text, are stored.
     """
-    scan = scan_files(found.files, queries)
-    scan = replace(scan, rows=stage(scan.rows, "scan"))
-    if repository:
-        found = found.within(repository)
-    parts = [
-        symbol_candidates(found.symbols, queries),
-        edge_candidates(found.edges, queries),
-        full_text_candidates(scan, repository),
-        substring_candidates(scan, repository),
-    ]
+    mine = found.within(repository) if repository else found
+    if stored:
+        symbols = indexed_symbols(stored, mine.symbols, queries)
+        texts = indexed_file_candidates(stored, queries, candidate_limit + 1, repository)
+    else:
+        scan = scan_files(found.files, queries)
+        scan = replace(scan, rows=stage(scan.rows, "scan"))
+        symbols = symbol_candidates(mine.symbols, queries)
+        texts = [full_text_candidates(scan, repository), substring_candidates(scan, repository)]
+    parts = [symbols, edge_candidates(mine.edges, queries), *texts]
     order = [F.col("tier"), F.col("repository"), F.col("file"), F.col("line"), F.col("name"), F.col("source")]
     union = None
     for part in parts:
@@ -200,14 +277,15 @@ RANK_ORDER = ["repository", "file", "line", "kind", "name", "source", "target"]
 
 
 def ranked_search(
-    found: Evidence, queries: DataFrame, repository: str | None = None, limit: int = DEFAULT_LIMIT, candidate_limit: int = CANDIDATE_LIMIT
+    found: Evidence, queries: DataFrame, repository: str | None = None, limit: int = DEFAULT_LIMIT, candidate_limit: int = CANDIDATE_LIMIT,
+    stored: Indexed | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(evidence with rank_no, coverage), both by query_no."""
     if not 1 <= limit <= DEFAULT_LIMIT:
         raise ValueError(f"search limit must be between 1 and {DEFAULT_LIMIT}")
     if repository:
         check_scope(found, repository)
-    all_candidates = candidates(found, queries, candidate_limit, repository)
+    all_candidates = candidates(found, queries, candidate_limit, repository, stored)
     fused = fuse(all_candidates, candidate_limit)
     order = [F.col("score").desc(), *[F.col(c) for c in RANK_ORDER]]
     top = top_per_key(fused, ["query_no"], order, limit)

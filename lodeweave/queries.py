@@ -30,6 +30,11 @@ def _query(sql: str | None = None):
 
 TEXT = "Small Ring"
 FILE_TEXT = "the thing"
+_ASKED = {
+    "search_substring": [FILE_TEXT, "%", "Licensed under"],
+    "search_fts": [FILE_TEXT, "license", "doc 7", "también für"],
+    "search_symbols": ["SmallRing", "small_ring", "catalog.RedWidget.p1"],
+}
 
 
 def _asked_sql(texts: list[str]) -> str:
@@ -164,29 +169,29 @@ def search_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"with {B.FILES_SQL}, {_asked_sql([FILE_TEXT, '%', 'Licensed under'])} select query_no, repository_id as repository, path as file, cast({_LINE_SQL} as int) as line "
+    f"with {B.FILES_SQL}, {_asked_sql(_ASKED['search_substring'])} select query_no, repository_id as repository, path as file, cast({_LINE_SQL} as int) as line "
     "from files, asked where contains(lower(content), lower(text))"
 )
 def search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`%` and `_` are text like any other."""
-    found = S.substring_candidates(S.scan_files(B.files(spark, sf_dir), S.queries_frame(spark, [FILE_TEXT, "%", "Licensed under"])))
+    found = S.substring_candidates(S.scan_files(B.files(spark, sf_dir), S.queries_frame(spark, _ASKED["search_substring"])))
     return found.select("query_no", "repository", "file", "line")
 
 
-@_query(f"with {B.FILES_SQL}, {_asked_sql([FILE_TEXT, 'license', 'doc 7', 'también für'])}, {_FTS_SQL} select query_no, repository_id as repository, path as file, round(rank, 6) as rank from ranks")
+@_query(f"with {B.FILES_SQL}, {_asked_sql(_ASKED['search_fts'])}, {_FTS_SQL} select query_no, repository_id as repository, path as file, round(rank, 6) as rank from ranks")
 def search_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scan = S.scan_files(B.files(spark, sf_dir), S.queries_frame(spark, [FILE_TEXT, "license", "doc 7", "también für"]))
+    scan = S.scan_files(B.files(spark, sf_dir), S.queries_frame(spark, _ASKED["search_fts"]))
     scan = replace(scan, rows=stage(scan.rows, "scan"))
     ranks = S.full_text_ranks(scan)
     return ranks.select("query_no", F.col("repository_id").alias("repository"), F.col("path").alias("file"), F.round("rank", 6).alias("rank"))
 
 
 @_query(
-    f"with {B.CATALOG_SQL}, {_asked_sql(['SmallRing', 'small_ring', 'catalog.RedWidget.p1'])} select query_no, uid as id, name, cast({_score_sql('name', fn.SYMBOL_SCORES)} as double) as score "
+    f"with {B.CATALOG_SQL}, {_asked_sql(_ASKED['search_symbols'])} select query_no, uid as id, name, cast({_score_sql('name', fn.SYMBOL_SCORES)} as double) as score "
     f"from symbols, asked where {_has_terms('name')}"
 )
 def search_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.symbol_candidates(B.catalog(spark, sf_dir).symbols, S.queries_frame(spark, ["SmallRing", "small_ring", "catalog.RedWidget.p1"]))
+    found = S.symbol_candidates(B.catalog(spark, sf_dir).symbols, S.queries_frame(spark, _ASKED["search_symbols"]))
     return found.select("query_no", "id", "name", "score")
 
 
@@ -211,7 +216,7 @@ def file_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import graph_queries, other_queries  # noqa: F401  they add theirs
+    from . import graph_queries, index_queries, other_queries  # noqa: F401  they add theirs
 
     return dict(_Q)
 
