@@ -7,9 +7,7 @@
 from __future__ import annotations
 
 import json
-import shutil
 import sys
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -26,6 +24,7 @@ from .plans.snapshots import SnapshotStore
 from .rpc import serve
 from .schemas import evidence
 from .sources import inputs, workspace
+from .staging import stage, working_path
 
 VIEWS, FRESHNESS = ("summary", "detail"), ("stable", "latest")
 #: Seconds that a request for the latest state waits for a refresh.
@@ -126,7 +125,9 @@ class EvidenceSession:
 
     def search(self, given: dict) -> dict:
         text, limit = _text(given, "text").strip(), _number(given, "limit", 50, 1, 1000)
-        top, coverage = S.ranked_search(self._found(given), S.queries_frame(self.spark, [text]), _text(given, "repository", False) or None, limit)
+        found, entry = self._found(given), self.store.entry(given["snapshot_id"])
+        stored = S.Indexed(self.store.index, entry["index"], found.files) if entry["index"] else None
+        top, coverage = S.ranked_search(found, S.queries_frame(self.spark, [text]), _text(given, "repository", False) or None, limit, stored=stored)
         rows = [r.asDict() for r in top.orderBy("rank_no").drop("query_no").collect()]
         return {"evidence": rows, "coverage": coverage.drop("query_no").first().asDict()}
 
@@ -172,38 +173,48 @@ class EvidenceSession:
         """A snapshot of all baselines; if no repository's commit is another than in the active one, that one stays.
 
         Only repositories with another commit are read, and only files of theirs with another hash are extracted again;
-        evidence of all other files is taken over, that of files a baseline has no more goes.
+        evidence of all other files is taken over, that of files a baseline has no more goes. What is written are the rows of
+        the repositories that moved, their relations as far as a change reaches them, and a segment of the text index.
         """
         repositories = self._repositories()
         if repositories.filter("baseline_commit <> ''").isEmpty():
             raise ValueError("no repository has a baseline")
-        old = self.store.read() if self.store.active else evidence(self.spark)
+        active = self.store.entry() if self.store.active else None
+        old = self.store.read(active["id"]) if active else evidence(self.spark)
         states = I.repository_states(repositories, old.repositories)
         stale = repositories.join(states.filter("state = 'stale'"), "repository_id", "left_semi")
-        if self.store.active and stale.isEmpty():
-            return self.store.active
-        staging = tempfile.mkdtemp(dir=self.store.root, prefix=".staging-")
-
-        def kept(df, name: str):
-            df.write.parquet(f"{staging}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{staging}/{name}")
-
-        try:
-            files = kept(workspace.archived_files(stale), "files")
-            before = old.files.join(stale.select("repository_id"), "repository_id", "left_semi")
-            compared = kept(I.compare_files(before, files), "compared")
-            fresh = files.join(compared.filter("state in ('added', 'changed')"), ["repository_id", "path"], "left_semi")
-            found = evidence(self.spark, files=fresh, **extract_files(fresh, f"{staging}/rows"))
-            tables = {t: I.replace_evidence(getattr(old, t), getattr(found, t), compared) for t in ("files", "symbols", "edges", "contracts", "diagnostics")}
-            now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-            again = stale.select("repository_id", now.alias("indexed_at"))
-            held = old.repositories.select("repository_id", F.col("indexed_at").alias("held_at"))
-            named = repositories.join(again, "repository_id", "left").join(held, "repository_id", "left").withColumn("indexed_at", F.coalesce("indexed_at", "held_at"))
-            tables["repositories"] = named.select("repository_id", "baseline_branch", "baseline_commit", "baseline_state", "indexed_at")
-            baseline = I.baseline_text(repositories).first()[0]
-            return self.store.write(tables, baseline, derive=lambda whole: G.graph_tables(G.load_graph(whole)))
-        finally:
-            shutil.rmtree(staging, ignore_errors=True)
+        moved = [r[0] for r in stale.select("repository_id").collect()]  # of the list of repositories, which the driver made
+        if active and not moved:
+            return active["id"]
+        files = stage(workspace.archived_files(stale), "files")
+        mine = lambda df, column="repository_id": df.filter(F.col(column).isin(*moved))
+        compared = stage(I.compare_files(mine(old.files), files), "compared")
+        fresh = files.join(compared.filter("state in ('added', 'changed')"), ["repository_id", "path"], "left_semi")
+        found = evidence(self.spark, files=fresh, **extract_files(fresh, working_path(self.spark, "rows")))
+        tables = {t: I.replace_evidence(mine(getattr(old, t)), getattr(found, t), compared) for t in ("files", "symbols", "edges", "contracts", "diagnostics")}
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        again = stale.select("repository_id", now.alias("indexed_at"))
+        held = old.repositories.select("repository_id", F.col("indexed_at").alias("held_at"))
+        named = repositories.join(again, "repository_id", "left").join(held, "repository_id", "left").withColumn("indexed_at", F.coalesce("indexed_at", "held_at"))
+        tables["repositories"] = named.select("repository_id", "baseline_branch", "baseline_commit", "baseline_state", "indexed_at")
+
+        def graph(whole):
+            if not active:
+                bound = stage(G.resolve_relations(whole.symbols, whole.edges), "bound")
+                return G.graph_tables(whole, bound, bound)
+            before = self.store.derived(active["id"])["bound_relations"]
+            bound = G.rebind_relations(mine(before, "repository"), compared, mine(old.symbols), mine(whole.symbols), mine(whole.edges))
+            bound = stage(bound, "bound")
+            rest = before.filter(~F.coalesce(F.col("repository").isin(*moved), F.lit(False)))
+            return G.graph_tables(whole, bound, rest.unionByName(bound), moved)
+
+        def index(whole):
+            changed = compared.filter("state <> 'unchanged'")
+            symbols = whole.symbols.join(changed, ["repository_id", "path"], "left_semi")
+            return self.store.index.add(active["index"] if active else [], fresh, symbols, changed.filter("state <> 'added'"))
+
+        baseline = I.baseline_text(repositories).first()[0]
+        return self.store.write(tables, baseline, graph, active, moved if active else None, index)
 
     def change(self, given: dict) -> dict:
         revision = _text(given, "range")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +10,12 @@ from .operators import search as S
 from .operators.text_index import TextIndex
 from .queries import FILE_TEXT, TEXT, _ASKED, _SQL, _TOP, _query, _search_sql, _shown
 from .schemas import Evidence
-from .staging import shared_folder, stage
+from .staging import working_path
 
 
 def indexed(spark: SparkSession, found: Evidence) -> S.Indexed:
     """An index that has come to these files and symbols in three steps: first as most of them were before, then what changed, then what was added."""
-    index = TextIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", fanout=3)
+    index = TextIndex(spark, working_path(spark, "index"), fanout=3)
     turn = F.pmod(F.xxhash64("path"), F.lit(4))
     files, symbols = (x.withColumn("turn", turn) for x in (found.files, found.symbols))
     # Before: a quarter is not there yet, a quarter has another text, and some files are there that go.

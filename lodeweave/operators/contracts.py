@@ -117,8 +117,8 @@ def contract_relations(links: DataFrame) -> DataFrame:
     )
 
 
-def rebind_calls(relations: DataFrame, links: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls through a matched remote interface lead to the provider's method, if it is one only, not to the local stub."""
+def rebound_calls(relations: DataFrame, links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Of calls through a matched remote interface those that lead to the provider's method, if it is one only, as they are now."""
     owner = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
     calls = relations.filter("kind = 'calls'").select(
         "edge_no", "repository", owner("source").alias("consumer"), owner("target").alias("contract_key"), fn.short_name(F.col("target")).alias("method"), "target_arity"
@@ -128,18 +128,12 @@ def rebind_calls(relations: DataFrame, links: DataFrame, symbols: DataFrame) ->
     ).distinct()
     met = calls.join(remote, ["repository", "consumer", "contract_key"])
     found = bind(met, names_of(symbols), F.concat_ws(".", "owner", "method"), arity=F.col("target_arity")).filter("n > 0")
-    once = found.groupBy("edge_no").agg(F.sum("n").alias("n"), F.first("symbol", ignorenulls=True).alias("bound")).filter("n = 1").select("edge_no", "bound")
-    joined = relations.join(once, "edge_no", "left")
-    pick = lambda new, old: F.when(F.col("bound").isNotNull(), new).otherwise(F.col(old)).alias(old)
-    return joined.select(
-        *[
-            pick({"name": F.col("bound.name"), "target": F.col("bound.name"), "target_id": F.col("bound.uid"), "target_repository": F.col("bound.repository_id"),
-                  "reason": F.lit("exact_dubbo_contract"), "confidence": F.lit("probable")}[c], c)
-            if c in ("name", "target", "target_id", "target_repository", "reason", "confidence")
-            else F.col(c)
-            for c in relations.columns
-        ]
-    )
+    once = found.groupBy("edge_no").agg(F.sum("n").alias("n"), F.first("symbol", ignorenulls=True).alias("bound")).filter("n = 1 and bound is not null")
+    made = {
+        "name": F.col("bound.name"), "target": F.col("bound.name"), "target_id": F.col("bound.uid"), "target_repository": F.col("bound.repository_id"),
+        "reason": F.lit("exact_dubbo_contract"), "confidence": F.lit("probable"),
+    }
+    return relations.join(once.select("edge_no", "bound"), "edge_no").select(*[made[c].alias(c) if c in made else F.col(c) for c in relations.columns])
 
 
 def contract_report(contracts: DataFrame, links: DataFrame, diagnostics: DataFrame, repository: str | None, text: str, limit: int) -> dict[str, DataFrame]:

@@ -29,7 +29,7 @@ def settings(text: str) -> list[tuple[str, str, int]]:
     """(dotted key, value, line): a line with `=` is a pair of its own, others nest by their indentation."""
     found: list[tuple[str, str, int]] = []
     above: dict[int, str] = {}
-    for number, line in enumerate(text.splitlines(), 1):
+    for number, line in enumerate(text.replace("\r\n", "\n").split("\n"), 1):
         plain = line.strip()
         if plain[:1] in ("", "#"):
             continue

@@ -25,7 +25,8 @@ class Rule:
 
 
 # What names a configuration key, a migrated table, a call of a path and a described path. `if exists`
-# before a table's name is skipped on purpose: otherwise `if` would be taken for the table.
+# before a table's name is skipped on purpose: otherwise `if` would be taken for the table. Only blanks and tabs are
+# skipped before a key, so that its line is its own on purpose, not that of an empty line above it.
 RULES = {
     "defines_config": Rule("defines_config", (".yml", ".yaml", ".properties"), r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9_.-]+)[ \t]*[=:]", "config:{0}"),
     "migration_table": Rule(

@@ -8,7 +8,7 @@ a match counts. Nothing is ever bound to more than one target.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,8 +162,9 @@ class Graph:
     links: DataFrame
     #: The relations once more, sorted by their targets, where they are stored.
     incoming: DataFrame | None = None
-    #: The walkable relations before contracts were added, also those without a source.
+    #: The walkable relations before contracts were added, also those without a source; what contracts added.
     bound: DataFrame | None = None
+    added: DataFrame | None = None
 
 
 _RELATION = [
@@ -240,37 +241,66 @@ def load_graph(found: Evidence, bound: DataFrame | None = None) -> Graph:
 
     bound: the walkable relations, if they are known already. What walks read level by level is stored in the shared folder.
     """
-    from .contracts import contract_relations, link_contracts, located_contracts, rebind_calls
+    relations = stage(resolve_relations(found.symbols, found.edges), "bound") if bound is None else bound
+    contracts, links, added = linked_contracts(found, relations)
+    walked = laid_over(relations.filter("source_id is not null"), added)
+    return Graph(found.symbols, walked, diagnostics_of(found, relations), contracts, links, bound=relations, added=added)
+
+
+def linked_contracts(found: Evidence, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Contracts, their links, and the relations that links add or lead elsewhere; None if there are none."""
+    from .contracts import contract_relations, link_contracts, located_contracts, rebound_calls
 
-    relations = stage(resolve_relations(found.symbols, found.edges) if bound is None else bound, "bound")
     contracts = located_contracts(found.symbols, found.contracts)
     links = stage(link_contracts(contracts), "links")
-    walked = relations.filter("source_id is not null")
-    if not links.filter("status = 'matched'").isEmpty():
-        walked = stage(rebind_calls(walked, links, found.symbols).unionByName(contract_relations(links)), "relations")
+    if links.filter("status = 'matched'").isEmpty():
+        return contracts, links, None
+    moved = rebound_calls(relations.filter("source_id is not null"), links, found.symbols)
+    return contracts, links, stage(moved.unionByName(contract_relations(links)), "added")
+
+
+def laid_over(relations: DataFrame, added: DataFrame | None) -> DataFrame:
+    """The relations with those that contracts add; one that a contract leads elsewhere is not there twice."""
+    if added is None:
+        return relations
+    return relations.join(added.select("edge_no"), "edge_no", "left_anti").select(*relations.columns).unionByName(added)
+
+
+def diagnostics_of(found: Evidence, relations: DataFrame) -> DataFrame:
     unbound = relations.filter("source_id is null").select(
         "repository", "file", "line", F.concat(F.lit("unresolved_or_ambiguous_source: "), "source").alias("reason"), F.lit("unresolved").alias("confidence")
     )
     told = found.diagnostics.select(F.col("repository_id").alias("repository"), F.col("path").alias("file"), "line", F.col("message").alias("reason"), "confidence")
-    return Graph(symbols=found.symbols, relations=walked, diagnostics=unbound.unionByName(told), contracts=contracts, links=links, bound=relations)
+    return unbound.unionByName(told)
+
 
+def graph_tables(found: Evidence, bound: DataFrame, whole_bound: DataFrame, repositories: list[str] | None = None) -> dict[str, DataFrame]:
+    """A graph as it is stored: bound relations sorted by either end, so that a walk's filter reads only the row groups it needs.
 
-def graph_tables(graph: Graph) -> dict[str, DataFrame]:
-    """A graph as it is stored: relations sorted by either end, so that a walk's filter reads only the row groups it needs."""
-    by = lambda end: graph.relations.filter(F.col(end).isNotNull()).repartitionByRange(end).sortWithinPartitions(end)
-    unended = graph.relations.filter("target_id is null")
+    repositories: those that `bound` is of; whole_bound: all relations there are. Contracts and what they add are stored whole.
+    """
+    mine = found
+    if repositories is not None:
+        mine = replace(found, diagnostics=found.diagnostics.filter(F.col("repository_id").isin(*repositories)))
+    contracts, links, added = linked_contracts(found, whole_bound)
+    by = lambda end, rows: rows.repartitionByRange(end).sortWithinPartitions(end)
     return {
-        "relations": graph.relations.repartitionByRange("source_id").sortWithinPartitions("source_id"),
-        "incoming": by("target_id").unionByName(unended),
-        "bound_relations": graph.bound,
-        "graph_diagnostics": graph.diagnostics,
-        "located_contracts": graph.contracts,
-        "contract_links": graph.links,
+        "bound_relations": by("source_id", bound),
+        "bound_incoming": by("target_id", bound.filter("source_id is not null and target_id is not null")),
+        "added_relations": bound.limit(0) if added is None else added,
+        "graph_diagnostics": diagnostics_of(mine, bound),
+        "located_contracts": contracts,
+        "contract_links": links,
     }
 
 
 def stored_graph(symbols: DataFrame, tables: dict[str, DataFrame]) -> Graph:
-    return Graph(symbols, tables["relations"], tables["graph_diagnostics"], tables["located_contracts"], tables["contract_links"], tables["incoming"], tables["bound_relations"])
+    added = None if tables["added_relations"].isEmpty() else tables["added_relations"]
+    bound = tables["bound_relations"]
+    return Graph(
+        symbols, laid_over(bound.filter("source_id is not null"), added), tables["graph_diagnostics"], tables["located_contracts"], tables["contract_links"],
+        laid_over(tables["bound_incoming"], added), bound, added,
+    )
 
 
 def resolve_symbol(symbols: DataFrame, target: str, repository: str | None = None) -> DataFrame:

@@ -1,22 +1,34 @@
-"""Immutable snapshots: one folder each, and a manifest that is replaced in one step."""
+"""Immutable snapshots that share what did not change, and a manifest that is replaced in one step.
+
+A snapshot names, for each table, the pieces it is made of: folders that it or an earlier snapshot wrote, and the
+repositories whose rows in them no longer count. A refresh writes the rows of the repositories that moved and names
+the rest. A folder goes when no kept snapshot names it any more; tables of very many pieces are written whole again.
+"""
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import re
 import shutil
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.text_index import TextIndex
 from ..schemas import FEEDBACK, REPORTS, SCHEMA_VERSION, TABLES, Evidence
 
 KEPT = 2
+MOST_PIECES = 8
 HEADROOM = 128 << 20
+#: Tables whose rows belong to one repository, and the column that names it; all others are written whole.
+BY_REPOSITORY = {t: "repository_id" for t in TABLES if t != "repositories"} | {"bound_relations": "repository", "bound_incoming": "repository", "graph_diagnostics": "repository"}
 
 
 class SnapshotStore:
@@ -26,9 +38,18 @@ class SnapshotStore:
         self.spark, self.root = spark, root
         self._lock = threading.Lock()
         self._refreshing: Future | None = None
+        self._mine: str | None = None
         os.makedirs(root, exist_ok=True)
+        self.index = TextIndex(spark, os.path.join(root, "index"))
         self.clean()
 
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """One writer of the manifest at a time, among threads and among processes; a dead one's lock goes with it."""
+        with self._lock, open(os.path.join(self.root, ".lock"), "w") as held:
+            fcntl.flock(held, fcntl.LOCK_EX)
+            yield
+
     def _manifest(self) -> dict:
         path = os.path.join(self.root, "manifest.json")
         if not os.path.exists(path):
@@ -55,11 +76,15 @@ class SnapshotStore:
         os.replace(path, os.path.join(self.root, "manifest.json"))
 
     def clean(self) -> None:
-        """Removes folders that no manifest names: what an interrupted refresh left."""
-        known = {s["id"] for s in self._manifest()["snapshots"]}
+        """Removes folders and segments that no manifest names: what an interrupted refresh left."""
+        if self._others_write():
+            return
+        snapshots = self._manifest()["snapshots"]
+        known = {s["id"] for s in snapshots} | {p["of"] for s in snapshots for pieces in s["tables"].values() for p in pieces}
         for name in os.listdir(self.root):
             if re.fullmatch(r"snapshot-\d+", name) and name not in known:
-                shutil.rmtree(os.path.join(self.root, name))
+                shutil.rmtree(os.path.join(self.root, name), ignore_errors=True)
+        self.index.drop_others([s["index"] for s in snapshots])
 
     @property
     def active(self) -> str | None:
@@ -68,37 +93,97 @@ class SnapshotStore:
     def next_id(self) -> str:
         return f"snapshot-{self._last(self._manifest()) + 1:03d}"
 
+    def _others_write(self) -> bool:
+        """Whether another process is writing a snapshot: then nothing is cleared until a later one ends."""
+        for name in os.listdir(self.root):
+            mark = os.path.join(self.root, name, ".writing")
+            if name != self._mine and os.path.exists(mark):
+                with open(mark) as opened:
+                    try:
+                        fcntl.flock(opened, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    except BlockingIOError:
+                        return True
+        return False
+
+    @contextmanager
+    def _claimed(self) -> Iterator[str]:
+        """A new snapshot's folder, marked as being written; of several processes each gets its own."""
+        number = self._last(self._manifest()) + 1
+        while True:
+            name = f"snapshot-{number:03d}"
+            try:
+                os.mkdir(os.path.join(self.root, name))
+                break
+            except FileExistsError:
+                number += 1
+        with open(os.path.join(self.root, name, ".writing"), "w") as mark:
+            fcntl.flock(mark, fcntl.LOCK_EX)
+            self._mine = name
+            try:
+                yield name
+            finally:
+                self._mine = None
+
     def _size(self, folder: str) -> int:
         return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
 
-    def write(self, tables: dict[str, DataFrame], baseline: str = "", derive: Callable[[Evidence], dict[str, DataFrame]] | None = None) -> str:
-        """A new snapshot from all its tables, and those derived from them; readers see the one before until it is whole."""
-        manifest = self._manifest()
-        size = self._size(os.path.join(self.root, manifest["active"])) if manifest["active"] else 0
+    def write(
+        self, tables: dict[str, DataFrame], baseline: str = "", derive: Callable[[Evidence], dict[str, DataFrame]] | None = None,
+        over: dict | None = None, repositories: list[str] | None = None, index: Callable[[Evidence], list[dict]] | None = None,
+    ) -> str:
+        """A new snapshot from its tables, and those derived from them; readers see the one before until it is whole.
+
+        over, repositories: an entry() whose rows of all other repositories are taken over; tables and derive() then give
+        only rows of these repositories in the tables of BY_REPOSITORY. index: gives the state of the text index.
+        """
+        size = sum(self._size(os.path.join(self.root, d)) for d in {p["of"] for pieces in over["tables"].values() for p in pieces}) if over else 0
         if shutil.disk_usage(self.root).free < 2 * size + HEADROOM:
             raise OSError("not enough free space for a snapshot")
-        name = self.next_id()
-        for table, schema in TABLES.items():
-            df = tables.get(table)
-            df = self.spark.createDataFrame([], schema) if df is None else df
-            df.write.mode("overwrite").parquet(os.path.join(self.root, name, table))
-        derived = derive(self._evidence(name)) if derive else {}
-        for table, df in derived.items():
-            df.write.mode("overwrite").parquet(os.path.join(self.root, name, table))
-        for table in (*TABLES, *derived):
-            if not os.path.exists(os.path.join(self.root, name, table, "_SUCCESS")):
-                raise OSError(f"snapshot is not whole: {table}")
-        manifest["snapshots"].append({"id": name, "baseline": baseline, "derived": sorted(derived)})
-        manifest["active"] = name
-        gone = manifest["snapshots"][:-KEPT] if len(manifest["snapshots"]) > KEPT else []
-        manifest["snapshots"] = manifest["snapshots"][-KEPT:]
-        self._replace(manifest)
-        for old in gone:
-            shutil.rmtree(os.path.join(self.root, old["id"]), ignore_errors=True)
+        with self._claimed() as name:
+            entry = {"id": name, "baseline": baseline, "tables": {}, "derived": [], "index": []}
+            for table, schema in TABLES.items():
+                df = tables.get(table)
+                entry["tables"][table] = self._pieces(name, table, self.spark.createDataFrame([], schema) if df is None else df, over, repositories)
+            derived = derive(self._evidence(entry)) if derive else {}
+            for table, df in derived.items():
+                entry["tables"][table] = self._pieces(name, table, df, over, repositories)
+            entry["derived"] = sorted(derived)
+            if index:
+                entry["index"] = index(self._evidence(entry))
+            for table in entry["tables"]:
+                if not os.path.exists(os.path.join(self.root, name, table, "_SUCCESS")):
+                    raise OSError(f"snapshot is not whole: {table}")
+            with self._alone():
+                manifest = self._manifest()
+                manifest["snapshots"] = [*manifest["snapshots"], entry][-KEPT:]
+                manifest |= {"active": name, "last": max(self._last(manifest), int(name.rpartition("-")[2]))}
+                self._replace(manifest)
+                self.clean()
         return name
 
-    def _evidence(self, name: str) -> Evidence:
-        return Evidence(**{t: self.spark.read.parquet(os.path.join(self.root, name, t)) for t in TABLES})
+    def _pieces(self, name: str, table: str, df: DataFrame, over: dict | None, repositories: list[str] | None) -> list[dict]:
+        """Writes the new rows of a table; the pieces that make it up, the new one last."""
+        held, column = (over or {"tables": {}})["tables"].get(table, []), BY_REPOSITORY.get(table)
+        if column is None or repositories is None:
+            held = []
+        held = [p | {"without": sorted({*p["without"], *repositories})} for p in held]
+        if len(held) + 1 > MOST_PIECES:
+            df, held = self._union(table, held).unionByName(df), []
+        df.write.mode("overwrite").parquet(os.path.join(self.root, name, table))
+        return [*held, {"of": name, "without": []}]
+
+    def _union(self, table: str, pieces: list[dict]) -> DataFrame:
+        out = None
+        for piece in pieces:
+            path = os.path.join(self.root, piece["of"], table)
+            rows = self.spark.read.schema(TABLES[table]).parquet(path) if table in TABLES else self.spark.read.parquet(path)
+            if piece["without"]:
+                rows = rows.filter(~F.coalesce(F.col(BY_REPOSITORY[table]).isin(*piece["without"]), F.lit(False)))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _evidence(self, entry: dict) -> Evidence:
+        return Evidence(**{t: self._union(t, entry["tables"][t]) for t in TABLES})
 
     def entry(self, snapshot_id: str | None = None) -> dict:
         """What the manifest says of a snapshot, or of the active one; one that is gone is an error, never a newer one."""
@@ -112,11 +197,11 @@ class SnapshotStore:
         return found
 
     def read(self, snapshot_id: str | None = None) -> Evidence:
-        return self._evidence(self.entry(snapshot_id)["id"])
+        return self._evidence(self.entry(snapshot_id))
 
     def derived(self, snapshot_id: str | None = None) -> dict[str, DataFrame]:
         found = self.entry(snapshot_id)
-        return {t: self.spark.read.parquet(os.path.join(self.root, found["id"], t)) for t in found.get("derived", [])}
+        return {t: self._union(t, found["tables"][t]) for t in found["derived"]}
 
     def start(self, job: Callable[[], str]) -> Future:
         """Runs job() in a thread, once for all that ask while it runs."""
@@ -155,7 +240,7 @@ class SnapshotStore:
 
     def add_feedback(self, row: dict) -> int:
         """Appends feedback under the next revision. The row counts from the moment the manifest names its revision."""
-        with self._lock:
+        with self._alone():
             manifest = self._manifest()
             revision = manifest["revision"] + 1
             full = {"revision": revision, "id": str(uuid.uuid4()), "note": "", "created_at": ""} | row

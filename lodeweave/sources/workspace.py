@@ -99,22 +99,41 @@ def exported_files(spark: SparkSession, root: str, repository_id: str) -> DataFr
     return rows.filter(fn.is_supported(F.col("path"))).withColumn("content_hash", F.sha2("content", 256))
 
 
+def _listed(repository, revision: str) -> list[str] | None:
+    """Paths that a revision or a range touches in a repository; None if it doesn't know it."""
+    how = ("diff", "--name-only", "-z") if ".." in revision else ("show", "--name-only", "--format=", "-z")
+    listed = _git(repository["path"], *how, "--end-of-options", revision, "--")
+    return None if listed is None else [p for p in listed.split("\0") if p]
+
+
+def _at_baseline(repository, path: str) -> list[str]:
+    """The path, with the repository's name in front or not, if the baseline has it."""
+    name = repository["repository_id"]
+    for prefix in (f"{name}/", f"{name.rpartition('/')[2]}/", ""):
+        inner = path.removeprefix(prefix)
+        if path.startswith(prefix) and _git(repository["path"], "cat-file", "-e", f"{repository['baseline_commit']}:{inner}") is not None:
+            return [inner]
+    return []
+
+
 def changed_files(spark: SparkSession, repositories: DataFrame, revision: str) -> DataFrame:
-    """(repository_id, path) that a path, a commit or a range a..b names in the repositories' baselines."""
+    """(repository_id, path) that a path, a commit or a range a..b names in the repositories' baselines.
+
+    What has a slash (or backslash) and no two dots is a path and nothing else; a name without any is a revision first.
+    Repositories without a baseline are not asked; a change that no repository knows, or that is empty, is an error.
+    """
+    if revision.startswith("-"):
+        raise ValueError(f"not a change: {revision}")
+    path = revision.replace("\\", "/")
     rows = []
-    known = False
-    for r in repositories.select("path", "repository_id", "baseline_commit").collect():
-        if r["baseline_commit"] and _git(r["path"], "cat-file", "-e", f"{r['baseline_commit']}:{revision}") is not None:
-            found = [revision]
-        elif ".." in revision:
-            listed = _git(r["path"], "diff", "--name-only", "-z", revision)
-            found = None if listed is None else listed.split("\0")
+    for r in repositories.filter("baseline_commit <> ''").select("path", "repository_id", "baseline_commit").collect():
+        if ".." not in revision and "/" in path:
+            found = _at_baseline(r, path)
         else:
-            listed = _git(r["path"], "show", "--name-only", "--format=", "-z", revision)
-            found = None if listed is None else listed.split("\0")
-        if found is not None:
-            known = True
-            rows += [(r["repository_id"], p) for p in found if p]
-    if not known:
+            found = _listed(r, revision)
+            if found is None:
+                found = [] if ".." in revision else _at_baseline(r, path)
+        rows += [(r["repository_id"], p) for p in found]
+    if not rows:
         raise ValueError(f"unknown change: {revision}")
     return spark.createDataFrame(rows, "repository_id string, path string").distinct()

@@ -28,11 +28,16 @@ def file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """df, written and read again: later plans begin here, and a lost executor costs nothing. It goes when the driver ends."""
-    spark = df.sparkSession
+def working_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver ends."""
     folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     at, files = file_system(spark, folder)
     files.deleteOnExit(at)
+    return folder
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """df, written and read again: later plans begin here, and a lost executor costs nothing."""
+    folder = working_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
