@@ -22,8 +22,8 @@ other kind; lists of links in there are left out. So words as `social` or
 `related` say nothing about an element of one page, only about one that the
 pages of a host repeat.
 
-From the main slots come all blocks that are not template text (the same block
-in all of MANY pages or more). Elements that can only be boilerplate (scripts,
+From the main slots come all blocks; from a slot that was found by its text alone
+those that are not template text (the same block in all of MANY pages or more). Elements that can only be boilerplate (scripts,
 forms, adverts by name, reader comments) are left out on every page. Pages of
 hosts with fewer than SUPPORT pages, and pages without any slot of their host's
 template, are read by their own elements alone.
@@ -52,10 +52,12 @@ from .common import Workspace, map_arrow
 
 #: A token is frequent if this share of the host's pages has it; so a page of n tokens brings n / FREQUENT at most.
 FREQUENT = 0.3
-#: From so many pages on a host has a template, and text that all of them have is part of it.
+#: From so many pages on a host has a template, and text that all of them have outside named main elements is part of it.
 SUPPORT, MANY = 3, 8
 SALTS = 64
 LINK_SHARE = 0.5
+#: An element further down is known by its own mark and its ancestor in this depth; its text is read like any other.
+DEEP = 128
 #: Templates of all hosts are broadcast up to this size; beyond it only those of hosts with over 1/1000 of the pages.
 BROADCAST_BYTES = 32 << 20
 
@@ -69,6 +71,7 @@ BLOCK = set(
 )
 SCOPE = set("article aside blockquote body dd div dt fieldset figure footer form header html li main nav section table td th ul ol dl".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+STOPS = SCOPE | {"p"} | set().union(*CLOSES.values())
 # Elements, roles and words that are never main text, wherever they are.
 NEVER = set("nav footer aside form button select option menu dialog svg template object canvas head noscript textarea label".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -82,6 +85,11 @@ LABEL_WORDS = set(
     login popup modal overlay widget toolbar masthead skip""".split()
 )
 HEADS = {"header", "heading", "topbar", "top"}
+# Words that may stand beside one of NEVER_WORDS in a name; a name with any other word (notice-of-motion) says nothing.
+BESIDE = set(
+    """box slot bar area block wrap wrapper container unit section list inner outer site page main left right bottom sticky
+    global message policy link links post article user info text title panel group row item mini big small""".split()
+)
 MAIN = {"article", "main"}
 MAIN_WORDS = set("article content post entry story maincontent articlebody postcontent entrycontent".split())
 CONTAINERS = set("div section ul ol dl span table td".split())
@@ -120,6 +128,15 @@ def _words(value: str) -> set[str]:
     return set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
 
 
+def _says_never(names: list[str]) -> bool:
+    """Whether a class or an id can only name boilerplate: with a word that says so, and no word that may say otherwise."""
+    for name in names:
+        words = {w for w in _words(name) if not w.isdigit()} - {""}
+        if words & NEVER_WORDS and words <= NEVER_WORDS | LABEL_WORDS | HEADS | BESIDE:
+            return True
+    return False
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
@@ -129,11 +146,15 @@ class Page:
 
     def __init__(self, source: str):
         self.elements: Counter[str] = Counter()
+        self._paths: dict[str, str] = {}
         self.blocks: list[Block] = []
         self._text: list[str] = []
         self._linked = 0
         root = _Element("", "", False, False, False, "")
         self._stack = [root]
+        # Open elements by tag, and the places of those at which the closing of others stops: no step looks through all that are open.
+        self._opened: Counter[str] = Counter()
+        self._stops: list[int] = []
         self._read(source)
         self._flush()
 
@@ -147,8 +168,12 @@ class Page:
             self._linked = 0
 
     def _pop(self, to: int) -> None:
-        if any(e.tag in BLOCK for e in self._stack[to:]):
+        gone = self._stack[to:]
+        if any(e.tag in BLOCK for e in gone):
             self._flush()
+        self._opened.subtract(e.tag for e in gone)
+        while self._stops and self._stops[-1] >= to:
+            self._stops.pop()
         del self._stack[to:]
 
     def _open(self, tag: str, raw: str) -> None:
@@ -158,7 +183,7 @@ class Page:
             return
         if tag in BLOCK:
             self._flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in reversed(self._stops):
                 if stack[i].tag == "p" or stack[i].tag in CLOSES.get(tag, ()):
                     self._pop(i)
                     break
@@ -170,7 +195,8 @@ class Page:
         for key, sign in (("class", "."), ("id", "#"), ("role", "@")):
             if named.get(key):
                 mark += sign + _DIGITS.sub("0", ".".join(sorted(named[key].split()))).translate(_MARKS)
-        path = f"{top.path}/{mark}"
+        path = f"{stack[min(len(stack) - 1, DEEP)].path}/{mark}"
+        path = self._paths.setdefault(path, path)
         self.elements[path] += 1
         if tag in VOID:
             return
@@ -178,9 +204,12 @@ class Page:
         frame = tag in ("html", "body", "main")
         is_main = not top.never and (tag in MAIN or named.get("role") == "main" or bool(words & MAIN_WORDS and tag in SCOPE))
         never = tag in NEVER or named.get("role", "").lower() in ROLES or "hidden" in named
-        never = never or not frame and bool(words & NEVER_WORDS)
+        never = never or not frame and bool(words & NEVER_WORDS) and _says_never([*named.get("class", "").split(), named.get("id", "")])
         never = never or not top.main and not frame and not is_main and (tag == "header" or bool(words & HEADS))
         block = path if tag in BLOCK else top.block
+        self._opened[tag] += 1
+        if tag in STOPS:
+            self._stops.append(len(stack))
         stack.append(_Element(tag, path, top.never or never, (top.main or is_main) and not never, top.link or tag == "a", block))
 
     def _read(self, source: str) -> None:
@@ -194,6 +223,8 @@ class Page:
             if tag:
                 tag = tag.lower()
                 if m[1] or m[4]:
+                    if not self._opened[tag]:
+                        continue
                     for i in range(len(self._stack) - 1, 0, -1):
                         if self._stack[i].tag == tag:
                             self._pop(i)
@@ -206,7 +237,7 @@ class Page:
                     if close < 0:
                         found = re.compile(f"</{tag}", re.I).search(source, at)
                         close = found.start() if found else end
-                    self._stack.pop()
+                    self._opened[self._stack.pop().tag] -= 1
                     shut = source.find(">", close)
                     at = end if close == end or shut < 0 else shut + 1
                 continue
@@ -235,16 +266,21 @@ def _text_token(path: str, text: str) -> str:
 def page_tokens(page: Page) -> dict[str, list[int]]:
     """Of each token its number in the page, its characters and those in links; of an element with all below it."""
     found = {"": [1, 0, 0]} | {path: [number, 0, 0] for path, number in page.elements.items()}
+    own: dict[str, list[int]] = {}
     for block in page.blocks:
         size, path = len(block.text), block.path
         of_text = found.setdefault(_text_token(path, block.text), [0, 0, 0])
         of_text[0] += 1
         of_text[1] += size
         of_text[2] += block.linked
+        of_path = own.setdefault(path, [0, 0])
+        of_path[0] += size
+        of_path[1] += block.linked
+    for path, (size, linked) in own.items():
         while path:
             sums = found[path]
             sums[1] += size
-            sums[2] += block.linked
+            sums[2] += linked
             path = path.rpartition("/")[0]
     return found
 
@@ -282,6 +318,11 @@ def _mark(path: str) -> tuple[str, set[str], str]:
     return tag, _words(mark[len(tag) :]), role.lower()
 
 
+def _names(path: str) -> list[str]:
+    """The classes and ids of an element."""
+    return re.split("[.#]", path.rpartition("/")[2].partition("@")[0])[1:]
+
+
 def _under(path: str, roots) -> bool:
     """Whether the path is one of the roots or below one."""
     while path:
@@ -296,7 +337,7 @@ def is_boilerplate(path: str, in_main: bool) -> bool:
     tag, words, role = _mark(path)
     if tag in ("html", "body", "main"):
         return False
-    if tag in NEVER or role in ROLES or words & NEVER_WORDS or tag in CONTAINERS and words & LABEL_WORDS:
+    if tag in NEVER or role in ROLES or words & NEVER_WORDS and _says_never(_names(path)) or tag in CONTAINERS and words & LABEL_WORDS:
         return True
     return not in_main and (tag == "header" or bool(words & HEADS))
 
@@ -365,7 +406,8 @@ def deduce(tokens: list[tuple[str, int, int, int, int, int]]) -> Template:
         slots = [slot]
         links = {e for e in elements if e != slot and _under(e, {slot}) and sums[e][0] and sums[e][1] > LINK_SHARE * sums[e][0] and _mark(e)[0] in BLOCK}
     drops = sorted(e for e in labelled | links if _under(e, set(slots)))
-    return Template(slots, drops, sorted(t for t in frame if "=" in t) if pages >= MANY else [])
+    # What an article says is no template, however many pages say it: only a slot that nothing names has the frame's text taken out.
+    return Template(slots, drops, sorted(t for t in frame if "=" in t) if pages >= MANY and not main else [])
 
 
 _TEMPLATE = "host string, all_pages long, bytes long, slots array<string>, drops array<string>, texts array<string>"

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -388,6 +390,35 @@ def test_labels_are_of_repeated_elements():
     assert alone == "a\n\nSocial history\n\nRelated work\n\nA reply"
 
 
+@pytest.mark.parametrize("pages", [3, 7, 8, 20])
+def test_headings_that_repeat_stay(pages):
+    """What all articles of a host say is part of each, however many pages there are."""
+    sources = [f"<body><header>Site</header><article><h2>Abstract</h2><p>Own text {i}.</p></article><footer>end</footer></body>" for i in range(pages)]
+    template = by_host(sources)
+    assert {html_extract.main_text(s, template) for s in sources} == {f"Abstract\n\nOwn text {i}." for i in range(pages)}
+
+
+def test_names_of_several_words():
+    """A name is boilerplate if all its words may be."""
+    none = html_extract.Template([], [], [])
+    kept, gone = ["notice-of-motion", "ads-market", "menuOfTheDay", "history-of-advertising"], ["ad", "ad-slot", "cookie-banner", "site-footer", "commentlist", "sponsored post2"]
+    for name in kept + gone:
+        text = html_extract.main_text(f'<article><p>a</p><div class="{name}">b</div></article>', none)
+        assert text == ("a\n\nb" if name in kept else "a"), name
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<div>x" * 50_000, "<b>" * 100_000 + "<h2>a" * 1000 + "</i>" * 100_000, "<ul><li>" * 40_000 + "deep" + "</li></ul>" * 40_000])
+def test_html_deep_nesting(page):
+    """Time and memory are linear in the depth."""
+    tracemalloc.start()
+    began = time.process_time()
+    tokens = html_extract.page_tokens(html_extract.Page(page))
+    taken, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken < 30 and peak < 200 << 20 and len(tokens) < 1000
+    assert html_extract.main_text(page, html_extract.Template([], [], []))
+
+
 def test_html_equals_written_out_vectors(spark):
     """Hashed, summed vectors and the joins of the operator give what vectors written out page by page give."""
     rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
