@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as fn
 from ..schemas import Evidence
 from ..staging import stage
+from .ranking import top_per_key
 
 # Relations that are walked, and those of them that end a path.
 TRAVERSABLE = ["calls", "uses", "implements", "maps_statement", "queries_table", "route", "uses_config", "depends_on_module"]
@@ -165,6 +166,8 @@ class Graph:
     #: The walkable relations before contracts were added, also those without a source; what contracts added.
     bound: DataFrame | None = None
     added: DataFrame | None = None
+    #: Of a stored graph: (node, edges) in walking order, outgoing and incoming, and the nodes whose lists contracts change.
+    lists: dict[str, DataFrame] | None = None
 
 
 _RELATION = [
@@ -284,14 +287,39 @@ def graph_tables(found: Evidence, bound: DataFrame, whole_bound: DataFrame, repo
         mine = replace(found, diagnostics=found.diagnostics.filter(F.col("repository_id").isin(*repositories)))
     contracts, links, added = linked_contracts(found, whole_bound)
     by = lambda end, rows: rows.repartitionByRange(end).sortWithinPartitions(end)
-    return {
+    walked = bound.filter("source_id is not null")
+    out = {
         "bound_relations": by("source_id", bound),
-        "bound_incoming": by("target_id", bound.filter("source_id is not null and target_id is not null")),
-        "added_relations": bound.limit(0) if added is None else added,
+        "bound_incoming": by("target_id", walked.filter("target_id is not null")),
+        "outgoing_lists": by("node", packed(walked, False)),
+        "incoming_lists": by("node", packed(walked, True)),
         "graph_diagnostics": diagnostics_of(mine, bound),
         "located_contracts": contracts,
         "contract_links": links,
     }
+    if added is None:
+        return out | {"added_relations": bound.limit(0), "added_outgoing": out["outgoing_lists"].limit(0), "added_incoming": out["incoming_lists"].limit(0)}
+    # Nodes at which contracts add or move a relation have whole lists of their own.
+    whole = laid_over(whole_bound.filter("source_id is not null"), added)
+    old = whole_bound.join(added.select("edge_no"), "edge_no", "left_semi").select(F.col("target_id").alias("node"))
+    for name, end, nodes in (("added_outgoing", "source_id", None), ("added_incoming", "target_id", old)):
+        own = added.select(F.col(end).alias("node"))
+        own = (own if nodes is None else own.unionByName(nodes)).filter("node is not null").distinct()
+        lists = packed(whole.join(own.withColumnRenamed("node", end), end, "left_semi"), end == "target_id")
+        # A node that has lost its last relation has an empty list.
+        out[name] = by("node", own.join(lists, "node", "left").withColumn("edges", F.coalesce("edges", F.array().cast(lists.schema["edges"].dataType))))
+    return out | {"added_relations": added}
+
+
+def packed(relations: DataFrame, reverse: bool) -> DataFrame:
+    """(node, repository, edges): of each node its first relations in walking order, as many as a walk can ask for.
+
+    A hub's relations are cut down in salted parts, so it is one row of a bounded size like any other node.
+    """
+    end = "target_id" if reverse else "source_id"
+    first = top_per_key(relations.filter(F.col(end).isNotNull()).withColumn("node", F.col(end)), ["node"], edge_order(reverse), MOST_PATHS + 1, "place")
+    edges = F.sort_array(F.collect_list(F.struct("place", *_RELATION)))
+    return first.groupBy("node").agg(F.min("repository").alias("repository"), edges.alias("edges"))
 
 
 def stored_graph(symbols: DataFrame, tables: dict[str, DataFrame]) -> Graph:
@@ -300,9 +328,30 @@ def stored_graph(symbols: DataFrame, tables: dict[str, DataFrame]) -> Graph:
     return Graph(
         symbols, laid_over(bound.filter("source_id is not null"), added), tables["graph_diagnostics"], tables["located_contracts"], tables["contract_links"],
         laid_over(tables["bound_incoming"], added), bound, added,
+        {name: tables[name] for name in ("outgoing_lists", "incoming_lists", *(["added_outgoing", "added_incoming"] if added is not None else []))},
     )
 
 
+def next_relations(graph: Graph, nodes: list[str], most: int, reverse: bool = False) -> dict[str, list[dict]]:
+    """Of each node its first `most` relations in walking order, with their places. nodes: limit + 1 at most.
+
+    The nodes are values of a filter that reaches the scan: of a stored graph a node is one row.
+    """
+    found: dict[str, list[dict]] = {}
+    if graph.lists is not None:
+        side = "incoming" if reverse else "outgoing"
+        for name in (f"{side}_lists", f"added_{side}"):  # those that contracts change count
+            if name in graph.lists:
+                for row in graph.lists[name].filter(F.col("node").isin(*nodes)).select("node", F.slice("edges", 1, most).alias("edges")).collect():
+                    found[row["node"]] = [e.asDict() for e in row["edges"]]
+        return found
+    end = "target_id" if reverse else "source_id"
+    met = graph.relations.filter(F.col(end).isin(*nodes)).withColumn("node", F.col(end))
+    for row in top_per_key(met, ["node"], edge_order(reverse), most, "place").orderBy("node", "place").collect():
+        found.setdefault(row["node"], []).append(row.asDict())
+    return found
+
+
 def resolve_symbol(symbols: DataFrame, target: str, repository: str | None = None) -> DataFrame:
     """The symbols a target means: by id, else by name (with its signature, if it has one), else by the end of the name."""
     scope = symbols.filter(F.col("repository_id") == repository) if repository else symbols
@@ -369,25 +418,18 @@ def walk(graph: Graph, start: dict, max_depth: int = 6, limit: int = 20, reverse
     """The first `limit` simple paths from a symbol in depth-first order.
 
     A breadth-first loop gives them exactly: each open prefix leads to one path at least, so the first paths come
-    from the first limit + 1 prefixes of every level, and only these are kept. Each level is one join of at most
-    limit + 1 nodes with the relations; prefixes are ordered by the places their relations have at their nodes.
+    from the first limit + 1 prefixes of every level, and only these are kept. Each level asks for the relations of
+    limit + 1 nodes at most; prefixes are ordered by the places their relations have at their nodes.
     """
     check_walk(max_depth, limit)
-    relations = graph.incoming if reverse and graph.incoming is not None else graph.relations
-    here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    there = "source_id" if reverse else "target_id"
     most = limit + 1
     rows: list[tuple[tuple[int, ...], list[dict], str | None, str]] = [((), [], start["uid"], "open")]
     for depth in range(max_depth + 1):
         nodes = sorted({node for _, _, node, state in rows if state == "open"})
         if not nodes:
             break
-        # limit + 1 nodes at most: as values of a filter they reach the scan.
-        met = relations.filter(F.col(here).isin(*nodes)).withColumn("node", F.col(here))
-        place = F.row_number().over(Window.partitionBy("node").orderBy(*edge_order(reverse)))
-        first = met.withColumn("place", place).filter(F.col("place") <= most)
-        outgoing: dict[str, list[dict]] = {}
-        for row in first.orderBy("node", "place").collect():
-            outgoing.setdefault(row["node"], []).append(row.asDict())
+        outgoing = next_relations(graph, nodes, most, reverse)
         following = []
         for order, path, node, state in rows:
             if state != "open":

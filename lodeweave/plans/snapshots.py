@@ -28,7 +28,9 @@ KEPT = 2
 MOST_PIECES = 8
 HEADROOM = 128 << 20
 #: Tables whose rows belong to one repository, and the column that names it; all others are written whole.
-BY_REPOSITORY = {t: "repository_id" for t in TABLES if t != "repositories"} | {"bound_relations": "repository", "bound_incoming": "repository", "graph_diagnostics": "repository"}
+BY_REPOSITORY = {t: "repository_id" for t in TABLES if t != "repositories"} | {"bound_relations": "repository", "bound_incoming": "repository", "graph_diagnostics": "repository"} | {
+    "outgoing_lists": "repository", "incoming_lists": "repository"
+}
 
 
 class SnapshotStore:

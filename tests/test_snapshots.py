@@ -14,7 +14,9 @@ from lodeweave.operators.extract.config import settings
 from lodeweave.plans import snapshots
 from lodeweave.plans.snapshots import SnapshotStore
 from lodeweave.sources.workspace import changed_files
-from tests.test_engine import git
+from lodeweave.schemas import CONTRACTS, evidence
+from lodeweave.staging import stage
+from tests.test_engine import contract, edges, git, symbols
 from tests.test_refresh import SERVICE, commit
 
 CALLER = "package shop.web;\nimport shop.core.One;\npublic class Caller {\n  private One one;\n  public void run() { one.find(\"x\"); }\n}\n"
@@ -126,3 +128,23 @@ def test_changes_by_path(spark, session, tmp_path):
 def test_settings_end_at_line_feeds():
     text = "a.b=1\x0c2 x\r\nc.d=3\u0085\n"
     assert [(key, line) for key, _, line in settings(text)] == [("a.b", 1), ("c.d", 2)]
+
+
+def test_walks_on_packed_lists(spark):
+    """A stored graph's lists give the walks of the graph itself, at hubs and where contracts lead calls elsewhere."""
+    nodes = [("r", "a", f"N.n{i}", "m", i, i, "") for i in range(230)] + [("r", "w", "W", "class", 1, 1, ""), ("r", "w", "W.run", "m", 1, 1, "")]
+    nodes += [("geo", "p", "P", "class", 1, 9, ""), ("geo", "p", "P.find", "m", 1, 9, ""), ("geo", "p", "P.other", "m", 1, 9, ""), ("r", "i", "api.I.find", "m", 1, 1, "")]
+    links = [("r", "a", "N.n0", f"N.n{i}", "calls", i, None) for i in range(1, 230)] + [("r", "a", f"N.n{i}", "N.n1", "calls", i, None) for i in range(2, 230)]
+    links += [("r", "w", "W.run", "api.I.find", "calls", 2, None), ("r", "w", "W.run", "N.n3", "calls", 1, None), ("r", "a", "N.n5", "W.run", "calls", 1, None), ("geo", "p", "P.find", "P.other", "uses", 3, None)]
+    made = [contract("dubbo", "consumer", "api.I", "W", "r", path="w"), contract("dubbo", "provider", "api.I", "P", "geo", path="p")]
+    found = evidence(spark, symbols=symbols(spark, nodes), edges=edges(spark, links), contracts=spark.createDataFrame(made, CONTRACTS))
+    whole = G.load_graph(found)
+    stored = G.stored_graph(found.symbols, {t: stage(df, t) for t, df in G.graph_tables(found, whole.bound, whole.bound).items()})
+    assert stored.lists["outgoing_lists"].filter(F.size("edges") == 201).count() == 1 and "added_incoming" in stored.lists
+    for target, reverse in (("N.n0", False), ("W.run", False), ("N.n5", False), ("N.n1", True), ("P.find", True), ("api.I.find", True), ("P.other", True)):
+        start = G.one_start(whole, target)[0]
+        for depth, limit in ((3, 200), (6, 7)):
+            a, b = (G.walk(g, start, depth, limit, reverse) for g in (whole, stored))
+            told = lambda w: [[(e["source"], e["target"], e["kind"], e["reason"]) for e in p] for p in w.paths]
+            assert told(a) == told(b) and a.coverage() == b.coverage(), target
+    assert [e["target"] for p in G.trace(stored, "W.run")["paths"] for e in p if e["reason"] == "exact_dubbo_contract"] == ["P.find"]
