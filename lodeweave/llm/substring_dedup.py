@@ -187,6 +187,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_id(id_col).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
+#: Of how many 64-bit words the parities of a set are.
+_PARITY_WORDS = 4
+
+
+def _parities(values: np.ndarray) -> np.ndarray:
+    """Of each of 256 classes of hashes whether the set has an odd number, as four longs."""
+    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) % (64 * _PARITY_WORDS), minlength=64 * _PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class _Repeats:
     """Representatives (rep, a number) stand for the paragraphs of equal sets."""
 
@@ -243,15 +253,18 @@ class _Repeats:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                reps, sets = [], []
+                reps, sets, bits = [], [], []
                 for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                     lines = text.split(b"\n")
                     for w in wanted:
                         reps.append(w["rep"])
-                        sets.append(np.unique(shingle_hashes(word_hashes(lines[w["place"]]), k)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+                        one = np.unique(shingle_hashes(word_hashes(lines[w["place"]]), k))
+                        sets.append(one.view(np.int64))
+                        bits.append(_parities(one))
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((reps, sets, bits), kinds)], names=["rep", "shingles", "bits"])
 
-        sets = space.stage(map_arrow(texts, run, "rep long, shingles array<long>"), f"{name}-sets")
+        sets = space.stage(map_arrow(texts, run, "rep long, shingles array<long>, bits array<long>"), f"{name}-sets")
         space.drop(f"{name}-places")
         return sets
 
@@ -265,18 +278,21 @@ class _Repeats:
         prefix = F.slice("shared", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
         rows = shared.select("rep", "n", (F.col("n") - F.size("shared")).alias("own"), F.posexplode(prefix).alias("at", "t"))
         rows = rows.select("rep", "n", (F.col("own") + F.col("at")).alias("at"), F.col("t.token").alias("token"))
-        rows = self.space.stage(rows.join(open_reps, "rep"), "prefixes")
+        rows = self.space.stage(rows.join(open_reps, "rep").join(sets.select("rep", "bits"), "rep"), "prefixes")
         # The largest component of a list is not paired with itself.
         sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("several")).filter("several > 1")
         rows = rows.join(main.select("token", F.col("m.component").alias("main")), "token")
-        others = rows.filter("component <> main").select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "at", "component")])
+        others = rows.filter("component <> main").select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "at", "component", "bits")])
+        # Sets differ in as many shingles at least as their parities differ in bits: most pairs end here, before any set is read.
+        apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("o_bits", F.lit(i)))) for i in range(_PARITY_WORDS)), F.lit(0))
         need = F.ceil((F.col("n") + F.col("o_n")) * self.num / (self.num + self.den))
         met = others.join(rows, "token").filter(
             (F.col("component") != F.col("o_component"))
             & ((F.col("component") == F.col("main")) | (F.col("o_rep") < F.col("rep")))
             & (F.least("n", "o_n") * self.den >= F.greatest("n", "o_n") * self.num)
             & (F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at")) >= need)
+            & (apart * (self.den + self.num) <= (F.col("n") + F.col("o_n")) * (self.den - self.num))
         )
         return met.select(F.col("o_rep").alias("a"), F.col("rep").alias("b")).distinct()
 

@@ -176,3 +176,15 @@ def test_max_score_is_exact():
             assert want <= set(found.tolist())
             skipped += n - len(found)
     assert skipped
+
+
+def test_parities_bound_the_difference():
+    """The bits in which two sets' parities differ are never more than the shingles they differ in."""
+    from lodeweave.llm.substring_dedup import _parities
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(0, 200)))) for _ in range(2))
+        apart = sum(int(x).bit_count() for x in (_parities(a) ^ _parities(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b)) and (apart == 0 if np.array_equal(a, b) else True)
