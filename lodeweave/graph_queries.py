@@ -11,6 +11,7 @@ from .operators import context as X
 from .operators import graph as G
 from .queries import _query
 from .schemas import evidence
+from .staging import stage
 
 START, DEPTH, LIMIT = "sales.order.o1", 6, 20
 
@@ -22,6 +23,21 @@ def graph_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.select("source", "target", "kind", "line", "source_id", "target_id", "reason")
 
 
+@_query(f"with {B.RESOLVED_SQL} select source, target, kind, line, source_id, target_id, reason from relations")
+def graph_rebind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shop's relations from those of an older state, in which a quarter of its files was other or not there at all."""
+    found = B.shop(spark, sf_dir)
+    turn = F.pmod(F.xxhash64("path"), F.lit(8))
+    renamed = F.when(turn == 1, F.concat(F.lit("old."), "name")).otherwise(F.col("name"))
+    symbols = found.symbols.filter(turn != 0).withColumns({"name": renamed, "uid": F.when(turn == 1, F.concat(F.lit("old."), "uid")).otherwise(F.col("uid"))})
+    edges = found.edges.filter(turn != 0).withColumn("target", F.when(turn == 1, F.concat(F.lit("old."), "target")).otherwise(F.col("target")))
+    before = stage(G.resolve_relations(symbols, edges), "before")
+    state = F.when(turn == 0, "added").when(turn == 1, "changed").otherwise("unchanged").alias("state")
+    states = found.symbols.select("repository_id", "path").unionByName(found.edges.select("repository_id", "path")).distinct().select("*", state)
+    relations = G.rebind_relations(before, states, symbols, found.symbols, found.edges)
+    return relations.select("source", "target", "kind", "line", "source_id", "target_id", "reason")
+
+
 @_query(
     f"with {B.RESOLVED_SQL}, wishes as (select unnest(['geo.region.r0', 'region.r1', 'p3', 'geo.nation.n4@geo', 'nowhere']) as ask) "
     "select ask, uid from wishes join symbols on uid = ask union all "
@@ -89,6 +105,16 @@ def trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.paths_frame(graph, found).select(*_SHOWN)
 
 
+@_query(f"with {_shop_sql(DEPTH, LIMIT)} select {_HOPS} from hops")
+def trace_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk on a graph as a snapshot stores it: a node's relations are one row of the packed lists."""
+    found = B.shop(spark, sf_dir)
+    bound = stage(G.resolve_relations(found.symbols, found.edges), "bound")
+    graph = G.stored_graph(found.symbols, {t: stage(df, t) for t, df in G.graph_tables(found, bound, bound).items()})
+    start, _, _ = G.one_start(graph, START)
+    return G.paths_frame(graph, G.walk(graph, start, DEPTH, LIMIT)).select(*_SHOWN)
+
+
 @_query(f"with {_walk_sql(B.TRANSITIONS_SQL, 'event.view', 4, 60)} select {_HOPS} from hops")
 def trace_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = G.load_graph(B.transitions(spark, sf_dir))
