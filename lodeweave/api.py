@@ -20,11 +20,12 @@ from .operators import index as I
 from .operators import search as S
 from .operators.extract import extract_files
 from .plans import analysis as A
+from .plans.refresh import advance
 from .plans.snapshots import SnapshotStore
 from .rpc import serve
 from .schemas import evidence
 from .sources import inputs, workspace
-from .staging import stage, working_path
+from .staging import stage
 
 VIEWS, FRESHNESS = ("summary", "detail"), ("stable", "latest")
 #: Seconds that a request for the latest state waits for a refresh.
@@ -173,8 +174,7 @@ class EvidenceSession:
         """A snapshot of all baselines; if no repository's commit is another than in the active one, that one stays.
 
         Only repositories with another commit are read, and only files of theirs with another hash are extracted again;
-        evidence of all other files is taken over, that of files a baseline has no more goes. What is written are the rows of
-        the repositories that moved, their relations as far as a change reaches them, and a segment of the text index.
+        evidence of all other files is taken over, that of files a baseline has no more goes.
         """
         repositories = self._repositories()
         if repositories.filter("baseline_commit <> ''").isEmpty():
@@ -186,35 +186,13 @@ class EvidenceSession:
         moved = [r[0] for r in stale.select("repository_id").collect()]  # of the list of repositories, which the driver made
         if active and not moved:
             return active["id"]
-        files = stage(workspace.archived_files(stale), "files")
-        mine = lambda df, column="repository_id": df.filter(F.col(column).isin(*moved))
-        compared = stage(I.compare_files(mine(old.files), files), "compared")
-        fresh = files.join(compared.filter("state in ('added', 'changed')"), ["repository_id", "path"], "left_semi")
-        found = evidence(self.spark, files=fresh, **extract_files(fresh, working_path(self.spark, "rows")))
-        tables = {t: I.replace_evidence(mine(getattr(old, t)), getattr(found, t), compared) for t in ("files", "symbols", "edges", "contracts", "diagnostics")}
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         again = stale.select("repository_id", now.alias("indexed_at"))
         held = old.repositories.select("repository_id", F.col("indexed_at").alias("held_at"))
         named = repositories.join(again, "repository_id", "left").join(held, "repository_id", "left").withColumn("indexed_at", F.coalesce("indexed_at", "held_at"))
-        tables["repositories"] = named.select("repository_id", "baseline_branch", "baseline_commit", "baseline_state", "indexed_at")
-
-        def graph(whole):
-            if not active:
-                bound = stage(G.resolve_relations(whole.symbols, whole.edges), "bound")
-                return G.graph_tables(whole, bound, bound)
-            before = self.store.derived(active["id"])["bound_relations"]
-            bound = G.rebind_relations(mine(before, "repository"), compared, mine(old.symbols), mine(whole.symbols), mine(whole.edges))
-            bound = stage(bound, "bound")
-            rest = before.filter(~F.coalesce(F.col("repository").isin(*moved), F.lit(False)))
-            return G.graph_tables(whole, bound, rest.unionByName(bound), moved)
-
-        def index(whole):
-            changed = compared.filter("state <> 'unchanged'")
-            symbols = whole.symbols.join(changed, ["repository_id", "path"], "left_semi")
-            return self.store.index.add(active["index"] if active else [], fresh, symbols, changed.filter("state <> 'added'"))
-
-        baseline = I.baseline_text(repositories).first()[0]
-        return self.store.write(tables, baseline, graph, active, moved if active else None, index)
+        named = named.select("repository_id", "baseline_branch", "baseline_commit", "baseline_state", "indexed_at")
+        files = stage(workspace.archived_files(stale), "files")
+        return advance(self.store, files, moved, named, I.baseline_text(repositories).first()[0], extract=extract_files)
 
     def change(self, given: dict) -> dict:
         revision = _text(given, "range")

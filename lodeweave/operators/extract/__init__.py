@@ -47,7 +47,7 @@ def extract_files(files: DataFrame, folder: str | None = None) -> dict[str, Data
         for batch in batches:
             rows = []
             for repository, path, content in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                for row in extract_text(path, content or "").rows():
+                for row in extract_text(path or "", content or "").rows():
                     rows.append({"repository_id": repository, "path": path} | row)
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _COLUMNS], names=[n for n, _ in _COLUMNS])
 

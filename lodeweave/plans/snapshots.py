@@ -132,11 +132,13 @@ class SnapshotStore:
     def write(
         self, tables: dict[str, DataFrame], baseline: str = "", derive: Callable[[Evidence], dict[str, DataFrame]] | None = None,
         over: dict | None = None, repositories: list[str] | None = None, index: Callable[[Evidence], list[dict]] | None = None,
+        marks: dict | None = None,
     ) -> str:
         """A new snapshot from its tables, and those derived from them; readers see the one before until it is whole.
 
         over, repositories: an entry() whose rows of all other repositories are taken over; tables and derive() then give
         only rows of these repositories in the tables of BY_REPOSITORY. index: gives the state of the text index.
+        marks: numbers by name that are committed with the snapshot, see mark().
         """
         size = sum(self._size(os.path.join(self.root, d)) for d in {p["of"] for pieces in over["tables"].values() for p in pieces}) if over else 0
         if shutil.disk_usage(self.root).free < 2 * size + HEADROOM:
@@ -158,7 +160,7 @@ class SnapshotStore:
             with self._alone():
                 manifest = self._manifest()
                 manifest["snapshots"] = [*manifest["snapshots"], entry][-KEPT:]
-                manifest |= {"active": name, "last": max(self._last(manifest), int(name.rpartition("-")[2]))}
+                manifest |= {"active": name, "last": max(self._last(manifest), int(name.rpartition("-")[2])), "marks": manifest.get("marks", {}) | (marks or {})}
                 self._replace(manifest)
                 self.clean()
         return name
@@ -198,6 +200,10 @@ class SnapshotStore:
             raise ValueError(f"snapshot is not kept any more: {name}")
         return found
 
+    def mark(self, name: str) -> int:
+        """The number that was last committed under a name, -1 if none was."""
+        return self._manifest().get("marks", {}).get(name, -1)
+
     def read(self, snapshot_id: str | None = None) -> Evidence:
         return self._evidence(self.entry(snapshot_id))
 
