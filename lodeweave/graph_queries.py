@@ -187,6 +187,30 @@ def flow_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.flow_steps(G.paths_frame(graph, found), graph.symbols, start)
 
 
+@_query(
+    """with links as (
+  select c_custkey, c_nationkey as n, 'web.Client' || c_custkey || '.run' as consumer, 'api.Nation' || c_nationkey || '.find' as provider from customer where c_custkey % 7 = 0
+) select path_no, hop_no as step_no, name, stage, crosses from (
+  select cast(row_number() over (order by c_custkey) as int) as path_no, c_custkey, consumer, provider from links order by c_custkey limit 20
+), lateral (values (0, 'web.Gate.open', 'entry', false), (1, consumer, 'domain_or_service', false), (2, provider, 'cross_service', true)) steps(hop_no, name, stage, crosses)"""
+)
+def flow_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow from a controller over its clients into the repositories whose contracts they consume."""
+    customers, nations = B.table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0"), B.table(spark, sf_dir, "nation")
+    place = ["1 as line", "9 as end_line", "'' as signature", "'a.java' as path"]
+    symbols = customers.selectExpr("'shop' as repository_id", "'web.Client' || c_custkey || '.run' as name", "'service_method' as kind", *place)
+    symbols = symbols.unionByName(nations.selectExpr("'nation' || n_nationkey as repository_id", "'api.Nation' || n_nationkey || '.find' as name", "'service_method' as kind", *place))
+    symbols = symbols.unionByName(nations.filter("n_nationkey = 0").selectExpr("'shop' as repository_id", "'web.Gate.open' as name", "'controller_method' as kind", *place))
+    edges = customers.selectExpr("'shop' as repository_id", "'a.java' as path", "'web.Gate.open' as source", "'web.Client' || c_custkey || '.run' as target", "'calls' as kind", "cast(c_custkey as int) as line", "'certain' as confidence")
+    shape = ["'http' as kind", "'a.java' as path", "'certain' as confidence", "1 as line"]
+    asked = customers.selectExpr("'shop' as repository_id", "'consumer' as role", "'nation' || c_nationkey as service", "'GET:/find' as contract_key", "'web.Client' || c_custkey || '.run' as symbol", *shape)
+    given = nations.selectExpr("'nation' || n_nationkey as repository_id", "'provider' as role", "'nation' || n_nationkey as service", "'GET:/find' as contract_key", "'api.Nation' || n_nationkey || '.find' as symbol", *shape)
+    graph = G.load_graph(evidence(spark, symbols=symbols, edges=edges, contracts=asked.unionByName(given)))
+    start, _, _ = G.one_start(graph, "web.Gate.open")
+    steps = X.flow_steps(G.paths_frame(graph, G.walk(graph, start, DEPTH, LIMIT)), graph.symbols, start)
+    return steps.select("path_no", "step_no", "name", "stage", "crosses")
+
+
 _NEAR_SQL = f"""{B.RESOLVED_SQL}, near as (
   select distinct 'callers' as category, repository, file, line, kind, source, target, source_id, target_id from relations where target_id like 'geo.nation.n3@%' and source_id is not null
   union all

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bindings as B
 from .functions import identifiers as fn
+from .functions.sql import register
 from .operators import index as I
 from .operators import ranking as R
 from .operators import search as S
@@ -309,8 +310,7 @@ def _java_sql() -> str:
     return " union all ".join(rows)
 
 
-@_query(_java_sql())
-def extract_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = [
         "package app;", "import lib.Base;", "/* class Fake {} */", "@RestController", '@RequestMapping("/seg\' || p_size || \'")', '@FeignClient(name = "stock\' || (p_size % 3) || \'")',
         '@ConfigurationProperties(prefix = "app.c\' || p_size || \'")', "public class C' || p_partkey || ' extends Base implements Api {", "  // a comment", "  @DubboService", "  static class Inner { }",
@@ -321,10 +321,42 @@ def extract_java(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines[3] = "@RestController @DubboService"
     lines[9] = "  // another"
     java = "'" + "\\n".join(lines) + "'"
-    edges = extract_files(_sources(spark, sf_dir, "'C' || p_partkey || '.java'", java))["edges"]
+    return _sources(spark, sf_dir, "'C' || p_partkey || '.java'", java)
+
+
+@_query(_java_sql())
+def extract_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = extract_files(_java_sources(spark, sf_dir))["edges"]
     return edges.select("path", "source", "target", "kind", "line", "target_arity")
 
 
+# Contracts of the same source: kind, role, key, symbol (the type, or a method of it), line, broker, reason.
+_JAVA_CONTRACTS = [
+    ("dubbo", "consumer", "app.StockApi", "", 14, "", "@DubboReference"), ("dubbo", "provider", "app.Api", "", 8, "", "@DubboService implements interface"),
+    ("http", "provider", "GET:/seg' || p_size || '/item", ".get", 17, "", ""), ("mq", "provider", "out' || p_size || '", ".get", 18, "kafka", "message publish literal topic"),
+    ("mq", "consumer", "in", ".on", 22, "kafka", "message listener literal topic"),
+]
+
+
+@_query(
+    " union all ".join(
+        f"select 'C' || p_partkey || '.java' as path, '{kind}' as kind, '{role}' as role, '{key}' as contract_key, 'app.C' || p_partkey || '{method}' as symbol, {line} as line, '{broker}' as broker, '{reason}' as reason from part"
+        for kind, role, key, method, line, broker, reason in _JAVA_CONTRACTS
+    )
+)
+def extract_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_files(_java_sources(spark, sf_dir))["contracts"]
+    return found.select("path", "kind", "role", "contract_key", "symbol", "line", "broker", "reason")
+
+
+@_query(_java_sql())
+def extract_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations of the same sources by a table function of SQL."""
+    register(spark)
+    _java_sources(spark, sf_dir).createOrReplaceTempView("lodeweave_sources")
+    return spark.sql("select path, e.source, e.target, e.kind, e.line, e.target_arity from lodeweave_sources, lateral extract_evidence(path, content) e where e.`table` = 'edge'")
+
+
 @_query(
     "select 'c' || p_partkey || '.yml' as path, 'service' as kind, 'provider' as role, 'svc' || p_size as contract_key, 'svc' || p_size as service, '' as broker, 'config:c' || p_partkey || '.yml' as symbol, 3 as line from part union all "
     "select 'c' || p_partkey || '.yml', 'broker', 'provider', 'kafka', '', 'kafka:k' || (p_size % 7) || ':9092,k:1', 'config:c' || p_partkey || '.yml', 5 from part union all "
