@@ -321,6 +321,7 @@ def extract(text: str) -> Found:
     found.symbol(full, kind, top, end_line=line(len(text)))
     for m in _IMPORT.finditer(masked):
         found.edge(full, m[1], "imports", line(m.start(1)))
+    # `extends A implements B` gives a relation to each, on purpose: one target with both names could be bound to neither.
     for parent in java.parents:
         found.edge(full, parent.partition("<")[0].strip(), "implements", top, "probable")
     if any(sign in text for sign in _DYNAMIC):

@@ -13,6 +13,7 @@ _TEXT, _LIMIT = {"type": "string"}, {"type": "integer", "minimum": 1}
 _GRAPH = {"text": _TEXT, "repository": _TEXT, "limit": _LIMIT | {"maximum": 200}, "max_depth": _LIMIT | {"maximum": 32}}
 _SEARCH = {"text": _TEXT, "repository": _TEXT, "limit": _LIMIT | {"maximum": 1000}}
 # Every tool with what it is for and the arguments that it takes.
+# Names, purposes and arguments of the public operations.
 TOOLS: dict[str, tuple[str, dict]] = {
     "workspace_status": ("Repositories with their files and diagnostics", {}),
     "find_business_context": ("Ranked evidence for a text, and how complete it is", _SEARCH),
