@@ -33,6 +33,22 @@ BY_REPOSITORY = {t: "repository_id" for t in TABLES if t != "repositories"} | {"
 }
 
 
+def _one_piece_each(manifest: dict) -> dict:
+    """To version 12: a snapshot of version 10 or 11 is one piece a table; its graph and its index are made again when needed."""
+    entries = [
+        {"id": s["id"], "baseline": s["baseline"], "tables": s.get("tables", {t: [{"of": s["id"], "without": []}] for t in TABLES}), "derived": [], "index": s.get("index", [])}
+        for s in manifest["snapshots"]
+    ]
+    for entry in entries:
+        entry["tables"] = {t: pieces for t, pieces in entry["tables"].items() if t in TABLES}
+    return manifest | {"schema": 12, "snapshots": entries}
+
+
+#: By the version that they begin with. They change what the manifest says, not what is stored, each time it is read
+#: until the next commit writes it; reports, feedback and its revision are the same in all versions.
+MIGRATIONS: dict[int, Callable[[dict], dict]] = {10: _one_piece_each, 11: _one_piece_each}
+
+
 class SnapshotStore:
     """Snapshots, reports and feedback below a folder of the driver's file system (a mounted share on a cluster)."""
 
@@ -60,6 +76,8 @@ class SnapshotStore:
             manifest = json.load(opened)
         if manifest["schema"] > SCHEMA_VERSION:
             raise ValueError(f"schema {manifest['schema']} is newer than {SCHEMA_VERSION}")
+        while manifest["schema"] in MIGRATIONS:
+            manifest = MIGRATIONS[manifest["schema"]](manifest)
         if manifest["schema"] < SCHEMA_VERSION:
             # Older snapshots are not read; the next refresh makes one anew. Reports and feedback stay as they are.
             manifest |= {"schema": SCHEMA_VERSION, "snapshots": [], "active": None, "last": self._last(manifest)}

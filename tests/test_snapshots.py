@@ -1,5 +1,6 @@
 """Snapshots share what did not change; several writers; changes named by path."""
 
+import json
 import subprocess
 import sys
 from pathlib import Path
@@ -11,7 +12,7 @@ from lodeweave.api import EvidenceSession
 from lodeweave.operators import graph as G
 from lodeweave.operators import search as S
 from lodeweave.operators.extract.config import settings
-from lodeweave.plans import snapshots
+from lodeweave.plans import refresh, snapshots
 from lodeweave.plans.snapshots import SnapshotStore
 from lodeweave.sources.workspace import changed_files
 from lodeweave.schemas import CONTRACTS, evidence
@@ -148,3 +149,24 @@ def test_walks_on_packed_lists(spark):
             told = lambda w: [[(e["source"], e["target"], e["kind"], e["reason"]) for e in p] for p in w.paths]
             assert told(a) == told(b) and a.coverage() == b.coverage(), target
     assert [e["target"] for p in G.trace(stored, "W.run")["paths"] for e in p if e["reason"] == "exact_dubbo_contract"] == ["P.find"]
+
+
+def test_older_stores_are_read_on(spark, tmp_path):
+    """A store of version 10 keeps its snapshots, reports, rules and revision, and is refreshed from where it is."""
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    texts = {"One.java": SERVICE % "One", "Two.java": SERVICE % "Two"}
+    rows = lambda held: stage(spark.createDataFrame([("r", p, str(hash(c)), c) for p, c in held.items()], "repository_id string, path string, content_hash string, content string"), "files")
+    repositories = spark.createDataFrame([("r", "main", "c1", "baseline_known", "")], "repository_id string, baseline_branch string, baseline_commit string, baseline_state string, indexed_at string")
+    first = refresh.advance(store, rows(texts), ["r"], repositories)
+    store.add_feedback({"report_id": "x", "subject_kind": "repository", "subject_key": "r", "decision": "confirm"})
+    manifest = json.loads((tmp_path / "s" / "manifest.json").read_text())
+    plain = [{"id": s["id"], "baseline": s["baseline"], "derived": ["relations"]} for s in manifest["snapshots"]]
+    (tmp_path / "s" / "manifest.json").write_text(json.dumps(manifest | {"schema": 10, "snapshots": plain}))
+    again = SnapshotStore(spark, str(tmp_path / "s"))
+    assert again.active == first and again.revision == 1 and again.feedback().count() == 1
+    assert {r["path"] for r in again.read().files.collect()} == set(texts) and again.derived() == {} and again.entry()["index"] == []
+    second = refresh.advance(again, rows(texts | {"Two.java": SERVICE % "Other"}), ["r"], repositories)
+    assert again.read(first).files.count() == 2 and {"bound_relations", "outgoing_lists"} <= set(again.derived(second))
+    assert json.loads((tmp_path / "s" / "manifest.json").read_text())["schema"] == snapshots.SCHEMA_VERSION and again.revision == 1
+    found = S.ranked_search(again.read(), S.queries_frame(spark, ["shop.core.Other"]), stored=S.Indexed(again.index, again.entry()["index"], again.read().files))[0]
+    assert {r["file"] for r in found.collect()} == {"Two.java"}
