@@ -37,6 +37,11 @@ def lookup_keys(symbols: DataFrame) -> DataFrame:
     return rows.select("repository_id", F.col("k.key").alias("key"), F.col("k.tier").alias("tier"), "symbol").filter("key is not null")
 
 
+def _told(symbol: str):
+    """What binding tells of a symbol; narrow, because it travels with every relation."""
+    return F.struct(*[F.col(f"{symbol}.{c}").alias(c) for c in ("uid", "name", "repository_id", "signature")])
+
+
 _ANY_ARITY = -9
 _ASK = ["_key", "_signature", "_arity", "_most"]
 
@@ -58,8 +63,8 @@ def names_of(symbols: DataFrame) -> Names:
         statement = mine & (F.col("symbol.kind") == "mapper_statement")
         tiers.append(
             F.struct(
-                F.count_if(mine).alias("n"), F.max(F.when(mine, F.col("symbol"))).alias("one"),
-                F.count_if(statement).alias("statements"), F.max(F.when(statement, F.col("symbol"))).alias("statement"),
+                F.count_if(mine).alias("n"), F.max(F.when(mine, _told("symbol"))).alias("one"),
+                F.count_if(statement).alias("statements"), F.max(F.when(statement, _told("symbol"))).alias("statement"),
             ).alias(f"_t{tier}")
         )
     return Names(keys, keys.groupBy("repository_id", F.col("key").alias("_key")).agg(*tiers))
@@ -118,8 +123,8 @@ def _settle(first: DataFrame, names: Names, owned: bool) -> DataFrame:
     fits = _fits(F.col("symbol"))
     statement = fits & (F.col("symbol.kind") == "mapper_statement")
     found = met.groupBy(*request).agg(
-        F.count_if(fits).alias("fitting"), F.max(F.when(fits, F.col("symbol"))).alias("one"),
-        F.count_if(statement).alias("statements"), F.max(F.when(statement, F.col("symbol"))).alias("statement"),
+        F.count_if(fits).alias("fitting"), F.max(F.when(fits, _told("symbol"))).alias("one"),
+        F.count_if(statement).alias("statements"), F.max(F.when(statement, _told("symbol"))).alias("statement"),
     )
     lone = (F.col("fitting") > 1) & (F.col("statements") == 1)
     found = found.select(
@@ -133,7 +138,7 @@ def _settle(first: DataFrame, names: Names, owned: bool) -> DataFrame:
         several = out.filter("n > 1").select(*place).distinct()
         inside = several.join(keys.withColumn("path", F.col("symbol.path")), ["repository_id", "_key", "tier", "path"])
         inside = inside.filter(fits & (F.col("symbol.line") <= F.col("line")) & (F.col("symbol.end_line") >= F.col("line")))
-        mine = inside.groupBy(*place).agg(F.count(F.lit(1)).alias("_own"), F.max("symbol").alias("_owner"))
+        mine = inside.groupBy(*place).agg(F.count(F.lit(1)).alias("_own"), F.max(_told("symbol")).alias("_owner"))
         out = out.join(mine, place, "left")
         many = F.col("n") > 1
         symbol = F.when(many, F.when(F.col("_own") == 1, F.col("_owner"))).otherwise(F.col("symbol"))
