@@ -153,7 +153,7 @@ class Page:
         root = _Element("", "", False, False, False, "")
         self._stack = [root]
         # Open elements by tag, and the places of those at which the closing of others stops: no step looks through all that are open.
-        self._opened: Counter[str] = Counter()
+        self._opened: dict[str, int] = {}
         self._stops: list[int] = []
         self._read(source)
         self._flush()
@@ -168,12 +168,14 @@ class Page:
             self._linked = 0
 
     def _pop(self, to: int) -> None:
-        gone = self._stack[to:]
-        if any(e.tag in BLOCK for e in gone):
+        opened, stops, block = self._opened, self._stops, False
+        for e in self._stack[to:]:
+            opened[e.tag] -= 1
+            block = block or e.tag in BLOCK
+        if block:
             self._flush()
-        self._opened.subtract(e.tag for e in gone)
-        while self._stops and self._stops[-1] >= to:
-            self._stops.pop()
+        while stops and stops[-1] >= to:
+            stops.pop()
         del self._stack[to:]
 
     def _open(self, tag: str, raw: str) -> None:
@@ -195,7 +197,7 @@ class Page:
         for key, sign in (("class", "."), ("id", "#"), ("role", "@")):
             if named.get(key):
                 mark += sign + _DIGITS.sub("0", ".".join(sorted(named[key].split()))).translate(_MARKS)
-        path = f"{stack[min(len(stack) - 1, DEEP)].path}/{mark}"
+        path = f"{(top if len(stack) <= DEEP else stack[DEEP]).path}/{mark}"
         path = self._paths.setdefault(path, path)
         self.elements[path] += 1
         if tag in VOID:
@@ -207,7 +209,7 @@ class Page:
         never = never or not frame and bool(words & NEVER_WORDS) and _says_never([*named.get("class", "").split(), named.get("id", "")])
         never = never or not top.main and not frame and not is_main and (tag == "header" or bool(words & HEADS))
         block = path if tag in BLOCK else top.block
-        self._opened[tag] += 1
+        self._opened[tag] = self._opened.get(tag, 0) + 1
         if tag in STOPS:
             self._stops.append(len(stack))
         stack.append(_Element(tag, path, top.never or never, (top.main or is_main) and not never, top.link or tag == "a", block))
@@ -223,7 +225,7 @@ class Page:
             if tag:
                 tag = tag.lower()
                 if m[1] or m[4]:
-                    if not self._opened[tag]:
+                    if not self._opened.get(tag):
                         continue
                     for i in range(len(self._stack) - 1, 0, -1):
                         if self._stack[i].tag == tag:
