@@ -235,6 +235,17 @@ def likely_in(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     return met.filter(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*rows.columns)
 
 
+def told_apart(rows: DataFrame, wanted: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows that may have a key of wanted, as likely_in() tells them, and all others: these need no shuffle to meet wanted."""
+    number = F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
+    spot = {"_bucket": F.shiftright(number, 15), "_bit": F.pmod(number, F.lit(1 << 15))}
+    bits = wanted.select(*[c.alias(n) for n, c in spot.items()]).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    met = rows.withColumns(spot).join(F.broadcast(bits), "_bucket", "left")  # 2**FILTER_BITS bits at most
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    has = F.coalesce(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return met.filter(has).select(*rows.columns), met.filter(~has).select(*rows.columns)
+
+
 def pack(values: np.ndarray) -> bytes:
     """An array's byte planes, compressed; the length comes back from the size."""
     width = values.dtype.itemsize

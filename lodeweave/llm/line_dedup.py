@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, batch_of, hash_pair, id_bounds, row_id, strip_spaces, write_bucketed
+from .common import Workspace, ascii_lower, batch_of, hash_pair, id_bounds, row_id, strip_spaces, told_apart, write_bucketed
 
 MIN_KEY_CHARS = 10
 BATCHES = 4
@@ -151,7 +151,10 @@ def dedup_lines(
         row_id(id_col).alias("doc"),
         F.xxhash64(text).alias("version"),
     )
-    joined = inner.join(marks, ["doc", "version"], "left")
+    # Texts that lose no line are not shuffled.
+    able, whole = told_apart(inner, marks, ["doc", "version"])
+    joined = able.join(marks, ["doc", "version"], "left").select("row", "gone")
+    joined = joined.unionByName(whole.select("row", F.lit(None).cast(marks.schema["gone"].dataType).alias("gone")))
     text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
     parts = F.split(text, "\n")
     paired = F.zip_with(parts, "gone", lambda line, gone: F.struct(line.alias("line"), gone.alias("gone")))
