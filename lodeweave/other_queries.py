@@ -262,8 +262,14 @@ def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction from sources made of table rows ----------------------------------------
 
 
+#: Files that one task reads, about: parsing takes the time, and a small table is few splits however many rows it has.
+FILES_A_TASK = 5_000
+
+
 def _sources(spark: SparkSession, sf_dir: str, path: str, content: str) -> DataFrame:
-    return B.table(spark, sf_dir, "part").selectExpr("'r' || (p_partkey % 3) as repository_id", f"{path} as path", f"{content} as content")
+    part = B.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = part.repartition(max(spark.sparkContext.defaultParallelism, part.count() // FILES_A_TASK), "p_partkey")
+    return part.selectExpr("'r' || (p_partkey % 3) as repository_id", f"{path} as path", f"{content} as content")
 
 
 @_query(

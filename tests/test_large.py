@@ -1,6 +1,9 @@
 """What shows only on larger tables: answers beyond a limit, and work that has to be spread over tasks."""
 
 from lodeweave.operators import contracts as C
+from lodeweave.other_queries import _java_sources
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_coverage_tells_of_contracts_beyond_the_limit(spark):
@@ -14,3 +17,8 @@ def test_coverage_tells_of_contracts_beyond_the_limit(spark):
     assert told["contracts"].count() == 2 and told["links"].count() == 2
     row = told["coverage"].first()
     assert (row["unresolved"], row["returned"], row["matched"]) == (5, 2, 5)
+
+
+def test_sources_of_a_small_table_are_many_tasks(spark):
+    rows = _java_sources(spark, SF).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(rows) >= spark.sparkContext.defaultParallelism and max(rows) < sum(rows)
