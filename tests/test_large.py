@@ -1,7 +1,10 @@
 """What shows only on larger tables: answers beyond a limit, and work that has to be spread over tasks."""
 
 from lodeweave.operators import contracts as C
+from lodeweave.operators import graph as G
 from lodeweave.other_queries import _java_sources
+from lodeweave.schemas import EDGES, SYMBOLS
+from lodeweave.staging import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +25,16 @@ def test_coverage_tells_of_contracts_beyond_the_limit(spark):
 def test_sources_of_a_small_table_are_many_tasks(spark):
     rows = _java_sources(spark, SF).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert len(rows) >= spark.sparkContext.defaultParallelism and max(rows) < sum(rows)
+
+
+def test_binding_stores_requests_not_relations(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(G, "stage", lambda df, label: stored.append(df.count()) or stage(df, label))
+    symbols = spark.createDataFrame([("r", "f", n, "class", at, f"u{at}", "", at + 5) for at, n in ((1, "a.A"), (10, "a.B"), (20, "a.B"), (30, "a.C"))], SYMBOLS)
+    edges = spark.createDataFrame([("r", "f", source, "a.C", "calls", line, "certain", "", None) for source in ("a.A", "a.B") for line in range(1, 31)], EDGES)
+    rows = G.resolve_relations(symbols, edges).collect()
+    assert max(stored) <= 3
+    # Of two symbols of one name the one counts whose lines a relation lies in.
+    ends = {10: "u10", 15: "u10", 16: None, 20: "u20", 25: "u20", 26: None}
+    assert {r["line"]: r["source_id"] for r in rows if r["source"] == "a.B" and r["line"] in ends} == ends
+    assert {(r["source_id"], r["target_id"]) for r in rows if r["source"] == "a.A"} == {("u1", "u30")} and len(rows) == 60
