@@ -44,9 +44,14 @@ def _one_piece_each(manifest: dict) -> dict:
     return manifest | {"schema": 12, "snapshots": entries}
 
 
+def _index_anew(manifest: dict) -> dict:
+    """To version 13: the text index is made again by the next refresh, in blocks; until then files are scanned."""
+    return manifest | {"schema": 13, "snapshots": [s | {"index": []} for s in manifest["snapshots"]]}
+
+
 #: By the version that they begin with. They change what the manifest says, not what is stored, each time it is read
 #: until the next commit writes it; reports, feedback and its revision are the same in all versions.
-MIGRATIONS: dict[int, Callable[[dict], dict]] = {10: _one_piece_each, 11: _one_piece_each}
+MIGRATIONS: dict[int, Callable[[dict], dict]] = {10: _one_piece_each, 11: _one_piece_each, 12: _index_anew}
 
 
 class SnapshotStore:
