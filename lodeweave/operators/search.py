@@ -7,6 +7,8 @@ a requirement are one job. The table is small by contract (MOST_QUERIES).
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,9 +67,21 @@ def symbol_candidates(symbols: DataFrame, queries: DataFrame, pairs: DataFrame |
     )
 
 
-def edge_candidates(edges: DataFrame, queries: DataFrame) -> DataFrame:
-    both = F.concat_ws(" ", "source", "target")
-    met = edges.join(_prepared(queries), fn.all_terms_in(both, F.col("terms")))
+def edge_candidates(edges: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+    """Relations whose ends have every term of a query; most: of each query only the first so many, which alone are scored."""
+    prepared = _prepared(queries)
+    lowered = F.lower(F.concat_ws(" ", "source", "target"))
+    # At most MOST_QUERIES short texts: as values of the plan they are compared in the scan, where a join would test rows one by one.
+    asked = [(r["query_no"], r["terms"]) for r in prepared.select("query_no", "terms").collect() if r["terms"]]
+    having = [F.when(reduce(and_, [F.contains("_both", F.lit(t)) for t in terms]), F.lit(no)) for no, terms in asked]
+    numbers = F.array_compact(F.array(*having)) if having else F.array().cast("array<int>")
+    met = edges.withColumn("_both", lowered).withColumn("_asked", numbers).filter(F.size("_asked") > 0)
+    met = met.withColumn("query_no", F.explode("_asked")).drop("_both", "_asked")
+    if most is not None:
+        met = met.select("query_no", "repository_id", "path", "source", "target", "kind", "line", "confidence").join(prepared.select("query_no", F.lower("text").alias("_text")), "query_no")
+        met = met.withColumn("_tier", F.when((F.lower("source") == F.col("_text")) | (F.lower("target") == F.col("_text")), 0).otherwise(1)).drop("_text")
+        met = top_per_key(met, ["query_no"], [F.col(c) for c in ("_tier", "repository_id", "path", "line", "target", "source")], most, "_place").drop("_place", "_tier")
+    met = met.join(prepared, "query_no")
     score = lambda c: fn.name_score(F.col(c), F.col("text"), F.col("query"), fn.EDGE_SCORES)
     met = met.withColumn("score", F.greatest(score("source"), score("target")))
     exact = fn.same_text(F.col("source"), F.col("text")) | fn.same_text(F.col("target"), F.col("text"))
@@ -252,7 +266,7 @@ def candidates(
         scan = replace(scan, rows=stage(scan.rows, "scan"))
         symbols = symbol_candidates(mine.symbols, queries)
         texts = [full_text_candidates(scan, repository), substring_candidates(scan, repository)]
-    parts = [symbols, edge_candidates(mine.edges, queries), *texts]
+    parts = [symbols, edge_candidates(mine.edges, queries, candidate_limit + 1), *texts]
     order = [F.col("tier"), F.col("repository"), F.col("file"), F.col("line"), F.col("name"), F.col("source")]
     union = None
     for part in parts:
