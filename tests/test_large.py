@@ -72,3 +72,12 @@ def test_relations_are_scored_after_they_are_cut(spark):
     assert sorted(map(repr, cut.collect())) == sorted(map(repr, first.collect())) and cut.count() == 21
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index(str(fn.EDGE_SCORES[1])) < plan.index("row_number")
+
+
+def test_relations_are_joined_without_sorting(spark):
+    symbols = spark.createDataFrame([("r", "f", n, "class", 1, f"u{n}", "", 5) for n in ("a.A", "a.B")], SYMBOLS)
+    edges = spark.createDataFrame([("r", "f", "a.A", "B", "calls", 2, "certain", "", None)], EDGES)
+    found = G.resolve_relations(symbols, edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert [(r["source_id"], r["target_id"]) for r in found.collect()] == [("ua.A", "ua.B")]
