@@ -9,7 +9,7 @@ from lodeweave.operators import search as S
 from lodeweave.operators.ranking import top_per_key
 from lodeweave.operators.text_index import TextIndex, triples
 from lodeweave.other_queries import _java_sources
-from lodeweave.schemas import EDGES, SYMBOLS
+from lodeweave.schemas import EDGES, SYMBOLS, evidence
 from lodeweave.staging import stage
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +81,30 @@ def test_relations_are_joined_without_sorting(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
     assert [(r["source_id"], r["target_id"]) for r in found.collect()] == [("ua.A", "ua.B")]
+
+
+def _tangle(spark):
+    """Names of one, two and three parts, some of several symbols, in two repositories; relations that ask for them in all ways."""
+    names = ["A", "a.A", "a.B", "b.a.B", "a.b.C", "x.b.C", "D", "d.D", "a.m", "b.m"]
+    held = [(r, f"f{n % 3}", name, ("class", "mapper_statement")[n % 4 == 3], 1 + 10 * (n % 2), f"{r}{n}", ("", "(int)", "(int, int)")[n % 3], 8 + 10 * (n % 2)) for r in "rs" for n, name in enumerate([*names, "a.B", "a.m"])]
+    asked = [*names, "B", "C", "m", "b.C", "a.B", "none", "b/x.m"]
+    kinds = ["calls", "uses", "implements", "queries_table", "route", "imports"]
+    links = [("rs"[n % 2], f"f{n % 3}", names[n * 7 % 10], asked[n * 5 % 17], kinds[n % 6], n % 20, "certain", ("", "", "(int)")[n % 3], (None, 1, 2)[n // 3 % 3]) for n in range(240)]
+    return evidence(spark, symbols=spark.createDataFrame(held, SYMBOLS), edges=spark.createDataFrame(links, EDGES))
+
+
+def test_symbols_are_counted_only_where_their_names_are_asked_for(spark):
+    symbols = spark.createDataFrame([("r", "f", n, "class", 1, f"u{n}", "", 5) for n in ("a.A", "a.B", "a.B", "b.C")] + [("r", "g", "c.C", "class", 1, "uc.C", "", 5)], SYMBOLS)
+    requests = stage(spark.createDataFrame([("r", n, "", -9) for n in ("a.B", "A", "C", "none")], "repository_id string, asked string, signature string, arity int"), "requests")
+    few = {r["asked"]: (r["n"], r["one"] and r["one"]["uid"]) for r in G._answers(requests, symbols, "uid").collect()}
+    # A symbol that is there twice counts once.
+    assert few == {"a.B": (1, "ua.B"), "A": (1, "ua.A"), "C": (2, None)}
+    plan = G._answers(requests, symbols, "uid")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Inner" in plan and plan.index("Aggregate") < plan.index("Inner")
+
+
+def test_many_requests_are_answered_like_few(spark, monkeypatch):
+    found = _tangle(spark)
+    few = sorted(map(repr, G.resolve_relations(found.symbols, found.edges).select(*G._RELATION).collect()))
+    monkeypatch.setattr(G, "FEW_REQUESTS", 0)
+    assert sorted(map(repr, G.resolve_relations(found.symbols, found.edges).select(*G._RELATION).collect())) == few
