@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as fn
-from .graph import Graph, Walk, check_walk, empty_coverage, one_start, walk
+from .graph import Graph, OpenGraph, Walk, check_walk, empty_coverage, one_start, walk
 
 SUMMARY_FLOWS, SUMMARY_STEPS = 3, 4
 RUNTIME_RISK = "static_contract_does_not_prove_runtime_routing"
@@ -15,7 +15,8 @@ RUNTIME_RISK = "static_contract_does_not_prove_runtime_routing"
 def flow_steps(paths: DataFrame, symbols: DataFrame, start: dict) -> DataFrame:
     """One row per path and step with its stage; step 0 is the entry. A step has the kind of the symbol it leads to,
     contract relations and open ends keep their own."""
-    kinds = symbols.select(F.col("uid").alias("target_id"), F.col("kind").alias("target_kind"))
+    ends = F.broadcast(paths.select("target_id").distinct())  # limit * max_depth at most
+    kinds = symbols.select(F.col("uid").alias("target_id"), F.col("kind").alias("target_kind")).join(ends, "target_id", "left_semi")
     steps = paths.join(kinds, "target_id", "left")
     own = F.startswith("kind", F.lit("contract_")) | F.col("target_kind").isNull()
     steps = steps.select(
@@ -30,7 +31,7 @@ def flow_steps(paths: DataFrame, symbols: DataFrame, start: dict) -> DataFrame:
     return entries.unionByName(steps)
 
 
-def flows(graph: Graph, found: Walk, start: dict) -> list[dict]:
+def flows(graph: Graph | OpenGraph, found: Walk, start: dict) -> list[dict]:
     kinds = {}
     ids = sorted({e["target_id"] for path in found.paths for e in path if e["target_id"]})
     if ids:
@@ -48,7 +49,7 @@ def flows(graph: Graph, found: Walk, start: dict) -> list[dict]:
     return out
 
 
-def flow(graph: Graph, target: str, repository: str | None = None, max_depth: int = 6, limit: int = 20) -> dict:
+def flow(graph: Graph | OpenGraph, target: str, repository: str | None = None, max_depth: int = 6, limit: int = 20) -> dict:
     check_walk(max_depth, limit)
     start, choices, why = one_start(graph, target, repository)
     if start is None:
@@ -72,13 +73,13 @@ def budgeted(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(order, "repository", "file", "line", "kind", "target", "source", "edge_no").limit(limit)
 
 
-def context(graph: Graph, target: str, repository: str | None = None, max_depth: int = 6, limit: int = 20, detail: bool = False) -> dict:
+def context(graph: Graph | OpenGraph, target: str, repository: str | None = None, max_depth: int = 6, limit: int = 20, detail: bool = False) -> dict:
     check_walk(max_depth, limit)
     start, choices, why = one_start(graph, target, repository)
     if start is None:
         return {"target": target, "symbol": None, "candidates": choices, "counts": {}, "coverage": empty_coverage(limit, why)}
     uid = start["uid"]
-    near = neighbours(graph.relations, uid)
+    near = neighbours(graph.touching([uid]), uid)
     counts = {r[0]: r[1] for r in near.groupBy("category").count().collect()}
     kept = [r.asDict() for r in budgeted(near, limit).collect()]
     found = walk(graph, start, max_depth, limit)

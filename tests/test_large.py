@@ -93,6 +93,32 @@ def _tangle(spark):
     return evidence(spark, symbols=spark.createDataFrame(held, SYMBOLS), edges=spark.createDataFrame(links, EDGES))
 
 
+def test_relations_bound_when_asked_for_are_those_of_the_whole_graph(spark):
+    found = _tangle(spark)
+    whole, lazy = G.load_graph(found), G.open_graph(found)
+    rows = lambda df: sorted(map(repr, df.select(*G._RELATION).collect()))
+    assert whole.relations.filter("target_id is not null").count() > 20 and whole.diagnostics.count() > 20
+    for nodes in (["r0"], ["r3", "s3", "s1"], ["r2", "r10"]):
+        assert rows(lazy.touching(nodes)) == rows(whole.touching(nodes))
+        assert rows(lazy.touching(nodes, ("target_id",))) == rows(whole.touching(nodes, ("target_id",)))
+    places = spark.createDataFrame([("r", "f0"), ("s", "f2")], "repository string, file string")
+    told = ["repository", "file", "line", "reason", "confidence"]
+    assert sorted(map(repr, lazy.diagnostics_in(places).select(*told).collect())) == sorted(map(repr, whole.diagnostics_in(places).select(*told).collect()))
+    for ask in (lambda g: G.trace(g, "a.A", "r", 3, 9), lambda g: G.impact(g, "d.D", "s", 2, 9)):
+        assert repr(ask(lazy)) == repr(ask(whole))
+
+
+def test_a_question_binds_only_what_it_asks_for(spark, monkeypatch):
+    symbols = spark.range(300).selectExpr("'r' as repository_id", "'f' || id % 40 as path", "'a.S' || id as name", "'class' as kind", "1 as line", "'u' || id as uid", "'' as signature", "9 as end_line")
+    edges = spark.range(300).selectExpr("'r' as repository_id", "'f' || id % 40 as path", "'a.S' || id as source", "'S' || (id + 1) as target", "'calls' as kind", "2 as line", "'certain' as confidence")
+    bound = []
+    resolved = G._resolved
+    monkeypatch.setattr(G, "_resolved", lambda rows, symbols: bound.append(rows.count()) or resolved(rows, symbols))
+    told = G.trace(G.open_graph(evidence(spark, symbols=symbols, edges=edges)), "a.S7", max_depth=3)
+    assert [[e["target_id"] for e in path] for path in told["paths"]] == [["u8", "u9", "u10"]]
+    assert sum(bound) < 60
+
+
 def test_symbols_are_counted_only_where_their_names_are_asked_for(spark):
     symbols = spark.createDataFrame([("r", "f", n, "class", 1, f"u{n}", "", 5) for n in ("a.A", "a.B", "a.B", "b.C")] + [("r", "g", "c.C", "class", 1, "uc.C", "", 5)], SYMBOLS)
     requests = stage(spark.createDataFrame([("r", n, "", -9) for n in ("a.B", "A", "C", "none")], "repository_id string, asked string, signature string, arity int"), "requests")
