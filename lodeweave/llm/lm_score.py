@@ -40,19 +40,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, map_arrow, pack, unpack
-from .shingles import mix, word_hashes
+from .shingles import hashes_of, mix, word_hashes  # noqa: F401 (word_hashes: one text, for tests)
 
 HOT_WORD, HOT_PAIR = 1e-6, 1e-6
 STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 2
 RUN = 64
-BLOCK_TOKENS = 1 << 21
+BLOCK_BYTES, BLOCK_TOKENS = 13 << 20, 1 << 22
 LEAST_PARTS, MOST_PARTS = 64, 1 << 15
 #: Pair parts to a word part: there are far fewer words than bigrams.
 PAIRS_TO_WORDS = 4
@@ -83,7 +84,7 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Positions of the keys of each part, in the order of the keys."""
     part = part_of(keys, parts)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting; MOST_PARTS fit
     ends = np.cumsum(np.bincount(part, minlength=parts))
     start = 0
     for p, end in enumerate(ends.tolist()):
@@ -136,28 +137,75 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 # --- counting ----------------------------------------------------------------
 
 
-def _batches_of_tokens(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, int, pa.RecordBatch, list[np.ndarray]]]:
-    """Runs of rows of about BLOCK_TOKENS tokens: first row, end row, batch, the tokens of each row."""
-    for batch in batches:
-        held, begin, size = [], 0, 0
-        texts = batch.column(column)
-        for i in range(batch.num_rows):
-            text = texts[i].as_buffer()
-            tokens = np.append(word_hashes(text.to_pybytes() if text is not None else b""), END)
-            held.append(tokens)
-            size += len(tokens)
-            if size >= BLOCK_TOKENS:
-                yield begin, i + 1, batch, held
-                held, begin, size = [], i + 1, 0
-        if held:
-            yield begin, batch.num_rows, batch, held
+@dataclass
+class Tokens:
+    """The tokens of documents, one after another, as places in `words`, which are sorted and have both ends of documents in them."""
+
+    words: np.ndarray
+    place: np.ndarray
+    sizes: np.ndarray
 
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
-def _before(flat: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """The word before each token; a document starts after the beginning."""
-    before = np.concatenate([[BEGIN], flat[:-1]])
-    before[np.cumsum([0, *map(len, rows[:-1])])] = BEGIN
-    return before
+    @property
+    def flat(self) -> np.ndarray:
+        return self.words[self.place]
+
+    def before(self) -> np.ndarray:
+        """The place of the word before each token; a document starts after the beginning."""
+        before = np.empty_like(self.place)
+        before[1:] = self.place[:-1]
+        before[self.starts] = np.searchsorted(self.words, BEGIN)
+        return before
+
+
+def tokens_of(texts: pa.Array) -> Tokens:
+    """Words as words_of() has them; each distinct one is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    told = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.append(hashes_of(told), END)
+    # White space at an end of a text leaves an empty word there.
+    real = (pc.binary_length(coded.dictionary).to_numpy() > 0)[codes]
+    ends = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+    sizes = np.diff(ends) + 1
+    words = np.unique(np.append(hashes, BEGIN))
+    at = np.searchsorted(words, hashes)
+    last = np.cumsum(sizes) - 1
+    inner = np.ones(int(sizes.sum()), dtype=bool)
+    inner[last] = False
+    place = np.empty(len(inner), dtype=np.int64)
+    place[inner], place[last] = at[codes[real]], at[-1]
+    return Tokens(words, place, sizes)
+
+
+def _cuts(amounts: np.ndarray, most: int) -> list[int]:
+    """Ends of runs of about `most`: a run ends with the row that reaches it."""
+    ends, held = [], 0
+    for i, amount in enumerate(amounts.tolist()):
+        held += amount
+        if held >= most:
+            ends.append(i + 1)
+            held = 0
+    return ends if ends and ends[-1] == len(amounts) else [*ends, len(amounts)]
+
+
+def _batches_of_tokens(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, int, pa.RecordBatch, Tokens]]:
+    """Runs of rows of about BLOCK_BYTES, at most about BLOCK_TOKENS: first row, end row, batch, their tokens."""
+    for batch in batches:
+        begin = 0
+        for end in _cuts(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), BLOCK_BYTES) if batch.num_rows else []:
+            found = tokens_of(batch.column(column).slice(begin, end - begin))
+            first = at = 0
+            for last in _cuts(found.sizes, BLOCK_TOKENS):
+                sizes = found.sizes[first:last]
+                upto = at + int(sizes.sum())
+                yield begin + first, begin + last, batch, Tokens(found.words, found.place[at:upto], sizes)
+                first, at = last, upto
+            begin = end
 
 
 @dataclass
@@ -170,15 +218,11 @@ class Pairs:
     counts: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[np.ndarray]) -> Pairs:
-        """The bigrams of documents."""
-        flat = np.concatenate([*rows, [BEGIN]])
-        words, place = np.unique(flat, return_inverse=True)
-        second = place[:-1]
-        first = np.concatenate([place[-1:], second[:-1]])
-        first[np.cumsum([0, *map(len, rows[:-1])])] = place[-1]
-        codes, counts = np.unique(first * len(words) + second, return_counts=True)
-        return cls(words, codes // len(words), codes % len(words), counts)
+    def of(cls, tokens: Tokens) -> Pairs:
+        """The bigrams of documents; `words` may have others too."""
+        size = len(tokens.words)
+        codes, counts = np.unique(tokens.before() * size + tokens.place, return_counts=True)
+        return cls(tokens.words, codes // size, codes % size, counts)
 
     @classmethod
     def sum(cls, parts: list[Pairs]) -> Pairs:
@@ -217,8 +261,8 @@ def count_pairs(texts: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for _, _, _, rows in _batches_of_tokens(batches, 0):
-            new = Pairs.of(rows)
+        for _, _, _, tokens in _batches_of_tokens(batches, 0):
+            new = Pairs.of(tokens)
             held = Pairs.sum([held, new]) if held else new
         if held:
             for p, at in by_part(held.keys, parts):
@@ -551,34 +595,46 @@ def _stored(words: DataFrame, gains: DataFrame, word_parts: int) -> DataFrame:
     return map_arrow(words, of_words, _STORED).unionByName(map_arrow(gains, of_pairs, _STORED))
 
 
+def _by_place(place: np.ndarray) -> np.ndarray:
+    """The stable order of numbers below 2**32, by their halves."""
+    order = np.argsort((place & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((place >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 def _send(docs: DataFrame, hot, word_parts: int, parts: int) -> DataFrame:
     """Of each block of documents: its own sums, and for each part the keys whose values it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Hot = hot.value
-        for begin, end, batch, rows in _batches_of_tokens(batches, 1):
+        likely = np.zeros(1 << 22, dtype=bool)  # most bigrams are told from hot ones by their first bits
+        likely[known.pairs >> np.uint64(42)] = True
+        for begin, end, batch, tokens in _batches_of_tokens(batches, 1):
             ids = batch.column(0).slice(begin, end - begin)
-            sizes = np.array([len(r) for r in rows])
-            flat = np.concatenate(rows)
-            owner = np.repeat(np.arange(len(rows), dtype=np.uint32), sizes)
-            pairs = pair_keys(_before(flat, rows), flat)
-            at, common = find(known.words, flat)
-            place, seen = find(known.pairs, pairs)
-            sums = np.zeros((len(rows), _WIDTH))
+            sizes, flat, number_of = tokens.sizes, tokens.flat, len(tokens.sizes)
+            owner = np.repeat(np.arange(number_of, dtype=np.uint32), sizes)
+            pairs = pair_keys(tokens.words[tokens.before()], flat)
+            # Words are looked up once each, what they add is spread over the tokens.
+            at, hot_word = find(known.words, tokens.words)
+            base, logs = np.zeros(len(hot_word)), np.zeros(len(hot_word))
+            base[hot_word], logs[hot_word] = known.base(known.tokens[at[hot_word]]), known.logs[at[hot_word]]
+            common = hot_word[tokens.place]
+            seen = likely[pairs >> np.uint64(42)]
+            place, hit = find(known.pairs, pairs[seen])
+            seen[seen] = hit
+            sums = np.zeros((number_of, _WIDTH))
             sums[:, 0] = sizes
-            sums[:, 1] = np.bincount(owner[common], minlength=len(rows))
-            sums[:, 2] = np.bincount(owner[common], known.base(known.tokens[at[common]]), len(rows))
-            sums[:, 3] = known.begin + np.bincount(owner[common], known.logs[at[common]], len(rows)) + np.bincount(owner[seen], known.gains[place[seen]], len(rows))
+            sums[:, 1] = np.bincount(owner[common], minlength=number_of)
+            sums[:, 2] = np.bincount(owner, base[tokens.place], number_of)
+            sums[:, 3] = known.begin + np.bincount(owner, logs[tokens.place], number_of) + np.bincount(owner[seen], known.gains[place[hit]], number_of)
             id_bytes = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
             nulls = np.array(ids.is_null().to_pylist(), dtype=np.uint8).tobytes()
             block = _signed(xxhash.xxh3_64_intdigest(id_bytes + flat.tobytes()))
             yield _rows(_SENT, [(block % (word_parts + parts), block, _DOCS, id_bytes + nulls, pack(sums.ravel()))])
             for kind, wanted, sought, shift, number in ((_OF_WORD, ~common, flat, 0, word_parts), (_OF_PAIR, ~seen, pairs, word_parts, parts)):
-                sought, who = sought[wanted], owner[wanted]
-                order = np.argsort(sought, kind="stable")
-                sought, who = sought[order], who[order]
-                for p, at in by_part(sought, number):
-                    yield _rows(_SENT, [(shift + p, block, kind, pack_sorted(sought[at]), pack(who[at]))])
+                order = _by_place(tokens.place[wanted]) if kind == _OF_WORD else np.argsort(sought[wanted], kind="stable")
+                sought, who = sought[wanted][order], owner[wanted][order]
+                for p, here in by_part(sought, number):
+                    yield _rows(_SENT, [(shift + p, block, kind, pack_sorted(sought[here]), pack(who[here]))])
 
     return map_arrow(docs, run, _SENT)
 
@@ -601,18 +657,19 @@ def _lookup(sent: DataFrame, stored: DataFrame, hot) -> DataFrame:
                 continue
             sought, who = unpack_sorted(sent_keys), unpack(rows, np.uint32).astype(np.int64)
             at, hit = find(keys, sought)
-            docs, place = np.unique(who, return_inverse=True)
+            size = int(who.max()) + 1
+            docs = np.flatnonzero(np.bincount(who, minlength=size))
             sums = np.zeros((len(docs), _WIDTH))
             if kind == _OF_WORD:
                 found = np.zeros(len(sought))
                 logs = np.full(len(sought), math.log10(known.unknown))
                 if hit.any():
                     found[hit], logs[hit] = tokens[at[hit]], values[at[hit]]
-                sums[:, 1] = np.bincount(place, found > 0, len(docs))
-                sums[:, 2] = np.bincount(place, known.base(found), len(docs))
-                sums[:, 3] = np.bincount(place, logs, len(docs))
+                sums[:, 1] = np.bincount(who, found > 0, size)[docs]
+                sums[:, 2] = np.bincount(who, known.base(found), size)[docs]
+                sums[:, 3] = np.bincount(who, logs, size)[docs]
             else:
-                sums[:, 3] = np.bincount(place[hit], values[at[hit]], len(docs))
+                sums[:, 3] = np.bincount(who[hit], values[at[hit]], size)[docs]
             out.append((block, kind, pack(docs.astype(np.uint32)), pack(sums.ravel())))
         return _table(_SUMMED, out)
 

@@ -9,6 +9,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -459,3 +460,27 @@ def test_components(spark):
     alone = {n for n in of if all(n not in p or p[0] == p[1] for p in pairs)}
     assert {r["node"]: r["component"] for r in got.collect()} == {n: c for n, c in of.items() if n not in alone}
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "test")).count() == 0
+
+
+def test_tokens_of_the_language_model(monkeypatch):
+    texts = [" A b\x0bc  d\n", "", None, "\x1cx\x85y é É\xa0Z", "zz zz", "a " * 9, "\t\n"]
+    plain = [np.append(lm_score.word_hashes((t or "").encode()), lm_score.END) for t in texts]
+    found = lm_score.tokens_of(pa.array(texts, pa.string()))
+    assert found.sizes.tolist() == [len(p) for p in plain] and found.flat.tolist() == np.concatenate(plain).tolist()
+    before = [[lm_score.BEGIN, *p[:-1]] for p in plain]
+    assert found.words[found.before()].tolist() == [w for p in before for w in p]
+    # A word is hashed once, however often it is there.
+    hashed = []
+    monkeypatch.setattr(lm_score, "hashes_of", lambda words: hashed.extend(words) or np.zeros(len(words), np.uint64))
+    lm_score.tokens_of(pa.array(["a b a"] * 100))
+    assert sorted(hashed) == [b"a", b"b"]
+    # Runs end by bytes and by tokens, and no row is lost.
+    monkeypatch.undo()
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 8)
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 3)
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    runs = list(lm_score._batches_of_tokens(iter([batch, batch.slice(0, 0)]), 0))
+    assert [b for b, *_ in runs] == [0, *[e for _, e, *_ in runs][:-1]] and runs[-1][1] == len(texts) and len(runs) > 3
+    assert [h for *_, t in runs for h in t.flat.tolist()] == found.flat.tolist()
+    place = np.array([70000, 3, 70000, 1 << 31, 3, 0])
+    assert lm_score._by_place(place).tolist() == np.argsort(place, kind="stable").tolist()
