@@ -39,10 +39,10 @@ def advance(
 
     def graph(whole: Evidence) -> dict[str, DataFrame]:
         if not active or "bound_relations" not in active["tables"]:
-            bound = stage(G.resolve_relations(whole.symbols, whole.edges), "bound")
+            bound = G.stored_relations(whole.symbols, whole.edges)
             return G.graph_tables(whole, bound, bound)
         before = store.derived(active["id"])["bound_relations"]
-        bound = stage(G.rebind_relations(mine(before, "repository"), compared, mine(old.symbols), mine(whole.symbols), mine(whole.edges)), "bound")
+        bound = G.rebind_relations(mine(before, "repository"), compared, mine(old.symbols), mine(whole.symbols), mine(whole.edges))
         return G.graph_tables(whole, bound, before.filter(~of("repository")).unionByName(bound), moved)
 
     def index(whole: Evidence) -> list[dict]:

@@ -49,9 +49,15 @@ def _index_anew(manifest: dict) -> dict:
     return manifest | {"schema": 13, "snapshots": [s | {"index": []} for s in manifest["snapshots"]]}
 
 
+def _graph_anew(manifest: dict) -> dict:
+    """To version 14: relations keep the signatures of their sources, lists what their node doesn't tell; the graph is made again when needed."""
+    entries = [s | {"tables": {t: pieces for t, pieces in s["tables"].items() if t in TABLES}, "derived": []} for s in manifest["snapshots"]]
+    return manifest | {"schema": 14, "snapshots": entries}
+
+
 #: By the version that they begin with. They change what the manifest says, not what is stored, each time it is read
 #: until the next commit writes it; reports, feedback and its revision are the same in all versions.
-MIGRATIONS: dict[int, Callable[[dict], dict]] = {10: _one_piece_each, 11: _one_piece_each, 12: _index_anew}
+MIGRATIONS: dict[int, Callable[[dict], dict]] = {10: _one_piece_each, 11: _one_piece_each, 12: _index_anew, 13: _graph_anew}
 
 
 class SnapshotStore:
