@@ -139,10 +139,36 @@ def test_many_requests_are_answered_like_few(spark, monkeypatch):
     assert sorted(map(repr, G.resolve_relations(found.symbols, found.edges).select(*G._RELATION).collect())) == few
 
 
+def test_lists_are_made_where_relations_were_bound(spark, monkeypatch):
+    """Relations are neither staged nor sent once more before they are packed."""
+    plans, stored = [], []
+    in_passes = G.stage_in_passes
+    monkeypatch.setattr(G, "stage_in_passes", lambda rows, make, by, label: plans.append(make(rows)._jdf.queryExecution().executedPlan().toString()) or in_passes(rows, make, by, label))
+    monkeypatch.setattr(G, "stage", lambda df, label: stored.append(df.count()) or stage(df, label))
+    symbols = spark.createDataFrame([("r", "f", f"a.S{n}", "class", n, f"u{n}", "", n) for n in range(3)], SYMBOLS)
+    edges = spark.createDataFrame([("r", "f", source, f"S{n % 3}", "calls", n, "certain", "", None) for n in range(30) for source in ("a.S0", "S0")], EDGES)
+    made = G.packed_graph(evidence(spark, symbols=symbols, edges=edges)).lists["outgoing_lists"]
+    plan = plans[0][: plans[0].index("ShuffledHashJoin")]
+    assert "Window [" in plan and "Exchange" not in plan and max(stored) <= 5
+    # A list for either name of the source.
+    assert [(r["node"], len(r["edges"])) for r in made.collect()] == [("u0", 30), ("u0", 30)]
+
+
+def test_walks_on_lists_of_several_names(spark):
+    found = _tangle(spark)
+    whole, lists = G.load_graph(found), G.packed_graph(found)
+    several = [r["node"] for r in lists.lists["outgoing_lists"].groupBy("node").count().filter("count > 1").orderBy("node").collect()]
+    for start in several[:2]:
+        a, b = (G.walk(g, {"uid": start}, 3, 9) for g in (whole, lists))
+        told = lambda w: [[[e[c] for c in ("place", *G._RELATION)] for e in path] for path in w.paths]
+        assert a.paths and told(a) == told(b) and a.coverage() == b.coverage()
+
+
 def test_relations_are_bound_share_by_share(spark, monkeypatch):
     found = _tangle(spark)
     rows = lambda df: sorted(map(repr, df.select(*G._RELATION).collect()))
-    wanted = rows(G.resolve_relations(found.symbols, found.edges))
+    lists = lambda: sorted(map(repr, G.packed_graph(found).lists["outgoing_lists"].collect()))
+    wanted, packed = rows(G.resolve_relations(found.symbols, found.edges)), lists()
     old = evidence(spark, symbols=found.symbols.filter("path <> 'f1'"), edges=found.edges.filter("path <> 'f1'"))
     states = spark.createDataFrame([(r, f"f{n}", "added" if n == 1 else "unchanged") for r in "rs" for n in range(3)], "repository_id string, path string, state string")
     monkeypatch.setattr(staging, "ROWS_A_PASS", 50)
@@ -153,6 +179,7 @@ def test_relations_are_bound_share_by_share(spark, monkeypatch):
     assert rows(G.stored_relations(found.symbols, found.edges)) == wanted == rows(G.rebind_relations(before, states, old.symbols, found.symbols, found.edges))
     # 134 relations that are walked at first, 200 in the end; a share is none, or all, of those that are equal.
     assert len([n for n in written if n]) > 10 and max(written) < 150
+    assert len(packed) > 10 and lists() == packed
 
 
 def test_rebinding_stages_names_and_answers_only(spark, monkeypatch):
